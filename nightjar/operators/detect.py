@@ -64,11 +64,36 @@ def detection(text: ColumnOrName, source_ip: ColumnOrName, rules: Sequence[Rule]
     return out if out is not None else F.lit(None).cast(DETECTION_TYPE)
 
 
+def rule_index(text: ColumnOrName, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+    """Position of the first matching rule, or null (DET-1 first match wins)."""
+    out = None
+    for i, r in enumerate(rules):
+        cond = rule_matches(r, text)
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return out if out is not None else F.lit(None).cast("int")
+
+
 def detect(events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, payload_col: str = "payload",
            ip_col: str = "source_ip") -> DataFrame:
     """Adds a nullable ``detection`` column to normalised events.  The payload
-    is matched as stored JSON text (keys, quotes and escapes included)."""
-    return events.withColumn("detection", detection(F.col(payload_col), F.col(ip_col), rules))
+    is matched as stored JSON text (keys, quotes and escapes included).
+
+    The regexes run once per row in their own projection (``_rule``); the
+    result fields are then array lookups by rule position, which keeps the
+    generated code small however long the rule list is."""
+    def arr(values):
+        return F.array(*[F.lit(v) for v in values])
+    staged = events.withColumn("_rule", rule_index(F.col(payload_col), rules))
+    idx = F.col("_rule")
+    techs = F.array(*[F.array(*[F.lit(t) for t in r.techniques]).cast("array<string>") for r in rules])
+    result = F.struct(
+        F.get(arr([r.title for r in rules]), idx).alias("title"),
+        F.concat(F.get(arr([r.description for r in rules]), idx), from_suffix(F.col(ip_col)), F.lit("."))
+        .alias("description"),
+        F.get(arr([r.severity for r in rules]), idx).alias("severity"),
+        F.get(techs, idx).alias("mitre_technique_ids"),
+    )
+    return staged.withColumn("detection", F.when(idx.isNotNull(), result)).drop("_rule")
 
 
 def alerts_from_detections(detected: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:

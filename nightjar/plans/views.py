@@ -285,14 +285,15 @@ class Domain:
         surrounding whitespace."""
         e = self.table("events")
         eid = F.col("event_id")
-        ip = self._source_ip()
-        msg = F.replace(_pick(schemas.SAMPLE_MESSAGES, eid % 6), F.lit("{ip}"), ip)
-        line = F.concat(F.lit("<"), eid % 200, F.lit(">Jan  5 10:22:01 host"), F.col("user_id"), F.lit(" "), msg)
+        msg = F.replace(_pick(schemas.SAMPLE_MESSAGES, eid % 6), F.lit("{ip}"), F.col("remote_address"))
+        staged = (e.withColumn("remote_address", self._source_ip())
+                  .withColumn("line", F.concat(F.lit("<"), eid % 200, F.lit(">Jan  5 10:22:01 host"),
+                                               F.col("user_id"), F.lit(" "), msg)))
         raw = (F.when(eid % 10 == 9, F.concat(F.lit("garbled line "), eid))
-               .when(eid % 10 == 3, F.concat(F.lit(" "), line, F.lit("\t")))
-               .otherwise(line))
-        return e.select(eid.alias("line_id"), raw.alias("raw"), ip.alias("remote_address"),
-                        F.col("ts").alias("received_at"))
+               .when(eid % 10 == 3, F.concat(F.lit(" "), F.col("line"), F.lit("\t")))
+               .otherwise(F.col("line")))
+        return staged.select(eid.alias("line_id"), raw.alias("raw"), "remote_address",
+                             F.col("ts").alias("received_at"))
 
     @functools.cached_property
     def http_requests(self) -> DataFrame:
