@@ -1 +1,278 @@
-"""Registered queries (filled in below)."""
+"""Registered change-application queries (M-*, W-2, W-3, J-8, J-9, J-11, F-11, SNK-7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from nightjar.operators import changes as ch
+from nightjar.plans.oracle_views import with_views
+from nightjar.plans.registry import AS_OF, AS_OF_SQL, register
+from nightjar.plans.views import Domain
+
+
+def _sha(*parts: str) -> str:
+    return "sha256(concat_ws(chr(1), " + ", ".join(parts) + "))"
+
+
+# -- M-1 / F-11 ----------------------------------------------------------------
+@register("m1_alert_creates", with_views(f"""
+SELECT id, title, description, severity, coalesce(status, 'open') AS status,
+       coalesce(created_at, {AS_OF_SQL}) AS created_at, {AS_OF_SQL} AS updated_at
+FROM alert_creates""", ["alert_creates"]))
+def m1(d: Domain):
+    return ch.apply_creates(d.alert_creates, "alerts", AS_OF)
+
+
+@register("f11_validate_alerts", with_views("""
+SELECT * FROM (
+  SELECT id, concat_ws(',',
+    CASE WHEN title IS NULL THEN 'title: required' END,
+    CASE WHEN severity IS NULL THEN 'severity: required' END,
+    CASE WHEN severity IS NOT NULL AND severity NOT IN ('critical', 'high', 'medium', 'low', 'info')
+         THEN 'severity: invalid value' END,
+    CASE WHEN status IS NOT NULL AND status NOT IN ('open', 'acknowledged', 'resolved', 'false_positive')
+         THEN 'status: invalid value' END,
+    CASE WHEN length(title) < 1 THEN 'title: too short' END,
+    CASE WHEN length(title) > 200 THEN 'title: too long' END,
+    CASE WHEN length(description) < 0 THEN 'description: too short' END,
+    CASE WHEN length(description) > 4000 THEN 'description: too long' END) AS reasons
+  FROM alert_creates) r
+WHERE reasons <> ''""", ["alert_creates"]))
+def f11(d: Domain):
+    """F-11: rejected create requests with their reasons."""
+    _valid, rejected = ch.validate(d.alert_creates, "alerts")
+    return rejected.select("id", "reasons")
+
+
+# -- M-2 / M-5 / W-2 / W-3 / M-10 / M-11 -------------------------------------------
+KNOWN = "SELECT c.*, i.status AS snap_status, i.assigned_to_id AS snap_assignee, i.title AS snap_title " \
+        "FROM status_changes c JOIN incidents i ON i.id = c.entity_id"
+SEQ = f"""
+SELECT *,
+  coalesce(last_value(CASE WHEN status IS NOT NULL THEN {{'v': status}} END IGNORE NULLS) OVER w_before,
+           {{'v': snap_status}}).v AS status_before,
+  coalesce(last_value(CASE WHEN status IS NOT NULL THEN {{'v': status}} END IGNORE NULLS) OVER w_upto,
+           {{'v': snap_status}}).v AS status_after,
+  coalesce(last_value(CASE WHEN assigned_to_set THEN {{'v': assigned_to_id}} END IGNORE NULLS) OVER w_before,
+           {{'v': snap_assignee}}).v AS assignee_before
+FROM ({KNOWN}) k
+WINDOW w_before AS (PARTITION BY entity_id ORDER BY ts, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+       w_upto AS (PARTITION BY entity_id ORDER BY ts, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _incident_patch(d: Domain):
+    return ch.patch_incidents(d.incidents, d.status_changes)
+
+
+@register("m5_incident_snapshot", with_views("""
+SELECT i.id, i.title, i.severity, CASE WHEN f.st_touched THEN f.st_new ELSE i.status END AS status,
+       CASE WHEN f.as_touched THEN f.as_new ELSE i.assigned_to_id END AS assigned_to_id, i.created_at,
+       greatest(i.updated_at, f.last_ts) AS updated_at, coalesce(i.closed_at, f.first_closed) AS closed_at
+FROM incidents i LEFT JOIN (
+  SELECT entity_id, max(ts) AS last_ts, bool_or(status IS NOT NULL) AS st_touched,
+         arg_max(status, (ts, change_id)) FILTER (WHERE status IS NOT NULL) AS st_new,
+         bool_or(assigned_to_set) AS as_touched,
+         arg_max_null(assigned_to_id, (ts, change_id)) FILTER (WHERE assigned_to_set) AS as_new,
+         min(ts) FILTER (WHERE status IN ('resolved', 'closed')) AS first_closed
+  FROM status_changes GROUP BY entity_id) f ON f.entity_id = i.id""", ["incidents", "status_changes"]))
+def m5(d: Domain):
+    """M-5 + M-2 + W-2: the incident snapshot after a batch of patches."""
+    return _incident_patch(d)["snapshot"]
+
+
+@register("m2_unknown_patches", with_views("""
+SELECT * FROM status_changes WHERE entity_id NOT IN (SELECT id FROM incidents)""", ["incidents", "status_changes"]))
+def m2(d: Domain):
+    return _incident_patch(d)["unknown"].select(*d.status_changes.columns)
+
+
+@register("w3_status_timeline", with_views(f"""
+SELECT {_sha("'timeline'", "CAST(change_id AS VARCHAR)")} AS id, entity_id AS incident_id, 'status_change' AS event_type,
+       concat('Status changed from ', status_before, ' to ', status) AS message, ts AS created_at, change_id
+FROM ({SEQ}) s WHERE status IS NOT NULL AND status <> status_before""", ["incidents", "status_changes"]))
+def w3(d: Domain):
+    """M-5 + W-3: a timeline row for every patch that changes the status."""
+    return _incident_patch(d)["timeline"].drop("author_id")
+
+
+@register("m11_assignment_notifications", with_views(f"""
+SELECT {_sha("'notification'", "CAST(change_id AS VARCHAR)")} AS id, assigned_to_id AS user_id, 'incident' AS type,
+       'Incident assigned to you' AS title, snap_title AS message, CAST(NULL AS TIMESTAMP) AS read_at,
+       ts AS created_at, change_id
+FROM ({SEQ}) s
+WHERE assigned_to_set AND assigned_to_id IS NOT NULL AND (assignee_before IS NULL OR assigned_to_id <> assignee_before)""",
+                                                     ["incidents", "status_changes"]))
+def m11(d: Domain):
+    return _incident_patch(d)["notifications"]
+
+
+@register("m10_incident_audit", with_views(f"""
+SELECT {_sha("'audit'", "'incident'", "CAST(change_id AS VARCHAR)")} AS id, CAST(NULL AS BIGINT) AS actor_id,
+       'incident.updated' AS action, 'incident' AS target_type, CAST(entity_id AS VARCHAR) AS target_id,
+       CAST(NULL AS VARCHAR) AS ip_address, json_object('status', status_after)::VARCHAR AS metadata, ts AS created_at
+FROM ({SEQ}) s""", ["incidents", "status_changes"]))
+def m10(d: Domain):
+    """M-10 / SNK-7: the audit rows the patch batch appends."""
+    return _incident_patch(d)["audit"]
+
+
+@register("j11_quarantine", with_views("""
+SELECT *, 'unknown entity_id' AS reason FROM status_changes
+WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT id FROM incidents)""", ["incidents", "status_changes"]))
+def j11(d: Domain):
+    _ok, bad = ch.referential_split(d.status_changes, d.incidents, "entity_id")
+    return bad
+
+
+# -- M-6 ---------------------------------------------------------------------------
+@register("m6_vulnerability_remediation", with_views("""
+SELECT v.id, CASE WHEN f.entity_id IS NOT NULL THEN f.st ELSE v.status END AS status,
+       coalesce(v.remediated_at, f.first_rem) AS remediated_at
+FROM vulnerabilities v LEFT JOIN (
+  SELECT entity_id, arg_max(status, (ts, change_id)) AS st, min(ts) FILTER (WHERE status = 'remediated') AS first_rem
+  FROM vuln_changes GROUP BY entity_id) f ON f.entity_id = v.id""", ["vulnerabilities", "vuln_changes"]))
+def m6(d: Domain):
+    """M-6 + W-2: remediated_at set once, at the first patch to remediated."""
+    return ch.patch_vulnerabilities(d.vulnerabilities, d.vuln_changes)["snapshot"].select(
+        "id", "status", "remediated_at")
+
+
+# -- M-7 / J-9 ---------------------------------------------------------------------
+@register("m7_ioc_inserted", with_views(f"""
+SELECT concat(type, ':', value) AS id, type, value, coalesce(severity, 'medium') AS severity,
+       CAST(NULL AS VARCHAR) AS threat_actor_id, {AS_OF_SQL} AS first_seen_at, {AS_OF_SQL} AS last_seen_at,
+       {AS_OF_SQL} AS created_at
+FROM (SELECT type, value, arg_min_null(severity, incoming_id) AS severity FROM ioc_incoming GROUP BY type, value) d
+WHERE NOT EXISTS (SELECT 1 FROM iocs i WHERE i.type = d.type AND i.value = d.value)""", ["ioc_incoming", "iocs"]))
+def m7(d: Domain):
+    return ch.merge_iocs(d.iocs, d.ioc_incoming, AS_OF)["inserted"]
+
+
+@register("j9_ioc_conflicts", with_views("""
+SELECT type, value, min(incoming_id) AS incoming_id FROM ioc_incoming d
+WHERE EXISTS (SELECT 1 FROM iocs i WHERE i.type = d.type AND i.value = d.value) GROUP BY type, value""",
+                                         ["ioc_incoming", "iocs"]))
+def j9(d: Domain):
+    return ch.merge_iocs(d.iocs, d.ioc_incoming, AS_OF)["conflicts"].select("type", "value", "incoming_id")
+
+
+@register("m7_ioc_patched", with_views("""
+SELECT i.id, CASE WHEN f.t THEN f.sev ELSE i.severity END AS severity,
+       greatest(i.last_seen_at, f.last_ts) AS last_seen_at
+FROM iocs i LEFT JOIN (
+  SELECT entity_id, max(ts) AS last_ts, bool_or(severity IS NOT NULL) AS t,
+         arg_max(severity, (ts, change_id)) FILTER (WHERE severity IS NOT NULL) AS sev
+  FROM ioc_patches GROUP BY entity_id) f ON f.entity_id = i.id""", ["iocs", "ioc_patches"]))
+def m7p(d: Domain):
+    return ch.patch_iocs(d.iocs, d.ioc_patches)["snapshot"].select("id", "severity", "last_seen_at")
+
+
+# -- M-3 ---------------------------------------------------------------------------
+@register("m3_replaced_mappings", with_views("""
+SELECT alert_id, mitre_technique_id FROM alert_mitre_mappings
+WHERE alert_id NOT IN (SELECT entity_id FROM mapping_patches WHERE mitre_technique_ids IS NOT NULL)
+UNION ALL
+SELECT alert_id, unnest(list_distinct(ids)) AS mitre_technique_id FROM (
+  SELECT entity_id AS alert_id, arg_max(mitre_technique_ids, (ts, change_id)) AS ids
+  FROM mapping_patches WHERE mitre_technique_ids IS NOT NULL GROUP BY entity_id) l""",
+                                             ["alert_mitre_mappings", "mapping_patches"]))
+def m3(d: Domain):
+    return ch.replace_mappings(d.alert_mitre_mappings, d.mapping_patches)
+
+
+# -- M-4 / J-8 ---------------------------------------------------------------------
+def _opened(d: Domain):
+    return ch.open_incidents(d.incidents, d.alerts, d.incident_timeline_events, d.incident_requests, AS_OF)
+
+
+@register("m4_created_incidents", with_views(f"""
+SELECT {_sha("'incident'", "CAST(request_id AS VARCHAR)")} AS id, title, severity, coalesce(status, 'open') AS status,
+       assigned_to_id, ts AS created_at, ts AS updated_at, CAST(NULL AS TIMESTAMP) AS closed_at
+FROM incident_requests""", ["incident_requests"]))
+def m4(d: Domain):
+    return _opened(d)["created"]
+
+
+@register("m4_seed_notes", with_views(f"""
+SELECT {_sha("'opened'", "CAST(request_id AS VARCHAR)")} AS id,
+       {_sha("'incident'", "CAST(request_id AS VARCHAR)")} AS incident_id, author_id, 'note' AS event_type,
+       'Incident opened' AS message, ts AS created_at
+FROM incident_requests""", ["incident_requests"]))
+def m4n(d: Domain):
+    return _opened(d)["notes"]
+
+
+@register("j8_linked_alerts", with_views(f"""
+SELECT alert_id AS id, arg_max({_sha("'incident'", "CAST(request_id AS VARCHAR)")}, (ts, request_id)) AS incident_id
+FROM (SELECT request_id, ts, unnest(alert_ids) AS alert_id FROM incident_requests) r
+WHERE alert_id IN (SELECT id FROM alerts) GROUP BY alert_id""", ["incident_requests", "alerts"]))
+def j8(d: Domain):
+    """M-4 + J-8: listed alerts that exist (semi join), linked to the newest
+    request that lists them."""
+    return _opened(d)["links"].select("id", F.col("_incident").alias("incident_id"))
+
+
+# -- M-8 ---------------------------------------------------------------------------
+@register("m8_mappings_after_alert_delete", with_views("""
+SELECT * FROM alert_mitre_mappings WHERE alert_id NOT IN (SELECT id FROM alerts WHERE id % 13 = 0)""",
+                                                       ["alert_mitre_mappings", "alerts"]))
+def m8a(d: Domain):
+    gone = d.alerts.where(F.col("id") % 13 == 0).select("id")
+    return ch.delete_alerts(d.alerts, d.alert_mitre_mappings, gone)["alert_mitre_mappings"]
+
+
+@register("m8_alerts_after_incident_delete", with_views("""
+SELECT id, CASE WHEN incident_id IN (SELECT id FROM incidents WHERE id % 100 = 0) THEN NULL ELSE incident_id END
+       AS incident_id
+FROM alerts""", ["alerts", "incidents"]))
+def m8b(d: Domain):
+    gone = d.incidents.where(F.col("id") % 100 == 0).select("id")
+    return ch.delete_incidents(d.incidents, d.alerts, d.incident_timeline_events, gone)["alerts"].select(
+        "id", "incident_id")
+
+
+# -- M-9 ---------------------------------------------------------------------------
+@register("m9_mark_all_read", with_views(f"""
+SELECT id, CASE WHEN read_at IS NULL THEN {AS_OF_SQL} ELSE read_at END AS read_at
+FROM notifications WHERE user_id = 7""", ["notifications"]))
+def m9a(d: Domain):
+    return ch.mark_read(d.notifications, 7, None, AS_OF).where(F.col("user_id") == 7).select("id", "read_at")
+
+
+@register("m9_mark_read", with_views(f"""
+SELECT id, user_id, CASE WHEN user_id = 7 AND read_at IS NULL THEN {AS_OF_SQL} ELSE read_at END AS read_at
+FROM notifications WHERE id % 250 = 7""", ["notifications"]))
+def m9b(d: Domain):
+    ids = d.notifications.where(F.col("id") % 250 == 7).select("id")
+    return (ch.mark_read(d.notifications, 7, ids, AS_OF).join(ids, "id", "left_semi")
+            .select("id", "user_id", "read_at"))
+
+
+# -- M-12 --------------------------------------------------------------------------
+@register("m12_sources_after_toggle", with_views("""
+SELECT s.id, s.name, s.type, CASE WHEN f.entity_id IS NOT NULL THEN f.a ELSE s.is_active END AS is_active
+FROM ingestion_sources s LEFT JOIN (
+  SELECT entity_id, arg_max(is_active, (ts, change_id)) AS a FROM source_toggles GROUP BY entity_id) f
+ON f.entity_id = s.id""", ["ingestion_sources", "source_toggles"]))
+def m12(d: Domain):
+    return ch.toggle_sources(d.ingestion_sources, d.source_toggles)["snapshot"].select("id", "name", "type",
+                                                                                       "is_active")
+
+
+@register("m12_toggle_audit", with_views(f"""
+SELECT {_sha("'audit'", "'ingestion_source'", "CAST(change_id AS VARCHAR)")} AS id, CAST(NULL AS BIGINT) AS actor_id,
+       CASE WHEN t.is_active THEN 'ingestion_source.enabled' ELSE 'ingestion_source.disabled' END AS action,
+       'ingestion_source' AS target_type, CAST(t.entity_id AS VARCHAR) AS target_id,
+       CAST(NULL AS VARCHAR) AS ip_address, json_object('type', s.type)::VARCHAR AS metadata, t.ts AS created_at
+FROM source_toggles t JOIN ingestion_sources s ON s.id = t.entity_id""", ["ingestion_sources", "source_toggles"]))
+def m12a(d: Domain):
+    return ch.toggle_sources(d.ingestion_sources, d.source_toggles)["audit"]
+
+
+# -- M-13 --------------------------------------------------------------------------
+@register("m13_notes_added", with_views(f"""
+SELECT {_sha("'note'", "CAST(note_id AS VARCHAR)")} AS id, incident_id, author_id, 'note' AS event_type, message,
+       ts AS created_at
+FROM timeline_notes WHERE incident_id IN (SELECT id FROM incidents)""", ["timeline_notes", "incidents"]))
+def m13(d: Domain):
+    return ch.append_timeline_notes(d.incident_timeline_events, d.incidents, d.timeline_notes)["added"]
