@@ -115,3 +115,13 @@ def check_range(name: str, value: int, lo: int, hi: int) -> int:
     if not isinstance(value, int) or isinstance(value, bool) or not lo <= value <= hi:
         raise ValueError(f"{name} must be an integer in [{lo}, {hi}], got {value!r}")
     return value
+
+
+def keep_rows(df, cond: Column):
+    """Keep rows where ``cond`` holds, evaluated on top of the projection that
+    computes it.  A ``where`` would be pushed below that projection with the
+    whole (costly) expression copied into the filter, so it would run twice;
+    a generator over a conditional one-element array drops the rows instead
+    (the optimizer infers no pushed-down filter from a generator whose input
+    is an expression)."""
+    return df.select("*", F.explode(F.when(cond, F.array(F.lit(1)))).alias("_keep")).drop("_keep")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightjar.functions.scalars import ColumnOrName, _col, from_suffix, stable_id
+from nightjar.functions.scalars import ColumnOrName, _col, from_suffix, keep_rows, stable_id
 
 DETECTION_TYPE = "struct<title:string,description:string,severity:string,mitre_technique_ids:array<string>>"
 
@@ -100,7 +100,7 @@ def alerts_from_detections(detected: DataFrame, id_col: str = "id") -> tuple[Dat
     """SNK-4: one detected event → one alert row and one mapping row per
     technique.  Alert ids derive from the raw event id, so a replayed batch
     produces the same ids (ST-14)."""
-    hits = detected.where(F.col("detection").isNotNull())
+    hits = keep_rows(detected, F.col("detection").isNotNull())
     alert_id = stable_id(F.lit("alert"), F.col(id_col))
     alerts = hits.select(
         alert_id.alias("id"),
@@ -117,6 +117,9 @@ def alerts_from_detections(detected: DataFrame, id_col: str = "id") -> tuple[Dat
         F.col("received_at").alias("updated_at"),
         F.col(id_col).alias("raw_event_id"),
     )
+    # explode over an expression (not a bare column) so no size>0 filter is
+    # inferred and pushed below the detection projection
     mappings = hits.select(alert_id.alias("alert_id"),
-                           F.explode("detection.mitre_technique_ids").alias("mitre_technique_id"))
+                           F.explode(F.array_compact(F.col("detection.mitre_technique_ids")))
+                           .alias("mitre_technique_id"))
     return alerts, mappings

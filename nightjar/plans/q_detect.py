@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightjar import schemas
+from nightjar.functions.scalars import keep_rows
 from nightjar.functions.syslog import syslog_payload, with_parsed_syslog
 from nightjar.operators.detect import DEFAULT_RULES, detect
 from nightjar.plans.oracle_views import _list, _q, with_views
@@ -93,7 +94,7 @@ FROM (SELECT line_id, raw, remote_address, received_at, {FIELDS_SQL} FROM ({PARS
 
 
 def _normalized(d: Domain):
-    p = with_parsed_syslog(d.syslog_lines).where(F.col("parsed").isNotNull())
+    p = keep_rows(with_parsed_syslog(d.syslog_lines), F.col("parsed").isNotNull())
     return p.select("line_id", F.col("remote_address").alias("source_ip"), F.lit("syslog").alias("normalized_type"),
                     "received_at", syslog_payload("parsed", "raw").alias("payload"))
 

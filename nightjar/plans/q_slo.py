@@ -1 +1,166 @@
-"""Registered queries (filled in below)."""
+"""Registered SLO / metric queries (ST-3..ST-11, ST-13, W-4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from nightjar.operators import analytics as an
+from nightjar.operators import slo
+from nightjar.plans.oracle_views import with_views
+from nightjar.plans.q_analytics import SUMMARY_SQL
+from nightjar.plans.registry import AS_OF, register
+from nightjar.plans.views import Domain
+
+LAG_SQL = ("SELECT job_id, queue, enqueued_at, started_at, "
+           "CAST(date_diff('millisecond', enqueued_at, started_at) AS DOUBLE) AS lag_ms FROM ingestion_jobs")
+
+
+def _spread_sql(src: str, ts: str, keys: str = "") -> str:
+    """Rows copied into every 5-minute window (15 s slide) that contains them."""
+    k = f"{keys}, " if keys else ""
+    return f"""
+SELECT {k}value, w.window_start, w.window_start + INTERVAL 5 MINUTE AS window_end FROM (
+  SELECT *, time_bucket(INTERVAL 15 SECOND, {ts}) AS pane FROM ({src}) s) r,
+  LATERAL (SELECT r.pane - to_seconds(15 * i) AS window_start FROM range(20) t(i)) w"""
+
+
+def _disc(p: float) -> str:
+    return f"list_sort(list(value))[CAST(greatest(1, ceil({p} * count(*))) AS BIGINT)]"
+
+
+QUANT_COLS = ", ".join(f"{_disc(p)} AS {slo._q_name(p)}" for p in slo.DEFAULT_QUANTILES)
+
+
+@register("st3_ingestion_lag", with_views(f"SELECT job_id, queue, lag_ms FROM ({LAG_SQL}) l", ["ingestion_jobs"]))
+def st3(d: Domain):
+    return slo.ingestion_lag(d.ingestion_jobs).select("job_id", "queue", "lag_ms")
+
+
+@register("st4_lag_quantiles", with_views(f"""
+SELECT window_start, window_end, count(*) AS n, {QUANT_COLS}
+FROM ({_spread_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at")}) x
+GROUP BY window_start, window_end""", ["ingestion_jobs"]))
+def st4(d: Domain):
+    """ST-4: p50/p95/p99 ingestion lag per 5-minute window every 15 s (KLL panes)."""
+    return slo.windowed_quantiles(slo.ingestion_lag(d.ingestion_jobs), "enqueued_at", "lag_ms")
+
+
+@register("st4_lag_quantiles_exact", with_views(f"""
+SELECT window_start, window_end, count(*) AS n,
+       {", ".join(f"quantile_cont(value, {p}) AS {slo._q_name(p)}" for p in slo.DEFAULT_QUANTILES)}
+FROM ({_spread_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at")}) x
+GROUP BY window_start, window_end""", ["ingestion_jobs"]))
+def st4e(d: Domain):
+    """ST-4 with interpolated exact percentiles over the copied rows."""
+    return slo.windowed_quantiles(slo.ingestion_lag(d.ingestion_jobs), "enqueued_at", "lag_ms", method="exact")
+
+
+@register("st5_latency_quantiles", with_views(f"""
+SELECT window_start, window_end, method, count(*) AS n, {QUANT_COLS}
+FROM ({_spread_sql("SELECT ts, method, duration_ms AS value FROM http_requests", "ts", "method")}) x
+GROUP BY window_start, window_end, method""", ["http_requests"]))
+def st5(d: Domain):
+    return slo.windowed_quantiles(d.http_requests, "ts", "duration_ms", ["method"])
+
+
+@register("st6_request_rate", with_views(f"""
+SELECT window_start, window_end, status, count(*) AS events, count(*) / 300.0 AS rate_per_s
+FROM ({_spread_sql("SELECT ts, status, 1 AS value FROM http_requests", "ts", "status")}) x
+GROUP BY window_start, window_end, status""", ["http_requests"]))
+def st6(d: Domain):
+    return slo.event_rate(d.http_requests, "ts", ["status"])
+
+
+ERR_SQL = f"""
+SELECT window_start, window_end, method, count(*) AS requests, CAST(sum(value) AS BIGINT) AS errors,
+       sum(value) / count(*) AS error_ratio, sum(value) / count(*) > 0.05 AS breach
+FROM ({_spread_sql("SELECT ts, method, CASE WHEN regexp_matches(status, '^5..$') THEN 1 ELSE 0 END AS value "
+                   "FROM http_requests", "ts", "method")}) x
+GROUP BY window_start, window_end, method"""
+
+
+@register("st7_error_ratio", with_views(ERR_SQL, ["http_requests"]))
+def st7(d: Domain):
+    return slo.error_ratio(d.http_requests, "ts", "status", ["method"])
+
+
+@register("st8_counter_increase", with_views("""
+SELECT series, window_start, window_start + INTERVAL 1 HOUR AS window_end,
+       sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END) AS increase,
+       count(*) AS samples, count(*) FILTER (WHERE value < prev) AS resets
+FROM (SELECT *, lag(value) OVER (PARTITION BY series, window_start ORDER BY ts) AS prev
+      FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM counter_samples) b) l
+GROUP BY series, window_start""", ["counter_samples"]))
+def st8(d: Domain):
+    return slo.counter_increase(d.counter_samples)
+
+
+DEPTH_SQL = """
+SELECT queue, arg_max(coalesce(waiting, 0) + coalesce(active, 0) + coalesce(delayed, 0), ts) AS depth,
+       max(ts) AS sampled_at
+FROM queue_gauges WHERE ts <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY queue"""
+
+
+@register("st9_queue_depth", with_views(DEPTH_SQL, ["queue_gauges"]))
+def st9(d: Domain):
+    return slo.queue_depth(d.queue_gauges, AS_OF)
+
+
+@register("st9_gauge_sum", with_views(f"SELECT sum(depth) AS total, count(*) AS series FROM ({DEPTH_SQL}) q",
+                                      ["queue_gauges"]))
+def st9s(d: Domain):
+    return slo.gauge_sum(slo.queue_depth(d.queue_gauges, AS_OF))
+
+
+@register("w4_running_connections", with_views("""
+SELECT label, seq, ts, delta,
+       sum(delta) OVER (PARTITION BY label ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           AS connections
+FROM connection_deltas""", ["connection_deltas"]))
+def w4(d: Domain):
+    return slo.running_connections(d.connection_deltas)
+
+
+BREACH_SQL = f"""
+SELECT method, min(window_end) AS started_at, max(window_end) AS ended_at, count(*) AS evaluations,
+       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) AS fired_at,
+       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) IS NOT NULL AS firing
+FROM (SELECT *, min(window_end) OVER (PARTITION BY method, island) AS st FROM (
+        SELECT *, CAST(floor(epoch(window_end) / 15) AS BIGINT)
+                  - row_number() OVER (PARTITION BY method ORDER BY window_end) AS island
+        FROM ({ERR_SQL}) e WHERE breach) i) j
+GROUP BY method, island"""
+
+
+def _breaches(d: Domain):
+    evals = slo.error_ratio(d.http_requests, "ts", "status", ["method"])
+    return slo.sustained_breach(evals, ["method"], "window_end", "breach", "5 minutes", "15 seconds")
+
+
+@register("st10_sustained_breach", with_views(BREACH_SQL, ["http_requests"]))
+def st10(d: Domain):
+    """ST-10: runs where the 5xx ratio of a method stayed above 5 % at every
+    15-second evaluation, and when the 5-minute hold made them fire."""
+    return _breaches(d)
+
+
+@register("st11_group_notifications", None)
+def st11(d: Domain):
+    """ST-11: notifications per alert name over the ST-10 firing episodes
+    (applyInPandas per name; no SQL oracle)."""
+    firings = _breaches(d).where("firing").select(
+        F.concat(F.lit("ApiErrorRatioHigh/"), F.col("method")).alias("alertname"),
+        F.col("fired_at"), F.expr("timestampadd(SECOND, 15, ended_at)").alias("resolved_at"))
+    return slo.group_notifications(firings, AS_OF)
+
+
+@register("st13_daily_summary", with_views(
+    "SELECT '2024-01-15' AS day, * FROM (" + SUMMARY_SQL + ") s",
+    ["alerts", "incidents", "vulnerabilities", "assets"],
+    {"alerts_all": "SELECT * FROM alerts"}).replace(
+        "FROM alerts) a", "FROM alerts WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' "
+                          "AND created_at < TIMESTAMP '2024-01-16 00:00:00') a").replace(
+        "FROM incidents) i", "FROM incidents WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' "
+                             "AND created_at < TIMESTAMP '2024-01-16 00:00:00') i"))
+def st13(d: Domain):
+    return an.daily_summary(d.alerts, d.incidents, d.vulnerabilities, d.assets, "2024-01-15")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.functions.syslog import parse_syslog
+from nightjar.functions.scalars import keep_rows
+from nightjar.functions.syslog import with_parsed_syslog
 
 
 def read_csv_events(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +80,7 @@ def read_syslog(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3 (batch): one raw line per row plus the parsed header; lines that
     do not parse are dropped."""
     lines = spark.read.text(path).select(F.col("value").alias("raw"))
-    return (lines.select("raw", parse_syslog("raw").alias("parsed"))
-            .where(F.col("parsed").isNotNull()))
+    return keep_rows(with_parsed_syslog(lines), F.col("parsed").isNotNull())
 
 
 def read_syslog_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
