@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from nightjar import schemas
 from nightjar.functions.scalars import ColumnOrName, _col, js_trim
 
-_FACILITIES = F.array(*[F.lit(x) for x in schemas.SYSLOG_FACILITIES])
-_SEVERITIES = F.array(*[F.lit(x) for x in schemas.SYSLOG_SEVERITIES])
+def _names(values: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in values])
 
 
 def parse_syslog(raw: ColumnOrName) -> Column:
@@ -25,8 +25,8 @@ def parse_syslog(raw: ColumnOrName) -> Column:
     pri = parts[0].cast("int")
     parsed = F.struct(
         # Codes past the table (pri >= 192) have no facility name.
-        F.coalesce(F.get(_FACILITIES, F.floor(pri / 8).cast("int")), F.lit("unknown")).alias("facility"),
-        F.coalesce(F.get(_SEVERITIES, pri % 8), F.lit("unknown")).alias("severity"),
+        F.coalesce(F.get(_names(schemas.SYSLOG_FACILITIES), F.floor(pri / 8).cast("int")), F.lit("unknown")).alias("facility"),
+        F.coalesce(F.get(_names(schemas.SYSLOG_SEVERITIES), pri % 8), F.lit("unknown")).alias("severity"),
         parts[1].alias("host"),
         js_trim(parts[2]).alias("tag"),
         parts[3].alias("message"),
@@ -58,8 +58,8 @@ def with_parsed_syslog(df: DataFrame, raw_col: str = "raw", out: str = "parsed")
     parts = F.col("_sl_parts")
     pri = parts[0].cast("int")
     parsed = F.struct(
-        F.coalesce(F.get(_FACILITIES, F.floor(pri / 8).cast("int")), F.lit("unknown")).alias("facility"),
-        F.coalesce(F.get(_SEVERITIES, pri % 8), F.lit("unknown")).alias("severity"),
+        F.coalesce(F.get(_names(schemas.SYSLOG_FACILITIES), F.floor(pri / 8).cast("int")), F.lit("unknown")).alias("facility"),
+        F.coalesce(F.get(_names(schemas.SYSLOG_SEVERITIES), pri % 8), F.lit("unknown")).alias("severity"),
         parts[1].alias("host"),
         js_trim(parts[2]).alias("tag"),
         parts[3].alias("message"),

@@ -24,7 +24,7 @@ def read_csv_events(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
            .option("escape", '"').option("inferSchema", False).option("mode", "PERMISSIVE")
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("enforceSchema", False).csv(path))
+           .csv(path))
     # Spark renames repeated header names to name<index>; collapse them to the
     # last occurrence under the original name.
     header = _csv_header(spark, path)
