@@ -39,6 +39,9 @@ def export_csv(df: DataFrame, path: str, order_col: str = "created_at") -> None:
     """SNK-1: header = column names, null → empty, quote only text holding
     ``"``, ``,`` or a newline, ``"`` doubled.  Empty input writes no part."""
     rows = export_rows(df, order_col)
+    if rows.isEmpty():  # one limit-1 probe; Spark would write a header-only part
+        rows.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(path)
+        return
     (rows.write.mode("overwrite")
      .option("header", True).option("quote", '"').option("escape", '"')
      .option("emptyValue", "").option("nullValue", "")

@@ -31,11 +31,11 @@ from nightjar.sinks.ingest import process_ingestion
 
 
 def syslog_lines_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC-3 as a stream: (raw, remote_address, received_at, event_key).
+    """SRC-3 as a stream: (raw, remote_address, received_at, file_path, block_start).
 
-    ``received_at`` is the file's modification time and ``event_key`` the
-    file path plus the line's position in its split: both are the same when
-    a micro-batch is replayed (``current_timestamp`` would not be)."""
+    ``received_at`` is the file's modification time, so it is the same when a
+    micro-batch is replayed (``current_timestamp`` would not be).  The event
+    key (file, split, position) is added per micro-batch by ``with_event_key``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -44,11 +44,20 @@ def syslog_lines_stream(spark: SparkSession, directory: str, max_files_per_trigg
         F.col("value").alias("raw"),
         F.lit(None).cast("string").alias("remote_address"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
-        F.concat(F.col("_metadata.file_path"), F.lit(":"), F.col("_metadata.file_block_start"), F.lit(":"),
-                 F.monotonically_increasing_id()).alias("event_key"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
     )
 
 
+def with_event_key(lines: DataFrame) -> DataFrame:
+    """(file, split start, position in the micro-batch plan): a replayed batch
+    reads the same files with the same splits, so it gets the same keys."""
+    if "event_key" in lines.columns:
+        return lines
+    return lines.withColumn("event_key", F.concat(F.col("file_path"), F.lit(":"), F.col("block_start"), F.lit(":"),
+                                                  F.monotonically_increasing_id()))
+
+
 def normalize_syslog_batch(lines: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
     """SC-1/SC-2 on a batch of lines → (normalised events, quarantined lines)."""
     parsed = with_parsed_syslog(lines)
@@ -64,7 +73,7 @@ def normalize_syslog_batch(lines: DataFrame, source_id: int) -> tuple[DataFrame,
 def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: str, source_id: int,
                  rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
     """One micro-batch: normalise, land, detect, write (idempotent per batch)."""
-    lines = lines.persist()
+    lines = with_event_key(lines).persist()
     try:
         events, quarantined = normalize_syslog_batch(lines, source_id)
         result = process_ingestion(events, sources, rules, key_col="event_key")
@@ -84,17 +93,21 @@ def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: s
 
 def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: DataFrame, source_id: int = 2,
                   checkpoint: str | None = None, available_now: bool = True,
-                  max_files_per_trigger: int | None = None, dedupe_watermark: str | None = None,
+                  max_files_per_trigger: int | None = None, lines: DataFrame | None = None,
+                  dedupe_keys: Sequence[str] | None = None, dedupe_watermark: str = "1 hour",
                   rules: Sequence[Rule] = DEFAULT_RULES):
     """ST-1: start the ingest stream; returns the ``StreamingQuery``.
 
-    ``dedupe_watermark`` (ST-14) drops redelivered lines with the same event
-    key within that event-time bound (for at-least-once sources)."""
-    lines = syslog_lines_stream(spark, source_dir, max_files_per_trigger)
-    if dedupe_watermark:
+    The file source is exactly-once by itself (its checkpoint records the
+    files done).  For an at-least-once source passed as ``lines`` (e.g. Kafka
+    with an ``event_key`` built from topic/partition/offset), ``dedupe_keys``
+    (ST-14) drops redeliveries within ``dedupe_watermark`` of event time."""
+    if lines is None:
+        lines = syslog_lines_stream(spark, source_dir, max_files_per_trigger)
+    if dedupe_keys:
         lines = (lines.withColumn("_evt", F.col("received_at").cast("timestamp"))
                  .withWatermark("_evt", dedupe_watermark)
-                 .dropDuplicatesWithinWatermark(["event_key"]).drop("_evt"))
+                 .dropDuplicatesWithinWatermark(list(dedupe_keys)).drop("_evt"))
     ckpt = checkpoint or checkpoint_path(spark, "ingest_stream")
     writer = (lines.writeStream.option("checkpointLocation", ckpt)
               .foreachBatch(lambda df, bid: ingest_batch(df, bid, sources, out_dir, source_id, rules)))
