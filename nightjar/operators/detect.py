@@ -96,13 +96,14 @@ def detect(events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, payload_col
     return staged.withColumn("detection", F.when(idx.isNotNull(), result)).drop("_rule")
 
 
-def alerts_from_detections(detected: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+def alerts_from_detections(detected: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """SNK-4: one detected event → one alert row and one mapping row per
-    technique.  Alert ids derive from the raw event id, so a replayed batch
-    produces the same ids (ST-14)."""
+    technique; also the alerts with their (sorted) technique ids (P-2 shape)
+    from the same projection.  Alert ids derive from the raw event id, so a
+    replayed batch produces the same ids (ST-14)."""
     hits = keep_rows(detected, F.col("detection").isNotNull())
     alert_id = stable_id(F.lit("alert"), F.col(id_col))
-    alerts = hits.select(
+    serialized = hits.select(
         alert_id.alias("id"),
         F.col("detection.title").alias("title"),
         F.col("detection.description").alias("description"),
@@ -116,10 +117,12 @@ def alerts_from_detections(detected: DataFrame, id_col: str = "id") -> tuple[Dat
         F.col("received_at").alias("created_at"),
         F.col("received_at").alias("updated_at"),
         F.col(id_col).alias("raw_event_id"),
+        F.array_sort(F.col("detection.mitre_technique_ids")).alias("mitre_technique_ids"),
     )
+    alerts = serialized.drop("mitre_technique_ids")
     # explode over an expression (not a bare column) so no size>0 filter is
     # inferred and pushed below the detection projection
-    mappings = hits.select(alert_id.alias("alert_id"),
-                           F.explode(F.array_compact(F.col("detection.mitre_technique_ids")))
-                           .alias("mitre_technique_id"))
-    return alerts, mappings
+    mappings = serialized.select(F.col("id").alias("alert_id"),
+                                 F.explode(F.array_compact(F.col("mitre_technique_ids")))
+                                 .alias("mitre_technique_id"))
+    return alerts, mappings, serialized

@@ -124,9 +124,7 @@ def det5(d: Domain):
     alerts (with technique ids from the mapping rows)."""
     events = _normalized(d).withColumn("ingestion_source_id", F.lit(SYSLOG_SOURCE_ID).cast("long"))
     out = process_ingestion(events, d.ingestion_sources, key_col="line_id")
-    techs = out["alert_mitre_mappings"].groupBy(F.col("alert_id").alias("id")).agg(
-        F.array_join(F.array_sort(F.collect_list("mitre_technique_id")), ",").alias("mitre_technique_ids"))
-    return out["alerts"].join(techs, "id", "left").select(
+    return out["alerts_serialized"].select(
         "id", "raw_event_id", "title", "description", "severity", "status", "source_ip", "ingestion_source_id",
         "created_at", "mitre_technique_ids")
 

@@ -66,6 +66,9 @@ def _ts_plus(unit: str, amount: str, base: str) -> Column:
     return F.expr(f"timestampadd({unit}, {amount}, {base})")
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 class Domain:
     """Lazily built domain DataFrames over one ``sf_dir``."""
 
@@ -74,7 +77,13 @@ class Domain:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The driver's table as a lazy scan; the relation (file listing and
+        footer schema) is resolved once per session and path and reused."""
+        key = (id(self.spark), f"{self.sf_dir}/{name}.parquet")
+        df = _SCANS.get(key)
+        if df is None:
+            df = _SCANS[key] = self.spark.read.parquet(key[1])
+        return df
 
     # -- dimensions ---------------------------------------------------------
     @functools.cached_property

@@ -63,19 +63,26 @@ def realtime_feed(rows: DataFrame, event_type: str) -> DataFrame:
 
 
 def process_ingestion(events: DataFrame, sources: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES,
-                      key_col: str | None = None) -> dict[str, DataFrame]:
+                      key_col: str | None = None, persist: bool = False) -> dict[str, DataFrame]:
     """DET-5: land → touch sources → detect → alerts + mappings → feed.
 
     ``events`` holds normalised events (ingestion_source_id, received_at,
-    source_ip, normalized_type, payload[, key_col])."""
-    raw = land(events, key_col)
-    detected = detect(raw, rules)
-    alerts, mappings = alerts_from_detections(detected)
+    source_ip, normalized_type, payload[, key_col]).  ``persist=True`` (used
+    by the micro-batch writer) keeps the landed-and-detected rows in memory
+    so the outputs written one after the other do not recompute them; the
+    caller unpersists ``result["detected"]``."""
+    detected = detect(land(events, key_col), rules)
+    if persist:
+        detected = detected.persist()
+    raw = detected.drop("detection")
+    alerts, mappings, serialized = alerts_from_detections(detected)
     return {
+        "detected": detected,
         "raw_events": raw,
         "sources": refresh_source_freshness(sources, raw),
         "alerts": alerts,
         "alert_mitre_mappings": mappings,
+        "alerts_serialized": serialized,
         "feed": realtime_feed(alerts.drop("raw_event_id"), "alert.created"),
     }
 

@@ -60,7 +60,10 @@ def with_event_key(lines: DataFrame) -> DataFrame:
 
 def normalize_syslog_batch(lines: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
     """SC-1/SC-2 on a batch of lines → (normalised events, quarantined lines)."""
-    parsed = with_parsed_syslog(lines)
+    return _split_parsed(with_parsed_syslog(lines), source_id)
+
+
+def _split_parsed(parsed: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
     ok = keep_rows(parsed, F.col("parsed").isNotNull()).select(
         F.lit(source_id).cast("long").alias("ingestion_source_id"), "received_at",
         F.col("remote_address").alias("source_ip"), F.lit("syslog").alias("normalized_type"),
@@ -72,11 +75,15 @@ def normalize_syslog_batch(lines: DataFrame, source_id: int) -> tuple[DataFrame,
 
 def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: str, source_id: int,
                  rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
-    """One micro-batch: normalise, land, detect, write (idempotent per batch)."""
-    lines = with_event_key(lines).persist()
+    """One micro-batch: normalise, land, detect, write (idempotent per batch).
+
+    The parsed lines and the detected events are each computed once (kept
+    in memory for the batch) and every output is written from them."""
+    parsed = with_parsed_syslog(with_event_key(lines)).persist()
+    result = None
     try:
-        events, quarantined = normalize_syslog_batch(lines, source_id)
-        result = process_ingestion(events, sources, rules, key_col="event_key")
+        events, quarantined = _split_parsed(parsed, source_id)
+        result = process_ingestion(events, sources, rules, key_col="event_key", persist=True)
         suffix = f"batch={batch_id}"
         raw = result["raw_events"].withColumn("received_date", F.to_date("received_at"))
         raw.write.mode("overwrite").parquet(f"{out_dir}/raw_events/{suffix}")
@@ -88,7 +95,9 @@ def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: s
         quarantined.write.mode("overwrite").parquet(f"{out_dir}/quarantine/{suffix}")
         return {"batch_id": batch_id}
     finally:
-        lines.unpersist()
+        if result is not None:
+            result["detected"].unpersist()
+        parsed.unpersist()
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: DataFrame, source_id: int = 2,
