@@ -309,3 +309,16 @@ def daily_summary(alerts: DataFrame, incidents: DataFrame, vulnerabilities: Data
     in_day = (F.col("created_at") >= lo) & (F.col("created_at") < hi)
     s = dashboard_summary(alerts.where(in_day), incidents.where(in_day), vulnerabilities, assets)
     return s.select(F.lit(day).alias("day"), *s.columns)
+
+
+def daily_report(alerts: DataFrame, incidents: DataFrame, vulnerabilities: DataFrame, assets: DataFrame,
+                 day: str, out_path: str) -> DataFrame:
+    """ST-13 job body: the day's summary plus a CSV export of the day's alerts
+    (newest first) under ``out_path``; scheduling stays external."""
+    from nightjar.sinks.export import export_csv
+    start = dt.datetime.fromisoformat(day)
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(start + dt.timedelta(days=1)).cast("timestamp_ntz")
+    export_csv(alerts.where((F.col("created_at") >= lo) & (F.col("created_at") < hi)), f"{out_path}/alerts")
+    summary = daily_summary(alerts, incidents, vulnerabilities, assets, day)
+    summary.write.mode("overwrite").json(f"{out_path}/summary")
+    return summary

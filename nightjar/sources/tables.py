@@ -37,12 +37,13 @@ def upsert_techniques(existing: DataFrame, updates: DataFrame) -> DataFrame:
 def ensure_sources(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     """SRC-6: get-or-create one canonical source per type.
 
-    ``wanted`` has (type, name, id, ...) candidates; a type already present in
-    ``existing`` is never duplicated, and duplicates inside ``wanted`` collapse
-    to the smallest id.  Returns the new registry."""
-    cand = (wanted.join(existing.select("type"), "type", "left_anti")
-            .groupBy("type").agg(F.min_by(F.struct(*[c for c in wanted.columns if c != "type"]), F.col("id"))
-                                 .alias("_w")))
-    new = cand.select("type", "_w.*").select(*existing.columns) if set(existing.columns) <= set(
-        wanted.columns) else cand.select("type", "_w.*")
-    return existing.unionByName(new, allowMissingColumns=True)
+    ``wanted`` holds candidate rows with the registry's columns; a type that
+    already has a source is left alone (never duplicated), and several
+    candidates of one new type collapse to the one with the smallest id.
+    Returns the new registry (existing rows first)."""
+    cols = existing.columns
+    rest = [c for c in cols if c != "type"]
+    new = (wanted.select(*cols).join(existing.select("type").distinct(), "type", "left_anti")
+           .groupBy("type").agg(F.min_by(F.struct(*rest), F.col("id")).alias("_w"))
+           .select("type", "_w.*").select(*cols))
+    return existing.unionByName(new)

@@ -91,3 +91,57 @@ def test_json_logs(spark, scratch):
                                    '{"level":"info","msg":"ok","container":"/worker","service":"worker"}\n')
     out = read_json_logs(spark, scratch, service="api").collect()
     assert [(r.level, r.msg, r.container) for r in out] == [("error", "boom", "api")]
+
+
+def test_mitre_dimension_and_upsert(spark):
+    from nightjar.sources.tables import mitre_dimension, upsert_techniques
+    dim = mitre_dimension(spark)
+    t1110 = dim.where("id = 'T1110'").first()
+    assert (t1110.name, t1110.tactic, t1110.url) == ("Brute Force", "Credential Access",
+                                                     "https://attack.mitre.org/techniques/T1110/")
+    upd = spark.createDataFrame([("T1110", "Brute Force v2", "Credential Access"), ("T9001", "New", "Impact")],
+                                "id string, name string, tactic string")
+    out = {r.id: r.name for r in upsert_techniques(dim, upd).collect()}
+    assert len(out) == 34 and out["T1110"] == "Brute Force v2" and out["T9001"] == "New"
+
+
+def test_ensure_sources_get_or_create(spark):
+    from nightjar.sources.tables import ensure_sources
+    existing = spark.createDataFrame([(1, "Syslog listener", "syslog")], "id long, name string, type string")
+    wanted = spark.createDataFrame([(7, "dup syslog", "syslog"), (9, "upload b", "file_upload"),
+                                    (8, "upload a", "file_upload")], "id long, name string, type string")
+    out = sorted((r.id, r.type) for r in ensure_sources(existing, wanted).collect())
+    assert out == [(1, "syslog"), (8, "file_upload")]
+    again = ensure_sources(ensure_sources(existing, wanted), wanted)
+    assert again.count() == 2  # never duplicates
+
+
+def test_audit_sink_appends(spark, scratch):
+    import os
+
+    from conftest import ts
+    from nightjar.sinks.ingest import audit_sink
+    rows = spark.createDataFrame([("a1", "alert.created", ts("2024-01-01 10:00:00"))],
+                                 "id string, action string, created_at timestamp_ntz")
+    path = os.path.join(scratch, "audit")
+    audit_sink(rows, path)
+    audit_sink(rows, path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_daily_report(spark, scratch):
+    import glob
+    import os
+
+    from conftest import mk
+    from nightjar.operators.analytics import daily_report
+    a = mk(spark, "alerts", [dict(id=1, title="x", severity="high", status="open", created_at="2024-01-15 03:00:00",
+                                  updated_at="2024-01-15 03:00:00"),
+                             dict(id=2, title="y", severity="low", status="open", created_at="2024-01-16 03:00:00",
+                                  updated_at="2024-01-16 03:00:00")])
+    e = lambda n: mk(spark, n, [])
+    s = daily_report(a, e("incidents"), e("vulnerabilities"), e("assets"), "2024-01-15",
+                     os.path.join(scratch, "rep")).first()
+    assert s.alerts_total == 1 and s.day == "2024-01-15"
+    text = "".join(open(p).read() for p in glob.glob(os.path.join(scratch, "rep", "alerts", "part-*.csv")))
+    assert text.count("\n") == 2 and ",x," in text
