@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nightjar import schemas
 from nightjar.functions.scalars import stable_id, ts_literal
-from nightjar.operators.sequence import carry_forward
+from nightjar.operators.sequence import carry_forward_many
 
 # Defaults applied on create (M-1), per entity.
 CREATE_DEFAULTS = {
@@ -190,13 +190,12 @@ def patch_incidents(incidents: DataFrame, changes: DataFrame, bucket_unit: str =
     snap = res["snapshot"].join(first_closed, "id", "left")
     snap = snap.withColumn("closed_at", F.coalesce("closed_at", "_first_closed")).drop("_first_closed")
 
-    seq = carry_forward(known, "entity_id", "ts", "change_id", "status", F.col("status").isNotNull(),
-                        seed=incidents.select(F.col("id").alias("entity_id"), "status"), seed_col="status",
-                        bucket_unit=bucket_unit, before_col="status_before", after_col="status_after")
-    seq = carry_forward(seq, "entity_id", "ts", "change_id", "assigned_to_id", F.col("assigned_to_set"),
-                        seed=incidents.select(F.col("id").alias("entity_id"), "assigned_to_id"),
-                        seed_col="assigned_to_id", bucket_unit=bucket_unit, before_col="assignee_before",
-                        after_col="assignee_after")
+    snapshot_state = incidents.select(F.col("id").alias("entity_id"), "status", "assigned_to_id")
+    seq = carry_forward_many(
+        known, "entity_id", "ts", "change_id",
+        [("status", F.col("status").isNotNull(), "status", "status_before", "status_after"),
+         ("assigned_to_id", F.col("assigned_to_set"), "assigned_to_id", "assignee_before", "assignee_after")],
+        seed=snapshot_state, bucket_unit=bucket_unit)
     timeline = seq.where(F.col("status").isNotNull() & (F.col("status") != F.col("status_before"))).select(
         stable_id(F.lit("timeline"), F.col("change_id")).alias("id"),
         F.col("entity_id").alias("incident_id"), "author_id", F.lit("status_change").alias("event_type"),

@@ -33,28 +33,51 @@ def carry_forward(df: DataFrame, key: str, ts_col: str, tie_col: str, value_col:
     value or to null); others leave it.  ``seed`` (key, seed_col) is the state
     before the first row (the snapshot).  Nulls set on purpose are kept
     apart from "no update" by wrapping values in a struct."""
-    present = F.lit(True) if present is None else present
+    return carry_forward_many(df, key, ts_col, tie_col,
+                              [(value_col, present, seed_col, before_col, after_col)], seed, bucket_unit)
+
+
+def carry_forward_many(df: DataFrame, key: str, ts_col: str, tie_col: str,
+                       fields: Sequence[tuple[str, Column | None, str | None, str, str]],
+                       seed: DataFrame | None = None, bucket_unit: str = "hour") -> DataFrame:
+    """``carry_forward`` for several fields in one pass: one window over
+    (key, bucket), one summary row per (key, bucket), one window over the
+    summaries and one join back, whatever the number of fields.
+    ``fields``: (value_col, present, seed_col, before_col, after_col)."""
     b = "_cf_bucket"
-    rows = df.withColumn(b, _bucket(ts_col, bucket_unit)).withColumn(
-        "_cf_v", F.when(present, F.struct(F.col(value_col).alias("v"))))
+    rows = df.withColumn(b, _bucket(ts_col, bucket_unit))
     wb = Window.partitionBy(key, b).orderBy(ts_col, tie_col)
-    rows = (rows
-            .withColumn("_cf_after_in", F.last("_cf_v", ignorenulls=True).over(
-                wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .withColumn("_cf_before_in", F.last("_cf_v", ignorenulls=True).over(
-                wb.rowsBetween(Window.unboundedPreceding, -1))))
-    summary = rows.groupBy(key, b).agg(
-        F.max_by("_cf_v", F.when(F.col("_cf_v").isNotNull(), F.struct(ts_col, tie_col))).alias("_cf_last"))
+    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    tagged, win_cols, agg_cols, carry_cols = [], [], [], []
+    for i, (value_col, present, _seed_col, _b, _a) in enumerate(fields):
+        p = F.lit(True) if present is None else present
+        tagged.append(F.when(p, F.struct(F.col(value_col).alias("v"))).alias(f"_cf_v{i}"))
+    rows = rows.select("*", *tagged)
+    for i in range(len(fields)):
+        v = F.col(f"_cf_v{i}")
+        win_cols += [F.last(v, ignorenulls=True).over(upto).alias(f"_cf_after{i}"),
+                     F.last(v, ignorenulls=True).over(before).alias(f"_cf_before{i}")]
+        agg_cols.append(F.max_by(v, F.when(v.isNotNull(), F.struct(ts_col, tie_col))).alias(f"_cf_last{i}"))
+    rows = rows.select("*", *win_cols)
+    summary = rows.groupBy(key, b).agg(*agg_cols)
     wk = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("_cf_carry", F.last("_cf_last", ignorenulls=True).over(wk))
+    for i in range(len(fields)):
+        carry_cols.append(F.last(f"_cf_last{i}", ignorenulls=True).over(wk).alias(f"_cf_carry{i}"))
+    summary = summary.select(key, b, *carry_cols)
     if seed is not None:
-        s = seed.select(F.col(key), F.struct(F.col(seed_col).alias("v")).alias("_cf_seed"))
-        summary = summary.join(s, key, "left").withColumn("_cf_carry", F.coalesce("_cf_carry", "_cf_seed"))
-    summary = summary.select(key, b, "_cf_carry")
+        seeded = [(i, f[2]) for i, f in enumerate(fields) if f[2] is not None]
+        s = seed.select(F.col(key), *[F.struct(F.col(c).alias("v")).alias(f"_cf_seed{i}") for i, c in seeded])
+        summary = summary.join(s, key, "left").select(
+            key, b, *[F.coalesce(f"_cf_carry{i}", f"_cf_seed{i}").alias(f"_cf_carry{i}") if f[2] is not None
+                      else F.col(f"_cf_carry{i}") for i, f in enumerate(fields)])
     out = rows.join(summary, [key, b], "left")
-    return (out.withColumn(before_col, F.coalesce("_cf_before_in", "_cf_carry")["v"])
-            .withColumn(after_col, F.coalesce("_cf_after_in", "_cf_carry")["v"])
-            .drop(b, "_cf_v", "_cf_after_in", "_cf_before_in", "_cf_carry"))
+    finals = []
+    for i, (_v, _p, _s, before_col, after_col) in enumerate(fields):
+        finals += [F.coalesce(f"_cf_before{i}", f"_cf_carry{i}")["v"].alias(before_col),
+                   F.coalesce(f"_cf_after{i}", f"_cf_carry{i}")["v"].alias(after_col)]
+    keep = [c for c in df.columns]
+    return out.select(*keep, *finals)
 
 
 def running_sum(df: DataFrame, key: str | Sequence[str], ts_col: str, tie_col: str, value_col: str,
