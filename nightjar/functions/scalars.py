@@ -125,3 +125,54 @@ def keep_rows(df, cond: Column):
     (the optimizer infers no pushed-down filter from a generator whose input
     is an expression)."""
     return df.select("*", F.explode(F.when(cond, F.array(F.lit(1)))).alias("_keep")).drop("_keep")
+
+
+def payload_text(payload: ColumnOrName) -> Column:
+    """SC-4: the text rules are matched against is the payload's JSON text as
+    stored (keys, quotes, escapes and key order included).  Re-serialising a
+    parsed payload would reorder keys or drop nulls and change matches, so
+    the stored string is used as is."""
+    return _col(payload).cast("string")
+
+
+def clamp(c: ColumnOrName, lo=None, hi=None) -> Column:
+    """SC-10: ``min(hi, max(lo, c))`` with either bound optional."""
+    out = _col(c)
+    if lo is not None:
+        out = F.greatest(F.lit(lo), out)
+    if hi is not None:
+        out = F.least(F.lit(hi), out)
+    return out
+
+
+def nullish_coalesce(*cols: ColumnOrName) -> Column:
+    """SC-11: ``a ?? b ?? …`` — falls through on null only, never on ``''``
+    or 0 (for JSON values use ``sources.upload.source_ip_from_json``, which
+    also treats a JSON null as absent)."""
+    return F.coalesce(*[_col(c) for c in cols])
+
+
+def array_size(c: ColumnOrName) -> Column:
+    """SC-15: number of items (``[]`` → 0, null → 0)."""
+    return F.coalesce(F.size(_col(c)), F.lit(0))
+
+
+def has_item(c: ColumnOrName, item) -> Column:
+    """SC-15: membership test on an array column."""
+    return F.coalesce(F.array_contains(_col(c), item), F.lit(False))
+
+
+def map_items(c: ColumnOrName, fn) -> Column:
+    """SC-15: apply ``fn`` (Column -> Column) to every item (``transform``)."""
+    return F.transform(_col(c), fn)
+
+
+def json_field(c: ColumnOrName, path: str) -> Column:
+    """SC-16: a field of JSON text by JSONPath (``$.level``), null when absent."""
+    return F.get_json_object(_col(c), path)
+
+
+def variant_field(c: ColumnOrName, path: str, type_: str = "string") -> Column:
+    """SC-16: parse JSON text once into VARIANT and read a typed field
+    (null when absent or of another type)."""
+    return F.try_variant_get(F.try_parse_json(_col(c)), path, type_)

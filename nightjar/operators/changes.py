@@ -47,16 +47,22 @@ def reject_existing(incoming: DataFrame, existing: DataFrame, keys: Sequence[str
     """J-9: (new, conflicts).  Duplicates inside the batch collapse to one row
     per key (the first by ``order_col`` when given, map-side via ``min_by``);
     keys already present are conflicts, never upserts."""
-    if order_col is None:
-        dedup = incoming.dropDuplicates(list(keys))
-    else:
-        rest = [c for c in incoming.columns if c not in keys]
-        dedup = (incoming.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
-                 .select(*keys, "_first.*"))
+    dedup = dedupe(incoming, keys, order_col)
     known = existing.select(*keys)
     return dedup.join(known, list(keys), "left_anti"), dedup.join(known, list(keys), "left_semi")
 
 
+def dedupe(df: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
+    """SET-2: one row per key — unique (type, value) indicators, e-mails,
+    actor names.  With ``order_col`` the first row by that order is kept
+    (deterministic, combined map-side); without it any one row."""
+    if order_col is None:
+        return df.dropDuplicates(list(keys))
+    rest = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
+            .select(*keys, "_first.*").select(*df.columns))
+
+
 def referential_split(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id",
                       nullable: bool = True) -> tuple[DataFrame, DataFrame]:
     """J-11: (accepted, quarantined) — a row whose non-null foreign key has no

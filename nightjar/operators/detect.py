@@ -29,7 +29,8 @@ class Rule:
     techniques: tuple[str, ...]
 
 
-# The three built-in rules, in evaluation order.
+# The three built-in rules, in evaluation order
+# (DET-2 failed authentication, DET-3 sudo, DET-4 malware).
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("failed_auth", "failed password|authentication failure|invalid user",
          "Failed authentication attempt detected",

@@ -77,3 +77,17 @@ def test_rules_match_json_text_case_insensitively(spark):
     assert hit.severity == "medium"
     (key_hit,) = run_rules(spark, [('{"trojan":1}', None)])  # keys are part of the text
     assert key_hit.severity == "critical"
+
+
+def test_scalar_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from nightjar.functions import scalars as sc
+    df = spark.createDataFrame([('{"level":"warn","n":3}', ["a", "b"], 150, None, "x")],
+                               "j string, arr array<string>, v int, a string, b string")
+    r = df.select(sc.json_field("j", "$.level").alias("lv"), sc.variant_field("j", "$.n", "int").alias("n"),
+                  sc.array_size("arr").alias("sz"), sc.has_item("arr", "b").alias("hb"),
+                  sc.clamp("v", 0, 100).alias("c"), sc.nullish_coalesce("a", "b").alias("nc"),
+                  sc.map_items("arr", F.upper).alias("up"), sc.payload_text("j").alias("pt")).first()
+    assert (r.lv, r.n, r.sz, r.hb, r.c, r.nc, r.up) == ("warn", 3, 2, True, 100, "x", ["A", "B"])
+    assert r.pt == '{"level":"warn","n":3}'
