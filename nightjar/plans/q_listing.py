@@ -122,7 +122,8 @@ def f6(d: Domain):
 
 
 @register("a13_unread_counts", with_views("""
-SELECT user_id, count_if(read_at IS NULL) AS unread, count(*) AS total FROM notifications GROUP BY user_id""",
+SELECT user_id, CAST(count_if(read_at IS NULL) AS BIGINT) AS unread, count(*) AS total FROM notifications
+GROUP BY user_id""",
                                           ["notifications"]))
 def a13(d: Domain):
     return ls.unread_count(d.notifications)

@@ -114,8 +114,8 @@ def st9s(d: Domain):
 
 @register("w4_running_connections", with_views("""
 SELECT label, seq, ts, delta,
-       sum(delta) OVER (PARTITION BY label ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-           AS connections
+       CAST(sum(delta) OVER (PARTITION BY label ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS connections
 FROM connection_deltas""", ["connection_deltas"]))
 def w4(d: Domain):
     return slo.running_connections(d.connection_deltas)
