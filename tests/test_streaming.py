@@ -85,3 +85,51 @@ def test_sustained_breach_stream(spark, scratch):
     q.awaitTermination(120)
     ev = [(r.event, r.at.replace(tzinfo=None)) for r in spark.sql("SELECT * FROM breach_test ORDER BY at").collect()]
     assert [e for e, _ in ev] == ["firing", "resolved"]
+
+
+def _run_memory(df, name, scratch, mode):
+    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(scratch, "ck-" + name)).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+
+
+def test_stream_windows_equal_batch(spark, scratch):
+    """ST-4/ST-7 streams (watermark, append) give the batch windows."""
+    import datetime as dt
+
+    from nightjar.operators import slo
+    from nightjar.streaming.live import error_ratio_stream, quantiles_stream
+    base = ts("2024-01-01 00:00:00")
+    rows = [(base + dt.timedelta(seconds=20 * i), "500" if i % 7 == 0 else "200", float(i % 13)) for i in range(60)]
+    # a far-future row moves the watermark past every window of interest
+    rows.append((base + dt.timedelta(days=1), "200", 0.0))
+    src = os.path.join(scratch, "req")
+    spark.createDataFrame(rows, "ts timestamp_ntz, status string, v double").write.parquet(src)
+    stream = spark.readStream.schema("ts timestamp_ntz, status string, v double").parquet(src)
+    _run_memory(error_ratio_stream(stream), "err_s", scratch, "append")
+    _run_memory(quantiles_stream(stream, "ts", "v"), "q_s", scratch, "append")
+    batch = spark.read.parquet(src).where(F.col("ts") < base + dt.timedelta(hours=1))
+    b_err = {(r.window_start, r.requests, r.errors) for r in slo.error_ratio(batch, "ts").collect()}
+    s_err = {(r.window_start, r.requests, r.errors) for r in spark.sql("SELECT * FROM err_s").collect()
+             if r.window_start < base + dt.timedelta(hours=1)}
+    assert b_err == s_err and len(b_err) > 0
+    b_q = {(r.window_start, r.p50) for r in slo.windowed_quantiles(batch, "ts", "v").collect()}
+    s_q = {(r.window_start, r.p50) for r in spark.sql("SELECT * FROM q_s").collect()
+           if r.window_start < base + dt.timedelta(hours=1)}
+    assert b_q == s_q
+
+
+def test_live_trend_and_summary(spark, scratch):
+    from nightjar.streaming.live import alerts_trend_stream, summary_stream
+    src = os.path.join(scratch, "al")
+    spark.createDataFrame([(1, "critical", "open", ts("2024-03-01 05:00:00")),
+                           (2, "info", "resolved", ts("2024-03-01 06:00:00")),
+                           (3, "high", "open", ts("2024-03-02 01:00:00"))],
+                          "id long, severity string, status string, created_at timestamp_ntz").write.parquet(src)
+    stream = spark.readStream.schema("id long, severity string, status string, created_at timestamp_ntz").parquet(src)
+    _run_memory(alerts_trend_stream(stream), "trend_s", scratch, "update")
+    _run_memory(summary_stream(stream), "sum_s", scratch, "complete")
+    trend = {r.date: (r.critical, r.info, r.high, r.total) for r in spark.sql("SELECT * FROM trend_s").collect()}
+    assert trend == {"2024-03-01": (1, 1, 0, 2), "2024-03-02": (0, 0, 1, 1)}
+    s = spark.sql("SELECT * FROM sum_s").first()
+    assert (s.alerts_total, s.alerts_open, s.alerts_critical) == (3, 2, 1)
