@@ -204,17 +204,51 @@ def audit_view(audit_logs: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def with_assignee(alerts: DataFrame, users: DataFrame, placeholder: str = "Unassigned") -> DataFrame:
-    """J-10: alert → assignee e-mail (placeholder when none / unknown)."""
+def skew_safe_lookup(fact: DataFrame, dim: DataFrame, key: str, hot_share: float = 0.01,
+                     salt_buckets: int = 16) -> DataFrame:
+    """Left lookup join ``fact ⟕ dim`` on ``key`` that splits hot keys.
+
+    A key is hot when it holds at least ``hot_share`` of all fact rows (one
+    count per key, partial aggregation, plus a one-row total), so at most
+    ``1 / hot_share`` keys qualify whatever the data size: that list is safe
+    to broadcast.  Fact rows of a hot key are spread over ``salt_buckets``
+    salts by a hash of the row (not ``rand()``, so a retried task salts
+    alike), and the matching dim rows are copied once per salt; every other
+    key joins on salt 0.  Result = the plain left join."""
+    if not 0 < hot_share <= 1:
+        raise ValueError("hot_share must be in (0, 1]")
+    counts = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    hot = (counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= F.col("_total") * F.lit(hot_share))
+           .select(key, F.lit(True).alias("_hot")))
+    row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
+    f = (fact.join(F.broadcast(hot), key, "left")
+         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salt_buckets))).otherwise(F.lit(0)))
+         .drop("_hot"))
+    d = (dim.join(F.broadcast(hot), key, "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
+                                        .otherwise(F.array(F.lit(0)))))
+         .drop("_hot"))
+    return f.join(d, [key, "_salt"], "left").drop("_salt")
+
+
+def with_assignee(alerts: DataFrame, users: DataFrame, placeholder: str = "Unassigned",
+                  hot_share: float | None = None) -> DataFrame:
+    """J-10: alert → assignee e-mail (placeholder when none / unknown).
+    ``hot_share`` switches to ``skew_safe_lookup`` for a large user table
+    with hot assignees; otherwise AQE picks broadcast or shuffle join."""
     u = users.select(F.col("id").alias("assigned_to_id"), F.col("email").alias("assignee"))
-    j = alerts.join(u, "assigned_to_id", "left")
+    j = (skew_safe_lookup(alerts, u, "assigned_to_id", hot_share) if hot_share
+         else alerts.join(u, "assigned_to_id", "left"))
     return j.select(*alerts.columns, F.coalesce("assignee", F.lit(placeholder)).alias("assignee"))
 
 
-def with_asset_name(vulnerabilities: DataFrame, assets: DataFrame, placeholder: str = DASH) -> DataFrame:
+def with_asset_name(vulnerabilities: DataFrame, assets: DataFrame, placeholder: str = DASH,
+                    hot_share: float | None = None) -> DataFrame:
     """J-10: vulnerability → asset name (placeholder when none / unknown)."""
     a = assets.select(F.col("id").alias("asset_id"), F.col("name").alias("asset_name"))
-    j = vulnerabilities.join(a, "asset_id", "left")
+    j = (skew_safe_lookup(vulnerabilities, a, "asset_id", hot_share) if hot_share
+         else vulnerabilities.join(a, "asset_id", "left"))
     return j.select(*vulnerabilities.columns, F.coalesce("asset_name", F.lit(placeholder)).alias("asset_name"))
 
 

@@ -125,3 +125,29 @@ def test_incident_detail_and_overview(spark):
     assert (o.alert_count, o.critical_alert_count, o.timeline_count, o.first_entry, o.last_entry) == (
         1, 1, 2, "Incident opened", "later")
     assert ls.incident_detail(inc, al, tl, 99)["incident"].count() == 0
+
+
+def test_skew_safe_lookup_equals_plain_join(spark):
+    from pyspark.sql import functions as F
+    fact = spark.range(3000).select(F.col("id").alias("row"),
+                                    F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50)
+                                    .cast("long").alias("asset_id"),
+                                    F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.lit(1)).alias("flag"))
+    fact = fact.withColumn("asset_id", F.when(F.col("flag").isNull(), F.lit(None).cast("long"))
+                           .otherwise(F.col("asset_id"))).drop("flag")
+    dim = spark.range(40).select(F.col("id").alias("asset_id"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    plain = sorted(tuple(r) for r in fact.join(dim, "asset_id", "left").select("row", "asset_id", "name").collect())
+    salted = sorted(tuple(r) for r in ls.skew_safe_lookup(fact, dim, "asset_id", 0.2, 8)
+                    .select("row", "asset_id", "name").collect())
+    assert plain == salted and len(salted) == 3000
+
+
+def test_asset_name_lookup_salted(spark):
+    v = mk(spark, "vulnerabilities", [dict(id=f"v{i}", title="t", severity="low", status="open",
+                                           asset_id=1 if i % 2 else (None if i % 3 else 2),
+                                           discovered_at="2024-01-01 00:00:00", created_at="2024-01-01 00:00:00")
+                                      for i in range(30)])
+    a = assets(spark)
+    plain = sorted((r.id, r.asset_name) for r in ls.with_asset_name(v, a).collect())
+    salted = sorted((r.id, r.asset_name) for r in ls.with_asset_name(v, a, hot_share=0.3).collect())
+    assert plain == salted and ("v1", "h1") in plain and ("v3", "h1") in plain
