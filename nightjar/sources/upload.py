@@ -62,3 +62,44 @@ def normalize_records(records: DataFrame, source_id: ColumnOrName, received_at:
 def csv_rows_to_json(df: DataFrame) -> Column:
     """A CSV row (all string columns) as JSON text with header order kept."""
     return F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]))
+
+
+def read_upload(spark, path: str, source_id: int, received_at, max_rows: int | None = schemas.MAX_UPLOAD_ROWS
+                ) -> tuple[DataFrame, DataFrame]:
+    """Upload → normalised events (the ``/ingest/upload`` flow).
+
+    A path ending in ``.json`` (one file or a folder of them) must hold a JSON
+    array per file; otherwise the path is one CSV upload (header row).  Each
+    record becomes an event: source ``source_id``, type ``file_upload``,
+    payload = the record as JSON text, source ip per SRC-8.  Returns
+    (events, rejected files with a reason): not an array, unparsable, or
+    more than ``max_rows`` records (SRC-9)."""
+    from nightjar.functions.scalars import ts_literal
+    from nightjar.sources.files import read_csv_events, read_json_events
+
+    ts = ts_literal(received_at) if not hasattr(received_at, "_jc") else received_at
+    if path.lower().rstrip("/").endswith(".json") or path.lower().rstrip("/").endswith("json"):
+        recs = read_json_events(spark, path)
+        raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"),
+                                                                    F.col("value"))
+        bad = (recs.where("rejected").select("file").distinct().join(raw, "file", "left")
+               .select("file", F.when(F.try_parse_json("value").isNotNull(),
+                                      F.lit("JSON file must contain an array of records"))
+                       .otherwise(F.lit("Failed to parse JSON file")).alias("reason")))
+        ok = recs.where(~F.col("rejected")).select("file", "ordinal", "record")
+        accepted, too_big = guard_max_rows(ok, "file", max_rows)
+        events = accepted.select(
+            F.lit(source_id).cast("long").alias("ingestion_source_id"), ts.alias("received_at"),
+            source_ip_from_json("record").alias("source_ip"), F.lit("file_upload").alias("normalized_type"),
+            F.col("record").alias("payload"), "file", "ordinal")
+    else:
+        rows = read_csv_events(spark, path)
+        with_file = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ordinal"),
+                                csv_rows_to_json(rows).alias("record"), source_ip_from_columns(rows).alias("source_ip"))
+        accepted, too_big = guard_max_rows(with_file, "file", max_rows)
+        bad = spark.createDataFrame([], "file string, reason string")
+        events = accepted.select(
+            F.lit(source_id).cast("long").alias("ingestion_source_id"), ts.alias("received_at"), "source_ip",
+            F.lit("file_upload").alias("normalized_type"), F.col("record").alias("payload"), "file", "ordinal")
+    rejected = bad.unionByName(too_big.select("file", "reason"))
+    return events, rejected

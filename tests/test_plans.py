@@ -35,7 +35,6 @@ def test_pages_and_timeline_are_top_k(spark):
 def test_asset_risk_aggregates_before_join(spark):
     p = q(spark, "a7_asset_risk")
     assert p.count("partial_count") >= 2 and p.count("partial_sum") >= 2
-    assert "BroadcastNestedLoopJoin" not in p.split("SortMergeJoin")[0] or True
     # facts reach the joins one row per asset: each join input below is a HashAggregate
     assert re.search(r"LeftOuter", p)
 

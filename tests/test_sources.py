@@ -145,3 +145,26 @@ def test_daily_report(spark, scratch):
     assert s.alerts_total == 1 and s.day == "2024-01-15"
     text = "".join(open(p).read() for p in glob.glob(os.path.join(scratch, "rep", "alerts", "part-*.csv")))
     assert text.count("\n") == 2 and ",x," in text
+
+
+def test_upload_flow(spark, scratch):
+    import os
+
+    from nightjar.sources.upload import read_upload
+    csvp = write_text(scratch, "up.csv", "ip,message\n10.0.0.1,Failed password for root\n10.0.0.2,hello\n")
+    ev, rej = read_upload(spark, csvp, 3, "2024-01-01 00:00:00")
+    out = sorted((r.source_ip, r.payload, r.normalized_type) for r in ev.collect())
+    assert out[0] == ("10.0.0.1", '{"ip":"10.0.0.1","message":"Failed password for root"}', "file_upload")
+    assert len(out) == 2 and rej.count() == 0
+    jdir = os.path.join(scratch, "json")
+    os.makedirs(jdir)
+    write_text(jdir, "one.json", '[{"sourceIp": "1.2.3.4", "message": "x"}]')
+    write_text(jdir, "obj.json", '{"message": "x"}')
+    write_text(jdir, "bad.json", "{not valid json")
+    write_text(jdir, "big.json", json.dumps([{"i": i} for i in range(1001)]))
+    ev, rej = read_upload(spark, jdir + "/*.json", 3, "2024-01-01 00:00:00")
+    assert [(r.source_ip, r.payload) for r in ev.collect()] == [("1.2.3.4", '{"sourceIp":"1.2.3.4","message":"x"}')]
+    reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in rej.collect()}
+    assert reasons == {"obj.json": "JSON file must contain an array of records",
+                       "bad.json": "Failed to parse JSON file",
+                       "big.json": "File has 1001 rows; max is 1000"}
