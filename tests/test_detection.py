@@ -91,3 +91,33 @@ def test_scalar_helpers(spark):
                   sc.map_items("arr", F.upper).alias("up"), sc.payload_text("j").alias("pt")).first()
     assert (r.lv, r.n, r.sz, r.hb, r.c, r.nc, r.up) == ("warn", 3, 2, True, 100, "x", ["A", "B"])
     assert r.pt == '{"level":"warn","n":3}'
+
+
+def test_process_ingestion_end_to_end(spark):
+    """FIXTURES A4: benign → landed, freshness set, no alert; failed login →
+    landed + medium alert + T1110 mapping + feed message."""
+    import datetime as dt
+    import json as js
+
+    from nightjar.sinks.ingest import process_ingestion
+    sources = spark.createDataFrame([(1, "syslog", "syslog", True, None, None)],
+                                    "id long, name string, type string, is_active boolean, config string, "
+                                    "last_ingested_at timestamp_ntz")
+    t1, t2 = dt.datetime(2024, 1, 5, 10, 0, 0), dt.datetime(2024, 1, 5, 10, 0, 5)
+    events = spark.createDataFrame(
+        [(1, t1, None, "syslog", '{"message":"cron[441]: (root) CMD (/usr/local/bin/backup.sh)"}', "k1"),
+         (1, t2, "203.0.113.20", "syslog",
+          '{"message":"sshd[1234]: Failed password for root from 203.0.113.20 port 51515 ssh2"}', "k2")],
+        "ingestion_source_id long, received_at timestamp_ntz, source_ip string, normalized_type string, "
+        "payload string, event_key string")
+    out = process_ingestion(events, sources, key_col="event_key")
+    assert out["raw_events"].count() == 2
+    (a,) = out["alerts"].collect()
+    assert (a.severity, a.status, a.title) == ("medium", "open", "Failed authentication attempt detected")
+    assert a.description.endswith("from 203.0.113.20.")
+    assert [r.mitre_technique_id for r in out["alert_mitre_mappings"].collect()] == ["T1110"]
+    assert out["sources"].first().last_ingested_at == t2
+    msg = js.loads(out["feed"].first().message)
+    assert msg["type"] == "alert.created" and msg["data"]["id"] == a.id
+    again = process_ingestion(events, sources, key_col="event_key")["alerts"].first()
+    assert again.id == a.id  # deterministic ids under replay
