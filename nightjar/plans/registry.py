@@ -33,12 +33,25 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_DOMAINS: dict[tuple[int, str], Domain] = {}
+
+
+def _domain(spark: SparkSession, sf_dir: str) -> Domain:
+    """One set of adapter views per (session, folder): the lazy view plans are
+    immutable, so queries share them instead of rebuilding them."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    d = _DOMAINS.get(key)
+    if d is None:
+        d = _DOMAINS[key] = Domain(spark, sf_dir)
+    return d
+
+
 def register(name: str, sql: str | None):
     def deco(fn: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             from nightjar.session import apply_core_conf
             apply_core_conf(spark)
-            return flat(fn(Domain(spark, sf_dir)))
+            return flat(fn(_domain(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = (run, sql)
