@@ -55,3 +55,98 @@ def sustained_breach_stream(evals: DataFrame, series_cols: Sequence[str], ts_col
                      F.col(ts_col).cast("timestamp").alias("ts"), F.col(cond_col).alias("cond"))
     return e.groupBy("series").applyInPandasWithState(
         _transition(hold_seconds), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+# --------------------------------------------------------------------------
+# ST-11 on a stream: notification grouping with event-time timers
+# --------------------------------------------------------------------------
+NOTIFY_OUT = "alertname string, sent_at timestamp, alerts long, reason string"
+NOTIFY_STATE = ("active long, is_open boolean, last_tick long, last_sent long, "
+                "buf_ts array<long>, buf_delta array<int>")
+
+
+def _grouping(group_wait_s: int, group_interval_s: int, repeat_interval_s: int):
+    gw, gi, ri = group_wait_s * 1000, group_interval_s * 1000, repeat_interval_s * 1000
+
+    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (name,) = key
+        if state.exists:
+            active, is_open, last_tick, last_sent, buf_ts, buf_d = state.get
+            buf = list(zip([int(x) for x in buf_ts], [int(x) for x in buf_d]))
+        else:
+            active, is_open, last_tick, last_sent, buf = 0, False, None, None, []
+        if not state.hasTimedOut:
+            for pdf in batches:
+                ms = (pdf["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000).tolist()
+                buf += list(zip(ms, pdf["delta"].astype(int).tolist()))
+        wm = state.getCurrentWatermarkMs()
+        buf.sort(key=lambda e: (e[0], -e[1]))
+        out, nxt = [], None
+
+        def apply_until(t: int) -> bool:
+            nonlocal active, buf
+            changed = False
+            while buf and buf[0][0] <= t:
+                active += buf[0][1]
+                buf = buf[1:]
+                changed = True
+            return changed
+
+        while True:
+            if not is_open:
+                if not buf:
+                    break
+                flush = buf[0][0] + gw
+                if flush > wm:
+                    nxt = flush
+                    break
+                apply_until(flush)
+                if active <= 0:
+                    continue
+                out.append((name, flush, active, "initial"))
+                is_open, last_tick, last_sent = True, flush, flush
+                continue
+            target = last_sent + ri if not buf else min(buf[0][0], last_sent + ri)
+            k = max(1, -(-(target - last_tick) // gi))
+            tick = last_tick + gi * k
+            if tick > wm:
+                nxt = tick
+                break
+            changed = apply_until(tick)
+            last_tick = tick
+            if active <= 0:
+                is_open = False
+                continue
+            if changed:
+                out.append((name, tick, active, "update"))
+                last_sent = tick
+            elif tick - last_sent >= ri:
+                out.append((name, tick, active, "repeat"))
+                last_sent = tick
+        state.update((active, is_open, last_tick, last_sent, [t for t, _ in buf], [d for _, d in buf]))
+        if nxt is not None:
+            state.setTimeoutTimestamp(max(nxt, wm + 1))
+        rows = pd.DataFrame(out, columns=["alertname", "sent_at", "alerts", "reason"])
+        rows["sent_at"] = pd.to_datetime(rows["sent_at"], unit="ms")
+        yield rows
+    return fn
+
+
+def group_notifications_stream(firings: DataFrame, alertname_col: str, ts_col: str, delta_col: str,
+                               watermark: str = "1 minute", group_wait: int = 30, group_interval: int = 300,
+                               repeat_interval: int = 14400) -> DataFrame:
+    """ST-11 on a stream: ``firings`` carries (alertname, ts, delta) with +1
+    when an alert starts firing and −1 when it resolves (the ST-10 stream's
+    transitions).  Per alert name the state keeps the active count, the
+    notification clock and the events not yet applied; an event-time timer
+    wakes the key at its next decision time (first flush after
+    ``group_wait``, then the ``group_interval`` grid, repeats after
+    ``repeat_interval``), so notifications are emitted once the watermark
+    passes them — the same decisions as the batch twin
+    ``operators.slo.group_notifications``."""
+    e = (firings.select(F.col(alertname_col).cast("string").alias("alertname"),
+                        F.col(ts_col).cast("timestamp").alias("ts"), F.col(delta_col).cast("int").alias("delta"))
+         .withWatermark("ts", watermark))
+    return e.groupBy("alertname").applyInPandasWithState(
+        _grouping(group_wait, group_interval, repeat_interval), NOTIFY_OUT, NOTIFY_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)

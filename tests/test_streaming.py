@@ -133,3 +133,38 @@ def test_live_trend_and_summary(spark, scratch):
     assert trend == {"2024-03-01": (1, 1, 0, 2), "2024-03-02": (0, 0, 1, 1)}
     s = spark.sql("SELECT * FROM sum_s").first()
     assert (s.alerts_total, s.alerts_open, s.alerts_critical) == (3, 2, 1)
+
+
+def test_group_notifications_stream_equals_batch(spark, scratch):
+    import datetime as dt
+
+    from nightjar.operators import slo
+    from nightjar.streaming.alerting import group_notifications_stream
+    base = ts("2024-01-01 00:00:00")
+    episodes = [("A", base, base + dt.timedelta(minutes=20)), ("A", base + dt.timedelta(minutes=2), None),
+                ("B", base + dt.timedelta(minutes=7), base + dt.timedelta(minutes=8))]
+    horizon = base + dt.timedelta(hours=9)
+    src = os.path.join(scratch, "fire")
+    ev = [(n, f, 1) for n, f, _ in episodes] + [(n, r, -1) for n, _, r in episodes if r is not None]
+    spark.createDataFrame(ev, "alertname string, ts timestamp_ntz, delta int").write.parquet(src + "/a")
+    # a later event of another name moves the watermark to the horizon
+    spark.createDataFrame([("zz", horizon, 1)], "alertname string, ts timestamp_ntz, delta int").write.parquet(
+        src + "/b")
+    stream = (spark.readStream.schema("alertname string, ts timestamp_ntz, delta int").option("maxFilesPerTrigger", 1)
+              .parquet(src + "/*"))
+    q = (group_notifications_stream(stream, "alertname", "ts", "delta", watermark="0 seconds").writeStream
+         .outputMode("append").format("memory").queryName("notify_s")
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(processingTime="1 second").start())
+    try:
+        q.processAllAvailable()
+        import time
+        time.sleep(3)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r.alertname, r.sent_at.replace(tzinfo=None), r.alerts, r.reason)
+                 for r in spark.sql("SELECT * FROM notify_s WHERE alertname <> 'zz'").collect())
+    batch = spark.createDataFrame(episodes, "alertname string, fired_at timestamp_ntz, resolved_at timestamp_ntz")
+    want = sorted((r.alertname, r.sent_at, r.alerts, r.reason)
+                  for r in slo.group_notifications(batch, horizon).collect())
+    assert got == want and len(want) >= 4
