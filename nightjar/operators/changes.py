@@ -143,10 +143,11 @@ def apply_creates(creates: DataFrame, entity: str, as_of, snapshot: DataFrame |
 # M-2: generic tri-state patches
 # --------------------------------------------------------------------------
 def fold_patches(changes: DataFrame, fields: Mapping[str, Column], key: str = "entity_id", ts_col: str = "ts",
-                 tie_col: str = "change_id") -> DataFrame:
+                 tie_col: str = "change_id", extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """Per entity and field: was it touched, and its newest value (which may
-    be a deliberate null).  ``fields`` maps field → its *present* predicate."""
-    aggs = [F.max(ts_col).alias("_last_ts")]
+    be a deliberate null).  ``fields`` maps field → its *present* predicate;
+    ``extra_aggs`` ride along in the same aggregation (one shuffle)."""
+    aggs = [F.max(ts_col).alias("_last_ts"), *extra_aggs]
     for f, present in fields.items():
         order = F.when(present, F.struct(F.col(ts_col), F.col(tie_col)))
         aggs.append(F.max(present.cast("int")).alias(f"_{f}_touched"))
@@ -156,14 +157,23 @@ def fold_patches(changes: DataFrame, fields: Mapping[str, Column], key: str = "e
 
 def apply_patches(snapshot: DataFrame, changes: DataFrame, fields: Mapping[str, Column], key: str = "entity_id",
                   id_col: str = "id", ts_col: str = "ts", tie_col: str = "change_id",
-                  touch_col: str | None = "updated_at") -> dict[str, DataFrame]:
-    """M-2: last value per field wins; unknown ids are reported, not created."""
-    folded = fold_patches(changes, fields, key, ts_col, tie_col).withColumnRenamed(key, id_col)
+                  touch_col: str | None = "updated_at",
+                  set_once: Mapping[str, Column] | None = None) -> dict[str, DataFrame]:
+    """M-2: last value per field wins; unknown ids are reported, not created.
+
+    ``set_once`` (W-2) maps a timestamp column to the predicate of the
+    patches that set it: it takes the time of the first such patch unless it
+    already has a value, and never moves afterwards."""
+    set_once = dict(set_once or {})
+    extra = [F.min(F.when(cond, F.col(ts_col))).alias(f"_{c}_first") for c, cond in set_once.items()]
+    folded = fold_patches(changes, fields, key, ts_col, tie_col, extra).withColumnRenamed(key, id_col)
     j = snapshot.join(folded, id_col, "left")
     cols = []
     for c in snapshot.columns:
         if c in fields:
             cols.append(F.when(F.col(f"_{c}_touched") == 1, F.col(f"_{c}_new")).otherwise(F.col(c)).alias(c))
+        elif c in set_once:
+            cols.append(F.coalesce(F.col(c), F.col(f"_{c}_first")).alias(c))
         elif c == touch_col:
             cols.append(F.greatest(F.col(c), F.col("_last_ts")).alias(c))
         else:
@@ -190,11 +200,9 @@ def patch_incidents(incidents: DataFrame, changes: DataFrame, bucket_unit: str =
         changes = changes.withColumn("author_id", F.lit(None).cast("long"))
     known = changes.join(incidents.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     res = apply_patches(incidents, changes, {"status": F.col("status").isNotNull(),
-                                             "assigned_to_id": F.col("assigned_to_set")})
-    first_closed = (known.where(F.col("status").isin(*schemas.CLOSED_INCIDENT_STATUSES))
-                    .groupBy(F.col("entity_id").alias("id")).agg(F.min("ts").alias("_first_closed")))
-    snap = res["snapshot"].join(first_closed, "id", "left")
-    snap = snap.withColumn("closed_at", F.coalesce("closed_at", "_first_closed")).drop("_first_closed")
+                                             "assigned_to_id": F.col("assigned_to_set")},
+                        set_once={"closed_at": F.col("status").isin(*schemas.CLOSED_INCIDENT_STATUSES)})
+    snap = res["snapshot"]
 
     snapshot_state = incidents.select(F.col("id").alias("entity_id"), "status", "assigned_to_id")
     seq = carry_forward_many(
@@ -229,12 +237,8 @@ def patch_incidents(incidents: DataFrame, changes: DataFrame, bucket_unit: str =
 def patch_vulnerabilities(vulnerabilities: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
     """M-6: status patches; remediated_at is set once at the first patch to
     ``remediated`` (W-2) and kept after."""
-    res = apply_patches(vulnerabilities, changes, {"status": F.col("status").isNotNull()}, touch_col=None)
-    first = (changes.where(F.col("status") == "remediated")
-             .groupBy(F.col("entity_id").alias("id")).agg(F.min("ts").alias("_first")))
-    snap = (res["snapshot"].join(first, "id", "left")
-            .withColumn("remediated_at", F.coalesce("remediated_at", "_first")).drop("_first"))
-    return {"snapshot": snap, "unknown": res["unknown"]}
+    return apply_patches(vulnerabilities, changes, {"status": F.col("status").isNotNull()}, touch_col=None,
+                         set_once={"remediated_at": F.col("status") == "remediated"})
 
 
 # --------------------------------------------------------------------------

@@ -26,6 +26,28 @@ CORE_CONF = {
 }
 
 
+def cluster_conf(shuffle_bytes_estimate: int, executor_cores_total: int) -> dict[str, str]:
+    """Settings to pass to ``spark-submit`` for a large cluster run.
+
+    Shuffles start with enough partitions for ~128 MB each (at least 3× the
+    cores) and AQE coalesces small ones at run time; file splits are 256 MB
+    so a 100 TB scan is ~400k tasks of bounded memory; skewed partitions
+    (5× the median and over 256 MB) are split by AQE."""
+    target = 128 * 1024 * 1024
+    parts = max(3 * executor_cores_total, -(-shuffle_bytes_estimate // target))
+    return {
+        **CORE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.parquet.aggregatePushdown": "true",
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "nightjar") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
