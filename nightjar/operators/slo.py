@@ -78,12 +78,15 @@ def windowed_quantiles(df: DataFrame, ts_col: str, value_col: str, keys: Sequenc
                         *[_q_name(p) for p in quantiles])
     if method != "sketch":
         raise ValueError("method must be 'sketch' or 'exact'")
-    panes = _panes(df, ts_col, slide, keys, [F.kll_sketch_agg_double(F.col(value_col).cast("double")).alias("_s")])
+    panes = _panes(df, ts_col, slide, keys, [F.kll_sketch_agg_double(F.col(value_col).cast("double")).alias("_s"),
+                                              F.count(F.col(value_col)).alias("_n")])
     merged = _spread(panes, window, slide).groupBy("window_start", "window_end", *keys).agg(
-        F.kll_merge_agg_double("_s").alias("_s"))
-    return merged.select("window_start", "window_end", *keys,
-                         F.kll_sketch_get_n_double("_s").alias("n"),
-                         *[F.kll_sketch_get_quantile_double("_s", F.lit(p)).alias(_q_name(p)) for p in quantiles])
+        F.kll_merge_agg_double("_s").alias("_s"), F.sum("_n").alias("n"))
+    # one sketch read per window for all quantiles, in its own projection
+    qs = merged.select("window_start", "window_end", *keys, "n",
+                       F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(p) for p in quantiles])).alias("_q"))
+    return qs.select("window_start", "window_end", *keys, "n",
+                     *[F.col("_q")[i].alias(_q_name(p)) for i, p in enumerate(quantiles)])
 
 
 def event_rate(df: DataFrame, ts_col: str, keys: Sequence[str] = (), window: str = "5 minutes",

@@ -23,6 +23,9 @@ CORE_CONF = {
     # AQE turns a sort-merge join into a broadcast join only when the
     # measured size of one side stays below this bound.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # sketch aggregates keep up to 1024 groups per task in a hash map (a few
+    # MB of KLL sketches) before falling back to sort-based aggregation
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
 }
 
 
@@ -44,7 +47,6 @@ def cluster_conf(shuffle_bytes_estimate: int, executor_cores_total: int) -> dict
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
         "spark.sql.parquet.aggregatePushdown": "true",
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     }
 
 
