@@ -185,50 +185,102 @@ def apply_patches(snapshot: DataFrame, changes: DataFrame, fields: Mapping[str,
 # --------------------------------------------------------------------------
 # M-5 / M-11 / M-10 / W-2 / W-3: incidents
 # --------------------------------------------------------------------------
+# Patchable fields per entity (tri-state: a ``<field>_set`` flag column in the
+# change log marks presence; without it a non-null value means "set").
+PATCHABLE = {
+    "incidents": ["title", "description", "severity", "status", "assigned_to_id"],
+    "alerts": ["title", "description", "severity", "status", "assigned_to_id", "incident_id"],
+    "vulnerabilities": ["title", "description", "cve_id", "severity", "status", "asset_id"],
+    "iocs": ["type", "value", "severity", "description", "source", "threat_actor_id"],
+    "assets": ["name", "type", "ip_address", "hostname", "criticality", "owner", "tags"],
+}
+
+
+def present(changes: DataFrame, field: str) -> Column:
+    """Whether a patch carries ``field``: its ``<field>_set`` flag (for
+    ``x_id`` also ``x_set``) when the change log has one, so null can mean
+    "clear"; else a non-null value."""
+    for flag in (f"{field}_set", f"{field.removesuffix('_id')}_set"):
+        if flag in changes.columns:
+            return F.col(flag)
+    return F.col(field).isNotNull()
+
+
+def patch_fields(snapshot: DataFrame, changes: DataFrame, entity: str) -> dict[str, Column]:
+    return {f: present(changes, f) for f in PATCHABLE[entity] if f in changes.columns and f in snapshot.columns}
+
+
+def _patch_with_history(snapshot: DataFrame, changes: DataFrame, entity: str, kind: str,
+                        set_once: Mapping[str, Column] | None, bucket_unit: str) -> dict[str, DataFrame]:
+    """Shared M-2/M-10/M-11 core: new snapshot, unknown ids, the per-patch
+    before/after sequence of status, assignee and title, the assignment
+    notifications and the audit rows of the known patches."""
+    if "author_id" not in changes.columns:
+        changes = changes.withColumn("author_id", F.lit(None).cast("long"))
+    fields = patch_fields(snapshot, changes, entity)
+    res = apply_patches(snapshot, changes, fields, set_once=set_once)
+    known = changes.join(snapshot.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    tracked = [f for f in ("status", "assigned_to_id", "title") if f in snapshot.columns]
+    seq_fields = []
+    for f in tracked:
+        p = fields.get(f, F.lit(False))
+        src = f if f in known.columns else None
+        if src is None:
+            known = known.withColumn(f, F.lit(None).cast(snapshot.schema[f].dataType))
+        seq_fields.append((f, p, f, f"{f}_before", f"{f}_after"))
+    seq = carry_forward_many(known, "entity_id", "ts", "change_id", seq_fields,
+                             seed=snapshot.select(F.col("id").alias("entity_id"), *tracked),
+                             bucket_unit=bucket_unit)
+    notify = None
+    if "assigned_to_id" in fields:
+        a_set = fields["assigned_to_id"]
+        notify = (seq.where(a_set & F.col("assigned_to_id").isNotNull()
+                            & (F.col("assigned_to_id_before").isNull()
+                               | (F.col("assigned_to_id") != F.col("assigned_to_id_before"))))
+                  .select(stable_id(F.lit("notification"), F.col("change_id")).alias("id"),
+                          F.col("assigned_to_id").alias("user_id"), F.lit(entity[:-1]).alias("type"),
+                          F.lit(f"{kind} assigned to you").alias("title"), F.col("title_after").alias("message"),
+                          F.lit(None).cast("timestamp_ntz").alias("read_at"), F.col("ts").alias("created_at"),
+                          "change_id"))
+    audit = derive_audit(seq.withColumn("_meta", F.to_json(F.struct(F.col("status_after").alias("status")))),
+                         entity[:-1], "updated", target_col="entity_id", metadata_col="_meta")
+    return {"snapshot": res["snapshot"], "unknown": res["unknown"], "sequence": seq,
+            "notifications": notify, "audit": audit}
+
+
 def patch_incidents(incidents: DataFrame, changes: DataFrame, bucket_unit: str = "hour") -> dict[str, DataFrame]:
-    """M-5: status / assignee patches.  ``changes``: change_id, entity_id, ts,
-    status (null = absent), assigned_to_set, assigned_to_id, [author_id].
+    """M-5: incident patches.  ``changes``: change_id, entity_id, ts, any of
+    title / description / severity / status / assigned_to_id (null or a
+    ``<field>_set`` flag marks absence), [author_id].
 
     * closed_at is set once, at the first patch to resolved/closed (W-2), and
       never cleared on reopen;
     * a patch that really changes the status adds a timeline row "Status
       changed from A to B" (W-3: the status just before the patch);
-    * assigning someone other than the current assignee notifies them (M-11);
+    * assigning someone other than the current assignee notifies them, with
+      the incident title after the patch as message (M-11);
     * every patch of a known incident writes an audit row with the status
       after it (M-10)."""
-    if "author_id" not in changes.columns:
-        changes = changes.withColumn("author_id", F.lit(None).cast("long"))
-    known = changes.join(incidents.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    res = apply_patches(incidents, changes, {"status": F.col("status").isNotNull(),
-                                             "assigned_to_id": F.col("assigned_to_set")},
-                        set_once={"closed_at": F.col("status").isin(*schemas.CLOSED_INCIDENT_STATUSES)})
-    snap = res["snapshot"]
-
-    snapshot_state = incidents.select(F.col("id").alias("entity_id"), "status", "assigned_to_id")
-    seq = carry_forward_many(
-        known, "entity_id", "ts", "change_id",
-        [("status", F.col("status").isNotNull(), "status", "status_before", "status_after"),
-         ("assigned_to_id", F.col("assigned_to_set"), "assigned_to_id", "assignee_before", "assignee_after")],
-        seed=snapshot_state, bucket_unit=bucket_unit)
+    out = _patch_with_history(incidents, changes, "incidents", "Incident",
+                              {"closed_at": F.col("status").isin(*schemas.CLOSED_INCIDENT_STATUSES)}
+                              if "status" in changes.columns else None, bucket_unit)
+    seq = out["sequence"]
     timeline = seq.where(F.col("status").isNotNull() & (F.col("status") != F.col("status_before"))).select(
         stable_id(F.lit("timeline"), F.col("change_id")).alias("id"),
         F.col("entity_id").alias("incident_id"), "author_id", F.lit("status_change").alias("event_type"),
         F.concat(F.lit("Status changed from "), F.col("status_before"), F.lit(" to "), F.col("status"))
         .alias("message"),
         F.col("ts").alias("created_at"), "change_id")
-    titles = incidents.select(F.col("id").alias("entity_id"), F.col("title").alias("_title"))
-    notify = (seq.where(F.col("assigned_to_set") & F.col("assigned_to_id").isNotNull()
-                        & (F.col("assignee_before").isNull() | (F.col("assigned_to_id") != F.col("assignee_before"))))
-              .join(titles, "entity_id", "left")
-              .select(stable_id(F.lit("notification"), F.col("change_id")).alias("id"),
-                      F.col("assigned_to_id").alias("user_id"), F.lit("incident").alias("type"),
-                      F.lit("Incident assigned to you").alias("title"), F.col("_title").alias("message"),
-                      F.lit(None).cast("timestamp_ntz").alias("read_at"), F.col("ts").alias("created_at"),
-                      "change_id"))
-    audit = derive_audit(seq.withColumn("_meta", F.to_json(F.struct(F.col("status_after").alias("status")))),
-                         "incident", "updated", target_col="entity_id", metadata_col="_meta")
-    return {"snapshot": snap, "unknown": res["unknown"], "timeline": timeline, "notifications": notify,
-            "audit": audit}
+    out["timeline"] = timeline
+    return out
+
+
+def patch_alerts(alerts: DataFrame, changes: DataFrame, bucket_unit: str = "hour") -> dict[str, DataFrame]:
+    """M-2 for alerts (title, description, severity, status, assignee,
+    incident link; technique lists go through ``replace_mappings``): new
+    snapshot, unknown ids, "Alert assigned to you" notifications (M-11) and
+    ``alert.updated`` audit rows with the status after each patch (M-10)."""
+    return _patch_with_history(alerts, changes, "alerts", "Alert", None, bucket_unit)
 
 
 # --------------------------------------------------------------------------
@@ -237,8 +289,8 @@ def patch_incidents(incidents: DataFrame, changes: DataFrame, bucket_unit: str =
 def patch_vulnerabilities(vulnerabilities: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
     """M-6: status patches; remediated_at is set once at the first patch to
     ``remediated`` (W-2) and kept after."""
-    return apply_patches(vulnerabilities, changes, {"status": F.col("status").isNotNull()}, touch_col=None,
-                         set_once={"remediated_at": F.col("status") == "remediated"})
+    return apply_patches(vulnerabilities, changes, patch_fields(vulnerabilities, changes, "vulnerabilities"),
+                         touch_col=None, set_once={"remediated_at": F.col("status") == "remediated"})
 
 
 # --------------------------------------------------------------------------
@@ -264,8 +316,7 @@ def merge_iocs(iocs: DataFrame, incoming: DataFrame, as_of) -> dict[str, DataFra
 def patch_iocs(iocs: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
     """M-7 (update): any patch bumps last_seen_at to the patch time; the
     severity field is tri-state."""
-    res = apply_patches(iocs, changes, {"severity": F.col("severity").isNotNull()}, touch_col="last_seen_at")
-    return res
+    return apply_patches(iocs, changes, patch_fields(iocs, changes, "iocs"), touch_col="last_seen_at")
 
 
 # --------------------------------------------------------------------------

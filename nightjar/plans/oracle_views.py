@@ -219,6 +219,14 @@ SELECT event_id AS id,
             ELSE {_case('event_type', V.EVENT_SEVERITY, None)} END AS severity,
        CAST(NULL AS VARCHAR) AS status, CASE WHEN event_id % 2 = 0 THEN ts END AS created_at
 FROM events WHERE event_id % 9 = 0"""),
+    "alert_changes": (["counts"], f"""
+SELECT event_id AS change_id, (event_id * 7) % 1000 AS entity_id, ts,
+       CASE WHEN event_id % 3 = 0 THEN concat('Retitled ', event_id) END AS title,
+       CASE WHEN event_id % 4 = 0 THEN {SEV}[event_id % 5 + 1] END AS severity,
+       CASE WHEN event_id % 2 = 0 THEN {_list(schemas.ALERT_STATUSES)}[(event_id // 2) % 4 + 1] END AS status,
+       event_id % 6 = 1 AS assigned_to_set,
+       CASE WHEN event_id % 6 = 1 AND event_id % 12 <> 1 THEN user_id % n_users END AS assigned_to_id
+FROM events, counts WHERE event_id % 5 = 1"""),
 }
 
 

@@ -276,3 +276,61 @@ SELECT {_sha("'note'", "CAST(note_id AS VARCHAR)")} AS id, incident_id, author_i
 FROM timeline_notes WHERE incident_id IN (SELECT id FROM incidents)""", ["timeline_notes", "incidents"]))
 def m13(d: Domain):
     return ch.append_timeline_notes(d.incident_timeline_events, d.incidents, d.timeline_notes)["added"]
+
+
+# -- M-2 / M-11 / M-10 for alerts ---------------------------------------------------
+@register("m2_alert_snapshot", with_views("""
+SELECT a.id, CASE WHEN f.t_t THEN f.t_new ELSE a.title END AS title,
+       CASE WHEN f.s_t THEN f.s_new ELSE a.severity END AS severity,
+       CASE WHEN f.st_t THEN f.st_new ELSE a.status END AS status,
+       CASE WHEN f.a_t THEN f.a_new ELSE a.assigned_to_id END AS assigned_to_id,
+       greatest(a.updated_at, f.last_ts) AS updated_at
+FROM alerts a LEFT JOIN (
+  SELECT entity_id, max(ts) AS last_ts,
+         bool_or(title IS NOT NULL) AS t_t, arg_max(title, (ts, change_id)) FILTER (WHERE title IS NOT NULL) AS t_new,
+         bool_or(severity IS NOT NULL) AS s_t,
+         arg_max(severity, (ts, change_id)) FILTER (WHERE severity IS NOT NULL) AS s_new,
+         bool_or(status IS NOT NULL) AS st_t,
+         arg_max(status, (ts, change_id)) FILTER (WHERE status IS NOT NULL) AS st_new,
+         bool_or(assigned_to_set) AS a_t,
+         arg_max_null(assigned_to_id, (ts, change_id)) FILTER (WHERE assigned_to_set) AS a_new
+  FROM alert_changes GROUP BY entity_id) f ON f.entity_id = a.id""", ["alerts", "alert_changes"]))
+def m2a(d: Domain):
+    """M-2 for alerts: tri-state field patches folded per alert."""
+    return ch.patch_alerts(d.alerts, d.alert_changes)["snapshot"].select(
+        "id", "title", "severity", "status", "assigned_to_id", "updated_at")
+
+
+ALERT_SEQ = f"""
+SELECT *,
+  coalesce(last_value(CASE WHEN title IS NOT NULL THEN {{'v': title}} END IGNORE NULLS) OVER w_upto,
+           {{'v': snap_title}}).v AS title_after,
+  coalesce(last_value(CASE WHEN status IS NOT NULL THEN {{'v': status}} END IGNORE NULLS) OVER w_upto,
+           {{'v': snap_status}}).v AS status_after,
+  coalesce(last_value(CASE WHEN assigned_to_set THEN {{'v': assigned_to_id}} END IGNORE NULLS) OVER w_before,
+           {{'v': snap_assignee}}).v AS assignee_before
+FROM (SELECT c.*, a.title AS snap_title, a.status AS snap_status, a.assigned_to_id AS snap_assignee
+      FROM alert_changes c JOIN alerts a ON a.id = c.entity_id) k
+WINDOW w_before AS (PARTITION BY entity_id ORDER BY ts, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+       w_upto AS (PARTITION BY entity_id ORDER BY ts, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@register("m11_alert_notifications", with_views(f"""
+SELECT {_sha("'notification'", "CAST(change_id AS VARCHAR)")} AS id, assigned_to_id AS user_id, 'alert' AS type,
+       'Alert assigned to you' AS title, title_after AS message, CAST(NULL AS TIMESTAMP) AS read_at,
+       ts AS created_at, change_id
+FROM ({ALERT_SEQ}) s
+WHERE assigned_to_set AND assigned_to_id IS NOT NULL AND (assignee_before IS NULL OR assigned_to_id <> assignee_before)""",
+                                                ["alerts", "alert_changes"]))
+def m11a(d: Domain):
+    """M-11 for alerts: the message is the alert title after the patch."""
+    return ch.patch_alerts(d.alerts, d.alert_changes)["notifications"]
+
+
+@register("m10_alert_audit", with_views(f"""
+SELECT {_sha("'audit'", "'alert'", "CAST(change_id AS VARCHAR)")} AS id, CAST(NULL AS BIGINT) AS actor_id,
+       'alert.updated' AS action, 'alert' AS target_type, CAST(entity_id AS VARCHAR) AS target_id,
+       CAST(NULL AS VARCHAR) AS ip_address, json_object('status', status_after)::VARCHAR AS metadata, ts AS created_at
+FROM ({ALERT_SEQ}) s""", ["alerts", "alert_changes"]))
+def m10a(d: Domain):
+    return ch.patch_alerts(d.alerts, d.alert_changes)["audit"]

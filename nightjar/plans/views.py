@@ -465,6 +465,22 @@ class Domain:
                         sev.alias("severity"), F.lit(None).cast("string").alias("status"),
                         F.when(eid % 2 == 0, F.col("ts")).alias("created_at"))
 
+    @functools.cached_property
+    def alert_changes(self) -> DataFrame:
+        """Alert patches: every 5th event patches alert ``event_id·7 mod 1000``
+        (an id present at every scale) with some of title / severity / status /
+        assignee; an assignee patch clears the field one time in two."""
+        e = self.table("events").where(F.col("event_id") % 5 == 1).crossJoin(self.counts)
+        eid = F.col("event_id")
+        a_set = eid % 6 == 1
+        return e.select(
+            eid.alias("change_id"), ((eid * 7) % 1000).alias("entity_id"), "ts",
+            F.when(eid % 3 == 0, F.concat(F.lit("Retitled "), eid)).alias("title"),
+            F.when(eid % 4 == 0, _pick(schemas.SEVERITIES, eid % 5)).alias("severity"),
+            F.when(eid % 2 == 0, _pick(schemas.ALERT_STATUSES, F.expr("(event_id div 2) % 4"))).alias("status"),
+            a_set.alias("assigned_to_set"),
+            F.when(a_set & (eid % 12 != 1), F.col("user_id") % F.col("n_users")).alias("assigned_to_id"),
+        )
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
     return Domain(spark, sf_dir)

@@ -186,3 +186,23 @@ def test_referential_split(spark):
     parent = spark.createDataFrame([(10,)], "id long")
     ok, bad = ch.referential_split(child, parent, "parent")
     assert sorted(r.id for r in ok.collect()) == [1, 2] and [r.id for r in bad.collect()] == [3]
+
+
+def test_patch_alerts_notification_uses_new_title(spark):
+    al = mk(spark, "alerts", [dict(id=1, title="Old", severity="low", status="open", assigned_to_id=3,
+                                   created_at="2024-01-01 00:00:00", updated_at="2024-01-01 00:00:00")])
+    ch_ = spark.createDataFrame(
+        [(1, 1, ts("2024-02-01 00:00:00"), "New title", None, None, True, 9),
+         (2, 1, ts("2024-02-02 00:00:00"), None, "high", "acknowledged", False, None),
+         (3, 7, ts("2024-02-02 00:00:00"), None, "high", None, False, None)],
+        "change_id long, entity_id long, ts timestamp_ntz, title string, severity string, status string, "
+        "assigned_to_set boolean, assigned_to_id long")
+    out = ch.patch_alerts(al, ch_, bucket_unit="day")
+    snap = out["snapshot"].first()
+    assert (snap.title, snap.severity, snap.status, snap.assigned_to_id) == ("New title", "high", "acknowledged", 9)
+    assert snap.updated_at == ts("2024-02-02 00:00:00")
+    n = out["notifications"].collect()
+    assert [(r.user_id, r.type, r.title, r.message) for r in n] == [(9, "alert", "Alert assigned to you", "New title")]
+    audit = [(r.action, r.metadata) for r in out["audit"].orderBy("created_at").collect()]
+    assert audit == [("alert.updated", '{"status":"open"}'), ("alert.updated", '{"status":"acknowledged"}')]
+    assert [r.entity_id for r in out["unknown"].collect()] == [7]
