@@ -149,3 +149,20 @@ FROM incidents""", ["incidents"]))
 def snk5(d: Domain):
     """SNK-5: one realtime message per incident row."""
     return realtime_feed(d.incidents, "incident.created")
+
+
+def _csv_cell_sql(expr: str) -> str:
+    v = f"coalesce(CAST({expr} AS VARCHAR), '')"
+    return (f"CASE WHEN regexp_matches({v}, '[\",\n]') THEN concat('\"', replace({v}, '\"', '\"\"'), '\"') "
+            f"ELSE {v} END")
+
+
+@register("snk1_audit_export_lines", with_views(
+    "SELECT concat_ws(',', " + ", ".join(_csv_cell_sql(c) for c in (
+        "id", "actor_id", "action", "target_type", "target_id", "ip_address", "metadata",
+        "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'")) + ") AS line FROM audit_logs", ["audit_logs"]))
+def snk1(d: Domain):
+    """SNK-1 / SC-13: the CSV body lines of an audit export (ISO times, null →
+    empty, quotes only around text holding a quote, comma or newline)."""
+    from nightjar.sinks.export import csv_text, export_rows
+    return csv_text(export_rows(d.audit_logs))
