@@ -10,8 +10,8 @@ inside ``foreachBatch``:
   file time, so a replayed batch (after a driver or executor loss) recomputes
   the same ids, and every output folder is keyed by the batch id and
   overwritten — replay rewrites, never duplicates;
-* lines that do not parse go to a quarantine table with a reason instead of
-  failing the batch.
+* lines that do not parse, and events naming an unknown ingestion source,
+  go to a quarantine table with a reason instead of failing the batch (ST-2).
 
 The checkpoint lives under the shared ``spark.checkpoint.dir``.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from nightjar.functions.scalars import keep_rows
 from nightjar.functions.syslog import syslog_payload, with_parsed_syslog
+from nightjar.operators.changes import referential_split
 from nightjar.operators.detect import DEFAULT_RULES, Rule
 from nightjar.session import checkpoint_path
 from nightjar.sinks.ingest import process_ingestion
@@ -82,7 +83,11 @@ def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: s
     parsed = with_parsed_syslog(with_event_key(lines)).persist()
     result = None
     try:
-        events, quarantined = _split_parsed(parsed, source_id)
+        events, unparsable = _split_parsed(parsed, source_id)
+        # J-11 inside the batch: an event naming an unknown source is quarantined
+        events, unknown_src = referential_split(events, sources, "ingestion_source_id")
+        quarantined = unparsable.unionByName(unknown_src.select(
+            F.col("payload").alias("raw"), "received_at", "event_key", "reason"))
         result = process_ingestion(events, sources, rules, key_col="event_key", persist=True)
         suffix = f"batch={batch_id}"
         raw = result["raw_events"].withColumn("received_date", F.to_date("received_at"))

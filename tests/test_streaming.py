@@ -168,3 +168,38 @@ def test_group_notifications_stream_equals_batch(spark, scratch):
     want = sorted((r.alertname, r.sent_at, r.alerts, r.reason)
                   for r in slo.group_notifications(batch, horizon).collect())
     assert got == want and len(want) >= 4
+
+
+def test_unknown_source_is_quarantined(spark, scratch):
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    write_text(src, "a.log", "\n".join(LINES) + "\n")
+    out = os.path.join(scratch, "out")
+    lines = spark.read.text(src).select(
+        F.col("value").alias("raw"), F.lit(None).cast("string").alias("remote_address"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"))
+    ingest_batch(lines, 0, sources(spark), out, source_id=99)
+    q = read_ingest_output(spark, out, "quarantine")
+    reasons = sorted(r.reason for r in q.collect())
+    assert reasons == ["unknown ingestion_source_id"] * 4 + ["unparsable syslog line"]
+    assert read_ingest_output(spark, out, "alerts").count() == 0
+
+
+def test_redelivered_events_are_dropped(spark, scratch):
+    """ST-14: an at-least-once source (keys from topic/partition/offset)
+    redelivers a line; the stream keeps one copy."""
+    src = os.path.join(scratch, "kafka_like")
+    rows = [(LINES[0], None, ts("2024-01-05 10:22:01"), "topic-0-17"),
+            (LINES[0], None, ts("2024-01-05 10:22:01"), "topic-0-17"),
+            (LINES[2], None, ts("2024-01-05 10:22:03"), "topic-0-18")]
+    spark.createDataFrame(rows, "raw string, remote_address string, received_at timestamp_ntz, event_key string"
+                          ).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("raw string, remote_address string, received_at timestamp_ntz, "
+                                     "event_key string").parquet(src)
+    out = os.path.join(scratch, "out")
+    q = ingest_stream(spark, None, out, sources(spark), checkpoint=os.path.join(scratch, "ck"), lines=stream,
+                      dedupe_keys=["event_key"])
+    q.awaitTermination(120)
+    assert read_ingest_output(spark, out, "raw_events").count() == 2
+    assert sorted(r.severity for r in read_ingest_output(spark, out, "alerts").collect()) == ["low", "medium"]
