@@ -206,3 +206,19 @@ def test_patch_alerts_notification_uses_new_title(spark):
     audit = [(r.action, r.metadata) for r in out["audit"].orderBy("created_at").collect()]
     assert audit == [("alert.updated", '{"status":"open"}'), ("alert.updated", '{"status":"acknowledged"}')]
     assert [r.entity_id for r in out["unknown"].collect()] == [7]
+
+
+def test_versioned_snapshots(spark, scratch):
+    import os
+
+    from nightjar.sinks.snapshots import read_latest, versions, write_version
+    path = os.path.join(scratch, "incidents")
+    inc = incidents(spark)
+    assert write_version(inc, path) == 0
+    p = patches(spark, [(1, 1, "2024-02-01 00:00:00", "resolved", False, None)])
+    assert write_version(ch.patch_incidents(read_latest(spark, path), p)["snapshot"], path) == 1
+    os.makedirs(os.path.join(path, "v=2"))  # a crashed write: no _SUCCESS marker
+    assert versions(spark, path) == [0, 1]
+    assert read_latest(spark, path).first().status == "resolved"
+    assert read_latest(spark, path, 0).first().status == "open"
+    assert write_version(inc, path) == 3  # never reuses a folder
