@@ -355,11 +355,52 @@ def open_incidents(incidents: DataFrame, alerts: DataFrame, timeline: DataFrame,
     links = semi_by_ids(links, alerts)
     linked = alerts.join(links, "id", "left").withColumn(
         "incident_id", F.coalesce(F.col("_incident"), F.col("incident_id").cast("string"))).drop("_incident")
+    audit = derive_audit(
+        req.withColumn("change_id", F.col("request_id"))
+        .withColumn("_meta", F.to_json(F.struct(F.coalesce("severity", F.lit("medium")).alias("severity"))))
+        .withColumn("ts", F.col("_ts")),
+        "incident", "created", target_col="_id", metadata_col="_meta")
+    from nightjar.sinks.ingest import realtime_feed
     return {"incidents": incidents.unionByName(created.select(*incidents.columns), allowMissingColumns=False)
             if set(incidents.columns) == set(created.columns) else created,
             "created": created, "timeline": timeline.unionByName(notes.select(*timeline.columns))
             if set(timeline.columns) == set(notes.columns) else notes,
-            "notes": notes, "alerts": linked, "links": links}
+            "notes": notes, "alerts": linked, "links": links, "audit": audit,
+            "feed": realtime_feed(created, "incident.created")}
+
+
+def create_alerts(creates: DataFrame, as_of) -> dict[str, DataFrame]:
+    """M-1 for alerts (the create path): invalid requests are rejected with
+    reasons (F-11); valid ones get defaults and a deterministic id, one
+    mapping row per listed technique, an ``alert.created`` audit row with the
+    severity and a realtime ``alert.created`` message.
+    ``creates``: request_id, title, severity, [description, source_ip,
+    asset_id, mitre_technique_ids, author_id, ts]."""
+    from nightjar.sinks.ingest import realtime_feed
+    valid, rejected = validate(creates, "alerts")
+    ts = F.coalesce(F.col("ts"), _as_of(as_of)) if "ts" in valid.columns else _as_of(as_of)
+    opt = {c: (F.col(c) if c in valid.columns else F.lit(None).cast(t)) for c, t in
+           (("description", "string"), ("source_ip", "string"), ("asset_id", "long"), ("author_id", "long"),
+            ("mitre_technique_ids", "array<string>"))}
+    base = valid.select(
+        stable_id(F.lit("alert"), F.lit("create"), F.col("request_id")).alias("id"), "title",
+        opt["description"].alias("description"), "severity", F.lit(None).cast("string").alias("status"),
+        opt["source_ip"].alias("source_ip"), opt["asset_id"].alias("asset_id"),
+        F.lit(None).cast("long").alias("ingestion_source_id"), F.lit(None).cast("long").alias("assigned_to_id"),
+        F.lit(None).cast("long").alias("incident_id"), ts.alias("created_at"), ts.alias("updated_at"),
+        opt["author_id"].alias("author_id"), "request_id",
+        F.coalesce(opt["mitre_technique_ids"], F.array().cast("array<string>")).alias("mitre_technique_ids"))
+    alerts = apply_creates(base, "alerts", as_of)
+    mappings = alerts.select(F.col("id").alias("alert_id"),
+                             F.explode(F.array_distinct("mitre_technique_ids")).alias("mitre_technique_id"))
+    audit = derive_audit(alerts.withColumn("change_id", F.col("request_id")).withColumn("ts", F.col("created_at"))
+                         .withColumn("_meta", F.to_json(F.struct(F.col("severity")))),
+                         "alert", "created", target_col="id", metadata_col="_meta")
+    out = alerts.drop("author_id", "request_id")
+    feed = realtime_feed(out.withColumn("mitre_technique_ids", F.array_sort(F.array_distinct("mitre_technique_ids"))),
+                         "alert.created")
+    return {"alerts": out.drop("mitre_technique_ids"), "alert_mitre_mappings": mappings, "audit": audit,
+            "feed": feed, "rejected": rejected}
 
 
 # --------------------------------------------------------------------------

@@ -222,3 +222,31 @@ def test_versioned_snapshots(spark, scratch):
     assert read_latest(spark, path).first().status == "resolved"
     assert read_latest(spark, path, 0).first().status == "open"
     assert write_version(inc, path) == 3  # never reuses a folder
+
+
+def test_create_alerts_with_mappings_audit_and_rejects(spark):
+    import json
+    c = spark.createDataFrame([(1, "Suspicious login", "high", ["T1078", "T1110", "T1078"]),
+                               (2, "", "high", None), (3, "No techniques", "low", None)],
+                              "request_id long, title string, severity string, mitre_technique_ids array<string>")
+    out = ch.create_alerts(c, AS_OF)
+    al = {r.title: r for r in out["alerts"].collect()}
+    assert set(al) == {"Suspicious login", "No techniques"} and al["No techniques"].status == "open"
+    m = sorted(r.mitre_technique_id for r in out["alert_mitre_mappings"].collect())
+    assert m == ["T1078", "T1110"]
+    a = {r.metadata for r in out["audit"].collect()}
+    assert a == {'{"severity":"high"}', '{"severity":"low"}'}
+    assert [r.request_id for r in out["rejected"].collect()] == [2]
+    msgs = [json.loads(r.message) for r in out["feed"].collect()]
+    assert {tuple(m["data"]["mitre_technique_ids"]) for m in msgs} == {("T1078", "T1110"), ()}
+
+
+def test_open_incident_audit_and_feed(spark):
+    al = mk(spark, "alerts", [])
+    req = spark.createDataFrame([(1, "Case", None, None, None, 3, [5], ts("2024-02-01 00:00:00"))],
+                                "request_id long, title string, severity string, status string, "
+                                "assigned_to_id long, author_id long, alert_ids array<long>, ts timestamp_ntz")
+    out = ch.open_incidents(mk(spark, "incidents", []), al, mk(spark, "incident_timeline_events", []), req, AS_OF)
+    a = out["audit"].first()
+    assert (a.action, a.actor_id, a.metadata) == ("incident.created", 3, '{"severity":"medium"}')
+    assert '"type":"incident.created"' in out["feed"].first().message
