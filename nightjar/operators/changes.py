@@ -419,6 +419,15 @@ def set_null_on_delete(child: DataFrame, fk: str, deleted: DataFrame, deleted_co
                       .alias(fk) if c == fk else F.col(c) for c in child.columns])
 
 
+def deletion_audit(deleted: DataFrame, entity: str, as_of) -> DataFrame:
+    """M-10 for deletes: one ``<entity>.deleted`` row per deleted id, no
+    metadata; ``deleted`` may carry ``ts`` and ``author_id``."""
+    d = deleted.withColumn("change_id", F.col("id")).withColumn("entity_id", F.col("id"))
+    if "ts" not in d.columns:
+        d = d.withColumn("ts", _as_of(as_of))
+    return derive_audit(d, entity, "deleted")
+
+
 def delete_alerts(alerts: DataFrame, mappings: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for alerts: rows removed, their mappings cascade."""
     return {"alerts": alerts.join(deleted.select("id"), "id", "left_anti"),

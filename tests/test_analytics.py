@@ -165,3 +165,19 @@ def test_parameter_bounds(spark):
         an.alerts_trend(a, 0, AS_OF)
     with pytest.raises(ValueError):
         an.alerts_trend(a, 181, AS_OF)
+
+
+def test_analytics_job_writes_every_output(spark, scratch):
+    import os
+
+    from nightjar.plans.jobs import analytics_job
+    from nightjar.plans.views import Domain
+    d = Domain(spark, "/root/testdata/sf0.001")
+    wh = os.path.join(scratch, "wh")
+    for name in ("alerts", "alert_mitre_mappings", "incidents", "vulnerabilities", "assets", "raw_events",
+                 "ingestion_sources"):
+        getattr(d, name).write.parquet(os.path.join(wh, name))
+    paths = analytics_job(spark, wh, os.path.join(scratch, "out"), "2024-01-31 00:00:00")
+    assert set(paths) >= {"asset_risk", "alerts_trend", "timeline"}
+    assert spark.read.parquet(paths["asset_risk"]).count() == 150
+    assert spark.read.parquet(paths["dashboard_summary"]).count() == 1

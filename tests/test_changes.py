@@ -250,3 +250,25 @@ def test_open_incident_audit_and_feed(spark):
     a = out["audit"].first()
     assert (a.action, a.actor_id, a.metadata) == ("incident.created", 3, '{"severity":"medium"}')
     assert '"type":"incident.created"' in out["feed"].first().message
+
+
+def test_incident_changes_job(spark, scratch):
+    import os
+
+    from nightjar.plans.jobs import incident_changes_job
+    from nightjar.sinks.snapshots import read_latest, write_version
+    wh = os.path.join(scratch, "wh")
+    write_version(incidents(spark), os.path.join(wh, "incidents"))
+    p = patches(spark, [(1, 1, "2024-02-01 00:00:00", "closed", True, 4)])
+    assert incident_changes_job(spark, wh, p, "b1") == {"incidents_version": 1}
+    snap = read_latest(spark, os.path.join(wh, "incidents")).first()
+    assert (snap.status, snap.assigned_to_id) == ("closed", 4) and snap.closed_at is not None
+    assert spark.read.parquet(os.path.join(wh, "incident_timeline_events")).count() == 1
+    assert spark.read.parquet(os.path.join(wh, "notifications")).first().user_id == 4
+
+
+def test_deletion_audit(spark):
+    gone = spark.createDataFrame([(5, 3)], "id long, author_id long")
+    r = ch.deletion_audit(gone, "alert", AS_OF).first()
+    assert (r.action, r.target_type, r.target_id, r.actor_id, r.created_at) == ("alert.deleted", "alert", "5", 3,
+                                                                                AS_OF)
