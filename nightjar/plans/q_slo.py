@@ -28,6 +28,15 @@ def _disc(p: float) -> str:
     return f"list_sort(list(value))[CAST(greatest(1, ceil({p} * count(*))) AS BIGINT)]"
 
 
+def _interp(p: float) -> str:
+    """Linear interpolation between the order statistics around position
+    p·(n−1): (ceil−pos)·low + (pos−floor)·high."""
+    pos = f"((n - 1) * CAST({p} AS DOUBLE))"
+    lo, hi = f"vs[CAST(floor({pos}) AS BIGINT) + 1]", f"vs[CAST(ceil({pos}) AS BIGINT) + 1]"
+    return (f"CASE WHEN floor({pos}) = ceil({pos}) OR {lo} = {hi} THEN {lo} "
+            f"ELSE (ceil({pos}) - {pos}) * {lo} + ({pos} - floor({pos})) * {hi} END AS {slo._q_name(p)}")
+
+
 QUANT_COLS = ", ".join(f"{_disc(p)} AS {slo._q_name(p)}" for p in slo.DEFAULT_QUANTILES)
 
 
@@ -46,10 +55,10 @@ def st4(d: Domain):
 
 
 @register("st4_lag_quantiles_exact", with_views(f"""
-SELECT window_start, window_end, count(*) AS n,
-       {", ".join(f"quantile_cont(value, {p}) AS {slo._q_name(p)}" for p in slo.DEFAULT_QUANTILES)}
-FROM ({_spread_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at")}) x
-GROUP BY window_start, window_end""", ["ingestion_jobs"]))
+SELECT window_start, window_end, n, {", ".join(_interp(p) for p in slo.DEFAULT_QUANTILES)}
+FROM (SELECT window_start, window_end, count(*) AS n, list_sort(list(value)) AS vs
+      FROM ({_spread_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at")}) x
+      GROUP BY window_start, window_end) g""", ["ingestion_jobs"]))
 def st4e(d: Domain):
     """ST-4 with interpolated exact percentiles over the copied rows."""
     return slo.windowed_quantiles(slo.ingestion_lag(d.ingestion_jobs), "enqueued_at", "lag_ms", method="exact")

@@ -19,7 +19,7 @@ def _norm(v):
     if v is None:
         return "∅"
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     return str(v)
