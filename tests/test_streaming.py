@@ -45,7 +45,6 @@ def test_replayed_batch_gives_same_tables(spark, scratch):
     src = os.path.join(scratch, "in")
     os.makedirs(src)
     write_text(src, "a.log", "\n".join(LINES) + "\n")
-    from nightjar.streaming.ingest import syslog_lines_stream  # noqa: F401
     lines = spark.read.text(src).select(
         F.col("value").alias("raw"), F.lit(None).cast("string").alias("remote_address"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
