@@ -291,7 +291,9 @@ def timeline(alerts: DataFrame, incidents: DataFrame, mappings: DataFrame, days:
     alert precedes an incident.  Each branch is cut to ``limit`` first
     (``TakeOrderedAndProject``), and technique ids are joined after the cut."""
     check_range("limit", limit, 1, schemas.MAX_TIMELINE_LIMIT)
-    order = [F.desc("created_at"), F.asc("id")]
+    # the branch cut uses the merged order's key (id as text), so ties at
+    # the cut keep exactly the rows the merged order would keep
+    order = [F.desc("created_at"), F.col("id").cast("string").asc()]
     a = since(alerts, "created_at", days, as_of).orderBy(*order).limit(limit)
     i = since(incidents, "created_at", days, as_of).orderBy(*order).limit(limit)
     a = with_techniques(a, mappings, small_alerts=True)
