@@ -76,19 +76,29 @@ def _split_parsed(parsed: DataFrame, source_id: int) -> tuple[DataFrame, DataFra
 
 def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: str, source_id: int,
                  rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
-    """One micro-batch: normalise, land, detect, write (idempotent per batch).
-
-    The parsed lines and the detected events are each computed once (kept
-    in memory for the batch) and every output is written from them."""
+    """One micro-batch of syslog lines: normalise, land, detect, write
+    (idempotent per batch).  The parsed lines are computed once (kept in
+    memory for the batch) and every output is written from them."""
     parsed = with_parsed_syslog(with_event_key(lines)).persist()
-    result = None
     try:
         events, unparsable = _split_parsed(parsed, source_id)
-        # J-11 inside the batch: an event naming an unknown source is quarantined
-        events, unknown_src = referential_split(events, sources, "ingestion_source_id")
-        quarantined = unparsable.unionByName(unknown_src.select(
-            F.col("payload").alias("raw"), "received_at", "event_key", "reason"))
-        result = process_ingestion(events, sources, rules, key_col="event_key", persist=True)
+        return write_events_batch(events, unparsable, batch_id, sources, out_dir, rules)
+    finally:
+        parsed.unpersist()
+
+
+def write_events_batch(events: DataFrame, quarantined: DataFrame, batch_id: int, sources: DataFrame, out_dir: str,
+                       rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
+    """Land → detect → write every output of one micro-batch under
+    ``<table>/batch=<id>`` (overwrite, so a replay rewrites).  ``events`` are
+    normalised events with an ``event_key``; ``quarantined`` has (raw,
+    received_at, event_key, reason)."""
+    # J-11 inside the batch: an event naming an unknown source is quarantined
+    events, unknown_src = referential_split(events, sources, "ingestion_source_id")
+    quarantined = quarantined.unionByName(unknown_src.select(
+        F.col("payload").alias("raw"), "received_at", "event_key", "reason"))
+    result = process_ingestion(events, sources, rules, key_col="event_key", persist=True)
+    try:
         suffix = f"batch={batch_id}"
         raw = result["raw_events"].withColumn("received_date", F.to_date("received_at"))
         raw.write.mode("overwrite").parquet(f"{out_dir}/raw_events/{suffix}")
@@ -100,11 +110,68 @@ def ingest_batch(lines: DataFrame, batch_id: int, sources: DataFrame, out_dir: s
         quarantined.write.mode("overwrite").parquet(f"{out_dir}/quarantine/{suffix}")
         return {"batch_id": batch_id}
     finally:
-        if result is not None:
-            result["detected"].unpersist()
+        result["detected"].unpersist()
+
+
+# --------------------------------------------------------------------------
+# uploads (SRC-2 / SRC-8 / SRC-9) as a stream
+# --------------------------------------------------------------------------
+def upload_files_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A folder where uploaded ``.json`` files land, one row per file (the
+    whole text), with the file time as receipt time."""
+    reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.json")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(directory).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"))
+
+
+def ingest_uploads_batch(files: DataFrame, batch_id: int, sources: DataFrame, out_dir: str, source_id: int,
+                         max_rows: int | None = 1000, rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
+    """One micro-batch of upload files: each must be a JSON array (else the
+    file is quarantined: "JSON file must contain an array of records" or
+    "Failed to parse JSON file"); a file with more than ``max_rows`` records
+    is quarantined whole; every record becomes an event (payload = record
+    JSON text, source ip per SRC-8, key = file + position)."""
+    from nightjar.sources.upload import source_ip_from_json
+    parsed = files.select("file", "value", "received_at",
+                          F.from_json("value", "array<string>").alias("records")).persist()
+    try:
+        n = F.size("records")
+        bad = parsed.where(F.col("records").isNull()).select(
+            F.col("value").alias("raw"), "received_at", F.col("file").alias("event_key"),
+            F.when(F.try_parse_json("value").isNotNull(), F.lit("JSON file must contain an array of records"))
+            .otherwise(F.lit("Failed to parse JSON file")).alias("reason"))
+        ok = parsed.where(F.col("records").isNotNull())
+        if max_rows is not None:
+            too_big = ok.where(n > max_rows).select(
+                F.col("file").alias("raw"), "received_at", F.col("file").alias("event_key"),
+                F.concat(F.lit("File has "), n, F.lit(f" rows; max is {max_rows}")).alias("reason"))
+            bad = bad.unionByName(too_big)
+            ok = ok.where(n <= max_rows)
+        events = ok.select("file", "received_at", F.posexplode("records").alias("pos", "record")).select(
+            F.lit(source_id).cast("long").alias("ingestion_source_id"), "received_at",
+            source_ip_from_json("record").alias("source_ip"), F.lit("file_upload").alias("normalized_type"),
+            F.col("record").alias("payload"), F.concat(F.col("file"), F.lit(":"), F.col("pos")).alias("event_key"))
+        return write_events_batch(events, bad, batch_id, sources, out_dir, rules)
+    finally:
         parsed.unpersist()
 
 
+def ingest_upload_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: DataFrame, source_id: int,
+                         checkpoint: str | None = None, available_now: bool = True, max_rows: int | None = 1000,
+                         max_files_per_trigger: int | None = None, rules: Sequence[Rule] = DEFAULT_RULES):
+    """ST-1 for uploads: start the stream over the upload folder."""
+    files = upload_files_stream(spark, source_dir, max_files_per_trigger)
+    ckpt = checkpoint or checkpoint_path(spark, "upload_stream")
+    writer = (files.writeStream.option("checkpointLocation", ckpt)
+              .foreachBatch(lambda df, bid: ingest_uploads_batch(df, bid, sources, out_dir, source_id, max_rows,
+                                                                 rules)))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: DataFrame, source_id: int = 2,
                   checkpoint: str | None = None, available_now: bool = True,
                   max_files_per_trigger: int | None = None, lines: DataFrame | None = None,

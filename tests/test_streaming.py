@@ -202,3 +202,27 @@ def test_redelivered_events_are_dropped(spark, scratch):
     q.awaitTermination(120)
     assert read_ingest_output(spark, out, "raw_events").count() == 2
     assert sorted(r.severity for r in read_ingest_output(spark, out, "alerts").collect()) == ["low", "medium"]
+
+
+def test_upload_stream(spark, scratch):
+    import json
+
+    from nightjar.streaming.ingest import ingest_upload_stream
+    src = os.path.join(scratch, "uploads")
+    os.makedirs(src)
+    write_text(src, "a.json", json.dumps([{"ip": "10.0.0.9", "message": "Failed password for root"},
+                                          {"message": "all good"}]))
+    write_text(src, "obj.json", json.dumps({"message": "x"}))
+    write_text(src, "big.json", json.dumps([{"i": i} for i in range(1001)]))
+    write_text(src, "notes.txt", "ignored")
+    srcs = spark.createDataFrame([(3, "File Upload", "file_upload", True)], "id long, name string, type string, "
+                                                                            "is_active boolean")
+    out = os.path.join(scratch, "out")
+    q = ingest_upload_stream(spark, src, out, srcs, 3, checkpoint=os.path.join(scratch, "ck"))
+    q.awaitTermination(120)
+    raw = read_ingest_output(spark, out, "raw_events")
+    assert sorted(r.source_ip or "" for r in raw.collect()) == ["", "10.0.0.9"]
+    (a,) = read_ingest_output(spark, out, "alerts").collect()
+    assert a.severity == "medium" and a.description.endswith("from 10.0.0.9.")
+    reasons = sorted(r.reason for r in read_ingest_output(spark, out, "quarantine").collect())
+    assert reasons == ["File has 1001 rows; max is 1000", "JSON file must contain an array of records"]
