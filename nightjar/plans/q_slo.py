@@ -173,3 +173,28 @@ def st11(d: Domain):
                              "AND created_at < TIMESTAMP '2024-01-16 00:00:00') i"))
 def st13(d: Domain):
     return an.daily_summary(d.alerts, d.incidents, d.vulnerabilities, d.assets, "2024-01-15")
+
+
+# -- ST-12: the live views' aggregation, run over the whole table ---------------
+@register("st12_live_trend", with_views("""
+SELECT strftime(created_at, '%Y-%m-%d') AS date,
+       CAST(count_if(severity = 'critical') AS BIGINT) AS critical, CAST(count_if(severity = 'high') AS BIGINT) AS high,
+       CAST(count_if(severity = 'medium') AS BIGINT) AS medium, CAST(count_if(severity = 'low') AS BIGINT) AS low,
+       CAST(count_if(severity = 'info') AS BIGINT) AS info, count(*) AS total
+FROM alerts GROUP BY 1""", ["alerts"]))
+def st12t(d: Domain):
+    """ST-12: the per-day severity counts the live trend stream maintains
+    (the same function, applied to the table as a batch)."""
+    from nightjar.streaming.live import alerts_trend_stream
+    return alerts_trend_stream(d.alerts)
+
+
+@register("st12_live_summary", with_views("""
+SELECT count(*) AS alerts_total, CAST(count_if(status = 'open') AS BIGINT) AS alerts_open,
+       CAST(count_if(severity = 'critical') AS BIGINT) AS alerts_critical,
+       CAST(count_if(severity = 'high') AS BIGINT) AS alerts_high,
+       CAST(count_if(severity = 'medium') AS BIGINT) AS alerts_medium,
+       CAST(count_if(severity = 'low') AS BIGINT) AS alerts_low FROM alerts""", ["alerts"]))
+def st12s(d: Domain):
+    from nightjar.streaming.live import summary_stream
+    return summary_stream(d.alerts)
