@@ -56,7 +56,12 @@ def _spread(panes: DataFrame, window: str, slide: str) -> DataFrame:
         raise ValueError("window must be a multiple of slide")
     k = F.explode(F.sequence(F.lit(0), F.lit(w // s - 1))).alias("_k")
     out = panes.select("*", k).withColumn("window_start", F.expr(f"timestampadd(SECOND, -_k * {s}, _pane)"))
-    return out.withColumn("window_end", F.expr(f"timestampadd(SECOND, {w}, window_start)")).drop("_k", "_pane")
+    return out.drop("_k", "_pane")
+
+
+def _with_end(df: DataFrame, window: str) -> DataFrame:
+    """Window end from its start (kept out of the grouping key)."""
+    return df.withColumn("window_end", F.expr(f"timestampadd(SECOND, {_seconds(window)}, window_start)"))
 
 
 def windowed_quantiles(df: DataFrame, ts_col: str, value_col: str, keys: Sequence[str] = (),
@@ -80,8 +85,8 @@ def windowed_quantiles(df: DataFrame, ts_col: str, value_col: str, keys: Sequenc
         raise ValueError("method must be 'sketch' or 'exact'")
     panes = _panes(df, ts_col, slide, keys, [F.kll_sketch_agg_double(F.col(value_col).cast("double")).alias("_s"),
                                               F.count(F.col(value_col)).alias("_n")])
-    merged = _spread(panes, window, slide).groupBy("window_start", "window_end", *keys).agg(
-        F.kll_merge_agg_double("_s").alias("_s"), F.sum("_n").alias("n"))
+    merged = _with_end(_spread(panes, window, slide).groupBy("window_start", *keys).agg(
+        F.kll_merge_agg_double("_s").alias("_s"), F.sum("_n").alias("n")), window)
     # one sketch read per window for all quantiles, in its own projection
     qs = merged.select("window_start", "window_end", *keys, "n",
                        F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(p) for p in quantiles])).alias("_q"))
@@ -94,7 +99,8 @@ def event_rate(df: DataFrame, ts_col: str, keys: Sequence[str] = (), window: str
     """ST-6: events per second over each sliding window, by label."""
     keys = list(keys)
     panes = _panes(df, ts_col, slide, keys, [F.count(F.lit(1)).alias("_n")])
-    g = _spread(panes, window, slide).groupBy("window_start", "window_end", *keys).agg(F.sum("_n").alias("events"))
+    g = _with_end(_spread(panes, window, slide).groupBy("window_start", *keys).agg(F.sum("_n").alias("events")),
+                  window)
     return g.withColumn("rate_per_s", F.col("events") / F.lit(float(_seconds(window))))
 
 
@@ -105,8 +111,8 @@ def error_ratio(df: DataFrame, ts_col: str, status_col: str = "status", keys: Se
     keys = list(keys)
     panes = _panes(df, ts_col, slide, keys, [F.count(F.lit(1)).alias("_n"),
                                               F.count_if(F.col(status_col).rlike("^5..$")).alias("_e")])
-    g = _spread(panes, window, slide).groupBy("window_start", "window_end", *keys).agg(
-        F.sum("_n").alias("requests"), F.sum("_e").alias("errors"))
+    g = _with_end(_spread(panes, window, slide).groupBy("window_start", *keys).agg(
+        F.sum("_n").alias("requests"), F.sum("_e").alias("errors")), window)
     ratio = F.col("errors") / F.col("requests")
     return g.withColumn("error_ratio", ratio).withColumn("breach", ratio > F.lit(threshold))
 
