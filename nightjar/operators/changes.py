@@ -139,6 +139,27 @@ def apply_creates(creates: DataFrame, entity: str, as_of, snapshot: DataFrame |
     return snapshot.unionByName(out.select(*snapshot.columns))
 
 
+def create_entities(creates: DataFrame, entity: str, as_of) -> dict[str, DataFrame]:
+    """M-1 for assets / vulnerabilities / indicators: reject invalid rows
+    (F-11), fill defaults, derive a deterministic id from ``request_id`` when
+    no id is given, and write a ``<entity>.created`` audit row."""
+    valid, rejected = validate(creates, entity)
+    rows = apply_creates(valid, entity, as_of)
+    if "id" not in rows.columns:
+        rows = rows.withColumn("id", stable_id(F.lit(entity), F.col("request_id")))
+    single = entity[:-1] if entity.endswith("s") else entity
+    audit = derive_audit(rows.withColumn("change_id", F.col("id")).withColumn("ts", F.col("created_at")),
+                         single, "created", target_col="id")
+    return {"rows": rows, "audit": audit, "rejected": rejected}
+
+
+def delete_rows(table: DataFrame, deleted: DataFrame, entity: str, as_of) -> dict[str, DataFrame]:
+    """M-8 for tables nothing references (vulnerabilities, indicators):
+    the rows go, with a ``<entity>.deleted`` audit row each."""
+    return {"table": table.join(deleted.select("id"), "id", "left_anti"),
+            "audit": deletion_audit(deleted.join(table.select("id"), "id", "left_semi"), entity, as_of)}
+
+
 # --------------------------------------------------------------------------
 # M-2: generic tri-state patches
 # --------------------------------------------------------------------------

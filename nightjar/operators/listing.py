@@ -302,3 +302,41 @@ def list_notifications(notifications: DataFrame, user_id, unread_only: bool = Fa
     env = paged(f, page_no, page_size, "created_at", "desc")
     env["unread"] = unread_count(notifications, user_id)
     return env
+
+
+# --------------------------------------------------------------------------
+# One list function per read route (F-1 filters, SO-1 whitelist, SO-7 order)
+# --------------------------------------------------------------------------
+def list_incidents(incidents: DataFrame, status=None, severity=None, assigned_to_id=None, page_no: int = 1,
+                   page_size: int = 25, sort_by: str = "created_at", order: str = "desc") -> dict[str, DataFrame]:
+    f = equality_filters(incidents, {"status": status, "severity": severity, "assigned_to_id": assigned_to_id})
+    return paged(f, page_no, page_size, sort_by, order, "incidents")
+
+
+def list_assets(assets: DataFrame, type=None, criticality=None, page_no: int = 1, page_size: int = 25,  # noqa: A002
+                sort_by: str = "created_at", order: str = "desc") -> dict[str, DataFrame]:
+    f = equality_filters(assets, {"type": type, "criticality": criticality})
+    return paged(f, page_no, page_size, sort_by, order, "assets")
+
+
+def list_vulnerabilities(vulnerabilities: DataFrame, status=None, severity=None, asset_id=None, page_no: int = 1,
+                         page_size: int = 25, sort_by: str = "created_at", order: str = "desc") -> dict[str, DataFrame]:
+    f = equality_filters(vulnerabilities, {"status": status, "severity": severity, "asset_id": asset_id})
+    return paged(f, page_no, page_size, sort_by, order, "vulnerabilities")
+
+
+def list_iocs(iocs: DataFrame, type=None, severity=None, page_no: int = 1, page_size: int = 25,  # noqa: A002
+              sort_by: str = "created_at", order: str = "desc") -> dict[str, DataFrame]:
+    f = equality_filters(iocs, {"type": type, "severity": severity})
+    return paged(f, page_no, page_size, sort_by, order, "iocs")
+
+
+def list_audit_logs(audit_logs: DataFrame, action=None, actor_id=None, page_no: int = 1, page_size: int = 25,
+                    order: str = "desc") -> dict[str, DataFrame]:
+    f = equality_filters(audit_logs, {"action": action, "actor_id": actor_id})
+    return paged(f, page_no, page_size, "created_at", order)
+
+
+def list_sources(sources: DataFrame) -> DataFrame:
+    """SRC-4 + SO-7: every ingestion source, oldest first."""
+    return ordered(sources, "created_at", "asc")

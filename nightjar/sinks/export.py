@@ -64,3 +64,20 @@ def csv_text(df: DataFrame) -> DataFrame:
         needs = s.rlike('[",\n]')
         return F.when(needs, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
     return df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("line"))
+
+
+def export_report(tables: dict[str, DataFrame], entity: str, fmt: str, path: str) -> None:
+    """The export route: ``entity`` in alerts / incidents / vulnerabilities /
+    assets, ``fmt`` csv (default) or json; alerts are exported without their
+    technique ids."""
+    if entity not in EXPORT_ENTITIES:
+        raise ValueError(f"cannot export {entity!r}")
+    df = tables[entity]
+    if entity == "alerts" and "mitre_technique_ids" in df.columns:
+        df = df.drop("mitre_technique_ids")
+    if fmt == "json":
+        export_json(df, path)
+    elif fmt == "csv":
+        export_csv(df, path)
+    else:
+        raise ValueError("format must be 'csv' or 'json'")

@@ -272,3 +272,16 @@ def test_deletion_audit(spark):
     r = ch.deletion_audit(gone, "alert", AS_OF).first()
     assert (r.action, r.target_type, r.target_id, r.actor_id, r.created_at) == ("alert.deleted", "alert", "5", 3,
                                                                                 AS_OF)
+
+
+def test_create_and_delete_entities(spark):
+    c = spark.createDataFrame([(1, "web-01", "server", None), (2, "", "server", "high"), (3, "db", "mainframe", None)],
+                              "request_id long, name string, type string, criticality string")
+    out = ch.create_entities(c, "assets", AS_OF)
+    rows = out["rows"].collect()
+    assert [(r.name, r.criticality, r.tags) for r in rows] == [("web-01", "medium", [])]
+    assert out["audit"].first().action == "asset.created"
+    assert sorted(r.request_id for r in out["rejected"].collect()) == [2, 3]
+    iocs = spark.createDataFrame([("a",), ("b",)], "id string")
+    d = ch.delete_rows(iocs, spark.createDataFrame([("a",), ("zz",)], "id string"), "ioc", AS_OF)
+    assert [r.id for r in d["table"].collect()] == ["b"] and [r.target_id for r in d["audit"].collect()] == ["a"]

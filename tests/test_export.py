@@ -69,3 +69,17 @@ def test_realtime_feed_shape(spark):
     msg = json.loads(realtime_feed(alerts(spark).limit(1), "alert.created").first().message)
     assert msg["type"] == "alert.created" and msg["data"]["created_at"].endswith("Z")
     assert "asset_id" in msg["data"]
+
+
+def test_export_report_dispatch(spark, scratch):
+    import pytest
+
+    from nightjar.sinks.export import export_report
+    a = alerts(spark).withColumn("mitre_technique_ids", __import__("pyspark.sql.functions", fromlist=["array"])
+                                 .array().cast("array<string>"))
+    out = os.path.join(scratch, "rep")
+    export_report({"alerts": a.coalesce(1)}, "alerts", "json", out)
+    (text,) = read_parts(out, ".json")
+    assert "mitre_technique_ids" not in text
+    with pytest.raises(ValueError):
+        export_report({"users": a}, "users", "csv", out)

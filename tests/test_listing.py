@@ -151,3 +151,15 @@ def test_asset_name_lookup_salted(spark):
     plain = sorted((r.id, r.asset_name) for r in ls.with_asset_name(v, a).collect())
     salted = sorted((r.id, r.asset_name) for r in ls.with_asset_name(v, a, hot_share=0.3).collect())
     assert plain == salted and ("v1", "h1") in plain and ("v3", "h1") in plain
+
+
+def test_route_list_functions(spark):
+    inc = mk(spark, "incidents", [dict(id=i, title=f"i{i}", severity=s, status=st, created_at=f"2024-01-0{i} 00:00:00")
+                                  for i, s, st in [(1, "high", "open"), (2, "low", "open"), (3, "high", "closed")]])
+    env = ls.list_incidents(inc, status="open", severity="high")
+    assert [r.id for r in env["items"].collect()] == [1] and env["total"].first().total == 1
+    assert [r.id for r in ls.list_assets(assets(spark), criticality="critical", sort_by="name",
+                                         order="asc")["items"].collect()] == [1, 3]
+    src = spark.createDataFrame([(2, "b"), (1, "a")], "id long, name string").selectExpr(
+        "id", "name", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) AS created_at")
+    assert [r.id for r in ls.list_sources(src).collect()] == [1, 2]
