@@ -121,3 +121,8 @@ def test_process_ingestion_end_to_end(spark):
     assert msg["type"] == "alert.created" and msg["data"]["id"] == a.id
     again = process_ingestion(events, sources, key_col="event_key")["alerts"].first()
     assert again.id == a.id  # deterministic ids under replay
+
+
+def test_js_trim_unicode_spaces(spark):
+    df = spark.createDataFrame([("  ﻿x y　 ",)], "s string")
+    assert df.select(js_trim("s").alias("t")).first().t == "x y"
