@@ -242,16 +242,17 @@ def _patch_with_history(snapshot: DataFrame, changes: DataFrame, entity: str, ki
     res = apply_patches(snapshot, changes, fields, set_once=set_once)
     known = changes.join(snapshot.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     tracked = [f for f in ("status", "assigned_to_id", "title") if f in snapshot.columns]
-    seq_fields = []
-    for f in tracked:
-        p = fields.get(f, F.lit(False))
-        src = f if f in known.columns else None
-        if src is None:
-            known = known.withColumn(f, F.lit(None).cast(snapshot.schema[f].dataType))
-        seq_fields.append((f, p, f, f"{f}_before", f"{f}_after"))
-    seq = carry_forward_many(known, "entity_id", "ts", "change_id", seq_fields,
-                             seed=snapshot.select(F.col("id").alias("entity_id"), *tracked),
-                             bucket_unit=bucket_unit)
+    carried = [f for f in tracked if f in fields]
+    seq = carry_forward_many(known, "entity_id", "ts", "change_id",
+                             [(f, fields[f], f, f"{f}_before", f"{f}_after") for f in carried],
+                             seed=snapshot.select(F.col("id").alias("entity_id"), *carried),
+                             bucket_unit=bucket_unit) if carried else known
+    fixed = [f for f in tracked if f not in fields]
+    if fixed:
+        # fields no patch can change keep their snapshot value before and after
+        snap_vals = snapshot.select(F.col("id").alias("entity_id"),
+                                    *[F.col(f).alias(f"{f}_{w}") for f in fixed for w in ("before", "after")])
+        seq = seq.join(snap_vals, "entity_id", "left")
     notify = None
     if "assigned_to_id" in fields:
         a_set = fields["assigned_to_id"]
@@ -286,6 +287,9 @@ def patch_incidents(incidents: DataFrame, changes: DataFrame, bucket_unit: str =
                               {"closed_at": F.col("status").isin(*schemas.CLOSED_INCIDENT_STATUSES)}
                               if "status" in changes.columns else None, bucket_unit)
     seq = out["sequence"]
+    if "status" not in changes.columns:  # no status patches: no status_change rows
+        out["timeline"] = None
+        return out
     timeline = seq.where(F.col("status").isNotNull() & (F.col("status") != F.col("status_before"))).select(
         stable_id(F.lit("timeline"), F.col("change_id")).alias("id"),
         F.col("entity_id").alias("incident_id"), "author_id", F.lit("status_change").alias("event_type"),

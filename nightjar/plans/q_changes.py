@@ -61,7 +61,11 @@ WINDOW w_before AS (PARTITION BY entity_id ORDER BY ts, change_id ROWS BETWEEN U
 
 
 def _incident_patch(d: Domain):
-    return ch.patch_incidents(d.incidents, d.status_changes)
+    return d.memo("patch_incidents", lambda: ch.patch_incidents(d.incidents, d.status_changes))
+
+
+def _alert_patch(d: Domain):
+    return d.memo("patch_alerts", lambda: ch.patch_alerts(d.alerts, d.alert_changes))
 
 
 @register("m5_incident_snapshot", with_views("""
@@ -182,7 +186,8 @@ def m3(d: Domain):
 
 # -- M-4 / J-8 ---------------------------------------------------------------------
 def _opened(d: Domain):
-    return ch.open_incidents(d.incidents, d.alerts, d.incident_timeline_events, d.incident_requests, AS_OF)
+    return d.memo("open_incidents", lambda: ch.open_incidents(d.incidents, d.alerts, d.incident_timeline_events,
+                                                              d.incident_requests, AS_OF))
 
 
 @register("m4_created_incidents", with_views(f"""
@@ -297,7 +302,7 @@ FROM alerts a LEFT JOIN (
   FROM alert_changes GROUP BY entity_id) f ON f.entity_id = a.id""", ["alerts", "alert_changes"]))
 def m2a(d: Domain):
     """M-2 for alerts: tri-state field patches folded per alert."""
-    return ch.patch_alerts(d.alerts, d.alert_changes)["snapshot"].select(
+    return _alert_patch(d)["snapshot"].select(
         "id", "title", "severity", "status", "assigned_to_id", "updated_at")
 
 
@@ -324,7 +329,7 @@ WHERE assigned_to_set AND assigned_to_id IS NOT NULL AND (assignee_before IS NUL
                                                 ["alerts", "alert_changes"]))
 def m11a(d: Domain):
     """M-11 for alerts: the message is the alert title after the patch."""
-    return ch.patch_alerts(d.alerts, d.alert_changes)["notifications"]
+    return _alert_patch(d)["notifications"]
 
 
 @register("m10_alert_audit", with_views(f"""
@@ -333,4 +338,4 @@ SELECT {_sha("'audit'", "'alert'", "CAST(change_id AS VARCHAR)")} AS id, CAST(NU
        CAST(NULL AS VARCHAR) AS ip_address, json_object('status', status_after)::VARCHAR AS metadata, ts AS created_at
 FROM ({ALERT_SEQ}) s""", ["alerts", "alert_changes"]))
 def m10a(d: Domain):
-    return ch.patch_alerts(d.alerts, d.alert_changes)["audit"]
+    return _alert_patch(d)["audit"]

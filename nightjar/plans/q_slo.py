@@ -142,8 +142,10 @@ GROUP BY method, island"""
 
 
 def _breaches(d: Domain):
-    evals = slo.error_ratio(d.http_requests, "ts", "status", ["method"])
-    return slo.sustained_breach(evals, ["method"], "window_end", "breach", "5 minutes", "15 seconds")
+    def build():
+        evals = slo.error_ratio(d.http_requests, "ts", "status", ["method"])
+        return slo.sustained_breach(evals, ["method"], "window_end", "breach", "5 minutes", "15 seconds")
+    return d.memo("breaches", build)
 
 
 @register("st10_sustained_breach", with_views(BREACH_SQL, ["http_requests"]))

@@ -76,6 +76,14 @@ class Domain:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def memo(self, key: str, build):
+        """Build a derived result once per Domain (lazy plans are immutable,
+        so queries sharing an operator result reuse its plan)."""
+        cache = self.__dict__.setdefault("_memo", {})
+        if key not in cache:
+            cache[key] = build()
+        return cache[key]
+
     def table(self, name: str) -> DataFrame:
         """The driver's table as a lazy scan; the relation (file listing and
         footer schema) is resolved once per session and path and reused."""
