@@ -14,32 +14,39 @@ from nightjar.functions.scalars import keep_rows
 from nightjar.functions.syslog import with_parsed_syslog
 
 
+# Marks a quoted empty field while reading (an unquoted one reads as null),
+# so a lone "" record can be told from a ",," record.
+_QUOTED_EMPTY = "\u0000nightjar-empty\u0000"
+
+
 def read_csv_events(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1: RFC 4180 records, header row, every value a string.
 
     Missing cells read as ``''`` (not null); quoted commas, doubled quotes,
     quoted newlines and CRLF / CR line ends are kept by the CSV reader.  When a
-    header repeats a name, the last cell of that name wins.  Blank lines and
-    header-only files give no rows."""
+    header repeats a name, the last cell of that name wins.  Blank lines, a
+    record that is one (quoted) empty field and header-only files give no
+    rows; ``,,`` is a row of empty strings.  (A record ``"",,`` reads like a
+    lone ``""`` and is dropped too — the one case the reader cannot tell.)"""
     raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
            .option("escape", '"').option("inferSchema", False).option("mode", "PERMISSIVE")
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .option("emptyValue", _QUOTED_EMPTY)
            .csv(path))
+    cols = raw.columns
+    if cols:
+        lone_empty = F.col(f"`{cols[0]}`").eqNullSafe(F.lit(_QUOTED_EMPTY))
+        for c in cols[1:]:
+            lone_empty = lone_empty & F.col(f"`{c}`").isNull()
+        raw = raw.where(~lone_empty)
     # Spark renames repeated header names to name<index>; collapse them to the
     # last occurrence under the original name.
     header = _csv_header(spark, path)
     if header is not None and len(header) == len(raw.columns) and len(set(header)) != len(header):
         last = {name: i for i, name in enumerate(header)}
-        cols = [F.col(f"`{raw.columns[i]}`").alias(name) for name, i in last.items()]
-        raw = raw.select(*cols)
-    # An all-null row is an empty record (a lone empty field); keep the rest.
-    not_empty = None
-    for c in raw.columns:
-        cond = F.col(f"`{c}`").isNotNull()
-        not_empty = cond if not_empty is None else not_empty | cond
-    if not_empty is not None:
-        raw = raw.where(not_empty)
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
+        raw = raw.select(*[F.col(f"`{raw.columns[i]}`").alias(name) for name, i in last.items()])
+    return raw.select(*[F.when(F.col(f"`{c}`") == F.lit(_QUOTED_EMPTY), F.lit(""))
+                        .otherwise(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in raw.columns])
 
 
 def _csv_header(spark: SparkSession, path: str) -> list[str] | None:

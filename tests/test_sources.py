@@ -168,3 +168,8 @@ def test_upload_flow(spark, scratch):
     assert reasons == {"obj.json": "JSON file must contain an array of records",
                        "bad.json": "Failed to parse JSON file",
                        "big.json": "File has 1001 rows; max is 1000"}
+
+
+def test_csv_lone_quoted_empty_dropped_but_commas_kept(spark, scratch):
+    p = write_text(scratch, "h.csv", 'a,b,c\n""\n,,\n"",x,\n')
+    assert rows(read_csv_events(spark, p)) == [{"a": "", "b": "", "c": ""}, {"a": "", "b": "x", "c": ""}]
