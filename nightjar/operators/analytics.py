@@ -53,21 +53,21 @@ def alerts_heatmap(alerts: DataFrame, days: int, as_of: dt.datetime | str) -> Da
 
 def heatmap_grid(heatmap: DataFrame) -> DataFrame:
     """J-12: densify to the full 7×24 grid, missing cells = 0."""
-    spark = heatmap.sparkSession
-    grid = (spark.range(7).select(F.col("id").cast("int").alias("day_of_week"))
-            .crossJoin(spark.range(24).select(F.col("id").cast("int").alias("hour"))))
+    # the 168 cells come from one range, no cross product
+    grid = heatmap.sparkSession.range(7 * 24).select((F.col("id") / 24).cast("int").alias("day_of_week"),
+                                                     (F.col("id") % 24).cast("int").alias("hour"))
     return (F.broadcast(grid).join(heatmap, ["day_of_week", "hour"], "left")
             .select("day_of_week", "hour", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
 def heatmap_levels(cells: DataFrame) -> DataFrame:
     """A-3: ratio = count / max(1, max count); level 0 if ratio ≤ 0 else
-    1 + min(4, floor(ratio·5)).  The max is a one-row aggregate joined back
-    (no single-partition window over the cells)."""
-    mx = F.broadcast(cells.agg(F.greatest(F.lit(1), F.max("count")).alias("_max")))
-    ratio = F.col("count") / F.col("_max")
+    1 + min(4, floor(ratio·5)).  The max is a scalar subquery (no join, no
+    single-partition window over the cells)."""
+    mx = cells.agg(F.greatest(F.lit(1), F.max("count"))).scalar()
+    ratio = F.col("count") / mx
     level = F.when(ratio <= 0, F.lit(0)).otherwise(1 + F.least(F.lit(4), F.floor(ratio * 5).cast("int")))
-    return cells.crossJoin(mx).select(*cells.columns, ratio.alias("ratio"), level.cast("int").alias("level"))
+    return cells.select(*cells.columns, ratio.alias("ratio"), level.cast("int").alias("level"))
 
 
 # --------------------------------------------------------------------------
@@ -226,18 +226,22 @@ def asset_risk(assets: DataFrame, vulnerabilities: DataFrame, alerts: DataFrame,
 def dashboard_summary(alerts: DataFrame, incidents: DataFrame, vulnerabilities: DataFrame,
                       assets: DataFrame) -> DataFrame:
     """A-9 (+ A-10): one global aggregate per table (4 scans instead of 13
-    counts), the one-row results cross-joined."""
+    counts), each a scalar subquery returning a struct, read into one row."""
     st, sev = F.col("status"), F.col("severity")
-    a = alerts.agg(F.count(F.lit(1)).alias("alerts_total"), F.count_if(st == "open").alias("alerts_open"),
-                   *[F.count_if(sev == s).alias(f"alerts_{s}") for s in ("critical", "high", "medium", "low")])
-    i = incidents.agg(F.count(F.lit(1)).alias("incidents_total"),
-                      F.count_if(st == "open").alias("incidents_open"),
-                      F.count_if(st == "investigating").alias("incidents_investigating"))
-    v = vulnerabilities.agg(F.count(F.lit(1)).alias("vulnerabilities_total"),
-                            F.count_if(st == "open").alias("vulnerabilities_open"),
-                            F.count_if((st == "open") & (sev == "critical")).alias("vulnerabilities_critical"))
-    s = assets.agg(F.count(F.lit(1)).alias("assets_total"))
-    out = a.crossJoin(i).crossJoin(v).crossJoin(s)
+
+    def one(df: DataFrame, *aggs: Column) -> Column:
+        return df.agg(F.struct(*aggs).alias("s")).scalar()
+
+    a = one(alerts, F.count(F.lit(1)).alias("alerts_total"), F.count_if(st == "open").alias("alerts_open"),
+            *[F.count_if(sev == s).alias(f"alerts_{s}") for s in ("critical", "high", "medium", "low")])
+    i = one(incidents, F.count(F.lit(1)).alias("incidents_total"), F.count_if(st == "open").alias("incidents_open"),
+            F.count_if(st == "investigating").alias("incidents_investigating"))
+    v = one(vulnerabilities, F.count(F.lit(1)).alias("vulnerabilities_total"),
+            F.count_if(st == "open").alias("vulnerabilities_open"),
+            F.count_if((st == "open") & (sev == "critical")).alias("vulnerabilities_critical"))
+    s = one(assets, F.count(F.lit(1)).alias("assets_total"))
+    out = alerts.sparkSession.range(1).select(a.alias("_a"), i.alias("_i"), v.alias("_v"), s.alias("_s")).select(
+        "_a.*", "_i.*", "_v.*", "_s.*")
     return out.withColumn("active_incidents", F.col("incidents_open") + F.col("incidents_investigating"))
 
 

@@ -209,7 +209,7 @@ def skew_safe_lookup(fact: DataFrame, dim: DataFrame, key: str, hot_share: float
     """Left lookup join ``fact ⟕ dim`` on ``key`` that splits hot keys.
 
     A key is hot when it holds at least ``hot_share`` of all fact rows (one
-    count per key, partial aggregation, plus a one-row total), so at most
+    count per key, partial aggregation, and the total as a scalar subquery), so at most
     ``1 / hot_share`` keys qualify whatever the data size: that list is safe
     to broadcast.  Fact rows of a hot key are spread over ``salt_buckets``
     salts by a hash of the row (not ``rand()``, so a retried task salts
@@ -218,9 +218,8 @@ def skew_safe_lookup(fact: DataFrame, dim: DataFrame, key: str, hot_share: float
     if not 0 < hot_share <= 1:
         raise ValueError("hot_share must be in (0, 1]")
     counts = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = (counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= F.col("_total") * F.lit(hot_share))
-           .select(key, F.lit(True).alias("_hot")))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.where(F.col("_n") >= total * F.lit(hot_share)).select(key, F.lit(True).alias("_hot"))
     row_hash = F.xxhash64(*[F.col(c) for c in fact.columns])
     f = (fact.join(F.broadcast(hot), key, "left")
          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salt_buckets))).otherwise(F.lit(0)))

@@ -109,11 +109,14 @@ class Domain:
         )
 
     @functools.cached_property
-    def counts(self) -> DataFrame:
-        """One row: n_customers, n_users (a proven one-row broadcast side)."""
-        c = self.table("customer").agg(F.count(F.lit(1)).alias("n_customers"))
-        u = self.table("supplier").agg(F.count(F.lit(1)).alias("n_users"))
-        return F.broadcast(c.crossJoin(u))
+    def n_customers(self) -> Column:
+        """Row count of ``customer`` as a scalar subquery (run once, no join)."""
+        return self.table("customer").agg(F.count(F.lit(1))).scalar()
+
+    @functools.cached_property
+    def n_users(self) -> Column:
+        """Row count of ``supplier`` (the users) as a scalar subquery."""
+        return self.table("supplier").agg(F.count(F.lit(1))).scalar()
 
     # -- entities -----------------------------------------------------------
     @functools.cached_property
@@ -140,7 +143,7 @@ class Domain:
 
     @functools.cached_property
     def alerts(self) -> DataFrame:
-        e = self.table("events").crossJoin(self.counts)
+        e = self.table("events")
         eid = F.col("event_id")
         return e.select(
             eid.alias("id"),
@@ -149,9 +152,9 @@ class Domain:
             map_values("event_type", EVENT_SEVERITY, "info").alias("severity"),
             _pick(schemas.ALERT_STATUSES, eid % 4).alias("status"),
             self._source_ip().alias("source_ip"),
-            F.when(eid % 5 != 0, eid % F.col("n_customers")).alias("asset_id"),
+            F.when(eid % 5 != 0, eid % self.n_customers).alias("asset_id"),
             F.when(eid % 7 != 0, map_values("event_type", EVENT_SOURCE).cast("long")).alias("ingestion_source_id"),
-            F.when(eid % 3 == 0, eid % F.col("n_users")).alias("assigned_to_id"),
+            F.when(eid % 3 == 0, eid % self.n_users).alias("assigned_to_id"),
             F.when(eid % 3 == 1, eid - eid % 50).alias("incident_id"),
             F.col("ts").alias("created_at"),
             F.col("ts").alias("updated_at"),
@@ -169,7 +172,7 @@ class Domain:
 
     @functools.cached_property
     def incidents(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 50 == 0).crossJoin(self.counts)
+        e = self.table("events").where(F.col("event_id") % 50 == 0)
         eid = F.col("event_id")
         status = _pick(schemas.INCIDENT_STATUSES, F.expr("(event_id div 50) % 5"))
         return e.select(
@@ -177,7 +180,7 @@ class Domain:
             F.concat(F.lit("Incident "), eid, F.lit(": "), F.col("event_type")).alias("title"),
             map_values("event_type", EVENT_SEVERITY, "info").alias("severity"),
             status.alias("status"),
-            F.when(eid % 150 != 0, F.col("user_id") % F.col("n_users")).alias("assigned_to_id"),
+            F.when(eid % 150 != 0, F.col("user_id") % self.n_users).alias("assigned_to_id"),
             F.col("ts").alias("created_at"),
             F.col("ts").alias("updated_at"),
             F.when(status.isin(*schemas.CLOSED_INCIDENT_STATUSES), _ts_plus("DAY", "1", "ts")).alias("closed_at"),
@@ -247,11 +250,11 @@ class Domain:
 
     @functools.cached_property
     def notifications(self) -> DataFrame:
-        e = self.table("events").crossJoin(self.counts)
+        e = self.table("events")
         eid = F.col("event_id")
         return e.select(
             eid.alias("id"),
-            (eid % F.col("n_users")).alias("user_id"),
+            (eid % self.n_users).alias("user_id"),
             map_values("event_type", NOTIFICATION_KIND, "system").alias("type"),
             F.concat(F.lit("Notice "), eid).alias("title"),
             F.col("event_type").alias("message"),
@@ -261,14 +264,14 @@ class Domain:
 
     @functools.cached_property
     def audit_logs(self) -> DataFrame:
-        e = self.table("events").crossJoin(self.counts)
+        e = self.table("events")
         eid = F.col("event_id")
         entity = map_values("event_type", EVENT_ENTITY, "alert")
         verb = _pick(["created", "updated", "deleted"], eid % 3)
         target_type = F.when(eid % 9 != 0, entity)
         return e.select(
             eid.alias("id"),
-            F.when(eid % 4 != 0, F.col("user_id") % F.col("n_users")).alias("actor_id"),
+            F.when(eid % 4 != 0, F.col("user_id") % self.n_users).alias("actor_id"),
             F.concat(entity, F.lit("."), verb).alias("action"),
             target_type.alias("target_type"),
             F.when(target_type.isNotNull(), F.concat(F.lit("tgt"), (eid * 7919).cast("string"))).alias("target_id"),
@@ -437,13 +440,13 @@ class Domain:
 
     @functools.cached_property
     def incident_requests(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 97 == 0).crossJoin(self.counts)
+        e = self.table("events").where(F.col("event_id") % 97 == 0)
         eid = F.col("event_id")
         return e.select(
             eid.alias("request_id"), F.concat(F.lit("Case "), eid).alias("title"),
             map_values("event_type", EVENT_SEVERITY, "info").alias("severity"),
             F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("assigned_to_id"),
-            (F.col("user_id") % F.col("n_users")).alias("author_id"),
+            (F.col("user_id") % self.n_users).alias("author_id"),
             F.array(eid + 1, eid + 2, eid + 98, eid + 100000000).alias("alert_ids"), "ts")
 
     @functools.cached_property
@@ -455,9 +458,9 @@ class Domain:
 
     @functools.cached_property
     def timeline_notes(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 37 == 0).crossJoin(self.counts)
+        e = self.table("events").where(F.col("event_id") % 37 == 0)
         return e.select(F.col("event_id").alias("note_id"), ((F.col("event_id") % 300) * 50).alias("incident_id"),
-                        (F.col("user_id") % F.col("n_users")).alias("author_id"),
+                        (F.col("user_id") % self.n_users).alias("author_id"),
                         F.concat(F.lit("Note "), F.col("event_id")).alias("message"), "ts")
 
     @functools.cached_property
@@ -478,7 +481,7 @@ class Domain:
         """Alert patches: every 5th event patches alert ``event_id·7 mod 1000``
         (an id present at every scale) with some of title / severity / status /
         assignee; an assignee patch clears the field one time in two."""
-        e = self.table("events").where(F.col("event_id") % 5 == 1).crossJoin(self.counts)
+        e = self.table("events").where(F.col("event_id") % 5 == 1)
         eid = F.col("event_id")
         a_set = eid % 6 == 1
         return e.select(
@@ -487,7 +490,7 @@ class Domain:
             F.when(eid % 4 == 0, _pick(schemas.SEVERITIES, eid % 5)).alias("severity"),
             F.when(eid % 2 == 0, _pick(schemas.ALERT_STATUSES, F.expr("(event_id div 2) % 4"))).alias("status"),
             a_set.alias("assigned_to_set"),
-            F.when(a_set & (eid % 12 != 1), F.col("user_id") % F.col("n_users")).alias("assigned_to_id"),
+            F.when(a_set & (eid % 12 != 1), F.col("user_id") % self.n_users).alias("assigned_to_id"),
         )
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
