@@ -40,7 +40,6 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
                               f"TIMESTAMP '{V.USER_EPOCH}' + to_hours(CAST(id AS BIGINT)) AS created_at FROM (VALUES "
                           + ", ".join(f"({i}, {_q(n)}, {_q(t)}, {str(a).upper()})" for i, n, t, a in V.SOURCES)
                           + ") AS t(id, name, type, is_active)"),
-    "counts": ([], "SELECT (SELECT count(*) FROM customer) AS n_customers, (SELECT count(*) FROM supplier) AS n_users"),
     "assets": ([], f"""
 SELECT c_custkey AS id, c_name AS name,
        {_case('c_mktsegment', V.SEGMENT_TYPE, 'other')} AS type,
@@ -52,36 +51,36 @@ SELECT c_custkey AS id, c_name AS name,
        TIMESTAMP '{V.ASSET_EPOCH}' + to_minutes(c_custkey) AS created_at,
        TIMESTAMP '{V.ASSET_EPOCH}' + to_minutes(c_custkey) AS updated_at
 FROM customer"""),
-    "alerts": (["counts"], f"""
+    "alerts": ([], f"""
 SELECT event_id AS id,
        {_list(V.ALERT_TITLES)}[event_id % 6 + 1] AS title,
        concat('Event ', event_id, ' (', event_type, ')') AS description,
        {_case('event_type', V.EVENT_SEVERITY, 'info')} AS severity,
        {_list(schemas.ALERT_STATUSES)}[event_id % 4 + 1] AS status,
        {SRC_IP} AS source_ip,
-       CASE WHEN event_id % 5 <> 0 THEN event_id % n_customers END AS asset_id,
+       CASE WHEN event_id % 5 <> 0 THEN event_id % (SELECT count(*) FROM customer) END AS asset_id,
        CASE WHEN event_id % 7 <> 0 THEN CAST({_case('event_type', V.EVENT_SOURCE, None)} AS BIGINT) END
            AS ingestion_source_id,
-       CASE WHEN event_id % 3 = 0 THEN event_id % n_users END AS assigned_to_id,
+       CASE WHEN event_id % 3 = 0 THEN event_id % (SELECT count(*) FROM supplier) END AS assigned_to_id,
        CASE WHEN event_id % 3 = 1 THEN event_id - event_id % 50 END AS incident_id,
        ts AS created_at, ts AS updated_at
-FROM events, counts"""),
+FROM events"""),
     "alert_mitre_mappings": ([], f"""
 SELECT event_id AS alert_id, {TECH_IDS}[event_id % 33 + 1] AS mitre_technique_id
 FROM events WHERE event_id % 11 <> 0
 UNION
 SELECT event_id AS alert_id, {TECH_IDS}[(event_id * 7 + 1) % 33 + 1] AS mitre_technique_id
 FROM events WHERE event_id % 11 <> 0 AND event_id % 3 = 0"""),
-    "incidents": (["counts"], f"""
+    "incidents": ([], f"""
 SELECT id, title, severity, status, assigned_to_id, created_at, updated_at,
        CASE WHEN status IN ('resolved', 'closed') THEN created_at + INTERVAL 1 DAY END AS closed_at
 FROM (
   SELECT event_id AS id, concat('Incident ', event_id, ': ', event_type) AS title,
          {_case('event_type', V.EVENT_SEVERITY, 'info')} AS severity,
          {_list(schemas.INCIDENT_STATUSES)}[(event_id // 50) % 5 + 1] AS status,
-         CASE WHEN event_id % 150 <> 0 THEN user_id % n_users END AS assigned_to_id,
+         CASE WHEN event_id % 150 <> 0 THEN user_id % (SELECT count(*) FROM supplier) END AS assigned_to_id,
          ts AS created_at, ts AS updated_at
-  FROM events, counts WHERE event_id % 50 = 0)"""),
+  FROM events WHERE event_id % 50 = 0)"""),
     "incident_timeline_events": (["incidents"], """
 SELECT concat(id, '-0') AS id, id AS incident_id, assigned_to_id AS author_id, 'note' AS event_type,
        'Incident opened' AS message, created_at FROM incidents
@@ -112,21 +111,21 @@ SELECT s_suppkey AS id, concat('user', s_suppkey, '@example.com') AS email, s_na
        {_list(schemas.USER_ROLES)}[s_nationkey % 4 + 1] AS role, s_acctbal >= 0 AS is_active,
        TIMESTAMP '{V.USER_EPOCH}' + to_minutes(s_suppkey) AS created_at
 FROM supplier"""),
-    "notifications": (["counts"], f"""
-SELECT event_id AS id, event_id % n_users AS user_id, {_case('event_type', V.NOTIFICATION_KIND, 'system')} AS type,
+    "notifications": ([], f"""
+SELECT event_id AS id, event_id % (SELECT count(*) FROM supplier) AS user_id, {_case('event_type', V.NOTIFICATION_KIND, 'system')} AS type,
        concat('Notice ', event_id) AS title, event_type AS message,
        CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 1 HOUR END AS read_at, ts AS created_at
-FROM events, counts"""),
-    "audit_logs": (["counts"], f"""
+FROM events"""),
+    "audit_logs": ([], f"""
 SELECT event_id AS id,
-       CASE WHEN event_id % 4 <> 0 THEN user_id % n_users END AS actor_id,
+       CASE WHEN event_id % 4 <> 0 THEN user_id % (SELECT count(*) FROM supplier) END AS actor_id,
        concat({_case('event_type', V.EVENT_ENTITY, 'alert')}, '.', ['created', 'updated', 'deleted'][event_id % 3 + 1])
            AS action,
        CASE WHEN event_id % 9 <> 0 THEN {_case('event_type', V.EVENT_ENTITY, 'alert')} END AS target_type,
        CASE WHEN event_id % 9 <> 0 THEN concat('tgt', CAST(event_id * 7919 AS VARCHAR)) END AS target_id,
        CASE WHEN event_id % 6 <> 0 THEN {SRC_IP} END AS ip_address,
        props AS metadata, ts AS created_at
-FROM events, counts"""),
+FROM events"""),
     "iocs": ([], f"""
 SELECT concat(type, ':', value) AS id, type, value, {SEV}[p0 % 5 + 1] AS severity,
        CAST(NULL AS VARCHAR) AS threat_actor_id,
@@ -199,17 +198,17 @@ SELECT event_id AS change_id, event_id AS entity_id, ts,
 FROM events WHERE event_id % 13 = 0
 UNION ALL
 SELECT event_id + 1000000000, event_id, ts + INTERVAL 1 HOUR, ['T1566'] FROM events WHERE event_id % 26 = 0"""),
-    "incident_requests": (["counts"], f"""
+    "incident_requests": ([], f"""
 SELECT event_id AS request_id, concat('Case ', event_id) AS title, {_case('event_type', V.EVENT_SEVERITY, 'info')}
        AS severity, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS assigned_to_id,
-       user_id % n_users AS author_id, [event_id + 1, event_id + 2, event_id + 98, event_id + 100000000] AS alert_ids, ts
-FROM events, counts WHERE event_id % 97 = 0"""),
+       user_id % (SELECT count(*) FROM supplier) AS author_id, [event_id + 1, event_id + 2, event_id + 98, event_id + 100000000] AS alert_ids, ts
+FROM events WHERE event_id % 97 = 0"""),
     "source_toggles": ([], """
 SELECT event_id AS change_id, CAST((event_id // 1000) % 7 + 1 AS BIGINT) AS entity_id, ts,
        (event_id // 1000) % 2 = 0 AS is_active FROM events WHERE event_id % 1000 = 0"""),
-    "timeline_notes": (["counts"], """
-SELECT event_id AS note_id, (event_id % 300) * 50 AS incident_id, user_id % n_users AS author_id,
-       concat('Note ', event_id) AS message, ts FROM events, counts WHERE event_id % 37 = 0"""),
+    "timeline_notes": ([], """
+SELECT event_id AS note_id, (event_id % 300) * 50 AS incident_id, user_id % (SELECT count(*) FROM supplier) AS author_id,
+       concat('Note ', event_id) AS message, ts FROM events WHERE event_id % 37 = 0"""),
     "alert_creates": ([], f"""
 SELECT event_id AS id,
        CASE WHEN event_id % 90 = 0 THEN '' WHEN event_id % 45 = 0 THEN repeat('x', 201)
@@ -219,14 +218,14 @@ SELECT event_id AS id,
             ELSE {_case('event_type', V.EVENT_SEVERITY, None)} END AS severity,
        CAST(NULL AS VARCHAR) AS status, CASE WHEN event_id % 2 = 0 THEN ts END AS created_at
 FROM events WHERE event_id % 9 = 0"""),
-    "alert_changes": (["counts"], f"""
+    "alert_changes": ([], f"""
 SELECT event_id AS change_id, (event_id * 7) % 1000 AS entity_id, ts,
        CASE WHEN event_id % 3 = 0 THEN concat('Retitled ', event_id) END AS title,
        CASE WHEN event_id % 4 = 0 THEN {SEV}[event_id % 5 + 1] END AS severity,
        CASE WHEN event_id % 2 = 0 THEN {_list(schemas.ALERT_STATUSES)}[(event_id // 2) % 4 + 1] END AS status,
        event_id % 6 = 1 AS assigned_to_set,
-       CASE WHEN event_id % 6 = 1 AND event_id % 12 <> 1 THEN user_id % n_users END AS assigned_to_id
-FROM events, counts WHERE event_id % 5 = 1"""),
+       CASE WHEN event_id % 6 = 1 AND event_id % 12 <> 1 THEN user_id % (SELECT count(*) FROM supplier) END AS assigned_to_id
+FROM events WHERE event_id % 5 = 1"""),
 }
 
 

@@ -44,8 +44,8 @@ def a2(d: Domain):
 # -- J-12 / A-3 --------------------------------------------------------------
 GRID_CTES = {
     "h": HEATMAP_SQL.format(since=SINCE_7),
-    "g": "SELECT CAST(d.range AS INTEGER) AS day_of_week, CAST(hr.range AS INTEGER) AS hour "
-         "FROM range(7) d, range(24) hr",
+    "g": "SELECT CAST(r.range // 24 AS INTEGER) AS day_of_week, CAST(r.range % 24 AS INTEGER) AS hour "
+         "FROM range(168) r",
     "c": "SELECT g.day_of_week, g.hour, CAST(coalesce(h.count, 0) AS BIGINT) AS count "
          "FROM g LEFT JOIN h ON g.day_of_week = h.day_of_week AND g.hour = h.hour",
 }
@@ -57,9 +57,9 @@ def j12(d: Domain):
 
 
 @register("a3_heatmap_levels", with_views("""
-SELECT day_of_week, hour, count, count / mx AS ratio,
-       CASE WHEN count / mx <= 0 THEN 0 ELSE 1 + least(4, CAST(floor(count / mx * 5) AS INTEGER)) END AS level
-FROM c, (SELECT greatest(1, max(count)) AS mx FROM c) m""", ["alerts"], GRID_CTES))
+SELECT day_of_week, hour, count, ratio,
+       CASE WHEN ratio <= 0 THEN 0 ELSE 1 + least(4, CAST(floor(ratio * 5) AS INTEGER)) END AS level
+FROM (SELECT *, count / (SELECT greatest(1, max(count)) FROM c) AS ratio FROM c) r""", ["alerts"], GRID_CTES))
 def a3(d: Domain):
     return an.heatmap_levels(an.heatmap_grid(an.alerts_heatmap(d.alerts, 7, AS_OF)))
 
@@ -177,19 +177,28 @@ def a7(d: Domain):
 
 
 # -- A-9 / A-10 / A-11 -------------------------------------------------------
-SUMMARY_SQL = """
-SELECT a.*, i.*, v.*, s.*, i.incidents_open + i.incidents_investigating AS active_incidents
-FROM (SELECT count(*) AS alerts_total, CAST(count_if(status = 'open') AS BIGINT) AS alerts_open,
-             CAST(count_if(severity = 'critical') AS BIGINT) AS alerts_critical,
-             CAST(count_if(severity = 'high') AS BIGINT) AS alerts_high,
-             CAST(count_if(severity = 'medium') AS BIGINT) AS alerts_medium,
-             CAST(count_if(severity = 'low') AS BIGINT) AS alerts_low FROM alerts) a,
-     (SELECT count(*) AS incidents_total, CAST(count_if(status = 'open') AS BIGINT) AS incidents_open,
-             CAST(count_if(status = 'investigating') AS BIGINT) AS incidents_investigating FROM incidents) i,
-     (SELECT count(*) AS vulnerabilities_total, CAST(count_if(status = 'open') AS BIGINT) AS vulnerabilities_open,
-             CAST(count_if(status = 'open' AND severity = 'critical') AS BIGINT) AS vulnerabilities_critical
-      FROM vulnerabilities) v,
-     (SELECT count(*) AS assets_total FROM assets) s"""
+def summary_sql(alert_where: str = "", incident_where: str = "") -> str:
+    """A-9 as scalar subqueries, one per count (no join of one-row tables)."""
+    def q(expr: str, table: str, where: str) -> str:
+        return f"(SELECT CAST({expr} AS BIGINT) FROM {table} {where})"
+    aw, iw = alert_where, incident_where
+    cols = [
+        (q("count(*)", "alerts", aw), "alerts_total"),
+        (q("count_if(status = 'open')", "alerts", aw), "alerts_open"),
+        *[(q(f"count_if(severity = '{x}')", "alerts", aw), f"alerts_{x}") for x in ("critical", "high", "medium", "low")],
+        (q("count(*)", "incidents", iw), "incidents_total"),
+        (q("count_if(status = 'open')", "incidents", iw), "incidents_open"),
+        (q("count_if(status = 'investigating')", "incidents", iw), "incidents_investigating"),
+        (q("count(*)", "vulnerabilities", ""), "vulnerabilities_total"),
+        (q("count_if(status = 'open')", "vulnerabilities", ""), "vulnerabilities_open"),
+        (q("count_if(status = 'open' AND severity = 'critical')", "vulnerabilities", ""), "vulnerabilities_critical"),
+        (q("count(*)", "assets", ""), "assets_total"),
+    ]
+    inner = "SELECT " + ", ".join(f"{e} AS {n}" for e, n in cols)
+    return f"SELECT *, incidents_open + incidents_investigating AS active_incidents FROM ({inner}) t"
+
+
+SUMMARY_SQL = summary_sql()
 
 
 @register("a9_dashboard_summary", with_views(SUMMARY_SQL, ["alerts", "incidents", "vulnerabilities", "assets"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nightjar.operators import analytics as an
 from nightjar.operators import slo
 from nightjar.plans.oracle_views import with_views
-from nightjar.plans.q_analytics import SUMMARY_SQL
+from nightjar.plans.q_analytics import summary_sql
 from nightjar.plans.registry import AS_OF, register
 from nightjar.plans.views import Domain
 
@@ -165,14 +165,13 @@ def st11(d: Domain):
     return slo.group_notifications(firings, AS_OF)
 
 
+DAY_WHERE = ("WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' "
+             "AND created_at < TIMESTAMP '2024-01-16 00:00:00'")
+
+
 @register("st13_daily_summary", with_views(
-    "SELECT '2024-01-15' AS day, * FROM (" + SUMMARY_SQL + ") s",
-    ["alerts", "incidents", "vulnerabilities", "assets"],
-    {"alerts_all": "SELECT * FROM alerts"}).replace(
-        "FROM alerts) a", "FROM alerts WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' "
-                          "AND created_at < TIMESTAMP '2024-01-16 00:00:00') a").replace(
-        "FROM incidents) i", "FROM incidents WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' "
-                             "AND created_at < TIMESTAMP '2024-01-16 00:00:00') i"))
+    "SELECT '2024-01-15' AS day, * FROM (" + summary_sql(DAY_WHERE, DAY_WHERE) + ") s",
+    ["alerts", "incidents", "vulnerabilities", "assets"]))
 def st13(d: Domain):
     return an.daily_summary(d.alerts, d.incidents, d.vulnerabilities, d.assets, "2024-01-15")
 
