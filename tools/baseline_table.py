@@ -25,6 +25,9 @@ nothing to beat or match.
 | same SQL on DuckDB, 1 thread | {d.get('duckdb_1thread_total_sec') or float('nan'):.1f} s |
 | ST-1 ingest micro-batch: parse → land → detect → 6 outputs written | {ing.get('lines', 0):,} lines in {ing.get('sec', 0):.1f} s = {ing.get('lines_per_sec', 0):,.0f} lines/s |
 
+Repeated runs on this VM differ by up to a third in both engines (warm Spark totals between about 81 s and 112 s
+over this session, DuckDB between 10 s and 17 s), so compare runs with care.
+
 At this size a Spark query has a fixed cost of about 1 s for planning, stage scheduling and AQE re-planning, so Spark
 stays several times slower than in-process DuckDB on 100k-row tables. The sliding-window queries (ST-4/5/7/10) are
 bound by their output: about 20 windows per event on data this sparse in time. The plans are built for the 100 TB case
