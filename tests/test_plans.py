@@ -64,3 +64,14 @@ def test_hot_keys_split_by_bucket_in_sequences(spark):
     p = q(spark, "w3_status_timeline")
     assert "date_trunc" in p.lower() or "_cf_bucket" in p
     assert re.search(r"Window \[.*\], \[entity_id#\d+L?, _cf_bucket", p)
+
+
+def test_no_cross_joins_in_any_registered_plan(spark):
+    """One-row values are scalar subqueries and the grid is one range: no
+    CartesianProduct / nested-loop join anywhere."""
+    bad = []
+    for name, fn in E.queries().items():
+        p = plan_of(fn(spark, SF_SMALL))
+        if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
+            bad.append(name)
+    assert bad == []
