@@ -163,3 +163,28 @@ def test_route_list_functions(spark):
     src = spark.createDataFrame([(2, "b"), (1, "a")], "id long, name string").selectExpr(
         "id", "name", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) AS created_at")
     assert [r.id for r in ls.list_sources(src).collect()] == [1, 2]
+
+
+def test_more_route_lists(spark):
+    iocs = mk(spark, "iocs", [dict(id=f"ip:{i}", type="ip" if i % 2 else "domain", value=str(i),
+                                   severity="high" if i < 3 else "low", first_seen_at="2024-01-01 00:00:00",
+                                   last_seen_at=f"2024-01-0{i} 00:00:00", created_at=f"2024-01-0{i} 00:00:00")
+                              for i in range(1, 6)])
+    env = ls.list_iocs(iocs, type="ip", sort_by="last_seen_at", order="asc")
+    assert [r.value for r in env["items"].collect()] == ["1", "3", "5"] and env["total"].first().total == 3
+    v = mk(spark, "vulnerabilities", [dict(id=f"v{i}", title="t", severity="critical", status="open" if i % 2 else
+                                           "remediated", asset_id=1, discovered_at=f"2024-01-0{i} 00:00:00",
+                                           created_at="2024-01-01 00:00:00") for i in range(1, 5)])
+    assert ls.list_vulnerabilities(v, status="open")["total"].first().total == 2
+    a = mk(spark, "audit_logs", [dict(id=i, action="alert.created" if i < 3 else "ioc.deleted", actor_id=1,
+                                      created_at=f"2024-01-0{i} 00:00:00") for i in range(1, 5)])
+    assert [r.id for r in ls.list_audit_logs(a, action="alert.created", order="asc")["items"].collect()] == [1, 2]
+
+
+def test_cluster_conf_sizes_partitions():
+    from nightjar.session import cluster_conf
+    c = cluster_conf(shuffle_bytes_estimate=100 * 2**40, executor_cores_total=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (128 * 2**20)
+    assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.files.maxPartitionBytes"] == "256m"
+    small = cluster_conf(shuffle_bytes_estimate=1, executor_cores_total=100)
+    assert small["spark.sql.shuffle.partitions"] == "300"
