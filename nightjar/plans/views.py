@@ -1,8 +1,8 @@
 """Adapter: the driver's synthetic tables → the security domain tables.
 
 The test tables are not security data, so each domain table is *derived*
-from them with plain projections (no joins except lineitem⋈orders and a
-one-row count), so every domain table grows with the input.  The same
+from them with plain projections (no joins except lineitem⋈orders; table
+row counts are scalar subqueries), so every domain table grows with the input.  The same
 definitions are written in DuckDB SQL in ``oracle_views.py``; the oracle
 therefore checks the adapter and the operator together.
 
