@@ -36,12 +36,51 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.ngram_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+OP5_MIN_SITES = 10
+
+
+@query("op5_line_spread", f"""
+with l as (
+  select doc_id, coalesce(source, '') as site, i, x, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t
+  from (select doc_id, source, unnest(string_split(text, chr(10))) as x,
+               generate_subscripts(string_split(text, chr(10)), 1) as i
+        from documents)),
+b as (select t, min(doc_id) as first from l where t <> '' group by t
+      having count(distinct site) >= {OP5_MIN_SITES}),
+k as (select l.doc_id, count(*) as n_lines, count(b.t) filter (where l.doc_id <> b.first) as n_removed,
+             string_agg(l.x, chr(10) order by l.i) filter (where b.t is null or l.doc_id = b.first) as kept
+      from l left join b on l.t = b.t group by l.doc_id)
+select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed,
+       sha256(coalesce(k.kept, '')) as kept_sha256
+from documents d left join k using (doc_id)""")
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.lines import remove_boilerplate
+    cut = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), OP5_MIN_SITES)
+    return cut.select("doc_id", "n_lines", "n_removed",
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op7_bin_slack_packing")
 def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightjar.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, end_id=0)
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.toxicity import add_score, fold, train
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = add_score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op10_bpe_round_trip")
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightjar.llm.common import id_text

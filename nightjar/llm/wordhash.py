@@ -73,11 +73,11 @@ class Words:
     """Words of a batch: ``start``/``end`` byte offsets into ``raw``, 64-bit
     ``hash`` of each, and ``first`` (row i owns words first[i]:first[i+1])."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = SEPARATORS):
         raw, offsets = text_buffer(column)
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        inside = ~SEPARATORS[raw]
+        inside = ~separators[raw]
         begins = inside.copy()
         if n:
             begins[1:] &= ~inside[:-1]
@@ -94,14 +94,16 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         low = LOWER[raw] if lower else raw
-        # polynomial hash of each word from one running sum over the batch,
-        # cut into stretches so the power table stays small
-        self.hash = np.empty(len(self.start), dtype=np.uint64)
-        inv = powers(_inverse(_BASE), n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-        h = (total[self.end] - total[self.start]) * inv[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(np.uint64) * _GRAM)
+        # polynomial hash of each word from one running sum over the batch
+        self.inv = powers(_inverse(_BASE), n + 1)
+        self.total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.total[1:])
+        self.hash = self.piece(self.start, self.end)
+
+    def piece(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of any byte ranges, such as word prefixes."""
+        h = (self.total[end] - self.total[start]) * self.inv[start]
+        return mix(h + (end - start).astype(np.uint64) * _GRAM)
 
     def __len__(self) -> int:
         return len(self.start)
