@@ -87,8 +87,10 @@ def _ids(batch: pa.RecordBatch, col: str) -> np.ndarray:
 
 
 _INDEX = {"key": pa.int64(), "block": pa.int64(), "doc": pa.int64(), "pos": pa.int32(),
-          "tag": pa.int32(), "settled": pa.bool_(), "many": pa.bool_(), "rdoc": pa.int64(), "rpos": pa.int32(), "same": pa.bool_()}
-_REF = {"doc": pa.int64(), "pos": pa.int32(), "tag": pa.int32(), "rdoc": pa.int64(), "rpos": pa.int32(), "same": pa.bool_()}
+          "tag": pa.int32(), "settled": pa.bool_(), "many": pa.bool_(), "rdoc": pa.int64(), "rpos": pa.int32(),
+          "same": pa.bool_()}
+_REF = {"doc": pa.int64(), "pos": pa.int32(), "tag": pa.int32(), "rdoc": pa.int64(), "rpos": pa.int32(),
+        "same": pa.bool_()}
 
 
 def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -282,9 +284,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                ids = _ids(part, "doc")
-                f = Factored(part.column("text"), window, ids, part.column("refs"))
+            for part in slices(batch, text_col):
+                ids = _ids(part, doc)
+                f = Factored(part.column(text_col), window, ids, part.column(refs_col))
                 owner, pos = ids[f.open_doc], f.pos(f.open, f.open_doc)
                 lead, _ = leaders([f.hash, f.hash2], [owner])
                 settled = owner[lead] < owner
@@ -305,8 +307,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 late = np.flatnonzero(follower & (c["doc"][lead] < c["doc"]))
                 yield emit({"doc": c["doc"][late], "pos": c["pos"][late], "tag": c["key2"][late]}, out)
 
-    later = (known.select(F.col(doc).alias("doc"), F.col(text_col).alias("text"), F.col(refs_col).alias("refs"))
-             .mapInArrow(boundaries, "key long, key2 int, doc long, pos int, settled boolean")
+    # all columns go in, so that both passes over ``known`` share one shuffle
+    later = (known.mapInArrow(boundaries, "key long, key2 int, doc long, pos int, settled boolean")
              .repartition("key").sortWithinPartitions("key", "key2", "doc")
              .mapInArrow(settle, "doc long, pos int, tag int")
              .groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("pos", "tag")).alias(later_col)))
