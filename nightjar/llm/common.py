@@ -25,12 +25,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back.
 
-    Every executor sees the files, so a lost executor costs a re-read only."""
+    Every executor sees the files, so a lost executor costs a re-read only.
+    ``narrow`` is for tables of a few bytes a row, such as edges: as many
+    files as there are cores instead of one per shuffle partition."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

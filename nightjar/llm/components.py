@@ -14,30 +14,30 @@ from pyspark.sql import functions as F
 from nightjar.llm.common import materialise
 
 
-def _hang(edges: DataFrame, larger: bool, name: str) -> DataFrame:
-    """One star step on directed pairs (u, v): v in u's neighbourhood."""
+def _hang(edges: DataFrame, larger: bool) -> DataFrame:
+    """One star step on (u, v) pairs: v in u's neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
+    least = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least", narrow=True)
     if larger:
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = (both.where("v < u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .union(least.select("u", F.col("m").alias("v"))))
-    return out.where("u != v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
+        out = (both.where("v < u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+               .union(least.where("u != m").select("u", F.col("m").alias("v")))
+               .groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"))
+    return materialise(out, "edges", narrow=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the (u, v) edges; root is the smallest
     node of the component.  Nulls and loops are ignored."""
-    edges = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                        .groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"), "edges")
+    edges = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")),
+                        "edges", narrow=True)
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if not now[0] or now == mark:
             break
         mark = now
-        edges = materialise(_hang(edges, True, "least"), "edges")
-        edges = materialise(_hang(edges, False, "least"), "edges")
+        edges = _hang(_hang(edges, True), False)
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .union(edges.select(F.col("v"), F.col("v")).distinct()))

@@ -6,7 +6,7 @@ is lost, whatever the group sizes), and the result is each document's
 component.  Equal sets are one class throughout.
 
 1. *Profile*: per document the set's size, a digest (its class) and a hashed
-   parity bitmap, about one bit per shingle.  Shingles common within slices
+   parity bitmap, a bit for one or two shingles.  Shingles common within slices
    are counted along the way.
 2. *Candidates*: similar sets share one of their first ``n - ceil(t n) + 1``
    shingles in any fixed order.  The order puts the most common shingles last
@@ -101,8 +101,10 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles per bit; about one bit a shingle, 256 to 4096."""
-    width = min(4096, max(256, 1 << int(len(s) - 1).bit_length())) if len(s) else 256
+    """Parity of the shingles per bit; a bit for one or two shingles, 64 to
+    4096 in all.  (Sets that share little differ in half of the bits, which is
+    half as many again as linked sets may differ in.)"""
+    width = min(4096, max(64, 1 << max(len(s).bit_length() - 1, 0)))
     bits = np.bincount((mix(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -257,7 +259,8 @@ def _tile_edges(rows: DataFrame, join: Join) -> DataFrame:
 def _pivot_edges(hot: DataFrame, join: Join) -> DataFrame:
     """Edges of hot rows to the least class of their shingle and band, where
     the two may link."""
-    pivot = materialise(hot.groupBy("shingle", "band").agg(F.min(F.struct("d1", "n", "bitmap")).alias("p")), "pivots")
+    pivot = materialise(hot.groupBy("shingle", "band").agg(F.min(F.struct("d1", "n", "bitmap")).alias("p")), "pivots",
+                        narrow=True)
     pairs = (hot.join(pivot, ["shingle", "band"]).where("d1 != p.d1")
              .select("d1", "n", "bitmap", F.col("p.d1").alias("e1"), F.col("p.n").alias("m"),
                      F.col("p.bitmap").alias("bitmap2")))
@@ -285,12 +288,12 @@ def candidates(classes: DataFrame, found: DataFrame, join: Join) -> DataFrame:
     found = materialise(found.withColumn("band", join.band(F.col("n"))), "prefix-rows")
     rows = found.join(classes, "d1")
     hot, cold = rows.where(f"holders > {HOT}"), rows.where(f"holders <= {HOT}")
-    edges = materialise(_pivot_edges(hot, join), "pivot-edges")
+    edges = materialise(_pivot_edges(hot, join), "pivot-edges", narrow=True)
     reached = components(edges)
     hot = hot.join(reached, hot["d1"] == reached["node"], "left").withColumn("part", F.coalesce("root", "d1"))
     open_ = materialise(hot.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b"),
                                                    F.count("*").alias("holders"))
-                        .where("a != b").select("shingle", "holders"), "open-groups")
+                        .where("a != b").select("shingle", "holders"), "open-groups", narrow=True)
     hot = hot.drop("holders").join(open_, "shingle")
     columns = ["shingle", "band", "d1", "n", "bitmap", "holders"]
     tiles = cold.select(columns).unionByName(hot.select(columns))
@@ -360,16 +363,19 @@ def verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
                 yield emit({"root": part.column("root").take(at), "d1": part.column("d1").take(at),
                             "n": [len(sets[i]) for i in mine], "items": [sets[i].tobytes() for i in mine]}, types)
 
-    joined = docs.join(members, docs["doc_id"].eqNullSafe(members["member"])).select("text", "d1", "root")
+    # the members grow with the corpus: never broadcast
+    joined = (docs.join(members.hint("merge"), docs["doc_id"].eqNullSafe(members["member"]))
+              .select("text", "d1", "root"))
     sets = materialise(joined.mapInArrow(run, "root long, d1 long, n long, items binary"), "sets")
-    count = materialise(sets.groupBy("root").agg(F.count("*").alias("m"), F.min("d1").alias("pivot")), "set-counts")
+    count = materialise(sets.groupBy("root").agg(F.count("*").alias("m"), F.min("d1").alias("pivot")), "set-counts",
+                        narrow=True)
     sized = sets.join(count, "root").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     # one chunk each; the component's pivot is a guest in all of them
     home = F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int")
     placed = sized.withColumn("chunk", F.explode(F.when(
         F.col("d1") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(home))))
     placed = placed.select("root", "chunk", "d1", "n", "items", F.lit(False).alias("core"))
-    edges = materialise(_exact_edges(placed, join, ["root", "chunk"]), "links")
+    edges = materialise(_exact_edges(placed, join, ["root", "chunk"]), "links", narrow=True)
     known = components(edges)
     many = sized.where("chunks > 1")
     if many.isEmpty():
@@ -382,7 +388,8 @@ def verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
         .withColumn("part", F.coalesce("part", "d1")), "parts")
     core = part.where("d1 = pivot").select("root", F.col("part").alias("main"))
     part = part.join(core, "root").withColumn("core", F.col("part") == F.col("main"))
-    loose = materialise(part.where("not core").groupBy("root").agg(F.count("*").alias("loose")), "loose")
+    loose = materialise(part.where("not core").groupBy("root").agg(F.count("*").alias("loose")), "loose",
+                        narrow=True)
     part = (part.join(loose, "root").withColumn("groups", F.ceil(F.col("loose") / CHUNK).cast("int"))
             .withColumn("home", F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int"))
             .withColumn("group", F.pmod(F.hash("d1"), F.col("groups")).cast("int")))
@@ -426,13 +433,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     classes = materialise(classes, "classes")
     near = candidates(classes.select("d1", "bitmap"), found, join)
     members = classes.join(near, classes["d1"] == near["node"]).select("member", "d1", "root")
-    links = materialise(verified(docs, materialise(members, "members"), join), "components")
+    links = materialise(verified(docs, materialise(members, "members", narrow=True), join), "components", narrow=True)
 
     keyed = (every.join(links, every["d1"] == links["node"], "left")
              .withColumn("k1", F.coalesce("root", "d1"))
              .withColumn("k2", F.when(F.col("root").isNull(), F.col("d2")).otherwise(F.lit(0))))
     keyed = keyed.withColumn("k2", F.when(F.col("n") > 0, F.col("k2")))
-    least = materialise(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("component_id")), "least")
+    least = materialise(keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("component_id")), "least",
+                        narrow=True)
     linked = keyed.where("n > 0").join(least, ["k1", "k2"]).select("doc", "n", "component_id")
     alone = every.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
     return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
