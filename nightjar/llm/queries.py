@@ -42,6 +42,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.quality import judge
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "quality")
+
+
 OP5_MIN_SITES = 10
 
 
@@ -72,6 +80,12 @@ def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, end_id=0)
 
 
+@query("op8_weighted_sampling")
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.weighted_sampling import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightjar.llm.toxicity import add_score, fold, train
