@@ -50,6 +50,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "quality")
 
 
+@query("op4_warc_index_merge")
+def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.warc import capture_index
+    # the table has no capture times: one a second, in the order of ids
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn(
+        "captured", F.timestamp_seconds(1704067200 + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))))
+    index = capture_index(pages, date_col="captured", min_bytes=1000)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+
+
 OP5_MIN_SITES = 10
 
 
@@ -74,6 +84,17 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: The contract's rules; fixed values.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query("op6_url_trees")
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.url_filter import judge, parsed, train
+    urls = parsed(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge(urls, train(urls)).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op7_bin_slack_packing")
 def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightjar.llm.packing import pack
