@@ -1,9 +1,9 @@
 """Byte-level BPE by backtracking (operator 10's core).
 
-``Vocabulary`` reads a public tokenizer file and derives four tables from its
-merge list: token bytes in one buffer with an offset table (decoding), the
-two parts and merge rank of every token, the pair table, and an Aho-Corasick
-automaton over all token byte strings.
+``Vocabulary`` reads a public tokenizer file and derives three tables from its
+merge list: the two parts and merge rank of every token, the pair table, and
+an Aho-Corasick automaton over all token byte strings.  ``OffsetTable`` holds
+the token bytes in one buffer with an offset table, for decoding.
 
 A token sequence is the merge result exactly when every neighbouring pair is
 *compatible*: merging the concatenated bytes of the two would leave the
@@ -29,7 +29,9 @@ import numpy as np
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 #: Words kept per worker before the memo is started anew (memory bound only).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
+#: Checked pairs kept per worker, likewise.
+MEMO_PAIRS = 100_000
 #: Longer words are encoded afresh each time instead of being kept.
 MEMO_WORD_CHARS = 64
 #: A long text is cut into stretches of about this many characters.
@@ -72,25 +74,33 @@ def _byte_chars() -> dict[str, int]:
     return out
 
 
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def token_bytes(spec: dict) -> tuple[list[bytes], dict[str, int]]:
+    """(bytes of every id, ids of the special tokens) of a tokenizer file."""
+    char = _byte_chars()
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["special"]}
+    vocabulary = spec["model"]["vocab"]
+    text = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
+    for token, i in vocabulary.items():
+        text[i] = bytes(char[c] for c in token)
+    for token, i in special.items():
+        text[i] = token.encode()
+    return text, special
+
+
 class Vocabulary:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _read(path)
         char = _byte_chars()
-        ids = {bytes(char[c] for c in tok): i for tok, i in spec["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["special"]}
-        size = max([*ids.values(), *self.special.values()]) + 1
-        text = [b""] * size
-        for tok, i in ids.items():
-            text[i] = tok
-        for tok, i in self.special.items():
-            text[i] = tok.encode()
-        self.text = text
-        self.offsets = np.zeros(size + 1, dtype=np.int64)
-        np.cumsum([len(t) for t in text], out=self.offsets[1:])
-        self.buffer = np.frombuffer(b"".join(text), dtype=np.uint8)
+        text, self.special = token_bytes(spec)
+        size, special = len(text), set(self.special.values())
+        ids = {t: i for i, t in enumerate(text) if t and i not in special}
+        self.text, self.ids = text, ids
         self.length = [len(t) for t in text]
-        self.ids = ids
         # merge tables: rank at which a token is made (-1: a single byte), its
         # two parts, and the rank of each mergeable pair
         self.made, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
@@ -127,7 +137,7 @@ class Vocabulary:
         occurrence merges first)."""
         got = self._fits.get((a, b))
         if got is None:
-            if len(self._fits) > 1 << 20:
+            if len(self._fits) > MEMO_PAIRS:
                 self._fits.clear()
             got = self._fits[a, b] = self._check(a, b)
         return got
@@ -170,6 +180,16 @@ class Vocabulary:
                 pos -= size[token]
         return out
 
+
+class OffsetTable:
+    """Decoding: all tokens' bytes in one buffer, and where each begins."""
+
+    def __init__(self, path: str):
+        text, _ = token_bytes(_read(path))
+        self.offsets = np.zeros(len(text) + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in text], out=self.offsets[1:])
+        self.buffer = np.frombuffer(b"".join(text), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
         """Bytes of the ids, gathered from the buffer by the offset table."""
         for i in range(0, len(ids), 1 << 15):
@@ -241,3 +261,13 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+_TABLES: dict[str, OffsetTable] = {}
+
+
+def offset_table(path: str) -> OffsetTable:
+    """One decoding table per vocabulary file and Python worker."""
+    if path not in _TABLES:
+        _TABLES[path] = OffsetTable(path)
+    return _TABLES[path]

@@ -31,11 +31,16 @@ WINDOW = 8
 
 #: (name, value, bad from, good up to): votes bad at the first bound or above,
 #: good at the second or below, else abstains.  Values are shares of a document.
+#: Every kind of defect is seen by two rules or more: accuracies are estimated
+#: from agreement, so a rule that nothing can agree with would count for little.
 RULES = (
     ("short", "20 / greatest(n_words, 1)", 1.0, 0.4),
     ("symbols", "n_symbols / greatest(n_words, 1)", 0.3, 0.05),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", 0.2, 0.05),
+    ("symbol_runs", "n_symbol_runs / greatest(n_words, 1)", 0.25, 0.05),
+    ("symbol_chars", "n_symbols / greatest(word_chars, 1)", 0.08, 0.02),
+    ("repeats", "n_repeat_words / greatest(n_words, 1)", 0.2, 0.02),
     ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 0.3, 0.1),
+    ("monotony", "1 - n_distinct / greatest(least(n_words, 500), 1)", 0.6, 0.45),
     ("long_words", "abs(word_chars / greatest(n_words, 1) - 5.5) / 5.5", 0.75, 0.4),
     ("capitals", "n_capitals / greatest(word_chars, 1)", 0.3, 0.12),
     ("shouting", "n_marks / greatest(n_words, 1)", 0.25, 0.1),
@@ -87,6 +92,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": F.size(words).cast("long"),
         "word_chars": _without(text, SPACE).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbol_runs": (F.size(F.split(text, f"[{SYMBOLS}]+", -1)) - 1).cast("long"),
+        "n_distinct": F.size(F.array_distinct(words)).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeat_words(words).cast("long"),
@@ -102,18 +109,23 @@ def votes(measured: DataFrame) -> DataFrame:
         for name, value, bad, good in RULES})
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+#: What is assumed of a rule and of the corpus before any vote is seen: a rule
+#: seldom accuses a good document and finds a part of the bad ones.
+PRIOR, ON_GOOD, ON_BAD, PSEUDO = 0.8, 0.98, 0.3, 20.0
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
     """(share of good documents, [(accuracy on good, accuracy on bad)]) by
-    expectation-maximisation over counted vote patterns.  Rules are taken to
-    be better than chance, which also tells the two classes apart."""
+    expectation-maximisation over counted vote patterns.  A rule is taken to
+    accuse bad documents more often than good ones, which also tells the two
+    classes apart."""
     rules = len(RULES)
-    prior, accuracy = 0.8, [(0.8, 0.8)] * rules
+    prior, accuracy = PRIOR, [(ON_GOOD, ON_BAD)] * rules
     total = sum(n for _, n in patterns)
-    if not total:
-        return prior, accuracy
-    for _ in range(rounds):
-        good = 1.0
-        hits = [[1.0, 1.0, 1.0, 1.0] for _ in range(rules)]  # agreeing, all on good; agreeing, all on bad
+    for _ in range(rounds if total else 0):
+        good = PSEUDO * PRIOR
+        # votes weighted by class: right and all on good, right and all on bad
+        hits = [[PSEUDO * ON_GOOD, PSEUDO, PSEUDO * ON_BAD, PSEUDO] for _ in range(rules)]
         for pattern, n in patterns:
             p = posterior(pattern, prior, accuracy)
             good += n * p
@@ -123,8 +135,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> t
                     h[1] += n * p
                     h[2] += n * (1 - p) * (v < 0)
                     h[3] += n * (1 - p)
-        prior = min(0.99, max(0.01, good / (total + 2)))
-        accuracy = [tuple(min(0.999, max(0.55, a / b)) for a, b in ((h[0], h[1]), (h[2], h[3]))) for h in hits]
+        prior = min(0.95, max(0.05, good / (total + PSEUDO)))
+        accuracy = []
+        for right, every, caught, bad in hits:
+            g = min(0.999, max(0.6, right / every))
+            accuracy.append((g, min(0.999, max(0.02, 1 - g + 0.01, caught / bad))))
     return prior, accuracy
 
 

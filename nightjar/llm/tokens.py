@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nightjar.llm.bpe import encoder
+from nightjar.llm.bpe import encoder, offset_table
+from nightjar.llm.common import slices
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -35,11 +36,12 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
-            packed = [coder.packed(t) for t in batch.column(text_col).to_pylist()]
-            offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            ids = np.frombuffer(b"".join(packed), dtype="<i4")
-            yield _with(batch, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32())))
+            for part in slices(batch, text_col):
+                packed = [coder.packed(t) for t in part.column(text_col).to_pylist()]
+                offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+                np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+                ids = np.frombuffer(b"".join(packed), dtype="<i4")
+                yield _with(part, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32())))
 
     return df.mapInArrow(run, _schema(df, ids_col, T.ArrayType(T.IntegerType())))
 
@@ -48,16 +50,18 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str =
     """Add ``text_col``: the ids' bytes joined and read as UTF-8 (broken
     sequences become U+FFFD)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(vocabulary).vocabulary
+        table = offset_table(vocabulary)
         for batch in batches:
-            out = []
-            for ids in batch.column(ids_col):
-                if not ids.is_valid:
-                    out.append(None)
-                    continue
-                values = ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                out.append(b"".join(table.decode(values)).decode("utf-8", "replace"))
-            yield _with(batch, text_col, pa.array(out, type=pa.string()))
+            # some hundred documents at a time: outputs stay small
+            for start in range(0, batch.num_rows, 500):
+                part, out = batch.slice(start, 500), []
+                for ids in part.column(ids_col):
+                    if not ids.is_valid:
+                        out.append(None)
+                        continue
+                    values = ids.values.to_numpy(zero_copy_only=False)
+                    out.append(b"".join(table.decode(values)).decode("utf-8", "replace"))
+                yield _with(part, text_col, pa.array(out, type=pa.string()))
 
     return df.mapInArrow(run, _schema(df, text_col, T.StringType()))
 
