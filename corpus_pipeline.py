@@ -12,6 +12,8 @@ words before; documents that come without words stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,18 @@ CAPACITY = 2048
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
-def _with_text(cut: DataFrame, before: str, columns: list[str]) -> DataFrame:
-    """Rows of an operator that shortened ``text``, with the columns of
-    documents; rows that lost their last word are dropped."""
-    kept = cut.where(~(F.col(before) & ~F.coalesce(F.col("text").rlike(_WORD), F.lit(False))))
+def _shorten(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], *made: str) -> DataFrame:
+    """``docs`` after an operator that shortens ``text``, with the columns of
+    docs; rows that lost their last word are dropped.  Columns of docs named
+    like those that the operator makes are set aside meanwhile."""
+    columns = docs.columns
+    had, *aside = fresh(docs, "_had", *(f"_{c}" for c in columns))
+    held = {c: (a if c.lower() in made else c) for c, a in zip(columns, aside, strict=True)}
+    cut = operator(docs.withColumnsRenamed(held).withColumn(had, _had_words()))
+    kept = cut.where(~F.col(had) | _had_words())
     if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(cut.schema["n_chars"].dataType))
-    return kept.select(columns)
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select([F.col(held[c]).alias(c) for c in columns])
 
 
 def _had_words() -> Column:
@@ -59,8 +66,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate across sites."""
-    had, = fresh(docs, "_had")
-    return _with_text(remove_boilerplate(docs.withColumn(had, _had_words()), MIN_SITES), had, docs.columns)
+    return _shorten(docs, lambda d: remove_boilerplate(d, MIN_SITES), "n_lines", "n_removed")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +81,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has."""
-    had, = fresh(docs, "_had")
-    return _with_text(remove_repeats(docs.withColumn(had, _had_words()), PASSAGE), had, docs.columns)
+    return _shorten(docs, lambda d: remove_repeats(d, PASSAGE), "n_words", "n_removed", "factors")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,8 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_features: in
                      + np.where(neg > 0, neg * np.log(neg / (seen - expected)), 0))
     chosen = np.argsort(-ratio, kind="stable")[:max_features]
     chosen = chosen[ratio[chosen] > MIN_RATIO]
+    if not len(chosen):
+        return empty
     index[chosen] = np.arange(len(chosen))
     feature = index[bucket]
     doc, feature = doc[feature >= 0], feature[feature >= 0]
@@ -128,11 +130,12 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, max_features: in
             error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - label[batch]) / len(batch)
             each = error[row][:, None] * np.concatenate([np.ones((len(row), 1)), sums[row, 1:] - t[:, 1:]], axis=1)
             used, where = np.unique(f, return_inverse=True)
-            grad = np.stack([np.bincount(where, each[:, k], len(used)) for k in range(rank + 1)], axis=1)
+            grad = np.stack([np.bincount(where, each[:, k], len(used)) for k in range(rank + 1)], axis=1).astype(float)
             grad += 1e-4 * theta[used]
             mean[used] = 0.9 * mean[used] + 0.1 * grad
             square[used] = 0.999 * square[used] + 0.001 * grad ** 2
-            theta[used] -= rate * (mean[used] / (1 - 0.9 ** step)) / (np.sqrt(square[used] / (1 - 0.999 ** step)) + 1e-8)
+            pace = np.sqrt(square[used] / (1 - 0.999 ** step)) + 1e-8
+            theta[used] -= rate * (mean[used] / (1 - 0.9 ** step)) / pace
             g = error.sum()
             bias_mean, bias_square = 0.9 * bias_mean + 0.1 * g, 0.999 * bias_square + 0.001 * g * g
             bias -= rate * (bias_mean / (1 - 0.9 ** step)) / (np.sqrt(bias_square / (1 - 0.999 ** step)) + 1e-8)

@@ -58,9 +58,9 @@ def test_judge(make_docs):
     rnd = random.Random(2)
     prose = [" ".join("".join(rnd.choice("abcdeost") for _ in range(rnd.randint(3, 8))) for _ in range(80))
              for _ in range(200)]
-    shout = [" ".join(x.upper() + "!!" for x in t.split()) for t in prose[:40]]
+    again = ["\n".join([" ".join(t.split()[:16])] * 5) for t in prose[:40]]
     junk = [" ".join(x + "&&&" for x in t.split()) for t in prose[40:80]]
-    rows = list(enumerate([*prose, *shout, *junk, None, "", "short text", "same words again and again here now " * 30]))
+    rows = list(enumerate([*prose, *again, *junk, None, "", "short text", "same words again and again here now " * 30]))
     out = {r.doc_id: r for r in judge(make_docs(rows).selectExpr("*", "1 as n_words", "2 as vote_short")).collect()}
     assert all(out[i].kept for i in range(200))
     assert not any(out[i].kept for i in range(200, 280))
