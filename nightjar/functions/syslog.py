@@ -12,16 +12,24 @@ def _names(values: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
+def _groups(text: Column, pat: str) -> Column:
+    """Groups 1, 3, 4 and 5 of the pattern as an array, by one replacement that
+    joins them with U+0001; a text that holds U+0001 itself is taken apart
+    group by group."""
+    joined = F.split(F.regexp_replace(text, pat, "$1\u0001$3\u0001$4\u0001$5"), "\u0001", -1)
+    apart = F.array(*[F.regexp_extract(text, pat, i) for i in (1, 3, 4, 5)])
+    return F.when(text.contains("\u0001"), apart).otherwise(joined)
+
+
 def parse_syslog(raw: ColumnOrName) -> Column:
     """struct(facility, severity, host, tag, message) or null when the trimmed
     line does not match the RFC 3164 header pattern.
 
-    The pattern runs once to test and once to pull all groups out together
-    (a replacement joining groups 1, 3, 4, 5 with U+0001, then ``split``),
+    The pattern runs once to test and once to pull all groups out together,
     instead of one regex evaluation per field."""
     text = js_trim(_col(raw))
     pat = schemas.SYSLOG_PATTERN
-    parts = F.split(F.regexp_replace(text, pat, "$1\u0001$3\u0001$4\u0001$5"), "\u0001", -1)
+    parts = _groups(text, pat)
     pri = parts[0].cast("int")
     parsed = F.struct(
         # Codes past the table (pri >= 192) have no facility name.
@@ -53,8 +61,7 @@ def with_parsed_syslog(df: DataFrame, raw_col: str = "raw", out: str = "parsed")
     pat = schemas.SYSLOG_PATTERN
     staged = (df.withColumn("_sl_text", js_trim(F.col(raw_col)))
               .withColumn("_sl_ok", F.col("_sl_text").rlike(pat))
-              .withColumn("_sl_parts", F.split(F.regexp_replace("_sl_text", pat, "$1\u0001$3\u0001$4\u0001$5"),
-                                               "\u0001", -1)))
+              .withColumn("_sl_parts", _groups(F.col("_sl_text"), pat)))
     parts = F.col("_sl_parts")
     pri = parts[0].cast("int")
     parsed = F.struct(

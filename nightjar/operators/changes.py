@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar import schemas
@@ -34,6 +34,11 @@ def _as_of(as_of) -> Column:
     return ts_literal(as_of if not isinstance(as_of, str) else dt.datetime.fromisoformat(as_of))
 
 
+# Target name of an entity in audit actions and notifications.
+SINGULAR = {"alerts": "alert", "incidents": "incident", "vulnerabilities": "vulnerability", "iocs": "ioc",
+            "assets": "asset", "users": "user", "ingestion_sources": "ingestion_source"}
+
+
 # --------------------------------------------------------------------------
 # J-8 / J-9 / J-11
 # --------------------------------------------------------------------------
@@ -44,12 +49,32 @@ def semi_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "id", ids_col: str
 
 def reject_existing(incoming: DataFrame, existing: DataFrame, keys: Sequence[str],
                     order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """J-9: (new, conflicts).  Duplicates inside the batch collapse to one row
-    per key (the first by ``order_col`` when given, map-side via ``min_by``);
-    keys already present are conflicts, never upserts."""
-    dedup = dedupe(incoming, keys, order_col)
-    known = existing.select(*keys)
-    return dedup.join(known, list(keys), "left_anti"), dedup.join(known, list(keys), "left_semi")
+    """J-9: (new, conflicts).  The first request per key of the batch (by
+    ``order_col``, else by a hash of the row) is new unless the key exists
+    already; every other row of the batch is a conflict, never an upsert."""
+    order = F.col(order_col) if order_col else F.xxhash64(*[F.col(c) for c in incoming.columns])
+    tagged = incoming.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
+    rows = tagged.join(known, list(keys), "left")
+    new = (F.col("_nth") == 1) & F.col("_known").isNull()
+    return rows.where(new).select(*incoming.columns), rows.where(~new).select(*incoming.columns)
+
+
+def fit(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with the columns of a table; null where they have none."""
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in table.schema.fields])
+
+
+def append_rows(snapshot: DataFrame, rows: DataFrame) -> DataFrame:
+    """The snapshot followed by new rows, whatever columns either has: a
+    column that one side lacks is null there, and one whose types differ (ids
+    that are numbers in an old table) becomes text."""
+    old, new = dict(snapshot.dtypes), dict(rows.dtypes)
+    mixed = [c for c in old if c in new and old[c] != new[c]]
+    text = {c: F.col(c).cast("string") for c in mixed}
+    return (snapshot.withColumns(text) if text else snapshot).unionByName(
+        rows.withColumns(text) if text else rows, allowMissingColumns=True)
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
@@ -85,9 +110,12 @@ ENTITY_RULES = {
                   "lengths": {"title": (1, schemas.TITLE_MAX), "description": (0, schemas.DESCRIPTION_MAX)},
                   "required": ["title", "severity"]},
     "vulnerabilities": {"enums": {"severity": schemas.SEVERITIES, "status": schemas.VULN_STATUSES},
-                        "lengths": {"title": (1, schemas.TITLE_MAX)}, "required": ["title", "severity"]},
+                        "lengths": {"title": (1, schemas.TITLE_MAX), "description": (0, schemas.DESCRIPTION_MAX)},
+                        "required": ["title", "severity"]},
     "iocs": {"enums": {"type": schemas.IOC_TYPES, "severity": schemas.SEVERITIES},
-             "lengths": {"value": (1, schemas.IOC_VALUE_MAX)}, "required": ["type", "value"]},
+             "lengths": {"value": (1, schemas.IOC_VALUE_MAX), "description": (0, schemas.DESCRIPTION_MAX)},
+             "required": ["type", "value"]},
+    "notes": {"enums": {}, "lengths": {"message": (1, schemas.NOTE_MAX)}, "required": ["message"]},
     "assets": {"enums": {"type": schemas.ASSET_TYPES, "criticality": schemas.SEVERITIES},
                "lengths": {"name": (1, schemas.TITLE_MAX)}, "required": ["name", "type"]},
 }
@@ -129,6 +157,9 @@ def apply_creates(creates: DataFrame, entity: str, as_of, snapshot: DataFrame |
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
         else:
             out = out.withColumn(c, F.lit(v))
+    if entity == "vulnerabilities":
+        out = out.withColumn("discovered_at", F.coalesce(F.col("discovered_at"), _as_of(as_of))
+                             if "discovered_at" in out.columns else _as_of(as_of))
     if entity == "assets":
         out = out.withColumn("tags", F.coalesce(F.col("tags"), F.array().cast("array<string>"))
                              if "tags" in out.columns else F.array().cast("array<string>"))
@@ -136,7 +167,7 @@ def apply_creates(creates: DataFrame, entity: str, as_of, snapshot: DataFrame |
         out = out.withColumn(c, F.coalesce(F.col(c), _as_of(as_of)) if c in out.columns else _as_of(as_of))
     if snapshot is None:
         return out
-    return snapshot.unionByName(out.select(*snapshot.columns))
+    return snapshot.unionByName(fit(out, snapshot))
 
 
 def create_entities(creates: DataFrame, entity: str, as_of) -> dict[str, DataFrame]:
@@ -147,9 +178,8 @@ def create_entities(creates: DataFrame, entity: str, as_of) -> dict[str, DataFra
     rows = apply_creates(valid, entity, as_of)
     if "id" not in rows.columns:
         rows = rows.withColumn("id", stable_id(F.lit(entity), F.col("request_id")))
-    single = entity[:-1] if entity.endswith("s") else entity
     audit = derive_audit(rows.withColumn("change_id", F.col("id")).withColumn("ts", F.col("created_at")),
-                         single, "created", target_col="id")
+                         SINGULAR[entity], "created", target_col="id")
     return {"rows": rows, "audit": audit, "rejected": rejected}
 
 
@@ -228,6 +258,11 @@ def present(changes: DataFrame, field: str) -> Column:
 
 
 def patch_fields(snapshot: DataFrame, changes: DataFrame, entity: str) -> dict[str, Column]:
+    """The entity's patchable fields that the change log carries.  A patch of
+    a field that the snapshot has no column for is an error, not ignored."""
+    lost = [f for f in PATCHABLE[entity] if f in changes.columns and f not in snapshot.columns]
+    if lost:
+        raise ValueError(f"{entity} has no column for patched field(s) {', '.join(lost)}")
     return {f: present(changes, f) for f in PATCHABLE[entity] if f in changes.columns and f in snapshot.columns}
 
 
@@ -260,12 +295,12 @@ def _patch_with_history(snapshot: DataFrame, changes: DataFrame, entity: str, ki
                             & (F.col("assigned_to_id_before").isNull()
                                | (F.col("assigned_to_id") != F.col("assigned_to_id_before"))))
                   .select(stable_id(F.lit("notification"), F.col("change_id")).alias("id"),
-                          F.col("assigned_to_id").alias("user_id"), F.lit(entity[:-1]).alias("type"),
+                          F.col("assigned_to_id").alias("user_id"), F.lit(SINGULAR[entity]).alias("type"),
                           F.lit(f"{kind} assigned to you").alias("title"), F.col("title_after").alias("message"),
                           F.lit(None).cast("timestamp_ntz").alias("read_at"), F.col("ts").alias("created_at"),
                           "change_id"))
     audit = derive_audit(seq.withColumn("_meta", F.to_json(F.struct(F.col("status_after").alias("status")))),
-                         entity[:-1], "updated", target_col="entity_id", metadata_col="_meta")
+                         SINGULAR[entity], "updated", target_col="entity_id", metadata_col="_meta")
     return {"snapshot": res["snapshot"], "unknown": res["unknown"], "sequence": seq,
             "notifications": notify, "audit": audit}
 
@@ -314,8 +349,24 @@ def patch_alerts(alerts: DataFrame, changes: DataFrame, bucket_unit: str = "hour
 def patch_vulnerabilities(vulnerabilities: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
     """M-6: status patches; remediated_at is set once at the first patch to
     ``remediated`` (W-2) and kept after."""
-    return apply_patches(vulnerabilities, changes, patch_fields(vulnerabilities, changes, "vulnerabilities"),
-                         touch_col=None, set_once={"remediated_at": F.col("status") == "remediated"})
+    out = apply_patches(vulnerabilities, changes, patch_fields(vulnerabilities, changes, "vulnerabilities"),
+                        touch_col="updated_at", set_once={"remediated_at": F.col("status") == "remediated"})
+    return out | {"audit": update_audit(vulnerabilities, changes, "vulnerabilities")}
+
+
+def update_audit(snapshot: DataFrame, changes: DataFrame, entity: str) -> DataFrame:
+    """M-10 for plain patches: one ``<entity>.updated`` row per patch of a
+    known row, with the patch's status as metadata where it has one."""
+    known = changes.join(snapshot.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    if "status" in known.columns:
+        known = known.withColumn("_meta", F.to_json(F.struct("status")))
+    return derive_audit(known, SINGULAR[entity], "updated", metadata_col="_meta")
+
+
+def patch_assets(assets: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """M-2 for assets, with ``asset.updated`` audit rows."""
+    out = apply_patches(assets, changes, patch_fields(assets, changes, "assets"))
+    return out | {"audit": update_audit(assets, changes, "assets")}
 
 
 # --------------------------------------------------------------------------
@@ -334,14 +385,17 @@ def merge_iocs(iocs: DataFrame, incoming: DataFrame, as_of) -> dict[str, DataFra
         inserted = inserted.withColumn("id", F.concat(F.col("type"), F.lit(":"), F.col("value")))
     if "threat_actor_id" not in inserted.columns:
         inserted = inserted.withColumn("threat_actor_id", F.lit(None).cast("string"))
-    return {"inserted": inserted.select(*iocs.columns), "conflicts": conflicts,
-            "snapshot": iocs.unionByName(inserted.select(*iocs.columns))}
+    audit = derive_audit(inserted.withColumn("change_id", F.col("id")).withColumn("ts", F.col("created_at")),
+                         "ioc", "created", target_col="id")
+    inserted = fit(inserted, iocs)
+    return {"inserted": inserted, "conflicts": conflicts, "audit": audit, "snapshot": iocs.unionByName(inserted)}
 
 
 def patch_iocs(iocs: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
     """M-7 (update): any patch bumps last_seen_at to the patch time; the
     severity field is tri-state."""
-    return apply_patches(iocs, changes, patch_fields(iocs, changes, "iocs"), touch_col="last_seen_at")
+    out = apply_patches(iocs, changes, patch_fields(iocs, changes, "iocs"), touch_col="last_seen_at")
+    return out | {"audit": update_audit(iocs, changes, "iocs")}
 
 
 # --------------------------------------------------------------------------
@@ -386,10 +440,7 @@ def open_incidents(incidents: DataFrame, alerts: DataFrame, timeline: DataFrame,
         .withColumn("ts", F.col("_ts")),
         "incident", "created", target_col="_id", metadata_col="_meta")
     from nightjar.sinks.ingest import realtime_feed
-    return {"incidents": incidents.unionByName(created.select(*incidents.columns), allowMissingColumns=False)
-            if set(incidents.columns) == set(created.columns) else created,
-            "created": created, "timeline": timeline.unionByName(notes.select(*timeline.columns))
-            if set(timeline.columns) == set(notes.columns) else notes,
+    return {"incidents": append_rows(incidents, created), "created": created, "timeline": append_rows(timeline, notes),
             "notes": notes, "alerts": linked, "links": links, "audit": audit,
             "feed": realtime_feed(created, "incident.created")}
 
@@ -438,10 +489,13 @@ def cascade_delete(child: DataFrame, fk: str, deleted: DataFrame, deleted_col: s
 
 def set_null_on_delete(child: DataFrame, fk: str, deleted: DataFrame, deleted_col: str = "id") -> DataFrame:
     """M-8 SET NULL: clear references to deleted parents."""
+    # rows without a reference (often most of them) never enter the join, so
+    # the null key is not one hot partition
     d = deleted.select(F.col(deleted_col).alias(fk)).distinct().withColumn("_gone", F.lit(True))
-    j = child.join(d, fk, "left")
-    return j.select(*[F.when(F.col("_gone"), F.lit(None).cast(child.schema[fk].dataType)).otherwise(F.col(fk))
-                      .alias(fk) if c == fk else F.col(c) for c in child.columns])
+    j = child.where(F.col(fk).isNotNull()).join(d, fk, "left")
+    loose = child.where(F.col(fk).isNull())
+    return loose.unionByName(j.select(*[F.when(F.col("_gone"), F.lit(None).cast(child.schema[fk].dataType)).otherwise(F.col(fk))
+                      .alias(fk) if c == fk else F.col(c) for c in child.columns]))
 
 
 def deletion_audit(deleted: DataFrame, entity: str, as_of) -> DataFrame:
@@ -476,14 +530,29 @@ def delete_assets(assets: DataFrame, alerts: DataFrame, vulnerabilities: DataFra
 
 
 def delete_users(users: DataFrame, alerts: DataFrame, incidents: DataFrame, notifications: DataFrame,
-                 audit_logs: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
-    """M-8 for users: notifications cascade; assignees and audit actors are
-    cleared."""
-    return {"users": users.join(deleted.select("id"), "id", "left_anti"),
-            "notifications": cascade_delete(notifications, "user_id", deleted),
-            "alerts": set_null_on_delete(alerts, "assigned_to_id", deleted),
-            "incidents": set_null_on_delete(incidents, "assigned_to_id", deleted),
-            "audit_logs": set_null_on_delete(audit_logs, "actor_id", deleted)}
+                 audit_logs: DataFrame, deleted: DataFrame, timeline: DataFrame | None = None
+                 ) -> dict[str, DataFrame]:
+    """M-8 for users: notifications cascade; assignees, audit actors and (when
+    given) timeline authors are cleared."""
+    extra = {} if timeline is None else {
+        "incident_timeline_events": set_null_on_delete(timeline, "author_id", deleted)}
+    return extra | {"users": users.join(deleted.select("id"), "id", "left_anti"),
+                    "notifications": cascade_delete(notifications, "user_id", deleted),
+                    "alerts": set_null_on_delete(alerts, "assigned_to_id", deleted),
+                    "incidents": set_null_on_delete(incidents, "assigned_to_id", deleted),
+                    "audit_logs": set_null_on_delete(audit_logs, "actor_id", deleted)}
+
+
+def delete_threat_actors(threat_actors: DataFrame, iocs: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
+    """M-8 for threat actors: indicators lose the actor."""
+    return {"threat_actors": threat_actors.join(deleted.select("id"), "id", "left_anti"),
+            "iocs": set_null_on_delete(iocs, "threat_actor_id", deleted)}
+
+
+def delete_techniques(techniques: DataFrame, mappings: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
+    """M-8 for techniques: alert mappings cascade."""
+    return {"mitre_techniques": techniques.join(deleted.select("id"), "id", "left_anti"),
+            "alert_mitre_mappings": cascade_delete(mappings, "mitre_technique_id", deleted)}
 
 
 def delete_sources(sources: DataFrame, raw_events: DataFrame, alerts: DataFrame,

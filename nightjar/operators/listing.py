@@ -19,6 +19,8 @@ from nightjar.functions.scalars import check_range, enum_rank, id_prefix, ts_lit
 
 ENUM_SORT_DOMAINS = {"severity": schemas.SEVERITIES, "criticality": schemas.SEVERITIES}
 DASH = "—"
+#: Rows that a page may skip; every task keeps the skipped rows of its part.
+MAX_OFFSET = 100_000
 
 
 # --------------------------------------------------------------------------
@@ -116,19 +118,34 @@ def page(df: DataFrame, page_no: int = 1, page_size: int = 25, sort_by: str = "c
         raise ValueError(f"{entity} cannot be sorted by {sort_by}")
     out = ordered(df, sort_by, order)
     skip = (page_no - 1) * page_size
+    if skip > MAX_OFFSET:
+        raise ValueError(f"page starts after row {MAX_OFFSET}: use keyset_page, which does not read the rows skipped")
     return (out.offset(skip) if skip else out).limit(page_size)
 
 
 def keyset_page(df: DataFrame, page_size: int, sort_by: str = "created_at", after: tuple | None = None,
-                id_col: str = "id") -> DataFrame:
-    """SO-1, deep pages: the rows strictly after ``(key, id)`` in descending
-    key order; no offset, so page 10 000 costs what page 1 costs."""
-    out = df
+                id_col: str = "id", order: str = "desc", entity: str | None = None) -> DataFrame:
+    """SO-1, deep pages: the rows after the ``(key, id)`` of the last row seen,
+    in the order of ``page`` (enums by rank, nulls first when descending and
+    last when ascending; either direction); no offset, so page 10 000 costs
+    what page 1 costs."""
+    if entity is not None and sort_by not in schemas.SORTABLE.get(entity, [sort_by]):
+        raise ValueError(f"{entity} cannot be sorted by {sort_by}")
+    out = ordered(df, sort_by, order, id_col)
     if after is not None:
         k, i = after
-        key = F.col(sort_by)
-        out = out.where((key < F.lit(k)) | ((key == F.lit(k)) & (F.col(id_col) > F.lit(i))))
-    return out.orderBy(F.col(sort_by).desc_nulls_first(), F.col(id_col).asc()).limit(page_size)
+        desc, ranked = order == "desc", sort_by in ENUM_SORT_DOMAINS
+        key = enum_rank(sort_by, ENUM_SORT_DOMAINS[sort_by]) if ranked else F.col(sort_by)
+        at = F.lit(ENUM_SORT_DOMAINS[sort_by].index(k)) if ranked and k in ENUM_SORT_DOMAINS[sort_by] else F.lit(k)
+        later_id = F.col(id_col) > F.lit(i)
+        if k is None:  # the rest of the null keys; when descending, all others follow them
+            rest = key.isNull() & later_id
+            rest = rest | key.isNotNull() if desc else rest
+        else:
+            rest = (key < at if desc else key > at) | ((key == at) & later_id)
+            rest = rest if desc else rest | key.isNull()
+        out = out.where(rest)
+    return out.limit(page_size)
 
 
 def filtered_total(df: DataFrame) -> DataFrame:

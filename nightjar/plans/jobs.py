@@ -52,20 +52,34 @@ def analytics_job(spark: SparkSession, warehouse: str, out: str, as_of: dt.datet
 
 
 def incident_changes_job(spark: SparkSession, warehouse: str, changes: DataFrame, batch_id: str) -> dict[str, object]:
-    """Apply one batch of incident patches (M-5): read the newest committed
-    ``incidents`` version, write the patched snapshot as the next version,
-    and write the derived timeline, notification and audit rows under
-    ``<table>/batch=<batch_id>`` (overwrite: a retried batch rewrites its own
-    folder instead of appending twice)."""
+    """Apply one batch of incident patches (M-5).
+
+    The first thing written is the batch's plan: which ``incidents`` version
+    it reads and which one it makes.  A retried batch finds its plan and starts
+    from the same version, so every output is derived from the same input.
+    Timeline, notification, audit and rejected rows go to
+    ``<table>/batch=<batch_id>`` (overwritten by a retry); the new version is
+    committed last, and is not written again once it is there."""
     from nightjar.operators.changes import patch_incidents
-    from nightjar.sinks.snapshots import read_latest, write_version
+    from nightjar.sinks.snapshots import read_latest, versions, write_version
     apply_core_conf(spark)
     root = warehouse.rstrip("/")
-    current = read_latest(spark, f"{root}/incidents")
-    out = patch_incidents(current, changes)
-    version = write_version(out["snapshot"], f"{root}/incidents")
-    for name, table in (("timeline", "incident_timeline_events"), ("notifications", "notifications"),
-                        ("audit", "audit_logs"), ("unknown", "rejected_incident_patches")):
+    table, plan_path = f"{root}/incidents", f"{root}/incident_batches/batch={batch_id}"
+    if versions(spark, f"{root}/incident_batches/batch={batch_id}"):
+        plan = read_latest(spark, plan_path).first()
+    else:
+        used = versions(spark, table, committed_only=False)
+        source = versions(spark, table)[-1]
+        plan = spark.createDataFrame([(source, used[-1] + 1)], "source long, target long")
+        write_version(plan, plan_path, 0)
+        plan = plan.first()
+    current = read_latest(spark, table, plan["source"])
+    out = patch_incidents(current, changes.persist())
+    for name, rows in (("timeline", "incident_timeline_events"), ("notifications", "notifications"),
+                       ("audit", "audit_logs"), ("unknown", "rejected_incident_patches")):
         if out.get(name) is not None:
-            out[name].write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
-    return {"incidents_version": version}
+            out[name].write.mode("overwrite").parquet(f"{root}/{rows}/batch={batch_id}")
+    if plan["target"] not in versions(spark, table):
+        write_version(out["snapshot"], table, plan["target"], overwrite=True)
+    changes.unpersist()
+    return {"incidents_version": plan["target"]}

@@ -153,8 +153,9 @@ def m7(d: Domain):
 
 
 @register("j9_ioc_conflicts", with_views("""
-SELECT type, value, min(incoming_id) AS incoming_id FROM ioc_incoming d
-WHERE EXISTS (SELECT 1 FROM iocs i WHERE i.type = d.type AND i.value = d.value) GROUP BY type, value""",
+SELECT type, value, incoming_id
+FROM (SELECT *, row_number() OVER (PARTITION BY type, value ORDER BY incoming_id) AS rn FROM ioc_incoming) d
+WHERE rn > 1 OR EXISTS (SELECT 1 FROM iocs i WHERE i.type = d.type AND i.value = d.value)""",
                                          ["ioc_incoming", "iocs"]))
 def j9(d: Domain):
     return ch.merge_iocs(d.iocs, d.ioc_incoming, AS_OF)["conflicts"].select("type", "value", "incoming_id")
@@ -198,6 +199,19 @@ def m4(d: Domain):
     return _opened(d)["created"]
 
 
+@register("m4_incident_snapshot", with_views(f"""
+SELECT CAST(id AS VARCHAR) AS id, title, severity, status, assigned_to_id, created_at, updated_at, closed_at
+FROM incidents
+UNION ALL
+SELECT {_sha("'incident'", "CAST(request_id AS VARCHAR)")}, title, severity, coalesce(status, 'open'),
+       assigned_to_id, ts, ts, CAST(NULL AS TIMESTAMP)
+FROM incident_requests""", ["incident_requests", "incidents"]))
+def m4s(d: Domain):
+    """M-4: the incident table after the requests: all old rows and the new."""
+    return _opened(d)["incidents"].select("id", "title", "severity", "status", "assigned_to_id", "created_at",
+                                          "updated_at", "closed_at")
+
+
 @register("m4_seed_notes", with_views(f"""
 SELECT {_sha("'opened'", "CAST(request_id AS VARCHAR)")} AS id,
        {_sha("'incident'", "CAST(request_id AS VARCHAR)")} AS incident_id, author_id, 'note' AS event_type,

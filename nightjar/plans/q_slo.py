@@ -24,10 +24,6 @@ SELECT {k}value, w.window_start, w.window_start + INTERVAL 5 MINUTE AS window_en
   LATERAL (SELECT r.pane - to_seconds(15 * i) AS window_start FROM range(20) t(i)) w"""
 
 
-def _disc(p: float) -> str:
-    return f"list_sort(list(value))[CAST(greatest(1, ceil({p} * count(*))) AS BIGINT)]"
-
-
 def _interp(p: float) -> str:
     """Linear interpolation between the order statistics around position
     p·(n−1): (ceil−pos)·low + (pos−floor)·high."""
@@ -37,7 +33,25 @@ def _interp(p: float) -> str:
             f"ELSE (ceil({pos}) - {pos}) * {lo} + ({pos} - floor({pos})) * {hi} END AS {slo._q_name(p)}")
 
 
-QUANT_COLS = ", ".join(f"{_disc(p)} AS {slo._q_name(p)}" for p in slo.DEFAULT_QUANTILES)
+BOUNDS = "[0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]"
+
+
+def _hist(p: float) -> str:
+    """Prometheus-style interpolation in the first bucket that reaches the rank."""
+    at = f"list_position(list_transform(c, lambda x: x >= CAST({p} AS DOUBLE) * n), true)"
+    lower = f"(CASE WHEN {at} > 1 THEN CAST(b[{at} - 1] AS DOUBLE) ELSE 0.0 END)"
+    below = f"(CASE WHEN {at} > 1 THEN c[{at} - 1] ELSE 0 END)"
+    return (f"CASE WHEN coalesce({at}, 0) = 0 THEN 10000.0 ELSE {lower} + (CAST(b[{at}] AS DOUBLE) - {lower}) "
+            f"* ((CAST({p} AS DOUBLE) * n - {below}) / (c[{at}] - {below})) END AS {slo._q_name(p)}")
+
+
+def _hist_sql(src: str, ts: str, keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    return f"""
+SELECT {k}window_start, window_end, n, {", ".join(_hist(p) for p in slo.DEFAULT_QUANTILES)}
+FROM (SELECT {k}window_start, window_end, count(*) AS n, {BOUNDS} AS b,
+             list_transform({BOUNDS}, lambda e: len(list_filter(list(value), lambda v: v <= e))) AS c
+      FROM ({_spread_sql(src, ts, keys)}) x GROUP BY {k}window_start, window_end) h"""
 
 
 @register("st3_ingestion_lag", with_views(f"SELECT job_id, queue, lag_ms FROM ({LAG_SQL}) l", ["ingestion_jobs"]))
@@ -45,12 +59,10 @@ def st3(d: Domain):
     return slo.ingestion_lag(d.ingestion_jobs).select("job_id", "queue", "lag_ms")
 
 
-@register("st4_lag_quantiles", with_views(f"""
-SELECT window_start, window_end, count(*) AS n, {QUANT_COLS}
-FROM ({_spread_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at")}) x
-GROUP BY window_start, window_end""", ["ingestion_jobs"]))
+@register("st4_lag_quantiles", with_views(_hist_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l",
+                                                     "enqueued_at"), ["ingestion_jobs"]))
 def st4(d: Domain):
-    """ST-4: p50/p95/p99 ingestion lag per 5-minute window every 15 s (KLL panes)."""
+    """ST-4: p50/p95/p99 ingestion lag per 5-minute window every 15 s (bucket counts)."""
     return slo.windowed_quantiles(slo.ingestion_lag(d.ingestion_jobs), "enqueued_at", "lag_ms")
 
 
@@ -60,14 +72,12 @@ FROM (SELECT window_start, window_end, count(*) AS n, list_sort(list(value)) AS
       FROM ({_spread_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at")}) x
       GROUP BY window_start, window_end) g""", ["ingestion_jobs"]))
 def st4e(d: Domain):
-    """ST-4 with interpolated exact percentiles over the copied rows."""
+    """ST-4 with interpolated exact percentiles over counted values."""
     return slo.windowed_quantiles(slo.ingestion_lag(d.ingestion_jobs), "enqueued_at", "lag_ms", method="exact")
 
 
-@register("st5_latency_quantiles", with_views(f"""
-SELECT window_start, window_end, method, count(*) AS n, {QUANT_COLS}
-FROM ({_spread_sql("SELECT ts, method, duration_ms AS value FROM http_requests", "ts", "method")}) x
-GROUP BY window_start, window_end, method""", ["http_requests"]))
+@register("st5_latency_quantiles", with_views(_hist_sql("SELECT ts, method, duration_ms AS value FROM http_requests",
+                                                         "ts", "method"), ["http_requests"]))
 def st5(d: Domain):
     return slo.windowed_quantiles(d.http_requests, "ts", "duration_ms", ["method"])
 
@@ -97,7 +107,7 @@ def st7(d: Domain):
 SELECT series, window_start, window_start + INTERVAL 1 HOUR AS window_end,
        sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END) AS increase,
        count(*) AS samples, count(*) FILTER (WHERE value < prev) AS resets
-FROM (SELECT *, lag(value) OVER (PARTITION BY series, window_start ORDER BY ts) AS prev
+FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS prev
       FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM counter_samples) b) l
 GROUP BY series, window_start""", ["counter_samples"]))
 def st8(d: Domain):
@@ -155,12 +165,55 @@ def st10(d: Domain):
     return _breaches(d)
 
 
+def _overall_breach_sql(evals: str) -> str:
+    """Runs of true 15-second evaluations of one series and their 5-minute hold."""
+    return f"""
+SELECT min(window_end) AS started_at, max(window_end) AS ended_at, count(*) AS evaluations,
+       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) AS fired_at,
+       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) IS NOT NULL AS firing
+FROM (SELECT *, min(window_end) OVER (PARTITION BY island) AS st FROM (
+        SELECT *, CAST(floor(epoch(window_end) / 15) AS BIGINT) - row_number() OVER (ORDER BY window_end) AS island
+        FROM ({evals}) e WHERE breach) i) j
+GROUP BY island"""
+
+
+def _rule_runs(evals, name: str, value_col: str):
+    threshold, hold = slo.ALERT_RULES[name]
+    evals = evals.withColumn("breach", F.col(value_col) > threshold).withColumn("rule", F.lit(name))
+    runs = slo.sustained_breach(evals, ["rule"], "window_end", "breach", hold, "15 seconds")
+    return runs.select("started_at", "ended_at", "evaluations", "fired_at", "firing")
+
+
+@register("st10_APIHighErrorRate", with_views(_overall_breach_sql(f"""
+SELECT window_end, sum(value) / count(*) > 0.05 AS breach
+FROM ({_spread_sql("SELECT ts, CASE WHEN regexp_matches(status, '^5..$') THEN 1 ELSE 0 END AS value FROM http_requests",
+                   "ts")}) x GROUP BY window_end"""), ["http_requests"]))
+def st10_errors(d: Domain):
+    return _rule_runs(slo.error_ratio(d.http_requests, "ts", "status"), "APIHighErrorRate", "error_ratio")
+
+
+@register("st10_APIHighLatencyP95", with_views(_overall_breach_sql(
+    "SELECT window_end, p95 > 1000 AS breach FROM ("
+    + _hist_sql("SELECT ts, duration_ms AS value FROM http_requests", "ts") + ") q"), ["http_requests"]))
+def st10_latency(d: Domain):
+    return _rule_runs(slo.windowed_quantiles(d.http_requests, "ts", "duration_ms"), "APIHighLatencyP95", "p95")
+
+
+@register("st10_IngestionBacklogHigh", with_views(_overall_breach_sql(
+    "SELECT window_end, p95 > 10000 AS breach FROM ("
+    + _hist_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at") + ") q"),
+    ["ingestion_jobs"]))
+def st10_backlog(d: Domain):
+    return _rule_runs(slo.windowed_quantiles(slo.ingestion_lag(d.ingestion_jobs), "enqueued_at", "lag_ms"),
+                      "IngestionBacklogHigh", "p95")
+
+
 @register("st11_group_notifications", None)
 def st11(d: Domain):
     """ST-11: notifications per alert name over the ST-10 firing episodes
     (applyInPandas per name; no SQL oracle)."""
     firings = _breaches(d).where("firing").select(
-        F.concat(F.lit("ApiErrorRatioHigh/"), F.col("method")).alias("alertname"),
+        F.concat(F.lit("APIHighErrorRate/"), F.col("method")).alias("alertname"),
         F.col("fired_at"), F.expr("timestampadd(SECOND, 15, ended_at)").alias("resolved_at"))
     return slo.group_notifications(firings, AS_OF)
 

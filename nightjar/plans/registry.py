@@ -33,13 +33,13 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
+_DOMAINS: dict[tuple[str, str], Domain] = {}
 
 
 def _domain(spark: SparkSession, sf_dir: str) -> Domain:
     """One set of adapter views per (session, folder): the lazy view plans are
     immutable, so queries share them instead of rebuilding them."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
     d = _DOMAINS.get(key)
     if d is None:
         d = _DOMAINS[key] = Domain(spark, sf_dir)

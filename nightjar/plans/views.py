@@ -66,7 +66,7 @@ def _ts_plus(unit: str, amount: str, base: str) -> Column:
     return F.expr(f"timestampadd({unit}, {amount}, {base})")
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: dict[tuple[str, str], DataFrame] = {}
 
 
 class Domain:
@@ -87,7 +87,7 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         """The driver's table as a lazy scan; the relation (file listing and
         footer schema) is resolved once per session and path and reused."""
-        key = (id(self.spark), f"{self.sf_dir}/{name}.parquet")
+        key = (self.spark._jsparkSession.sessionUUID(), f"{self.sf_dir}/{name}.parquet")
         df = _SCANS.get(key)
         if df is None:
             df = _SCANS[key] = self.spark.read.parquet(key[1])

@@ -71,9 +71,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def apply_core_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings the operators assume (idempotent)."""
+    """Set the runtime SQL settings the operators assume, where the caller has
+    not set them (only the session time zone is needed for right results)."""
     for k, v in CORE_CONF.items():
-        spark.conf.set(k, v)
+        if k == "spark.sql.session.timeZone" or spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -89,6 +91,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="nightjar-ckpt-", dir=os.environ.get("NIGHTJAR_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

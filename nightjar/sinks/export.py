@@ -17,15 +17,15 @@ from nightjar.functions.scalars import iso_utc
 EXPORT_ENTITIES = ("alerts", "incidents", "vulnerabilities", "assets")
 
 
-def export_rows(df: DataFrame, order_col: str = "created_at") -> DataFrame:
+def export_rows(df: DataFrame, order_col: str = "created_at", join_arrays: bool = True) -> DataFrame:
     """Rows as exported: newest first (id breaks ties), timestamps as ISO
-    text, arrays joined with ``,`` (JS ``String(array)``)."""
+    text, arrays joined with ``,`` for CSV (JS ``String(array)``)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = iso_utc(c)
-        elif isinstance(f.dataType, T.ArrayType):
+        elif join_arrays and isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         cols.append(c.alias(f.name))
     order = [F.desc(order_col)] if order_col in df.columns else []
@@ -39,7 +39,7 @@ def export_csv(df: DataFrame, path: str, order_col: str = "created_at") -> None:
     """SNK-1: header = column names, null → empty, quote only text holding
     ``"``, ``,`` or a newline, ``"`` doubled.  Empty input writes no part."""
     rows = export_rows(df, order_col)
-    if rows.isEmpty():  # one limit-1 probe; Spark would write a header-only part
+    if df.isEmpty():  # one limit-1 probe of the unsorted input; Spark would write a header-only part
         rows.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(path)
         return
     (rows.write.mode("overwrite")
@@ -51,9 +51,9 @@ def export_csv(df: DataFrame, path: str, order_col: str = "created_at") -> None:
 
 
 def export_json(df: DataFrame, path: str, order_col: str = "created_at") -> None:
-    """SNK-2: the same rows as JSON objects, nulls kept.  The alerts export
+    """SNK-2: the same rows as JSON objects, nulls kept, arrays as arrays.  The alerts export
     carries no technique ids (drop them before calling)."""
-    (export_rows(df, order_col).write.mode("overwrite").option("ignoreNullFields", "false").json(path))
+    (export_rows(df, order_col, join_arrays=False).write.mode("overwrite").option("ignoreNullFields", "false").json(path))
 
 
 def csv_text(df: DataFrame) -> DataFrame:

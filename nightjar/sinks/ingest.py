@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,14 @@ from nightjar.operators.detect import DEFAULT_RULES, Rule, alerts_from_detection
 
 def raw_event_ids(events: DataFrame, key_col: str | None = None) -> Column:
     """Deterministic raw-event id: the source plus the event key when the
-    source has one (Kafka offset, file + line), else source, payload and
-    receipt time.  A replayed batch gets the same ids (ST-14)."""
+    source has one (Kafka offset, file + line), else source, payload, receipt
+    time and, for events that agree in all of these, their number.  A replayed
+    batch gets the same ids (ST-14)."""
     if key_col:
         return stable_id(F.lit("raw"), F.col("ingestion_source_id"), F.col(key_col))
-    return stable_id(F.lit("raw"), F.col("ingestion_source_id"), F.col("payload"), F.col("received_at"))
+    same = ["ingestion_source_id", "payload", "received_at"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    return stable_id(F.lit("raw"), *[F.col(c) for c in same], F.when(nth > 1, nth.cast("string")).otherwise(F.lit("")))
 
 
 def land(events: DataFrame, key_col: str | None = None) -> DataFrame:

@@ -34,15 +34,16 @@ def versions(spark: SparkSession, table_path: str, committed_only: bool = True)
     return sorted(out)
 
 
-def write_version(df: DataFrame, table_path: str, version: int | None = None, partition_by: list[str] | None = None
-                  ) -> int:
+def write_version(df: DataFrame, table_path: str, version: int | None = None, partition_by: list[str] | None = None,
+                  overwrite: bool = False) -> int:
     """Write ``df`` as a new version of the table and return its number
-    (next after every existing folder, committed or not, unless given)."""
+    (next after every existing folder, committed or not, unless given).
+    ``overwrite`` replaces what a failed attempt left under that number."""
     spark = df.sparkSession
     if version is None:
         existing = versions(spark, table_path, committed_only=False)
         version = (existing[-1] + 1) if existing else 0
-    w = df.write.mode("errorifexists")
+    w = df.write.mode("overwrite" if overwrite else "errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{table_path.rstrip('/')}/v={version}")

@@ -72,8 +72,8 @@ def read_json_events(spark: SparkSession, path: str, json_lines: bool = False) -
             F.when(ok, F.col("value")).alias("record"), (~ok).alias("rejected"))
     files = spark.read.option("wholetext", True).text(path).select(
         F.input_file_name().alias("file"), F.col("value"))
-    files = files.where(F.lower(F.col("file")).endswith(".json"))
-    arr = F.from_json(F.col("value"), "array<string>")
+    # a file of another kind is rejected like a malformed one, not skipped
+    arr = F.when(F.lower(F.col("file")).endswith(".json"), F.from_json(F.col("value"), "array<string>"))
     parsed = files.select("file", arr.alias("records"))
     good = parsed.where(F.col("records").isNotNull()).select(
         "file", F.posexplode("records").alias("ordinal", "record"), F.lit(False).alias("rejected"))

@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from nightjar import schemas
 
 
+def conform(df: DataFrame, entity: str) -> DataFrame:
+    """Rows of any writer with the entity's declared columns and types: ids of
+    older tables (numbers) become text, columns that a table lacks are null.
+    A projection only, so pruning and filters still reach the scan."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schemas.ENTITY_SCHEMAS[entity].fields])
+
+
 def scan(spark: SparkSession, path: str, entity: str, order_by: list[str] | None = None) -> DataFrame:
-    """SRC-4: read an entity table with its declared schema (no inference).
-    Column pruning and filters written later reach the Parquet scan."""
-    df = spark.read.schema(schemas.ENTITY_SCHEMAS[entity]).parquet(path)
-    return df.orderBy(*order_by) if order_by else df
+    """SRC-4: read an entity table with its declared columns.  The table is a
+    plain Parquet folder, one with ``batch=`` folders (all of them are read),
+    or one with ``v=`` versions (the newest committed one is)."""
+    from nightjar.sinks.snapshots import read_latest, versions
+    df = read_latest(spark, path) if versions(spark, path) else spark.read.parquet(path)
+    out = conform(df, entity)
+    return out.orderBy(*order_by) if order_by else out
 
 
 def mitre_dimension(spark: SparkSession) -> DataFrame:

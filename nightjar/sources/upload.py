@@ -32,10 +32,10 @@ def source_ip_from_columns(df: DataFrame) -> Column:
 
 
 def guard_max_rows(records: DataFrame, file_col: str = "file",
-                   max_rows: int | None = schemas.MAX_UPLOAD_ROWS) -> tuple[DataFrame, DataFrame]:
+                   max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """SRC-9: split records into (accepted, rejected_files).  A file with more
-    than ``max_rows`` records is rejected whole.  ``max_rows=None`` turns the
-    guard off (the default for bulk loads at scale)."""
+    than ``max_rows`` records is rejected whole.  The guard is off unless a
+    bound is given (the upload form's is ``schemas.MAX_UPLOAD_ROWS``)."""
     if max_rows is None:
         return records, records.sparkSession.createDataFrame([], f"{file_col} string, n_rows long, reason string")
     per_file = records.groupBy(file_col).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -64,7 +64,7 @@ def csv_rows_to_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]))
 
 
-def read_upload(spark, path: str, source_id: int, received_at, max_rows: int | None = schemas.MAX_UPLOAD_ROWS
+def read_upload(spark, path: str, source_id: int, received_at, max_rows: int | None = None
                 ) -> tuple[DataFrame, DataFrame]:
     """Upload → normalised events (the ``/ingest/upload`` flow).
 
@@ -73,7 +73,7 @@ def read_upload(spark, path: str, source_id: int, received_at, max_rows: int | N
     record becomes an event: source ``source_id``, type ``file_upload``,
     payload = the record as JSON text, source ip per SRC-8.  Returns
     (events, rejected files with a reason): not an array, unparsable, or
-    more than ``max_rows`` records (SRC-9)."""
+    more than ``max_rows`` records where a bound is given (SRC-9)."""
     from nightjar.functions.scalars import ts_literal
     from nightjar.sources.files import read_csv_events, read_json_events
 

@@ -6,8 +6,8 @@ inside ``foreachBatch``:
 
 * the batch is persisted once and reused by every output (raw events, alerts,
   mappings, freshness, quarantine);
-* ids derive from the file path, the line's position in its split and the
-  file time, so a replayed batch (after a driver or executor loss) recomputes
+* ids derive from the file path, the line and its number among equal lines
+  of the file, so a replayed batch (after a driver or executor loss) recomputes
   the same ids, and every output folder is keyed by the batch id and
   overwritten — replay rewrites, never duplicates;
 * lines that do not parse, and events naming an unknown ingestion source,
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightjar.functions.scalars import keep_rows
@@ -51,12 +51,14 @@ def syslog_lines_stream(spark: SparkSession, directory: str, max_files_per_trigg
 
 
 def with_event_key(lines: DataFrame) -> DataFrame:
-    """(file, split start, position in the micro-batch plan): a replayed batch
-    reads the same files with the same splits, so it gets the same keys."""
+    """(file, line digest, number among the file's equal lines): depends on the
+    files alone, not on how a batch is cut into tasks, so a replay on another
+    number of cores gets the same keys.  (Equal lines of a file are
+    interchangeable, so it does not matter which of them is which number.)"""
     if "event_key" in lines.columns:
         return lines
-    return lines.withColumn("event_key", F.concat(F.col("file_path"), F.lit(":"), F.col("block_start"), F.lit(":"),
-                                                  F.monotonically_increasing_id()))
+    nth = F.row_number().over(Window.partitionBy("file_path", "raw").orderBy("block_start"))
+    return lines.withColumn("event_key", F.concat_ws(":", "file_path", F.sha2("raw", 256), nth))
 
 
 def normalize_syslog_batch(lines: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +103,7 @@ def write_events_batch(events: DataFrame, quarantined: DataFrame, batch_id: int,
     try:
         suffix = f"batch={batch_id}"
         raw = result["raw_events"].withColumn("received_date", F.to_date("received_at"))
-        raw.write.mode("overwrite").parquet(f"{out_dir}/raw_events/{suffix}")
+        raw.write.mode("overwrite").partitionBy("received_date").parquet(f"{out_dir}/raw_events/{suffix}")
         result["alerts"].write.mode("overwrite").parquet(f"{out_dir}/alerts/{suffix}")
         result["alert_mitre_mappings"].write.mode("overwrite").parquet(f"{out_dir}/alert_mitre_mappings/{suffix}")
         result["feed"].write.mode("overwrite").text(f"{out_dir}/feed/{suffix}")
@@ -119,7 +121,7 @@ def write_events_batch(events: DataFrame, quarantined: DataFrame, batch_id: int,
 def upload_files_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """A folder where uploaded ``.json`` files land, one row per file (the
     whole text), with the file time as receipt time."""
-    reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.json")
+    reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(directory).select(
@@ -128,11 +130,11 @@ def upload_files_stream(spark: SparkSession, directory: str, max_files_per_trigg
 
 
 def ingest_uploads_batch(files: DataFrame, batch_id: int, sources: DataFrame, out_dir: str, source_id: int,
-                         max_rows: int | None = 1000, rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
+                         max_rows: int | None = None, rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
     """One micro-batch of upload files: each must be a JSON array (else the
     file is quarantined: "JSON file must contain an array of records" or
-    "Failed to parse JSON file"); a file with more than ``max_rows`` records
-    is quarantined whole; every record becomes an event (payload = record
+    "Failed to parse JSON file"); where ``max_rows`` is given, a file with more
+    records is quarantined whole, with its text; every record becomes an event (payload = record
     JSON text, source ip per SRC-8, key = file + position)."""
     from nightjar.sources.upload import source_ip_from_json
     parsed = files.select("file", "value", "received_at",
@@ -146,7 +148,7 @@ def ingest_uploads_batch(files: DataFrame, batch_id: int, sources: DataFrame, ou
         ok = parsed.where(F.col("records").isNotNull())
         if max_rows is not None:
             too_big = ok.where(n > max_rows).select(
-                F.col("file").alias("raw"), "received_at", F.col("file").alias("event_key"),
+                F.col("value").alias("raw"), "received_at", F.col("file").alias("event_key"),
                 F.concat(F.lit("File has "), n, F.lit(f" rows; max is {max_rows}")).alias("reason"))
             bad = bad.unionByName(too_big)
             ok = ok.where(n <= max_rows)
@@ -160,7 +162,7 @@ def ingest_uploads_batch(files: DataFrame, batch_id: int, sources: DataFrame, ou
 
 
 def ingest_upload_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: DataFrame, source_id: int,
-                         checkpoint: str | None = None, available_now: bool = True, max_rows: int | None = 1000,
+                         checkpoint: str | None = None, available_now: bool = True, max_rows: int | None = None,
                          max_files_per_trigger: int | None = None, rules: Sequence[Rule] = DEFAULT_RULES):
     """ST-1 for uploads: start the stream over the upload folder."""
     files = upload_files_stream(spark, source_dir, max_files_per_trigger)

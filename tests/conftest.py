@@ -53,5 +53,9 @@ def mk(spark, entity: str, rows: list[dict]):
                 v = []
             vals.append(v)
         data.append(tuple(vals))
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    def kind(f, i):
+        """Ids may be given as numbers, as the driver's tables have them."""
+        numbers = any(isinstance(v[i], int) and not isinstance(v[i], bool) for v in data)
+        return T.LongType() if numbers and isinstance(f.dataType, T.StringType) else f.dataType
+    nullable = T.StructType([T.StructField(f.name, kind(f, i), True) for i, f in enumerate(schema.fields)])
     return spark.createDataFrame(data, nullable)

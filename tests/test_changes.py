@@ -88,7 +88,10 @@ def test_ioc_default_conflict_and_bump(spark):
     out = ch.merge_iocs(iocs, inc, AS_OF)
     ins = out["inserted"].collect()
     assert [(r.type, r.value, r.severity) for r in ins] == [("domain", "evil.example", "medium")]
-    assert [(r.type, r.value) for r in out["conflicts"].collect()] == [("ip", "1.1.1.1")]
+    # a repeated request of the batch is a conflict too, not dropped
+    assert sorted((r.type, r.value, r.incoming_id) for r in out["conflicts"].collect()) == [
+        ("domain", "evil.example", 3), ("ip", "1.1.1.1", 1)]
+    assert [r.action for r in out["audit"].collect()] == ["ioc.created"]
     p = spark.createDataFrame([(1, "ip:1.1.1.1", ts("2024-03-01 00:00:00"), None)],
                               "change_id long, entity_id string, ts timestamp_ntz, severity string")
     r = ch.patch_iocs(iocs, p)["snapshot"].first()

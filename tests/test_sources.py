@@ -80,7 +80,7 @@ def test_source_ip_resolution(spark):
 def test_max_rows_guard(spark):
     recs = spark.range(1001).select(F.lit("big.csv").alias("file"), "id").unionByName(
         spark.range(2).select(F.lit("small.csv").alias("file"), "id"))
-    accepted, rejected = guard_max_rows(recs)
+    accepted, rejected = guard_max_rows(recs, max_rows=1000)
     assert accepted.count() == 2
     r = rejected.collect()
     assert len(r) == 1 and r[0].file == "big.csv" and "max is 1000" in r[0].reason
@@ -163,6 +163,8 @@ def test_upload_flow(spark, scratch):
     write_text(jdir, "bad.json", "{not valid json")
     write_text(jdir, "big.json", json.dumps([{"i": i} for i in range(1001)]))
     ev, rej = read_upload(spark, jdir + "/*.json", 3, "2024-01-01 00:00:00")
+    assert ev.count() == 1002 and rej.count() == 2  # no bound unless one is given
+    ev, rej = read_upload(spark, jdir + "/*.json", 3, "2024-01-01 00:00:00", max_rows=1000)
     assert [(r.source_ip, r.payload) for r in ev.collect()] == [("1.2.3.4", '{"sourceIp":"1.2.3.4","message":"x"}')]
     reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in rej.collect()}
     assert reasons == {"obj.json": "JSON file must contain an array of records",

@@ -218,7 +218,7 @@ def test_upload_stream(spark, scratch):
     srcs = spark.createDataFrame([(3, "File Upload", "file_upload", True)], "id long, name string, type string, "
                                                                             "is_active boolean")
     out = os.path.join(scratch, "out")
-    q = ingest_upload_stream(spark, src, out, srcs, 3, checkpoint=os.path.join(scratch, "ck"))
+    q = ingest_upload_stream(spark, src, out, srcs, 3, checkpoint=os.path.join(scratch, "ck"), max_rows=1000)
     q.awaitTermination(120)
     raw = read_ingest_output(spark, out, "raw_events")
     assert sorted(r.source_ip or "" for r in raw.collect()) == ["", "10.0.0.9"]
