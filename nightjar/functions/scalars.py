@@ -12,9 +12,6 @@ from nightjar import schemas
 
 ColumnOrName = Column | str
 
-SEVERITY_LABELS = {"critical": "Critical", "high": "High", "medium": "Medium", "low": "Low", "info": "Info"}
-
-
 def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -39,10 +36,6 @@ def severity_rank(c: ColumnOrName) -> Column:
     return enum_rank(c, schemas.SEVERITIES)
 
 
-def severity_label(c: ColumnOrName) -> Column:
-    return map_values(c, SEVERITY_LABELS)
-
-
 # The characters JavaScript's String.prototype.trim removes —
 # WhiteSpace (TAB, VT, FF, SP, NBSP, ZWNBSP and every Zs space separator) and
 # LineTerminator (LF, CR, LS, PS).

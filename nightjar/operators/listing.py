@@ -73,15 +73,6 @@ def own_rows(df: DataFrame, user_id, user_col: str = "user_id") -> DataFrame:
     return df.where(F.col(user_col) == F.lit(user_id))
 
 
-def open_vulnerability() -> Column:
-    """F-10."""
-    return F.col("status") == "open"
-
-
-def critical_open_vulnerability() -> Column:
-    return (F.col("status") == "open") & (F.col("severity") == "critical")
-
-
 def retain(df: DataFrame, ts_col: str, as_of: dt.datetime | str, hours: int = 168) -> DataFrame:
     """F-12: keep rows newer than ``as_of - hours``."""
     if isinstance(as_of, str):

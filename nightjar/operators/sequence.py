@@ -96,10 +96,3 @@ def running_sum(df: DataFrame, key: str | Sequence[str], ts_col: str, tie_col: s
     out = rows.join(totals, [*keys, b], "left")
     return out.withColumn(out_col, F.col("_rs_in") + F.col("_rs_before")).drop(b, "_rs_in", "_rs_before")
 
-
-def previous_in_bucket(df: DataFrame, keys: Sequence[str], ts_col: str, tie_col: str, value_col: str,
-                       out_col: str = "prev") -> DataFrame:
-    """``lag`` inside an already bounded partition (e.g. one series and one
-    evaluation window): no carry across partitions is wanted."""
-    w = Window.partitionBy(*keys).orderBy(ts_col, tie_col)
-    return df.withColumn(out_col, F.lag(value_col).over(w))

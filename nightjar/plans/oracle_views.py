@@ -166,7 +166,7 @@ SELECT event_type AS queue, ts,
        CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 2 AS DOUBLE) END AS delayed
 FROM events"""),
     "status_changes": ([], f"""
-SELECT event_id AS change_id, (event_id % 500) * 50 AS entity_id, ts,
+SELECT event_id AS change_id, (event_id % greatest((SELECT count(*) FROM events) // 40, 1)) * 50 AS entity_id, ts,
        CASE WHEN event_id % 6 <> 5 THEN {_list(schemas.INCIDENT_STATUSES)}[(event_id // 700) % 5 + 1] END AS status,
        event_id % 4 = 0 AS assigned_to_set,
        CASE WHEN event_id % 4 = 0 AND event_id % 8 <> 4 THEN user_id % 100 END AS assigned_to_id
@@ -207,7 +207,7 @@ FROM events WHERE event_id % 97 = 0"""),
 SELECT event_id AS change_id, CAST((event_id // 1000) % 7 + 1 AS BIGINT) AS entity_id, ts,
        (event_id // 1000) % 2 = 0 AS is_active FROM events WHERE event_id % 1000 = 0"""),
     "timeline_notes": ([], """
-SELECT event_id AS note_id, (event_id % 300) * 50 AS incident_id, user_id % (SELECT count(*) FROM supplier) AS author_id,
+SELECT event_id AS note_id, (event_id % greatest((SELECT count(*) FROM events) // 45, 1)) * 50 AS incident_id, user_id % (SELECT count(*) FROM supplier) AS author_id,
        concat('Note ', event_id) AS message, ts FROM events WHERE event_id % 37 = 0"""),
     "alert_creates": ([], f"""
 SELECT event_id AS id,
@@ -219,7 +219,7 @@ SELECT event_id AS id,
        CAST(NULL AS VARCHAR) AS status, CASE WHEN event_id % 2 = 0 THEN ts END AS created_at
 FROM events WHERE event_id % 9 = 0"""),
     "alert_changes": ([], f"""
-SELECT event_id AS change_id, (event_id * 7) % 1000 AS entity_id, ts,
+SELECT event_id AS change_id, (event_id * 7) % (SELECT count(*) FROM events) AS entity_id, ts,
        CASE WHEN event_id % 3 = 0 THEN concat('Retitled ', event_id) END AS title,
        CASE WHEN event_id % 4 = 0 THEN {SEV}[event_id % 5 + 1] END AS severity,
        CASE WHEN event_id % 2 = 0 THEN {_list(schemas.ALERT_STATUSES)}[(event_id // 2) % 4 + 1] END AS status,

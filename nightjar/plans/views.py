@@ -118,6 +118,11 @@ class Domain:
         """Row count of ``supplier`` (the users) as a scalar subquery."""
         return self.table("supplier").agg(F.count(F.lit(1))).scalar()
 
+    @functools.cached_property
+    def n_events(self) -> Column:
+        """Row count of ``events``: change logs touch ids all over the tables."""
+        return self.table("events").agg(F.count(F.lit(1))).scalar()
+
     # -- entities -----------------------------------------------------------
     @functools.cached_property
     def assets(self) -> DataFrame:
@@ -371,14 +376,15 @@ class Domain:
 
     @functools.cached_property
     def status_changes(self) -> DataFrame:
-        """Incident patch log: entity ``event_id % 500`` (an incident id ×50),
+        """Incident patch log over every incident (ids are multiples of 50) and
+        a fifth as many ids that do not exist,
         status from ``floor(event_id / 700) % 5`` so repeats occur."""
         e = self.table("events")
         eid = F.col("event_id")
         assign_set = eid % 4 == 0
         return e.select(
             eid.alias("change_id"),
-            ((eid % 500) * 50).alias("entity_id"),
+            ((eid % F.greatest(F.floor(self.n_events / 40), F.lit(1))) * 50).alias("entity_id"),
             F.col("ts"),
             # null = field absent from this patch
             F.when(eid % 6 != 5, _pick(schemas.INCIDENT_STATUSES, F.expr("(event_id div 700) % 5"))).alias("status"),
@@ -459,7 +465,8 @@ class Domain:
     @functools.cached_property
     def timeline_notes(self) -> DataFrame:
         e = self.table("events").where(F.col("event_id") % 37 == 0)
-        return e.select(F.col("event_id").alias("note_id"), ((F.col("event_id") % 300) * 50).alias("incident_id"),
+        return e.select(F.col("event_id").alias("note_id"), ((F.col("event_id") % F.greatest(F.floor(self.n_events / 45), F.lit(1))) * 50)
+                        .alias("incident_id"),
                         (F.col("user_id") % self.n_users).alias("author_id"),
                         F.concat(F.lit("Note "), F.col("event_id")).alias("message"), "ts")
 
@@ -478,14 +485,14 @@ class Domain:
 
     @functools.cached_property
     def alert_changes(self) -> DataFrame:
-        """Alert patches: every 5th event patches alert ``event_id·7 mod 1000``
-        (an id present at every scale) with some of title / severity / status /
+        """Alert patches: every 5th event patches alert ``event_id·7`` modulo the
+        number of alerts with some of title / severity / status /
         assignee; an assignee patch clears the field one time in two."""
         e = self.table("events").where(F.col("event_id") % 5 == 1)
         eid = F.col("event_id")
         a_set = eid % 6 == 1
         return e.select(
-            eid.alias("change_id"), ((eid * 7) % 1000).alias("entity_id"), "ts",
+            eid.alias("change_id"), ((eid * 7) % self.n_events).alias("entity_id"), "ts",
             F.when(eid % 3 == 0, F.concat(F.lit("Retitled "), eid)).alias("title"),
             F.when(eid % 4 == 0, _pick(schemas.SEVERITIES, eid % 5)).alias("severity"),
             F.when(eid % 2 == 0, _pick(schemas.ALERT_STATUSES, F.expr("(event_id div 2) % 4"))).alias("status"),

@@ -36,13 +36,6 @@ def land(events: DataFrame, key_col: str | None = None) -> DataFrame:
     return events.select(raw_event_ids(events, key_col).alias("id"), *cols)
 
 
-def land_raw_events(raw: DataFrame, path: str) -> None:
-    """SNK-3 (the write): append to Parquet partitioned by receipt date, so
-    time filters prune whole folders."""
-    (raw.withColumn("received_date", F.to_date("received_at"))
-     .write.mode("append").partitionBy("received_date").parquet(path))
-
-
 def refresh_source_freshness(sources: DataFrame, batch: DataFrame) -> DataFrame:
     """SNK-6: ``last_ingested_at`` = the newest receipt time per source (never
     moves back).  The batch is folded per source before the join."""
@@ -90,20 +83,6 @@ def process_ingestion(events: DataFrame, sources: DataFrame, rules: Sequence[Rul
     }
 
 
-def write_ingestion(result: dict[str, DataFrame], base_path: str, batch_id: int | None = None) -> None:
-    """SNK-4 / SNK-3 writes for one batch.  Output folders carry the batch id
-    when given, and each write overwrites its own folder, so a replayed
-    micro-batch rewrites the same files instead of appending duplicates."""
-    suffix = "" if batch_id is None else f"/batch={batch_id}"
-    for name in ("raw_events", "alerts", "alert_mitre_mappings"):
-        df = result[name]
-        if name == "raw_events":
-            df = df.withColumn("received_date", F.to_date("received_at"))
-            df.write.mode("overwrite").partitionBy("received_date").parquet(f"{base_path}/{name}{suffix}")
-        else:
-            df.write.mode("overwrite").parquet(f"{base_path}/{name}{suffix}")
-
-
 def audit_sink(audit_rows: DataFrame, path: str) -> None:
     """SNK-7: append-only audit log partitioned by day (never updated)."""
     rows = audit_rows if "created_date" in audit_rows.columns else audit_rows.withColumn(

@@ -90,18 +90,6 @@ def read_syslog(spark: SparkSession, path: str) -> DataFrame:
     return keep_rows(with_parsed_syslog(lines), F.col("parsed").isNotNull())
 
 
-def read_syslog_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC-3 (stream): a folder of syslog text files as an unbounded table of
-    (raw, remote_address, received_at); the socket listener of a deployment
-    writes these files (or a Kafka topic replaces the folder)."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(directory).select(
-        F.col("value").alias("raw"), F.lit(None).cast("string").alias("remote_address"),
-        F.current_timestamp().cast("timestamp_ntz").alias("received_at"))
-
-
 def read_json_logs(spark: SparkSession, path: str, service: str | None = None,
                    level: str | None = None) -> DataFrame:
     """SRC-7: single-line JSON logs; lifts ``level``/``msg`` into columns and the

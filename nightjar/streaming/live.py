@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nightjar import schemas
 from nightjar.functions.scalars import dow_sunday0, hour_of_day
+from nightjar.operators.slo import BUCKET_BOUNDS, histogram_quantile
 
 
 def _event_time(df: DataFrame, ts_col: str, watermark: str) -> DataFrame:
@@ -43,18 +44,35 @@ def summary_stream(alerts: DataFrame) -> DataFrame:
                       *[F.count_if(sev == s).alias(f"alerts_{s}") for s in ("critical", "high", "medium", "low")])
 
 
+def _paned(s: DataFrame, keys: Sequence[str], window: str, slide: str, aggs: dict) -> DataFrame:
+    """Sliding windows in two steps: each row enters one pane of ``slide``
+    length, and the panes' few numbers enter the windows that hold them."""
+    panes = s.groupBy(*keys, F.window("_evt", slide).alias("_p")).agg(*[c.alias(n) for n, c in aggs.items()])
+    return (panes.withColumn("_t", F.window_time("_p"))
+            .groupBy(*keys, F.window("_t", window, slide).alias("_w")).agg(*[F.sum(n).alias(n) for n in aggs]))
+
+
+def _bounds(w: str = "_w") -> list:
+    return [F.col(f"{w}.start").cast("timestamp_ntz").alias("window_start"),
+            F.col(f"{w}.end").cast("timestamp_ntz").alias("window_end")]
+
+
 def quantiles_stream(samples: DataFrame, ts_col: str, value_col: str, keys: Sequence[str] = (),
                      window: str = "5 minutes", slide: str = "15 seconds", watermark: str = "1 minute",
-                     quantiles: Sequence[float] = (0.5, 0.95, 0.99), accuracy: int = 10000) -> DataFrame:
-    """ST-4/ST-5 on a stream: approximate percentiles per sliding window; a
-    window is emitted once the watermark passes its end (``append``)."""
-    s = _event_time(samples, ts_col, watermark)
-    g = s.groupBy(*keys, F.window("_evt", window, slide).alias("_w")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value_col, list(quantiles), accuracy).alias("_q"))
-    return g.select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("_w.end").cast("timestamp_ntz").alias("window_end"), *keys, "n",
-                    *[F.col("_q")[i].alias("p" + f"{p * 100:g}".replace(".", "_")) for i, p in enumerate(quantiles)])
+                     quantiles: Sequence[float] = (0.5, 0.95, 0.99), bounds: Sequence[float] = BUCKET_BOUNDS
+                     ) -> DataFrame:
+    """ST-4/ST-5 on a stream: the batch form's bucket quantiles per sliding
+    window; a window is emitted once the watermark passes its end (``append``).
+    State per window is one number per bucket."""
+    s = _event_time(samples.where(F.col(value_col).isNotNull()), ts_col, watermark)
+    buckets = [f"_b{i}" for i in range(len(bounds))]
+    g = _paned(s, keys, window, slide,
+               {b: F.count_if(F.col(value_col) <= float(x)) for b, x in zip(buckets, bounds, strict=True)}
+               | {"n": F.count(F.lit(1))})
+    counted = g.select(*_bounds(), *keys, "n", F.array(*buckets).alias("_c"))
+    return counted.select("window_start", "window_end", *keys, "n",
+                          *[histogram_quantile(F.col("_c"), F.col("n"), p, bounds)
+                            .alias("p" + f"{p * 100:g}".replace(".", "_")) for p in quantiles])
 
 
 def error_ratio_stream(requests: DataFrame, ts_col: str = "ts", status_col: str = "status",
@@ -62,9 +80,8 @@ def error_ratio_stream(requests: DataFrame, ts_col: str = "ts", status_col: str
                        watermark: str = "1 minute", threshold: float = 0.05) -> DataFrame:
     """ST-6/ST-7 on a stream: request count, 5xx ratio and breach flag per window."""
     s = _event_time(requests, ts_col, watermark)
-    g = s.groupBy(*keys, F.window("_evt", window, slide).alias("_w")).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(F.col(status_col).rlike("^5..$")).alias("errors"))
+    g = _paned(s, keys, window, slide, {"requests": F.count(F.lit(1)),
+                                        "errors": F.count_if(F.col(status_col).rlike("^5..$"))})
     ratio = F.col("errors") / F.col("requests")
-    return g.select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("_w.end").cast("timestamp_ntz").alias("window_end"), *keys, "requests", "errors",
-                    ratio.alias("error_ratio"), (ratio > threshold).alias("breach"))
+    return g.select(*_bounds(), *keys, "requests", "errors", ratio.alias("error_ratio"),
+                    (ratio > threshold).alias("breach"))

@@ -205,3 +205,10 @@ def test_job_recovers_between_any_two_writes(spark, scratch, monkeypatch):
     assert incident_changes_job(spark, wh, p, "b") == {"incidents_version": 1}
     assert read_latest(spark, f"{wh}/incidents").first().status == "resolved"
     assert spark.read.parquet(f"{wh}/incident_timeline_events/batch=b").count() == 1
+
+
+def test_labels_and_first_per_key(spark):
+    from nightjar.functions.scalars import humanize
+    df = spark.createDataFrame([("false_positive", 2), ("false_positive", 1), ("x", 3)], "k string, n int")
+    assert {r[0] for r in df.select(humanize("k")).collect()} == {"false positive", "x"}
+    assert sorted((r.k, r.n) for r in ch.dedupe(df, ["k"], "n").collect()) == [("false_positive", 1), ("x", 3)]

@@ -56,8 +56,10 @@ def test_sliding_windows_spread_panes_not_rows(spark):
     p = plan_of(slo.windowed_quantiles(d.http_requests, "ts", "duration_ms", ["method"]))
     # the explode that copies into 20 windows sits above the pane aggregate
     gen = p.index("Generate explode(")
-    pane_agg = p.index("kll_sketch_agg_double", gen)
+    pane_agg = p.index("partial_count", gen)
     assert gen < pane_agg
+    exact = plan_of(slo.windowed_quantiles(d.http_requests, "ts", "duration_ms", method="exact"))
+    assert exact.index("Generate explode(") < exact.index("partial_count", exact.index("Generate explode("))
 
 
 def test_hot_keys_split_by_bucket_in_sequences(spark):

@@ -40,7 +40,7 @@ def test_ingestion_lag_ms(spark):
 def test_windowed_quantiles_sketch_matches_exact_rank(spark):
     rows = [(ts("2024-01-01 00:00:00").replace(second=i), float(v)) for i, v in enumerate([5, 1, 9, 3, 7])]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
-    out = slo.windowed_quantiles(df, "ts", "v", window="5 minutes", slide="5 minutes").collect()
+    out = slo.windowed_quantiles(df, "ts", "v", window="5 minutes", slide="5 minutes", method="sketch").collect()
     assert len(out) == 1 and (out[0].n, out[0].p50, out[0].p95) == (5, 5.0, 9.0)
     ex = slo.windowed_quantiles(df, "ts", "v", window="5 minutes", slide="5 minutes", method="exact").first()
     assert ex.p50 == 5.0
