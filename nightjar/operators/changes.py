@@ -92,11 +92,16 @@ def referential_split(child: DataFrame, parent: DataFrame, fk: str, pk: str = "i
                       nullable: bool = True) -> tuple[DataFrame, DataFrame]:
     """J-11: (accepted, quarantined) — a row whose non-null foreign key has no
     parent is quarantined with a reason."""
-    p = parent.select(F.col(pk).alias(fk))
-    has_parent = child.join(p, fk, "left_semi")
-    missing = child.where(F.col(fk).isNotNull()).join(p, fk, "left_anti")
-    accepted = has_parent.unionByName(child.where(F.col(fk).isNull())) if nullable else has_parent
-    return accepted, missing.withColumn("reason", F.lit(f"unknown {fk}"))
+    # the ids of the batch are reduced first, so a batch that names one source
+    # in every row does not meet the registry in one task
+    ids = child.where(F.col(fk).isNotNull()).select(fk).distinct()
+    unknown = ids.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+    missing = child.join(unknown, fk, "left_semi").withColumn("reason", F.lit(f"unknown {fk}"))
+    accepted = child.join(unknown, fk, "left_anti")
+    if nullable:
+        return accepted, missing
+    without = child.where(F.col(fk).isNull()).withColumn("reason", F.lit(f"no {fk}"))
+    return accepted.where(F.col(fk).isNotNull()), missing.unionByName(without)
 
 
 # --------------------------------------------------------------------------
