@@ -74,7 +74,7 @@ def _byte_chars() -> dict[str, int]:
     return out
 
 
-def _read(path: str) -> dict:
+def read_vocabulary(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
@@ -94,7 +94,7 @@ def token_bytes(spec: dict) -> tuple[list[bytes], dict[str, int]]:
 
 class Vocabulary:
     def __init__(self, path: str):
-        spec = _read(path)
+        spec = read_vocabulary(path)
         char = _byte_chars()
         text, self.special = token_bytes(spec)
         size, special = len(text), set(self.special.values())
@@ -185,7 +185,7 @@ class OffsetTable:
     """Decoding: all tokens' bytes in one buffer, and where each begins."""
 
     def __init__(self, path: str):
-        text, _ = token_bytes(_read(path))
+        text, _ = token_bytes(read_vocabulary(path))
         self.offsets = np.zeros(len(text) + 1, dtype=np.int64)
         np.cumsum([len(t) for t in text], out=self.offsets[1:])
         self.buffer = np.frombuffer(b"".join(text), dtype=np.uint8)

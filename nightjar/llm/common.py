@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nightjar.session import ensure_checkpoint_dir
 
 #: Text bytes that one numpy step works on; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ is lost, whatever the group sizes), and the result is each document's
 component.  Equal sets are one class throughout.
 
 1. *Profile*: per document the set's size, a digest (its class) and a hashed
-   parity bitmap, a bit for one or two shingles.  Shingles common within slices
+   parity bitmap, one or two bits per shingle.  Shingles common within slices
    are counted along the way.
 2. *Candidates*: similar sets share one of their first ``n - ceil(t n) + 1``
    shingles in any fixed order.  The order puts the most common shingles last
@@ -101,10 +101,10 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles per bit; a bit for one or two shingles, 64 to
-    4096 in all.  (Sets that share little differ in half of the bits, which is
-    half as many again as linked sets may differ in.)"""
-    width = min(4096, max(64, 1 << max(len(s).bit_length() - 1, 0)))
+    """Parity of the shingles per bit; one or two bits a shingle, 128 to 4096
+    in all.  (Sets that share little differ in nearly half of the bits, twice
+    as many as linked sets may differ in.)"""
+    width = min(4096, max(128, 1 << max(len(s) - 1, 0).bit_length()))
     bits = np.bincount((mix(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 

@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightjar.llm.bpe import Vocabulary
+from nightjar.llm.bpe import read_vocabulary, token_bytes
 from nightjar.llm.common import emit, id_text, materialise
 
 # The byte-level pre-token rule of the vocabulary; fixed value.
@@ -45,9 +45,9 @@ _CODERS: dict[str, tiktoken.Encoding] = {}
 def _coder(path: str) -> tiktoken.Encoding:
     """The vocabulary file's merges in the fast public encoder, per worker."""
     if path not in _CODERS:
-        words = Vocabulary(path)
-        _CODERS[path] = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=words.ids,
-                                          special_tokens=words.special)
+        text, special = token_bytes(read_vocabulary(path))
+        ranks = {t: i for i, t in enumerate(text) if t and i not in set(special.values())}
+        _CODERS[path] = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _CODERS[path]
 
 

@@ -174,7 +174,7 @@ def parsed(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url
     return out.withColumns({"rule": rule, "label": label})
 
 
-def train(urls: DataFrame, max_train: int = 20_000) -> UrlModel:
+def train(urls: DataFrame, max_train: int = 8_000) -> UrlModel:
     """Fit on the labelled rows of (url, host, path, label)."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"place": pa.int32(), "n": pa.int64(), "blocked": pa.int64()}
