@@ -11,6 +11,10 @@ from nightjar.plans.views import Domain
 SINCE_30 = "TIMESTAMP '2024-01-01 00:00:00'"
 SINCE_7 = "TIMESTAMP '2024-01-24 00:00:00'"
 SEVS = schemas.SEVERITIES
+# Risk points as the oracle states them, apart from the library's own tables.  Fixed values.
+ORACLE_VULN_POINTS = {"critical": 25, "high": 15, "medium": 8, "low": 3, "info": 1}
+ORACLE_ALERT_POINTS = {"critical": 20, "high": 12, "medium": 6, "low": 2, "info": 1}
+ORACLE_MULTIPLIER = {"critical": 1.3, "high": 1.15, "medium": 1.0, "low": 0.85, "info": 0.7}
 
 
 def _techs_of(alert_id_expr: str) -> str:
@@ -148,15 +152,15 @@ SELECT s.id AS asset_id, s.name, s.type, s.criticality,
        CAST(coalesce(v.pts, 0) AS BIGINT) AS vuln_points, CAST(coalesce(a.pts, 0) AS BIGINT) AS alert_points
 FROM assets s
 LEFT JOIN (SELECT asset_id, count(*) AS n, count_if(severity = 'critical') AS nc,
-                  sum({_case('severity', schemas.VULN_POINTS, 0)}) AS pts
+                  sum({_case('severity', ORACLE_VULN_POINTS, 0)}) AS pts
            FROM vulnerabilities WHERE status = 'open' AND asset_id IS NOT NULL GROUP BY asset_id) v ON v.asset_id = s.id
 LEFT JOIN (SELECT asset_id, count(*) AS n, count_if(severity = 'critical') AS nc,
-                  sum({_case('severity', schemas.ALERT_POINTS, 0)}) AS pts
+                  sum({_case('severity', ORACLE_ALERT_POINTS, 0)}) AS pts
            FROM alerts WHERE status IN ('open', 'acknowledged') AND asset_id IS NOT NULL GROUP BY asset_id) a
        ON a.asset_id = s.id"""
 
 MULT_SQL = "CASE criticality " + " ".join(
-    f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in schemas.CRITICALITY_MULTIPLIER.items()) + \
+    f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in ORACLE_MULTIPLIER.items()) + \
     " ELSE CAST(1.0 AS DOUBLE) END"
 
 

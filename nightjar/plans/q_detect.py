@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nightjar import schemas
 from nightjar.functions.scalars import keep_rows
 from nightjar.functions.syslog import syslog_payload, with_parsed_syslog
-from nightjar.operators.detect import DEFAULT_RULES, detect
+from nightjar.operators.detect import detect
 from nightjar.plans.oracle_views import _list, _q, with_views
 from nightjar.plans.registry import register
 from nightjar.plans.views import Domain
@@ -16,17 +16,29 @@ from nightjar.sinks.ingest import process_ingestion, realtime_feed, refresh_sour
 SYSLOG_SOURCE_ID = 2
 
 
+# The rules as the oracle states them, apart from the library's own table:
+# pattern, title, description, severity, techniques.  Fixed values.
+ORACLE_RULES = [
+    ("failed password|authentication failure|invalid user", "Failed authentication attempt detected",
+     "Ingested telemetry matched a failed-authentication pattern", "medium", "T1110"),
+    ("sudo:.*COMMAND=", "Privileged command execution via sudo",
+     "Ingested telemetry recorded a sudo command execution", "low", "T1548"),
+    ("ransomware|malware detected|trojan", "Malware indicator in ingested telemetry",
+     "Ingested telemetry matched a known malware/ransomware keyword", "critical", "T1486"),
+]
+
+
 def _detect_sql(text: str, ip: str) -> dict[str, str]:
     """CASE chains for the rule fields (first match wins)."""
     def chain(val) -> str:
-        whens = " ".join(f"WHEN regexp_matches({text}, {_q('(?i)' + r.pattern)}) THEN {val(r)}" for r in DEFAULT_RULES)
+        whens = " ".join(f"WHEN regexp_matches({text}, {_q('(?i)' + r[0])}) THEN {val(r)}" for r in ORACLE_RULES)
         return f"CASE {whens} END"
     frm = f"CASE WHEN length({ip}) > 0 THEN concat(' from ', {ip}) ELSE '' END"
     return {
-        "title": chain(lambda r: _q(r.title)),
-        "severity": chain(lambda r: _q(r.severity)),
-        "description": chain(lambda r: f"concat({_q(r.description)}, {frm}, '.')"),
-        "mitre_technique_ids": chain(lambda r: _q(",".join(sorted(r.techniques)))),
+        "title": chain(lambda r: _q(r[1])),
+        "severity": chain(lambda r: _q(r[3])),
+        "description": chain(lambda r: f"concat({_q(r[2])}, {frm}, '.')"),
+        "mitre_technique_ids": chain(lambda r: _q(r[4])),
     }
 
 
