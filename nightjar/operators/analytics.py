@@ -255,7 +255,8 @@ def severity_share(summary: DataFrame) -> DataFrame:
 
 def recent_alerts(alerts: DataFrame, mappings: DataFrame, k: int = 5) -> DataFrame:
     """SO-3: the ``k`` newest alerts with their technique ids; the limit runs
-    first so only ``k`` alerts reach the (broadcast) join."""
+    first so only ``k`` alerts (at most 500) reach the broadcast join."""
+    check_range("k", k, 1, 500)
     top = alerts.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
     return (with_techniques(top, mappings, small_alerts=True)
             .orderBy(F.desc("created_at"), F.desc("id")))

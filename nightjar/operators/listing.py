@@ -239,6 +239,15 @@ def skew_safe_lookup(fact: DataFrame, dim: DataFrame, key: str, hot_share: float
     return f.join(d, [key, "_salt"], "left").drop("_salt")
 
 
+def left_lookup(fact: DataFrame, dim: DataFrame, key: str, id_col: str = "id", spread: int = 64) -> DataFrame:
+    """Left lookup join ``fact ⟕ dim`` on ``key`` where most keys may be null:
+    rows without a key match nothing, so a salt of their id deals them over
+    partitions instead of sending all of them to the null key's."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(id_col), F.lit(spread))).otherwise(F.lit(0)).cast("int")
+    return (fact.withColumn("_salt", salt).join(dim.withColumn("_salt", F.lit(0)), [key, "_salt"], "left")
+            .drop("_salt"))
+
+
 def with_assignee(alerts: DataFrame, users: DataFrame, placeholder: str = "Unassigned",
                   hot_share: float | None = None) -> DataFrame:
     """J-10: alert → assignee e-mail (placeholder when none / unknown).
@@ -246,7 +255,7 @@ def with_assignee(alerts: DataFrame, users: DataFrame, placeholder: str = "Unass
     with hot assignees; otherwise AQE picks broadcast or shuffle join."""
     u = users.select(F.col("id").alias("assigned_to_id"), F.col("email").alias("assignee"))
     j = (skew_safe_lookup(alerts, u, "assigned_to_id", hot_share) if hot_share
-         else alerts.join(u, "assigned_to_id", "left"))
+         else left_lookup(alerts, u, "assigned_to_id"))
     return j.select(*alerts.columns, F.coalesce("assignee", F.lit(placeholder)).alias("assignee"))
 
 
@@ -255,7 +264,7 @@ def with_asset_name(vulnerabilities: DataFrame, assets: DataFrame, placeholder:
     """J-10: vulnerability → asset name (placeholder when none / unknown)."""
     a = assets.select(F.col("id").alias("asset_id"), F.col("name").alias("asset_name"))
     j = (skew_safe_lookup(vulnerabilities, a, "asset_id", hot_share) if hot_share
-         else vulnerabilities.join(a, "asset_id", "left"))
+         else left_lookup(vulnerabilities, a, "asset_id"))
     return j.select(*vulnerabilities.columns, F.coalesce("asset_name", F.lit(placeholder)).alias("asset_name"))
 
 
