@@ -76,7 +76,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     near = near_duplicates(docs, SHINGLE, NUM, DEN)
     kept = materialise(near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                        .select(F.col("doc_id").alias(key)).distinct(), "kept", narrow=True)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
+    # the kept ids grow with the corpus: never broadcast
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
