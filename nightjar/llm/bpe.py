@@ -26,7 +26,7 @@ import ahocorasick
 import numpy as np
 
 # White_Space of Unicode; fixed value.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Words kept per worker before the memo is started anew (memory bound only).
 MEMO_WORDS = 250_000

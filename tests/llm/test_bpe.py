@@ -9,9 +9,10 @@ from nightjar.llm import bpe
 from nightjar.llm.queries import vocabulary_path
 from nightjar.llm.tokens import decode, encode, token_digests
 
-PARTS = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "'S", "é", "ß", "中文", "👍🏽", "​", "\xa0", "\x85",
-         "\x1c", "1", "½", "²", "_", "...", "!!!", "<|endoftext|>", "<|end", "́", " ", "ing", "tion", "aaaa", "\x00",
-         "ﬁ", "𝔘", "　", "ab"]
+PARTS = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "'S", "\xe9", "\xdf", "\u4e2d\u6587",
+         "\U0001f44d\U0001f3fd", "\u200b", "\xa0", "\x85", "\x1c", "1", "\xbd", "\xb2", "_", "...", "!!!",
+         "<|endoftext|>", "<|end", "\u0301", " ", "ing", "tion", "aaaa", "\x00", "\ufb01", "\U0001d518", "\u3000",
+         "ab"]
 
 
 @pytest.fixture(scope="module")
