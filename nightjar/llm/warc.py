@@ -53,7 +53,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     # the id that others revisit, for payloads that occur more than once
     shared = materialise(rows.where(f"bytes >= {min_bytes}").groupBy("digest", "bytes")
                          .agg(F.max("id").alias("first"), F.count("*").alias("n"))
-                         .where("n > 1 and first is not null").select("digest", "bytes", "first"), "payloads", narrow=True)
+                         .where("n > 1 and first is not null").select("digest", "bytes", "first"), "payloads",
+                         narrow=True)
     rows = rows.join(shared, ["digest", "bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
