@@ -9,6 +9,12 @@ Spark's partial and final aggregation, so a line that is everywhere costs one
 row per map task.  The estimate settles lines well above or below the
 threshold; those within the sketch's error of it get an exact distinct count.
 
+With ``excess``, the verdict does not depend on the size of the corpus: a line
+must also be in ``min_docs`` documents and in ``excess`` times as many as lines
+of its number of words would hold it by chance, were their words drawn one by
+one from the corpus' other words.  ``site_bound`` gives the sites to ask for
+where the table has few.
+
 Cases: null text has no lines; blank lines are never boilerplate; a null site
 counts as a site with the empty name; rows with a null id lose every
 boilerplate line unless all holders are such rows, which then keep it; rows
@@ -30,15 +36,28 @@ from nightjar.llm.common import fresh, materialise
 
 #: White space other than the line end itself.
 BLANK = " \t\r\x0b\x0c"
+#: What parts the words of a line when chance is reckoned.
+NO_WORD = "[^\\p{L}\\p{M}\\p{N}]+"
 _SEED = 42  # of Spark's xxhash64
 
 
-def _lines(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
+def _rows(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
     rows = docs.select(*keep, F.explode(F.split(text, "\n", -1)).alias("line"))
-    rows = rows.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''")
+    return rows.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''")
+
+
+def _lines(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    rows = _rows(docs, text, *keep)
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")}).drop("line")
 
 
+def site_bound(docs: DataFrame, min_sites: int, site_col: str = "source") -> int:
+    """min_sites, or half of the table's sites if that is less; two at least."""
+    site = F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
+    there = docs.select(site).distinct().limit(2 * min_sites).count()
+    return max(2, min(min_sites, math.ceil(there / 2)))
+
+
 def spread(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
     """(h1, h2, first) of the lines on min_sites sites or more; ``first`` is
     the smallest id that has the line.  lines: (doc, site, h1, h2)."""
@@ -58,8 +77,55 @@ def spread(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
             .unionByName(exact.select("h1", "h2", "first")))
 
 
+def beyond_chance(docs: DataFrame, text: Column, doc: Column, found: DataFrame, min_docs: int,
+                  excess: float) -> DataFrame:
+    """Those of the lines found, (h1, h2, first), that are in min_docs
+    documents and in ``excess`` times as many as chance lets one expect.
+
+    Of N lines with k words, N p1 ... pk are expected to be this one, where pi
+    is the share of its word i among all words outside the line."""
+    rows = _rows(docs, text, doc.alias("doc"))
+    cut = F.filter(F.split(F.lower("line"), NO_WORD), lambda w: w != "")
+    word = rows.select(F.explode(cut).alias("word")).select(F.xxhash64("word").alias("word"))
+    counts = materialise(word.groupBy("word").agg(F.count("*").alias("c")), "words", narrow=True)
+    total, most = counts.agg(F.sum("c"), F.max("c")).first()
+    split = rows.select("doc", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"),
+                        F.transform(cut, lambda w: F.xxhash64(w)).alias("words"))
+    sizes = materialise(split.groupBy(F.size("words").alias("k")).agg(F.count("*").alias("alike")), "line-sizes",
+                        narrow=True)
+    # chance cannot matter beyond so many words, however common they are
+    lines = sizes.agg(F.sum("alike")).first()[0] or 0
+    share = most / total if total else 0.0
+    far = (2 ** 31 - 1 if share > 0.999 else
+           max(1, math.ceil(math.log(max(1.0, excess * lines / min_docs)) / -math.log(share))) if share else 1)
+    held = (split.withColumns({"k": F.size("words"), "words": F.when(F.size("words") <= far, F.col("words"))})
+            .join(found, ["h1", "h2"])
+            # dealt anew: a line in a third of all documents is not one task's
+            .repartition("h1", "h2", "doc")
+            .groupBy("h1", "h2", "doc").agg(F.count("*").alias("times"), F.first("first").alias("first"),
+                                            F.first("k").alias("k"), F.first("words").alias("words"))
+            .groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.sum("times").alias("times"),
+                                     F.first("first").alias("first"), F.first("k").alias("k"),
+                                     F.first("words").alias("words"))
+            .where(F.col("docs") >= min_docs))
+    held = materialise(held, "held-lines")
+    # the line's own words do not speak for chance
+    each = (held.where("words is not null and k > 0")
+            .select("h1", "h2", "k", "times", F.explode("words").alias("word"))
+            .groupBy("h1", "h2", "k", "times", "word").agg(F.count("*").alias("of"))
+            .join(counts, "word")
+            .withColumn("else", F.col("c") - F.col("times") * F.col("of"))
+            .withColumn("logs", F.when(F.col("else") > 0, F.col("of") * F.log(
+                F.col("else") / (F.lit(total or 1) - F.col("times") * F.col("k"))))))
+    chance = (each.groupBy("h1", "h2", "k").agg(F.sum("logs").alias("logs"), F.min("else").alias("least"))
+              .where("least > 0").join(sizes, "k")
+              .select("h1", "h2", (F.exp("logs") * F.col("alike")).alias("expected")))
+    return (held.join(chance, ["h1", "h2"], "left")
+            .where(F.col("docs") >= excess * F.coalesce("expected", F.lit(0.0))).select("h1", "h2", "first"))
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                       site_col: str = "source") -> DataFrame:
+                       site_col: str = "source", excess: float | None = None, min_docs: int = 1) -> DataFrame:
     """Every row of ``docs`` without its boilerplate lines, plus ``n_lines``
     and ``n_removed`` (replaced where docs has columns of these names)."""
     outs = ["n_lines", "n_removed"]
@@ -70,6 +136,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     lines = _lines(keyed, F.col(text_col), F.col(doc).alias("doc"),
                    F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"))
     boilerplate = materialise(spread(lines, min_sites), "boilerplate")
+    if excess is not None:
+        boilerplate = materialise(beyond_chance(keyed, F.col(text_col), F.col(doc), boilerplate, min_docs, excess),
+                                  "beyond-chance")
     hits = (lines.join(boilerplate, ["h1", "h2"])
             .where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_set("h1").alias(gone)))
     joined = keyed.join(hits.withColumnRenamed("doc", doc + "2"),

@@ -1,5 +1,7 @@
+import random
+from collections import Counter
 
-from nightjar.llm.lines import BLANK, remove_boilerplate
+from nightjar.llm.lines import BLANK, remove_boilerplate, site_bound
 
 
 def brute(rows, min_sites):
@@ -40,3 +42,39 @@ def test_edge_rows(make_docs):
     assert got(out) == brute(rows, 4)
     assert set(out.columns) >= {"h1", "site", "_doc", "lang", "source"}
     assert remove_boilerplate(make_docs(rows).limit(0), 4).count() == 0
+
+
+def test_verdict_does_not_depend_on_size(make_docs):
+    """A footer on 6 of 9 sites goes; a short line that chance puts on every
+    site stays, at either size; a short one far beyond chance goes."""
+    for n in (400, 1600):
+        rnd, rows = random.Random(n), []
+        for i in range(n):
+            t = [" ".join(rnd.choice(["it", "was", *(f"w{j}" for j in range(30))]) for _ in range(rnd.randint(4, 9)))
+                 for _ in range(3)]
+            t.append(rnd.choice(["It.", "Was.", *(f"W{j}." for j in range(30))]))
+            t += ["zu und"] * (i % 9 == 0) + ["Rights of w1 w2 reserved"] * (i % 9 < 6 and i % 4 == 0)
+            rows.append((i, "\n".join(t), f"s{i % 9 if i % 18 else i // 18 % 9}"))
+        docs = make_docs(rows)
+        sites = site_bound(docs, 10)
+        assert sites == 5
+        out = remove_boilerplate(docs, sites, excess=10, min_docs=10).collect()
+        left = Counter(x for r in out for x in r.text.split("\n"))
+        assert left["Rights of w1 w2 reserved"] == left["zu und"] == 1
+        assert left["It."] == sum(t.split("\n").count("It.") for _, t, _ in rows) > n / 64
+        assert sum(r.n_removed for r in out) == sum(
+            t.split("\n").count(x) for _, t, _ in rows for x in ("zu und", "Rights of w1 w2 reserved")) - 2
+
+
+def test_sites_and_documents_asked_for(make_docs):
+    rows = [(i, f"own {i}\nthe footer", f"s{i % 3}") for i in range(9)]
+    assert site_bound(make_docs(rows), 10) == 2 and site_bound(make_docs(rows).limit(0), 10) == 2
+    assert site_bound(make_docs([(i, "x", f"s{i}") for i in range(40)]), 10) == 10
+    few = remove_boilerplate(make_docs(rows), 2, excess=10, min_docs=10).collect()
+    assert sum(r.n_removed for r in few) == 0
+    rows += [(9, "own 9\nthe footer", None), (10, None, "s1"), (None, "the footer\n---", "s2")]
+    rows += [(20 + i, f"own {i}\n---", f"s{i % 3}") for i in range(10)]
+    out = remove_boilerplate(make_docs(rows), 2, excess=10, min_docs=10).collect()
+    left = Counter(x for r in out for x in (r.text or "").split("\n"))
+    assert left["the footer"] == left["---"] == 1
+    assert remove_boilerplate(make_docs(rows).limit(0), 2, excess=10, min_docs=10).count() == 0
