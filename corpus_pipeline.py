@@ -75,14 +75,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates.
-    (Rows without an id stay if any of them is without a duplicate.)"""
-    key, = fresh(docs, "_kept")
-    near = near_duplicates(docs, SHINGLE, NUM, DEN)
-    kept = materialise(near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                       .select(F.col("doc_id").alias(key)).distinct(), "kept", narrow=True)
-    # the kept ids grow with the corpus: never broadcast
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
+    """The row with the smallest id of every group of near duplicates, the
+    first of them if rows repeat that id; rows without an id come last."""
+    row, = fresh(docs, "_row")
+    # numbered once, in a written table: a row keeps its number when read again
+    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    near = near_duplicates(docs, SHINGLE, NUM, DEN, id_col=row)
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    # ids and kept rows grow with the corpus: never broadcast
+    first = (near.join(ids.hint("merge"), near["doc_id"] == ids["row"]).groupBy("component_id")
+             .agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")))
+    kept = materialise(first.select(F.col("first.row").alias("_kept")), "kept", narrow=True)
+    return docs.join(kept.hint("merge"), docs[row] == kept["_kept"], "left_semi").drop(row)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from nightjar.llm.common import materialise
 
@@ -86,3 +88,18 @@ def test_stages_on_extra_columns_and_empty_tables(spark, corpus):
         assert {(r.n_removed, tuple(r.factors), r._had) for r in out.collect()} == {(5, (4,), 2)}, name
         assert stage(spark, docs.limit(0), path).count() == 0, name
     assert C.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
+
+
+def test_one_row_of_each_group_of_repeated_and_null_ids(spark):
+    """Identical rows with one id, a copy under an id that another row has for
+    its own text, and rows without an id that copy kept ones."""
+    rnd = random.Random(4)
+    a, b, c, d, e = (" ".join(f"{x}{rnd.randint(0, 9999)}" for _ in range(60)) for x in "abcde")
+    rows = [(5, a), (5, a), (3, b), (6, b), (6, c), (None, d), (None, d), (None, e), (None, b), (8, e),
+            (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = C.ngram_jaccard_join(spark, docs.withColumn("_row", F.lit(1)), "")
+    assert out.columns == [*COLUMNS, "_row"]
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(
+        [(5, a), (3, b), (6, c), (None, d), (8, e), (None, None), (9, ""), (9, "")], key=str)
