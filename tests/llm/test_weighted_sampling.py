@@ -102,3 +102,21 @@ def test_edge_rows(make_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = fingerprints(make_docs([(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_error_of_the_production_count(make_docs):
+    """Neighbours of likeness 0.8 are read with a root mean square error that
+    128 samples hold (0.035) and 32 do not (0.071)."""
+    rnd, bag, texts = random.Random(11), [f"w{i}" for i in range(90)], []
+    for i in range(100):
+        bag = bag[10:] + [f"n{i}x{j}" for j in range(10)]
+        rnd.shuffle(bag)
+        texts.append(" ".join(bag))
+    exact = []
+    for x, y in zip(texts, texts[1:]):
+        p, q = Counter(x.split()), Counter(y.split())
+        exact.append(sum((p & q).values()) / sum((p | q).values()))
+    assert min(exact) == max(exact) == 0.8
+    out = sorted(fingerprints(make_docs(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)
+    error = math.sqrt(sum((r.near_next - s) ** 2 for r, s in zip(out, exact)) / len(exact))
+    assert error < 0.045
