@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 import tempfile
@@ -9,8 +8,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from nightjar.session import local_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,40 +19,3 @@ def spark():
 def scratch():
     """A fresh scratch folder per test (never reused, never deleted)."""
     return tempfile.mkdtemp(prefix="nightjar-test-", dir="/tmp")
-
-
-def ts(s: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(s)
-
-
-def write_text(folder: str, name: str, text: str) -> str:
-    path = os.path.join(folder, name)
-    with open(path, "w", newline="") as f:
-        f.write(text)
-    return path
-
-
-def mk(spark, entity: str, rows: list[dict]):
-    """A domain table with the entity's schema; absent columns are null
-    (arrays empty)."""
-    from pyspark.sql import types as T
-
-    from nightjar.schemas import ENTITY_SCHEMAS
-    schema = ENTITY_SCHEMAS[entity]
-    data = []
-    for r in rows:
-        vals = []
-        for f in schema.fields:
-            v = r.get(f.name)
-            if isinstance(v, str) and isinstance(f.dataType, T.TimestampNTZType):
-                v = ts(v)
-            if v is None and isinstance(f.dataType, T.ArrayType):
-                v = []
-            vals.append(v)
-        data.append(tuple(vals))
-    def kind(f, i):
-        """Ids may be given as numbers, as the driver's tables have them."""
-        numbers = any(isinstance(v[i], int) and not isinstance(v[i], bool) for v in data)
-        return T.LongType() if numbers and isinstance(f.dataType, T.StringType) else f.dataType
-    nullable = T.StructType([T.StructField(f.name, kind(f, i), True) for i, f in enumerate(schema.fields)])
-    return spark.createDataFrame(data, nullable)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import mk, ts
+from helpers import mk, ts
 from nightjar.operators import analytics as an
 from nightjar.sources.tables import mitre_dimension
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import mk, ts
+from helpers import mk, ts
 from nightjar.operators import changes as ch
 
 AS_OF = ts("2024-05-01 00:00:00")

@@ -4,7 +4,7 @@ import glob
 import json
 import os
 
-from conftest import mk
+from helpers import mk
 from nightjar.sinks.export import csv_text, export_csv, export_json
 from nightjar.sinks.ingest import realtime_feed
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import mk
+from helpers import mk
 from nightjar.operators import analytics as an
 from nightjar.operators import listing as ls
 from nightjar.sources.tables import mitre_dimension

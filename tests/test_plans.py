@@ -5,7 +5,7 @@ broadcasts, no raw-row expansion for sliding windows)."""
 import re
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from nightjar.operators import slo
 from nightjar.plans.views import Domain
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import ts
+from helpers import ts
 from nightjar.operators import slo
 
 

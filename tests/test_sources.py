@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import write_text
+from helpers import write_text
 from nightjar.sources.files import read_csv_events, read_json_events, read_json_logs
 from nightjar.sources.upload import guard_max_rows, source_ip_from_json
 
@@ -119,7 +119,7 @@ def test_ensure_sources_get_or_create(spark):
 def test_audit_sink_appends(spark, scratch):
     import os
 
-    from conftest import ts
+    from helpers import ts
     from nightjar.sinks.ingest import audit_sink
     rows = spark.createDataFrame([("a1", "alert.created", ts("2024-01-01 10:00:00"))],
                                  "id string, action string, created_at timestamp_ntz")
@@ -133,7 +133,7 @@ def test_daily_report(spark, scratch):
     import glob
     import os
 
-    from conftest import mk
+    from helpers import mk
     from nightjar.operators.analytics import daily_report
     a = mk(spark, "alerts", [dict(id=1, title="x", severity="high", status="open", created_at="2024-01-15 03:00:00",
                                   updated_at="2024-01-15 03:00:00"),

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import ts, write_text
+from helpers import ts, write_text
 from nightjar.streaming.alerting import sustained_breach_stream
 from nightjar.streaming.ingest import ingest_batch, ingest_stream, read_ingest_output
 from nightjar.streaming.live import alerts_heatmap_stream
