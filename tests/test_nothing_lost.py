@@ -15,7 +15,7 @@ from nightjar.sinks.ingest import land
 from nightjar.sinks.snapshots import read_latest, versions, write_version
 from nightjar.sources.tables import scan
 from nightjar.streaming.ingest import ingest_stream, with_event_key
-from tests.conftest import mk, ts, write_text
+from helpers import mk, ts, write_text
 
 AS_OF = "2024-05-01 00:00:00"
 
