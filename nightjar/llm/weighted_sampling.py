@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 from nightjar.llm.common import materialise
 from nightjar.llm.first_seen import NULL_ID
 
-#: The standard error of a likeness s is sqrt(s (1 - s) / SAMPLES), 0.035 at 0.8.
-SAMPLES = 128
+#: The standard error of a likeness s is sqrt(s (1 - s) / SAMPLES), 0.05 at 0.8.
+SAMPLES = 64
 #: Samples drawn from one row; a term's row is repeated for each group of them,
 #: which keeps the generated code small enough to be compiled well.
-GROUP = 8
+GROUP = 16
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def sample(term: Column, weight: Column, k: Column) -> Column:
+def sample(term: Column, weight: Column, log_weight: Column, k: Column) -> Column:
     """The packed rank and name of a term's sample k under a weight >= 1."""
     first = F.xxhash64(term, k)
     second = F.xxhash64(first)
@@ -60,31 +60,45 @@ def sample(term: Column, weight: Column, k: Column) -> Column:
     def packed(a: Column, name: Column) -> Column:
         return F.shiftleft(F.floor(a * float(1 << 36)), 20).bitwiseOR(name.bitwiseAND(0xFFFFF))
     r = -F.log(u1 * u2)
-    t = F.floor((F.log(weight) - F.log(u2)) / r)
+    t = F.floor((log_weight - F.log(u2)) / r)
     # t is 0 exactly when u1 < 1 / weight, so always for weight 1
     return F.when(weight * u1 < 1.0, packed(least, second)).otherwise(
         packed(least * F.exp(-r * t), second.bitwiseXOR(t * 0x9E377)))
 
 
 def signatures(bags: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """One row per key with the arrays of samples ``s_a`` and ``s_b`` (null for
-    an empty bag).  bags: (keys, term long, a double, b double): a term once
-    per key with its weights, whole numbers, in the key's two bags."""
+    """One row per key with the signatures ``s_a`` and ``s_b`` (null for an
+    empty bag): 16 bits of each sample's name.  bags: (keys, term long,
+    a double, b double): a term once per key with its weights, whole numbers,
+    in the key's two bags."""
     a, b = F.col("a"), F.col("b")
-    cases = {"same": (a == b, a), "a": ((a != b) & (a > 0), a), "b": ((a != b) & (b > 0), b)}
-    dealt = bags.withColumn("base", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))))
-    mins = dealt.groupBy(*keys, "base").agg(*[
-        F.min(F.when(when, sample(F.col("term"), w, F.col("base") + j))).alias(f"{name}_{j}")
-        for name, (when, w) in cases.items() for j in range(GROUP)])
-    parts = mins.select(*keys, "base", *[
-        F.when(F.coalesce("same_0", f"{n}_0").isNotNull(),
-               F.array(*[F.least(f"same_{j}", f"{n}_{j}") for j in range(GROUP)])).alias(f"p_{n}")
-        for n in ("a", "b")])
+    # side 0: the same weight in both bags, evaluated once; 1 and 2: a's, b's
+    sided = bags.select(*keys, "term", F.explode(
+        F.when(a == b, F.array(F.struct(F.lit(0).alias("side"), a.alias("w"))))
+        .when(b == 0, F.array(F.struct(F.lit(1).alias("side"), a.alias("w"))))
+        .when(a == 0, F.array(F.struct(F.lit(2).alias("side"), b.alias("w"))))
+        .otherwise(F.array(F.struct(F.lit(1).alias("side"), a.alias("w")),
+                           F.struct(F.lit(2).alias("side"), b.alias("w"))))).alias("s"))
+    dealt = sided.select(*keys, "term", "s.side", "s.w", F.log("s.w").alias("lw"),
+                         F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))).alias("base"))
+    mins = dealt.groupBy(*keys, "base", "side").agg(*[
+        F.min(sample(F.col("term"), F.col("w"), F.col("lw"), F.col("base") + j)).alias(f"m_{j}") for j in range(GROUP)])
+    bags_of = {"a": F.col("side") != 2, "b": F.col("side") != 1}
+    parts = mins.groupBy(*keys, "base").agg(*[
+        F.min(F.when(mine, F.col(f"m_{j}"))).alias(f"{n}_{j}") for n, mine in bags_of.items() for j in range(GROUP)])
+    named = parts.select(*keys, "base", *[
+        F.when(F.col(f"{n}_0").isNotNull(), F.array(*[_short(F.col(f"{n}_{j}")) for j in range(GROUP)]))
+        .alias(f"p_{n}") for n in bags_of])
     # the groups of a key in order, one after another
-    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("base", "p_a", "p_b"))).alias("parts"))
+    whole = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("base", "p_a", "p_b"))).alias("parts"))
     return whole.select(*keys, *[
         F.when(F.get("parts", F.lit(0))[f"p_{n}"].isNotNull(), F.flatten(F.col(f"parts.p_{n}"))).alias(f"s_{n}")
-        for n in ("a", "b")])
+        for n in bags_of])
+
+
+def _short(name: Column) -> Column:
+    """The low 16 bits, shifted into the range of a short."""
+    return (name.bitwiseAND(0xFFFF) - 0x8000).cast("short")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -97,7 +111,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 def text_of(s: Column) -> Column:
     """A fingerprint as text: 16 bits of each sample's name in hex."""
     return F.coalesce(F.array_join(F.transform(
-        s, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(0xFFFF)), 4, "0"))), ""), F.lit(""))
+        s, lambda x: F.lower(F.lpad(F.hex(x.cast("int") + 0x8000), 4, "0"))), ""), F.lit(""))
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -116,8 +130,10 @@ def followers(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, th, doc_id, n_chars, copies, nk, nth, text, edited) of each distinct
-    (id, text); the last quarter of ``edited`` comes from the next text."""
+    """(k, th, doc_id, n_chars, copies, nk, nth, common, mine, other) of each
+    distinct (id, text): the text is ``common + mine``, the edited text, whose
+    last quarter comes from the next text, ``common + other``.  ``common``
+    ends at a space, so words never cross into the rest."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("th"), "text",
@@ -126,42 +142,46 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                         F.max(F.length("text")).cast("long").alias("n_chars")))
     nxt = materialise(followers(ids), "next-ids")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    texts = keyed.select("k", "th", "text")
+    # identical rows meet before the shuffle: a text is joined once
+    texts = keyed.groupBy("k", "th").agg(F.first("text").alias("text"))
     head = (nxt.select("k", "th", "n_chars", "nk", "nth").withColumnsRenamed({"k": "k0", "th": "th0"})
             .join(texts.withColumnsRenamed({"k": "nk", "th": "nth"}), ["nk", "nth"])
             .select(F.col("k0").alias("k"), F.col("th0").alias("th"),
-                    F.substring(F.col("text"), F.lit(1), quarter).alias("head"))
-            .groupBy("k", "th").agg(F.first("head").alias("head")))
-    return (texts.join(nxt, ["k", "th"]).join(head, ["k", "th"])
-            .select("k", "th", "doc_id", "n_chars", "copies", "nk", "nth", "text",
-                    F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter),
-                             "head").alias("edited")))
+                    F.substring(F.col("text"), F.lit(1), quarter).alias("head")))
+    stays = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter)
+    cut = (texts.join(nxt, ["k", "th"]).join(head, ["k", "th"])
+           .withColumns({"stays": stays, "broken": F.substring_index(stays, " ", -1),
+                         "tail": F.substring(F.col("text"), F.col("n_chars").cast("int") - quarter + 1, quarter)}))
+    return cut.select("k", "th", "doc_id", "n_chars", "copies", "nk", "nth",
+                      F.expr("left(stays, length(stays) - length(broken))").alias("common"),
+                      F.concat("broken", "tail").alias("mine"), F.concat("broken", "head").alias("other"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The query's rows: fingerprints of every text and its edited text."""
     pairs = edited_pairs(docs, id_col, text_col)
-    own, other = (F.split(c, SPACE, -1) for c in ("text", "edited"))
-    # the number of own words is a column below the generator, not above it
-    split = pairs.select("k", "th", "copies", F.size(own).alias("own"), F.concat(own, other).alias("words"))
-    both = split.select("k", "th", "copies", "own", F.posexplode("words").alias("pos", "word"))
-    # identical rows of a document each bring its words: divided by their number
+    common, mine, other = (F.split(c, SPACE, -1) for c in ("common", "mine", "other"))
+    # the numbers of words are columns below the generator, not above it
+    split = pairs.select("k", "th", F.size(common).alias("n"), (F.size(common) + F.size(mine)).alias("m"),
+                         F.concat(common, mine, other).alias("words"))
+    both = split.select("k", "th", "n", "m", F.posexplode("words").alias("pos", "word"))
     bags = (both.where("word != ''")
-            .select("k", "th", "copies", F.xxhash64("word").alias("term"),
-                    (F.col("pos") < F.col("own")).cast("double").alias("mine"))
-            .groupBy("k", "th", "term").agg(F.sum("mine").alias("a"), F.sum(1.0 - F.col("mine")).alias("b"),
-                                            F.max("copies").alias("copies"))
-            .select("k", "th", "term", (F.col("a") / F.col("copies")).alias("a"),
-                    (F.col("b") / F.col("copies")).alias("b")))
-    signed = signatures(bags, ["k", "th"])
-    facts = pairs.groupBy("k", "th").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("copies").alias("copies"),
-        F.max("nk").alias("nk"), F.max("nth").alias("nth"), F.max(F.sha2("edited", 256)).alias("edited_sha256"))
+            .select("k", "th", F.xxhash64("word").alias("term"),
+                    (F.col("pos") < F.col("m")).cast("double").alias("a"),
+                    ((F.col("pos") < F.col("n")) | (F.col("pos") >= F.col("m"))).cast("double").alias("b"))
+            .groupBy("k", "th", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    signed = signatures(bags, ["k", "th"]).select("k", "th", "s_a", text_of(F.col("s_b")).alias("edited_fingerprint"),
+                                                  likeness(F.col("s_a"), F.col("s_b")).alias("near_edited"))
+    facts = pairs.select("k", "th", "doc_id", "n_chars", "copies", "nk", "nth",
+                         F.sha2(F.concat("common", "other"), 256).alias("edited_sha256"))
     whole = materialise(facts.join(signed, ["k", "th"], "left"), "signatures")
-    nxt = whole.select(F.col("k").alias("nk"), F.col("th").alias("nth"), F.col("s_a").alias("s_next"))
-    return (whole.join(nxt, ["nk", "nth"])
+    after = (whole.select("k", "th", "nk", "nth", "s_a")
+             .join(whole.select(F.col("k").alias("nk"), F.col("th").alias("nth"), F.col("s_a").alias("s_next")),
+                   ["nk", "nth"])
+             .select("k", "th", likeness(F.col("s_a"), F.col("s_next")).alias("near_next")))
+    # both empty: no sample, and alike
+    return (whole.join(after, ["k", "th"])
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
             .select("doc_id", "n_chars", "edited_sha256", text_of(F.col("s_a")).alias("fingerprint"),
-                    text_of(F.col("s_b")).alias("edited_fingerprint"),
-                    likeness(F.col("s_a"), F.col("s_b")).alias("near_edited"),
-                    likeness(F.col("s_a"), F.col("s_next")).alias("near_next")))
+                    F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+                    F.coalesce("near_edited", F.lit(1.0)).alias("near_edited"), "near_next"))

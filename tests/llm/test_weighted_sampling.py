@@ -106,7 +106,7 @@ def test_no_python_in_the_plan(make_docs):
 
 def test_error_of_the_production_count(make_docs):
     """Neighbours of likeness 0.8 are read with a root mean square error that
-    128 samples hold (0.035) and 32 do not (0.071)."""
+    64 samples hold (0.05) and 32 do not (0.071)."""
     rnd, bag, texts = random.Random(11), [f"w{i}" for i in range(90)], []
     for i in range(100):
         bag = bag[10:] + [f"n{i}x{j}" for j in range(10)]
@@ -119,4 +119,4 @@ def test_error_of_the_production_count(make_docs):
     assert min(exact) == max(exact) == 0.8
     out = sorted(fingerprints(make_docs(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)
     error = math.sqrt(sum((r.near_next - s) ** 2 for r, s in zip(out, exact)) / len(exact))
-    assert error < 0.045
+    assert error < 0.06
