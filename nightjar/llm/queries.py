@@ -132,3 +132,29 @@ def op11_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(base_only(spans)), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+@query("op13_limited_accumulators", """
+with t as (
+  select d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts
+  from (select row_number() over () as d, doc_id, text from documents)),
+n as (select d, doc_id, len(ts) as n from t where len(ts) > 0),
+c as (select count(*) as docs, sum(n)::bigint as terms from n),
+m as (select d, doc_id, 100 - 75 + (75 * n * docs) // terms as m from n, c),
+p as (select d, term, count(*) as tf from (select d, unnest(ts) as term from t) group by d, term),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+      from p, c group by term, docs),
+q as (select item_id, term, count(*) as repeats
+      from (select item_id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark)
+      group by item_id, term),
+s as (select item_id, d, m.doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from q join w using (term) join p using (term) join m using (d) group by item_id, d, m.doc_id),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+      from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10""")
+def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.ranked_search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
