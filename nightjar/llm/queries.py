@@ -158,3 +158,9 @@ select item_id, rank, doc_id, score from r where rank <= 10""")
 def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightjar.llm.ranked_search import search
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nightjar.llm.prefix_trie import conversation_trie
+    return conversation_trie(table(spark, sf_dir, "conversations"))
