@@ -151,29 +151,82 @@ def error_ratio(df: DataFrame, ts_col: str, status_col: str = "status", keys: Se
     return g.withColumn("error_ratio", ratio).withColumn("breach", ratio > F.lit(threshold))
 
 
-def counter_increase(samples: DataFrame, series: str = "series", ts_col: str = "ts", value_col: str = "value",
-                     window: str = "1 hour") -> DataFrame:
-    """ST-8: increase of a monotone counter per series and tumbling window:
-    the sum of deltas to the sample before, which for a window's first sample
-    is the last one of an earlier window; a drop means a reset (the new value
-    is the delta).  No extrapolation to the window edges.  Samples are ordered
-    within their window only; across windows, one last value each is carried."""
+def _rises(samples: DataFrame, series: str, ts_col: str, value_col: str, window: str, tie_col: str | None) -> DataFrame:
+    """Each sample with ``_w``, its tumbling window, ``_prev``, the series'
+    value before it (the last one of an earlier window for a window's first
+    sample; samples of one instant go by ``tie_col``, by default the value),
+    and ``_rise``: the difference, or the new value after a reset.  Samples are ordered within
+    their window only; across windows, one last value each is carried."""
+    tie = tie_col or value_col
     w = samples.withColumn("_w", F.window(ts_col, window))
-    last = w.groupBy(series, "_w").agg(F.max_by(value_col, ts_col).alias("_last"))
+    last = w.groupBy(series, "_w").agg(F.max_by(value_col, F.struct(ts_col, tie)).alias("_last"))
     carried = last.select(series, "_w", F.lag("_last").over(Window.partitionBy(series).orderBy("_w.start"))
                           .alias("_carry"))
-    inside = F.lag(value_col).over(Window.partitionBy(series, "_w").orderBy(ts_col))
+    inside = F.lag(value_col).over(Window.partitionBy(series, "_w").orderBy(ts_col, tie))
     d = (w.withColumn("_inside", inside).join(carried, [series, "_w"])
          .withColumn("_prev", F.coalesce("_inside", "_carry")))
-    delta = (F.when(F.col("_prev").isNull(), F.lit(0.0))
-             .when(F.col(value_col) < F.col("_prev"), F.col(value_col))
-             .otherwise(F.col(value_col) - F.col("_prev")))
-    g = d.groupBy(series, "_w").agg(F.sum(delta).alias("increase"), F.count(F.lit(1)).alias("samples"),
+    return d.withColumn("_rise", F.when(F.col("_prev").isNull(), F.lit(0.0))
+                        .when(F.col(value_col) < F.col("_prev"), F.col(value_col))
+                        .otherwise(F.col(value_col) - F.col("_prev")))
+
+
+def counter_increase(samples: DataFrame, series: str = "series", ts_col: str = "ts", value_col: str = "value",
+                     window: str = "1 hour", tie_col: str | None = None) -> DataFrame:
+    """ST-8: increase of a monotone counter per series and tumbling window:
+    the sum of deltas to the sample before; a drop means a reset (the new
+    value is the delta).  No extrapolation to the window edges."""
+    d = _rises(samples, series, ts_col, value_col, window, tie_col)
+    g = d.groupBy(series, "_w").agg(F.sum("_rise").alias("increase"), F.count(F.lit(1)).alias("samples"),
                                     F.count_if(F.col(value_col) < F.col("_prev")).alias("resets"))
     return g.select(series, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                     "increase", "samples", "resets")
 
 
+def rolling_increase(samples: DataFrame, series: str = "series", ts_col: str = "ts", value_col: str = "value",
+                     window: str = "1 hour", step: str = "15 seconds", tie_col: str | None = None) -> DataFrame:
+    """ST-8 at every evaluation: the increase over the last ``window`` (open
+    at its start, closed at its end) at each multiple of ``step``, for windows
+    with two samples at least; no extrapolation.
+
+    Samples become panes of one step that hold (first, last) of the running
+    total of rises; the total never falls, so a window's increase is the
+    largest last minus the smallest first of its panes, merged in any order.
+    A pane is copied into two window-long buckets, its own and the next, whose
+    evaluations look back over at most the bucket before: a task holds two
+    windows of one series, whatever the series' length."""
+    w, s = _seconds(window), _seconds(step)
+    if w % s:
+        raise ValueError("window must be a multiple of step")
+    tie = tie_col or value_col
+    d = _rises(samples, series, ts_col, value_col, window, tie_col).withColumn(
+        "_micros", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})"))
+    # running total within the window, and what the windows before add to it
+    upto = Window.partitionBy(series, "_w").orderBy(ts_col, tie).rowsBetween(Window.unboundedPreceding,
+                                                                             Window.currentRow)
+    totals = d.groupBy(series, "_w").agg(F.sum("_rise").alias("_all")).select(
+        series, "_w", F.coalesce(F.sum("_all").over(Window.partitionBy(series).orderBy("_w.start").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_base"))
+    c = d.withColumn("_in", F.sum("_rise").over(upto)).join(totals, [series, "_w"])
+    total = F.col("_base") + F.col("_in")
+    # pane n holds the samples of ((n - 1) step, n step]: the evaluation at n step is the first to see them
+    panes = c.groupBy(series, F.ceil(F.col("_micros") / F.lit(s * 1_000_000)).cast("long").alias("_n")).agg(
+        F.min(total).alias("_first"), F.max(total).alias("_last"), F.count(F.lit(1)).alias("_count"))
+    per = w // s
+    bucket = F.floor(F.col("_n") / per)
+    copies = panes.select("*", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    # a bucket's evaluations are generated once for the series that have panes in reach
+    grid = (copies.groupBy(series, "_b").agg(F.lit(1).alias("_one"))
+            .select(series, "_b", F.explode(F.sequence(F.col("_b") * per, F.col("_b") * per + (per - 1))).alias("_n")))
+    rows = copies.select(series, "_b", "_n", "_first", "_last", "_count", F.lit(False).alias("_eval")).unionByName(
+        grid.withColumn("_eval", F.lit(True)), allowMissingColumns=True)
+    reach = Window.partitionBy(series, "_b").orderBy("_n").rangeBetween(-(per - 1), 0)
+    seen = rows.select(series, "_n", "_eval", (F.max("_last").over(reach) - F.min("_first").over(reach)).alias("increase"),
+                       F.sum("_count").over(reach).alias("samples"))
+    return seen.where("_eval and samples >= 2").select(
+        series, F.expr(f"timestampadd(SECOND, _n * {s}, TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("evaluated_at"),
+        "increase", "samples")
+
+
 def queue_depth(gauges: DataFrame, as_of: dt.datetime | str | None = None, queue: str = "queue",
                 ts_col: str = "ts") -> DataFrame:
     """ST-9: depth = waiting + active + delayed (a missing field counts 0),
@@ -196,26 +249,70 @@ def running_connections(deltas: DataFrame, label: str = "label", ts_col: str = "
     return running_sum(deltas, label, ts_col, tie_col, "delta", "connections", bucket_unit)
 
 
+def last_samples(samples: DataFrame, series: Sequence[str], ts_col: str, value: Column, step: str = "15 seconds",
+                 staleness: str = "5 minutes", tie: Column | None = None) -> DataFrame:
+    """A gauge as its evaluations see it: for each series and multiple of
+    ``step``, the last sample at or before it that is younger than
+    ``staleness`` (samples of one instant go by ``tie``, by default the
+    value).  A step keeps its last sample only, and that row is copied into
+    the evaluations it can reach; both are partial aggregations."""
+    s, k = _seconds(step), -(-_seconds(staleness) // _seconds(step))
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})")
+    last = F.struct(micros.alias("us"), (value if tie is None else tie).alias("tie"), value.alias("v"))
+    panes = samples.groupBy(*series, F.ceil(micros / F.lit(s * 1_000_000)).cast("long").alias("_n")).agg(
+        F.max(last).alias("_s"))
+    reached = panes.select(*series, F.explode(F.sequence(F.col("_n"), F.col("_n") + k)).alias("_n"), "_s").where(
+        F.col("_n") * s * 1_000_000 - F.col("_s.us") < _seconds(staleness) * 1_000_000)
+    return reached.groupBy(*series, "_n").agg(F.max("_s").alias("_s")).select(
+        *series, F.expr(f"timestampadd(SECOND, _n * {s}, TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("evaluated_at"),
+        F.col("_s.v").alias("value"))
+
+
+#: Runs are joined within a day, then within these many times the span before.
+RUN_LEVELS = (1, 256, 65536)
+
+
+def _join_runs(runs: DataFrame, series: list[str], size: int) -> DataFrame:
+    """Runs that follow each other within a bucket of ``size`` steps, joined;
+    runs marked closed can have no neighbour and are left alone."""
+    bucket = F.when(F.col("_closed"), F.col("_a")).otherwise(F.floor(F.col("_a") / size))
+    w = Window.partitionBy(*series, "_closed", "_bucket").orderBy("_a")
+    opens = F.when(F.lag("_b").over(w) == F.col("_a") - 1, 0).otherwise(1)
+    marked = runs.withColumn("_bucket", bucket).withColumn("_opens", opens).withColumn(
+        "_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = marked.groupBy(*series, "_closed", "_bucket", "_run").agg(
+        F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.min("started_at").alias("started_at"),
+        F.max("ended_at").alias("ended_at"), F.sum("evaluations").alias("evaluations"))
+    # a run that touches neither end of its bucket is complete
+    inner = (F.pmod("_a", F.lit(size)) != 0) & (F.pmod(F.col("_b") + 1, F.lit(size)) != 0)
+    return joined.withColumn("_closed", F.col("_closed") | inner).drop("_bucket", "_run")
+
+
 def sustained_breach(evals: DataFrame, series: Sequence[str], ts_col: str, cond_col: str, hold: str,
                      step: str = "15 seconds") -> DataFrame:
     """ST-10 (batch): an alert fires once its condition has been true at every
-    evaluation (one per ``step``) for ``hold``; a false or missing evaluation
-    resets it.  Gaps-and-islands over the true evaluations of each series
-    (evaluation series are regular, so a series is bounded by its time span).
-    Returns one row per run: start, end, fired_at (null if it never held)."""
+    evaluation (one per ``step``) for ``hold``; a false, null or missing
+    evaluation resets it.  An evaluation that comes several times in one step
+    counts once, and as false if any of them is.
+
+    Runs of true evaluations are joined within (series, day), and what touches
+    a day's edges within wider and wider buckets: a run's summary (first and
+    last step, times, count) merges associatively, so no task sorts a whole
+    series.  Returns one row per run: start, end, fired_at (null if it never
+    held)."""
     series = list(series)
-    s, h = _seconds(step), _seconds(hold)
-    t = evals.where(F.col(cond_col)).withColumn(
-        "_sec", F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})"))
-    rn = F.row_number().over(Window.partitionBy(*series).orderBy(ts_col))
-    t = t.withColumn("_island", F.floor(F.col("_sec") / s) - rn)
-    held = F.expr(f"timestampdiff(SECOND, _start, {ts_col})") >= h
-    runs = t.withColumn("_start", F.min(ts_col).over(Window.partitionBy(*series, "_island")))
-    g = runs.groupBy(*series, "_island").agg(
-        F.min(ts_col).alias("started_at"), F.max(ts_col).alias("ended_at"),
-        F.count(F.lit(1)).alias("evaluations"),
-        F.min(F.when(held, F.col(ts_col))).alias("fired_at"))
-    return g.drop("_island").withColumn("firing", F.col("fired_at").isNotNull())
+    s, need = _seconds(step), -(-_seconds(hold) // _seconds(step))
+    n = F.floor(F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})") / s)
+    once = evals.groupBy(*series, n.alias("_a")).agg(
+        F.min(ts_col).alias("started_at"), F.bool_and(F.coalesce(F.col(cond_col), F.lit(False))).alias("_true"))
+    runs = once.where("_true").select(*series, "_a", F.col("_a").alias("_b"), "started_at",
+                                      F.col("started_at").alias("ended_at"), F.lit(1).cast("long").alias("evaluations"),
+                                      F.lit(False).alias("_closed"))
+    for times in RUN_LEVELS:
+        runs = _join_runs(runs, series, times * 86400 // s)
+    fired = F.when(F.col("_b") - F.col("_a") >= need, F.expr(f"timestampadd(SECOND, {need * s}, started_at)"))
+    return runs.select(*series, "started_at", "ended_at", "evaluations", fired.alias("fired_at"),
+                       fired.isNotNull().alias("firing"))
 
 
 # --------------------------------------------------------------------------

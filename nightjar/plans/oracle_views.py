@@ -152,7 +152,7 @@ SELECT event_id AS request_id, ts, event_type AS method, value * 10 AS duration_
 FROM events"""),
     "ingestion_jobs": ([], """
 SELECT event_id AS job_id, event_type AS queue, ts AS enqueued_at,
-       ts + to_milliseconds(event_id % 20000) AS started_at, event_id % 97 <> 0 AS succeeded
+       ts + to_milliseconds(event_id % 20000) AS started_at, value < 40 AS succeeded
 FROM events"""),
     "counter_samples": ([], """
 SELECT concat('worker-', event_id % 7) AS series, ts, CAST((event_id // 7) % 400 AS DOUBLE) AS value FROM events"""),

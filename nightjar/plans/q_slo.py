@@ -107,13 +107,25 @@ def st7(d: Domain):
 SELECT series, window_start, window_start + INTERVAL 1 HOUR AS window_end,
        sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END) AS increase,
        count(*) AS samples, count(*) FILTER (WHERE value < prev) AS resets
-FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS prev
+FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS prev
       FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM counter_samples) b) l
 GROUP BY series, window_start""", ["counter_samples"]))
 def st8(d: Domain):
     return slo.counter_increase(d.counter_samples)
 
 
+@register("st8_increase_last_hour", with_views("""
+SELECT series, evaluated_at, sum(rise) - arg_min(rise, [epoch_us(ts), value]) AS increase, count(*) AS samples
+FROM (SELECT series, ts, value, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS rise
+      FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS prev FROM counter_samples) l) r,
+  LATERAL (SELECT time_bucket(INTERVAL 5 MINUTE, r.ts - INTERVAL 1 MICROSECOND) + to_seconds(300 * (i + 1)) AS evaluated_at
+           FROM range(12) t(i)) w
+GROUP BY series, evaluated_at HAVING count(*) >= 2""", ["counter_samples"]))
+def st8h(d: Domain):
+    """ST-8 at every 5-minute evaluation: the increase over the last hour."""
+    return slo.rolling_increase(d.counter_samples, step="5 minutes")
+
+
 DEPTH_SQL = """
 SELECT queue, arg_max(coalesce(waiting, 0) + coalesce(active, 0) + coalesce(delayed, 0), ts) AS depth,
        max(ts) AS sampled_at
@@ -140,15 +152,23 @@ def w4(d: Domain):
     return slo.running_connections(d.connection_deltas)
 
 
-BREACH_SQL = f"""
-SELECT method, min(window_end) AS started_at, max(window_end) AS ended_at, count(*) AS evaluations,
-       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) AS fired_at,
-       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) IS NOT NULL AS firing
-FROM (SELECT *, min(window_end) OVER (PARTITION BY method, island) AS st FROM (
-        SELECT *, CAST(floor(epoch(window_end) / 15) AS BIGINT)
-                  - row_number() OVER (PARTITION BY method ORDER BY window_end) AS island
-        FROM ({ERR_SQL}) e WHERE breach) i) j
-GROUP BY method, island"""
+def _runs_sql(evals: str, keys: str = "", hold: int = 300) -> str:
+    """Runs of true 15-second evaluations per series (one row per evaluation)
+    and when their hold made them fire."""
+    k = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys} " if keys else ""
+    fired = f"min(evaluated_at) FILTER (WHERE evaluated_at - st >= INTERVAL {hold} SECOND)"
+    return f"""
+SELECT {k}min(evaluated_at) AS started_at, max(evaluated_at) AS ended_at, count(*) AS evaluations,
+       {fired} AS fired_at, {fired} IS NOT NULL AS firing
+FROM (SELECT *, min(evaluated_at) OVER (PARTITION BY {k}island) AS st FROM (
+        SELECT *, CAST(floor(epoch(evaluated_at) / 15) AS BIGINT) - row_number() OVER ({part}ORDER BY evaluated_at) AS island
+        FROM (SELECT {k}time_bucket(INTERVAL 15 SECOND, evaluated_at) AS evaluated_at FROM ({evals}) x
+              GROUP BY {k}time_bucket(INTERVAL 15 SECOND, evaluated_at) HAVING bool_and(breach)) e) i) j
+GROUP BY {k}island"""
+
+
+BREACH_SQL = _runs_sql(f"SELECT method, window_end AS evaluated_at, breach FROM ({ERR_SQL}) e", "method")
 
 
 def _breaches(d: Domain):
@@ -165,18 +185,6 @@ def st10(d: Domain):
     return _breaches(d)
 
 
-def _overall_breach_sql(evals: str) -> str:
-    """Runs of true 15-second evaluations of one series and their 5-minute hold."""
-    return f"""
-SELECT min(window_end) AS started_at, max(window_end) AS ended_at, count(*) AS evaluations,
-       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) AS fired_at,
-       min(window_end) FILTER (WHERE window_end - st >= INTERVAL 300 SECOND) IS NOT NULL AS firing
-FROM (SELECT *, min(window_end) OVER (PARTITION BY island) AS st FROM (
-        SELECT *, CAST(floor(epoch(window_end) / 15) AS BIGINT) - row_number() OVER (ORDER BY window_end) AS island
-        FROM ({evals}) e WHERE breach) i) j
-GROUP BY island"""
-
-
 def _rule_runs(evals, name: str, value_col: str):
     threshold, hold = slo.ALERT_RULES[name]
     evals = evals.withColumn("breach", F.col(value_col) > threshold).withColumn("rule", F.lit(name))
@@ -184,23 +192,23 @@ def _rule_runs(evals, name: str, value_col: str):
     return runs.select("started_at", "ended_at", "evaluations", "fired_at", "firing")
 
 
-@register("st10_APIHighErrorRate", with_views(_overall_breach_sql(f"""
-SELECT window_end, sum(value) / count(*) > 0.05 AS breach
+@register("st10_APIHighErrorRate", with_views(_runs_sql(f"""
+SELECT window_end AS evaluated_at, sum(value) / count(*) > 0.05 AS breach
 FROM ({_spread_sql("SELECT ts, CASE WHEN regexp_matches(status, '^5..$') THEN 1 ELSE 0 END AS value FROM http_requests",
                    "ts")}) x GROUP BY window_end"""), ["http_requests"]))
 def st10_errors(d: Domain):
     return _rule_runs(slo.error_ratio(d.http_requests, "ts", "status"), "APIHighErrorRate", "error_ratio")
 
 
-@register("st10_APIHighLatencyP95", with_views(_overall_breach_sql(
-    "SELECT window_end, p95 > 1000 AS breach FROM ("
+@register("st10_APIHighLatencyP95", with_views(_runs_sql(
+    "SELECT window_end AS evaluated_at, p95 > 1000 AS breach FROM ("
     + _hist_sql("SELECT ts, duration_ms AS value FROM http_requests", "ts") + ") q"), ["http_requests"]))
 def st10_latency(d: Domain):
     return _rule_runs(slo.windowed_quantiles(d.http_requests, "ts", "duration_ms"), "APIHighLatencyP95", "p95")
 
 
-@register("st10_IngestionBacklogHigh", with_views(_overall_breach_sql(
-    "SELECT window_end, p95 > 10000 AS breach FROM ("
+@register("st10_IngestionBacklogHigh", with_views(_runs_sql(
+    "SELECT window_end AS evaluated_at, p95 > 10000 AS breach FROM ("
     + _hist_sql(f"SELECT enqueued_at, lag_ms AS value FROM ({LAG_SQL}) l", "enqueued_at") + ") q"),
     ["ingestion_jobs"]))
 def st10_backlog(d: Domain):
@@ -208,6 +216,43 @@ def st10_backlog(d: Domain):
                       "IngestionBacklogHigh", "p95")
 
 
+def _gauge_sql(staleness: str) -> str:
+    """Every 15-second evaluation of each queue's depth: the last sample that
+    is younger than the staleness bound."""
+    return f"""
+SELECT queue, evaluated_at, arg_max(depth, [epoch_us(ts), CAST(depth AS BIGINT)]) AS depth
+FROM (SELECT queue, ts, coalesce(waiting, 0) + coalesce(active, 0) + coalesce(delayed, 0) AS depth FROM queue_gauges) g,
+  LATERAL (SELECT time_bucket(INTERVAL 15 SECOND, g.ts - INTERVAL 1 MICROSECOND) + to_seconds(15 * (i + 1)) AS evaluated_at
+           FROM range({1 + 3600 // 15}) t(i)) w
+WHERE evaluated_at - ts < INTERVAL {staleness} GROUP BY queue, evaluated_at"""
+
+
+@register("st10_QueueDepthHigh", with_views(
+    _runs_sql(f"SELECT queue, evaluated_at, depth > 6 AS breach FROM ({_gauge_sql('1 HOUR')}) q", "queue", 600), ["queue_gauges"]))
+def st10_depth(d: Domain):
+    """Depth above a threshold at every evaluation for 10 minutes.  The
+    synthetic gauges stay below 16 and are minutes apart, so the query uses a
+    threshold of 6 and a staleness bound of an hour; the rule's own values are
+    in ``slo.ALERT_RULES`` and the operator's defaults."""
+    depth = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("waiting", "active", "delayed")), F.lit(0.0))
+    evals = slo.last_samples(d.queue_gauges, ["queue"], "ts", depth, staleness="1 hour")
+    return slo.sustained_breach(evals.withColumn("breach", F.col("value") > 6), ["queue"], "evaluated_at", "breach",
+                                slo.ALERT_RULES["QueueDepthHigh"][1])
+
+
+@register("st10_QueueJobFailuresFiring", with_views(_runs_sql(f"""
+SELECT queue, window_end AS evaluated_at, true AS breach
+FROM ({_spread_sql("SELECT queue, started_at, 1 AS value FROM ingestion_jobs WHERE NOT succeeded", "started_at", "queue")}) x
+GROUP BY queue, window_end""", "queue"), ["ingestion_jobs"]))
+def st10_failures(d: Domain):
+    """A queue whose 5-minute failure rate is above zero for 5 minutes; an
+    evaluation without a failure has no row, which ends a run just as zero does."""
+    rate = slo.event_rate(d.ingestion_jobs.where("not succeeded"), "started_at", ["queue"])
+    threshold, hold = slo.ALERT_RULES["QueueJobFailuresFiring"]
+    return slo.sustained_breach(rate.withColumn("breach", F.col("rate_per_s") > threshold), ["queue"], "window_end",
+                                "breach", hold)
+
+
 @register("st11_group_notifications", None)
 def st11(d: Domain):
     """ST-11: notifications per alert name over the ST-10 firing episodes

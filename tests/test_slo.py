@@ -67,6 +67,89 @@ def test_sustained_breach_holds_and_resets(spark):
     assert runs[0].fired_at == base + dt.timedelta(seconds=300)
 
 
+def _runs(spark, rows, hold="5 minutes"):
+    ev = spark.createDataFrame(rows, "rule string, ts timestamp_ntz, cond boolean")
+    out = slo.sustained_breach(ev, ["rule"], "ts", "cond", hold).collect()
+    return sorted((r.rule, r.started_at, r.ended_at, r.evaluations, r.fired_at) for r in out)
+
+
+def _at(i, day="2024-01-01"):
+    import datetime as dt
+    return ts(f"{day} 00:00:00") + dt.timedelta(seconds=15 * i)
+
+
+def test_sustained_breach_counts_a_repeated_evaluation_once(spark):
+    rows = [("r", _at(i), True) for i in range(25)] + [("r", _at(11), True)]
+    assert _runs(spark, rows) == [("r", _at(0), _at(24), 25, _at(20))]
+    # one of them says false: the run is cut there
+    rows[-1] = ("r", _at(11), False)
+    assert [(a, n, f) for _, a, _, n, f in _runs(spark, rows)] == [(_at(0), 11, None), (_at(12), 13, None)]
+
+
+def test_sustained_breach_missing_or_null_evaluation_resets(spark):
+    rows = [("r", _at(i), True) for i in range(42) if i != 20] + [("s", _at(i), None if i == 5 else True) for i in range(9)]
+    assert [(r, n, f) for r, _, _, n, f in _runs(spark, rows)] == [
+        ("r", 20, None), ("r", 21, _at(41)), ("s", 5, None), ("s", 3, None)]
+
+
+def test_sustained_breach_across_days_and_levels(spark):
+    """Runs over midnight, over several whole days, and over the edge of a
+    256-day bucket are one run each."""
+    day = 5760
+    edge = (19723 // 256 + 1) * 256 - 19723  # days from 2024-01-01 to the next 256-day edge
+    spans = [("a", day - 3, day + 30), ("b", 100, 3 * day + 7), ("c", edge * day - 40, edge * day + 40),
+             ("c", edge * day + 42, edge * day + 43)]
+    rows = [(r, _at(i), True) for r, x, y in spans for i in range(x, y)]
+    need = 20
+    want = sorted((r, _at(x), _at(y - 1), y - x, _at(x + need) if y - 1 - x >= need else None) for r, x, y in spans)
+    assert _runs(spark, rows) == want
+
+
+def test_no_unbucketed_window_in_sustained_breach(spark):
+    ev = spark.createDataFrame([("r", _at(0), True)], "rule string, ts timestamp_ntz, cond boolean")
+    plan = slo.sustained_breach(ev, ["rule"], "ts", "cond", "5 minutes")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("_bucket" in line for line in windows)
+
+
+def test_last_samples_fill_until_stale(spark):
+    import datetime as dt
+    s = spark.createDataFrame([("q", ts("2024-01-01 00:00:07"), 1.0), ("q", ts("2024-01-01 00:00:08"), 7.0),
+                               ("q", ts("2024-01-01 00:01:00"), 2.0), ("q", ts("2024-01-01 00:01:00"), 3.0)],
+                              "queue string, ts timestamp_ntz, value double")
+    out = {r.evaluated_at: r.value for r in slo.last_samples(s, ["queue"], "ts", F.col("value"), "15 seconds", "1 minute").collect()}
+    base = ts("2024-01-01 00:00:00")
+    want = {base + dt.timedelta(seconds=t): 7.0 for t in (15, 30, 45)}
+    want |= {base + dt.timedelta(seconds=t): 3.0 for t in (60, 75, 90, 105)}
+    assert out == want
+
+
+def test_rolling_increase_against_raw_samples(spark):
+    """Each evaluation's last hour, from the samples themselves: resets, equal
+    times, gaps longer than the window, and several series."""
+    import datetime as dt
+    import random
+    rnd, base, rows = random.Random(4), ts("2024-01-01 00:00:00"), []
+    for name in "ab":
+        at, value = 0, 0.0
+        for _ in range(60):
+            at += rnd.choice([0, 1, 60, 299, 300, 900, 4000])
+            value = float(rnd.randint(0, 3)) if rnd.random() < 0.1 else value + rnd.randint(0, 5)
+            rows.append((name, base + dt.timedelta(seconds=at), value))
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, value double")
+    got = {(r.series, r.evaluated_at): (r.increase, r.samples) for r in slo.rolling_increase(df, step="5 minutes").collect()}
+    want = {}
+    for name in "ab":
+        own = sorted((t, v) for n, t, v in rows if n == name)
+        for k in range(0, 800):
+            t = base + dt.timedelta(minutes=5 * k)
+            seen = [v for u, v in own if t - dt.timedelta(hours=1) < u <= t]
+            if len(seen) > 1:
+                rise = sum(y if y < x else y - x for x, y in zip(seen, seen[1:]))
+                want[name, t] = (rise, len(seen))
+    assert got == want
+
+
 def test_group_notifications(spark):
     f = spark.createDataFrame([("A", ts("2024-01-01 00:00:00"), ts("2024-01-01 00:20:00")),
                                ("A", ts("2024-01-01 00:02:00"), None)],

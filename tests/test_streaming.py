@@ -70,20 +70,58 @@ def test_live_heatmap_stream(spark, scratch):
     assert [(r.day_of_week, r.hour, r["count"]) for r in rows] == [(0, 5, 2)]
 
 
+def _breach_events(spark, scratch, batches, name, step=15, hold=300):
+    """Evaluations fed file by file, one micro-batch each."""
+    schema = "rule string, ts timestamp_ntz, cond boolean"
+    src = os.path.join(scratch, "evals-" + name)
+    os.makedirs(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    q = (sustained_breach_stream(stream, ["rule"], "ts", "cond", hold, step).writeStream.outputMode("append")
+         .format("memory").queryName(name).option("checkpointLocation", os.path.join(scratch, "ck-" + name))
+         .start())
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"{i:03d}"))
+        q.processAllAvailable()
+    q.stop()
+    return sorted((r.series, r.event, r.at.replace(tzinfo=None)) for r in spark.sql(f"SELECT * FROM {name}").collect())
+
+
+def _batch_events(spark, rows):
+    import datetime as dt
+
+    from nightjar.operators import slo
+    ev = spark.createDataFrame(rows, "rule string, ts timestamp_ntz, cond boolean")
+    out = []
+    for r in slo.sustained_breach(ev, ["rule"], "ts", "cond", "5 minutes").where("firing").collect():
+        out += [(r.rule, "firing", r.fired_at), (r.rule, "resolved", r.ended_at + dt.timedelta(seconds=15))]
+    return sorted(out)
+
+
 def test_sustained_breach_stream(spark, scratch):
+    """Out of order, repeated, missing and too late evaluations, and a series
+    that falls silent: the stream's transitions are the batch form's."""
     import datetime as dt
+    import random
     base = ts("2024-01-01 00:00:00")
-    src = os.path.join(scratch, "evals")
-    conds = [True] * 21 + [False]
-    spark.createDataFrame([("r", base + dt.timedelta(seconds=15 * i), c) for i, c in enumerate(conds)],
-                          "rule string, ts timestamp_ntz, cond boolean").write.parquet(src)
-    stream = spark.readStream.schema("rule string, ts timestamp_ntz, cond boolean").parquet(src)
-    q = (sustained_breach_stream(stream, ["rule"], "ts", "cond", 300).writeStream.outputMode("append")
-         .format("memory").queryName("breach_test").option("checkpointLocation", os.path.join(scratch, "ck"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    ev = [(r.event, r.at.replace(tzinfo=None)) for r in spark.sql("SELECT * FROM breach_test ORDER BY at").collect()]
-    assert [e for e, _ in ev] == ["firing", "resolved"]
+
+    def at(i):
+        return base + dt.timedelta(seconds=15 * i)
+    rows = [("plain", at(i), True) for i in range(22)] + [("plain", at(22), False)]
+    rows += [("gap", at(0), True), ("gap", at(1), True), ("gap", at(40), True)]          # never held
+    rows += [("hole", at(i), True) for i in range(60) if i != 30]                        # two runs
+    rows += [("silent", at(i), True) for i in range(25)]                                 # ends without a false
+    rows += [("twice", at(i), True) for i in range(25)] + [("twice", at(11), True)]
+    rnd = random.Random(1)
+    # arrival: by time, shuffled within the watermark's minute
+    rows.sort(key=lambda r: r[1] + dt.timedelta(seconds=rnd.randint(0, 50)))
+    batches = [rows[i:i + 25] for i in range(0, len(rows), 25)]
+    late = ("plain", at(3), False)
+    batches.append([late, ("clock", at(400), False)])
+    batches.append([("clock", at(500), False), ("plain", at(5), True)])
+    got = _breach_events(spark, scratch, batches, "breach_all")
+    assert [e for e in got if e[1] != "too_late"] == _batch_events(spark, rows)
+    assert [e for e in got if e[1] == "too_late"] == [("plain", "too_late", at(3)), ("plain", "too_late", at(5))]
+    assert {s for s, e, _ in got if e == "firing"} == {"plain", "hole", "silent", "twice"}
 
 
 def _run_memory(df, name, scratch, mode):
