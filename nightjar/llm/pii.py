@@ -201,6 +201,10 @@ def base_only(found: Column) -> Column:
     return F.filter(found, lambda s: s["kind"].isin(*BASE))
 
 
+def count_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``text_col`` with every span replaced by its kind in angle brackets; of
     overlapping spans the first, and of those that start together the

@@ -126,11 +126,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_anchor_expansion")
 def op11_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightjar.llm.common import id_text
-    from nightjar.llm.pii import BASE, add_spans, base_only, listed
+    from nightjar.llm.pii import BASE, add_spans, base_only, count_of, listed
     found = add_spans(id_text(table(spark, sf_dir, "documents"), "doc_id", "text"), keep_text=False)
     spans = F.col("spans")
     return found.select(
-        "doc_id", *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        "doc_id", *[count_of(spans, k).alias(f"n_{k}") for k in BASE],
         F.sha2(listed(base_only(spans)), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 

@@ -91,6 +91,21 @@ def test_query_columns_against_brute_force(make_docs):
     assert add_spans(df.limit(0)).count() == 0
 
 
+def test_registered_query(spark):
+    """The query's counts and digests over a whole table."""
+    from nightjar.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = QUERIES["op11_anchor_expansion"][0](spark, sf).collect()
+    assert len(out) == len(text)
+    for r in out:
+        want = brute(text[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
+        said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",")) <= set(r.spans.split(","))
+
+
 def test_redact(make_docs):
     rows = [(1, "é write me@x.org or +1 (555) 555-0142!"), (2, None), (3, "none"), (4, "1.2.3.4 1.2.3.4")]
     out = {r.doc_id: r.text for r in redact(add_spans(make_docs(rows))).collect()}
