@@ -226,6 +226,18 @@ SELECT event_id AS change_id, (event_id * 7) % (SELECT count(*) FROM events) AS
        event_id % 6 = 1 AS assigned_to_set,
        CASE WHEN event_id % 6 = 1 AND event_id % 12 <> 1 THEN user_id % (SELECT count(*) FROM supplier) END AS assigned_to_id
 FROM events WHERE event_id % 5 = 1"""),
+    "live_changes": (["alerts", "incidents", "alert_changes", "status_changes"], """
+SELECT 'alert' AS entity, CAST(id AS VARCHAR) AS id, 'create' AS op, concat('create:', id) AS change_id, created_at AS ts,
+       severity, status FROM alerts
+UNION ALL
+SELECT 'alert', CAST(entity_id AS VARCHAR), 'patch', concat('patch:', change_id), ts, severity, status FROM alert_changes
+UNION ALL
+SELECT 'alert', CAST(event_id AS VARCHAR), 'delete', concat('delete:', event_id), ts + INTERVAL 1 DAY, NULL, NULL
+FROM events WHERE value >= 150
+UNION ALL
+SELECT 'incident', CAST(id AS VARCHAR), 'create', concat('create:', id), created_at, severity, status FROM incidents
+UNION ALL
+SELECT 'incident', CAST(entity_id AS VARCHAR), 'patch', concat('patch:', change_id), ts, NULL, status FROM status_changes"""),
 }
 
 

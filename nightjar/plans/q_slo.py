@@ -297,3 +297,39 @@ SELECT count(*) AS alerts_total, CAST(count_if(status = 'open') AS BIGINT) AS al
 def st12s(d: Domain):
     from nightjar.streaming.live import summary_stream
     return summary_stream(d.alerts)
+
+
+VISIBLE_SQL = """
+SELECT entity, id, min(ts) FILTER (WHERE op = 'create') AS created_at,
+       arg_max(severity, place) FILTER (WHERE severity IS NOT NULL) AS severity,
+       arg_max(status, place) FILTER (WHERE status IS NOT NULL) AS status
+FROM (SELECT *, concat(strftime(ts, '%Y%m%d%H%M%S%f'), '|', lpad(change_id, 40, ' ')) AS place FROM live_changes) p
+GROUP BY entity, id
+HAVING count(*) FILTER (WHERE op = 'create') > 0 AND count(*) FILTER (WHERE op = 'delete') = 0"""
+
+
+@register("st12_summary_after_changes", with_views("SELECT " + ", ".join(
+    [f"count(*) FILTER (WHERE entity = 'alert'{c}) AS {n}" for c, n in (
+        ("", "alerts_total"), (" AND status = 'open'", "alerts_open"), (" AND severity = 'critical'", "alerts_critical"),
+        (" AND severity = 'high'", "alerts_high"), (" AND severity = 'medium'", "alerts_medium"),
+        (" AND severity = 'low'", "alerts_low"))]
+    + [f"count(*) FILTER (WHERE entity = 'incident'{c}) AS {n}" for c, n in (
+        ("", "incidents_total"), (" AND status = 'open'", "incidents_open"),
+        (" AND status = 'investigating'", "incidents_investigating"),
+        (" AND status IN ('open', 'investigating')", "active_incidents"))]) + f" FROM ({VISIBLE_SQL}) v", ["live_changes"]))
+def st12c(d: Domain):
+    """ST-12: the live dashboard counts of alerts and incidents after all of
+    their creations, patches and deletions (batch form of the delta stream)."""
+    from nightjar.streaming.live import live_summary, visible_rows
+    return live_summary(visible_rows(d.live_changes))
+
+
+@register("st12_trend_after_changes", with_views(f"""
+SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) FILTER (WHERE severity = 'critical') AS critical,
+       count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+       count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info,
+       count(*) AS total
+FROM ({VISIBLE_SQL}) v WHERE entity = 'alert' GROUP BY 1""", ["live_changes"]))
+def st12d(d: Domain):
+    from nightjar.streaming.live import live_trend, visible_rows
+    return live_trend(visible_rows(d.live_changes))

@@ -500,5 +500,27 @@ class Domain:
             F.when(a_set & (eid % 12 != 1), F.col("user_id") % self.n_users).alias("assigned_to_id"),
         )
 
+    @functools.cached_property
+    def live_changes(self) -> DataFrame:
+        """ST-12: everything that happens to alerts and incidents, as one log:
+        their creation, their patches, and the deletion of the alerts whose
+        event has a value of 150 or more."""
+        a, i, e = self.alerts, self.incidents, self.table("events")
+        none = F.lit(None).cast("string")
+
+        def rows(df, entity, op, ident, ts, severity=none, status=none):
+            return df.select(F.lit(entity).alias("entity"), ident.cast("string").alias("id"), F.lit(op).alias("op"),
+                             F.concat(F.lit(op), F.lit(":"), F.col("id" if op != "patch" else "change_id")).alias("change_id"),
+                             ts.alias("ts"), severity.alias("severity"), status.alias("status"))
+        parts = [
+            rows(a, "alert", "create", F.col("id"), F.col("created_at"), F.col("severity"), F.col("status")),
+            rows(self.alert_changes, "alert", "patch", F.col("entity_id"), F.col("ts"), F.col("severity"), F.col("status")),
+            rows(e.where("value >= 150").withColumn("id", F.col("event_id")), "alert", "delete", F.col("id"),
+                 _ts_plus("DAY", "1", "ts")),
+            rows(i, "incident", "create", F.col("id"), F.col("created_at"), F.col("severity"), F.col("status")),
+            rows(self.status_changes, "incident", "patch", F.col("entity_id"), F.col("ts"), status=F.col("status"))]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
     return Domain(spark, sf_dir)

@@ -7,7 +7,7 @@ by many tasks; no file is ever loaded on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.functions.scalars import keep_rows
@@ -56,6 +56,55 @@ def _csv_header(spark: SparkSession, path: str) -> list[str] | None:
     return None if not first else [v if v is not None else "" for v in first[0]]
 
 
+# A record: unquoted runs and quoted strings (a quote opens a string anywhere,
+# one that never closes ends with the text); possessive, so long texts neither
+# backtrack nor recurse.
+_QUOTED = '"(?:[^"]++|"")*+(?:"|\\z)'
+_RECORD = f'((?:[^"\\r\\n]++|{_QUOTED})++)'
+_CELL = f',((?:[^",]++|{_QUOTED})*+)'
+
+
+def csv_records(text: Column) -> Column:
+    """The non-blank records of a CSV text, header included, as written."""
+    return F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
+
+
+def csv_cells(record: Column) -> Column:
+    """The cells of one record, without their quotes."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1))
+    return F.transform(cells, lambda c: F.replace(
+        F.regexp_replace(c, '"((?:[^"]++|"")*+)(?:"|\\z)', "$1"), F.lit('""'), F.lit('"')))
+
+
+def read_csv_files(files: DataFrame) -> DataFrame:
+    """SRC-1 for many files, each with its own header, in batch or on a
+    stream: ``files`` has one row per file with its whole text in ``value``.
+
+    Returns the other columns with ``n_records`` (of the file), ``ordinal``
+    and ``record``: one JSON object per record, keyed by that file's header
+    in its order (a repeated name keeps its last cell), missing cells ``''``,
+    extra cells dropped.  Blank lines and a record that is one empty cell
+    give no row; a text that begins with a line end has the header ``""``.
+    A file is one row, so it is bounded by what a row may hold (2 GB)."""
+    kept = [c for c in files.columns if c != "value"]
+    records = csv_records(F.coalesce("value", F.lit("")))
+    blank_first = F.col("value").rlike("^[\\r\\n]")
+    split = files.select(*kept, F.when(blank_first, F.concat(F.array(F.lit('""')), records)).otherwise(records)
+                         .alias("_records"))
+    named = split.select(
+        *kept, csv_cells(F.get("_records", F.lit(0))).alias("_header"),
+        F.filter(F.slice("_records", F.lit(2), F.size("_records")), lambda r: ~r.isin('""', '"')).alias("_rows"))
+    keyed = named.select(
+        *kept, F.size("_rows").alias("n_records"), F.array_distinct("_header").alias("_names"),
+        F.transform(F.array_distinct("_header"),
+                    lambda n: (F.size("_header") - F.array_position(F.reverse("_header"), n)).cast("int")).alias("_last"),
+        F.posexplode_outer("_rows").alias("ordinal", "_row"))
+    # outer, and dropped above: a filter on the size would split the text again
+    cells = keyed.where("_row is not null").withColumn("_cells", csv_cells(F.col("_row")))
+    return cells.select(*kept, "n_records", "ordinal", F.to_json(F.map_from_arrays(
+        "_names", F.transform("_last", lambda i: F.coalesce(F.get(F.col("_cells"), i), F.lit(""))))).alias("record"))
+
+
 def read_json_events(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """SRC-2: a ``.json`` upload must hold one JSON array of records.
 
@@ -70,7 +119,7 @@ def read_json_events(spark: SparkSession, path: str, json_lines: bool = False) -
         return lines.where(F.length(F.trim("value")) > 0).select(
             "file", F.monotonically_increasing_id().alias("ordinal"),
             F.when(ok, F.col("value")).alias("record"), (~ok).alias("rejected"))
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"), F.col("value"))
     # a file of another kind is rejected like a malformed one, not skipped
     arr = F.when(F.lower(F.col("file")).endswith(".json"), F.from_json(F.col("value"), "array<string>"))

@@ -40,7 +40,7 @@ def guard_max_rows(records: DataFrame, file_col: str = "file",
         return records, records.sparkSession.createDataFrame([], f"{file_col} string, n_rows long, reason string")
     per_file = records.groupBy(file_col).agg(F.count(F.lit(1)).alias("n_rows"))
     too_big = per_file.where(F.col("n_rows") > max_rows).withColumn(
-        "reason", F.concat(F.lit("File has "), F.col("n_rows"), F.lit(f" rows; max is {max_rows}")))
+        "reason", F.concat(F.lit("File contains "), F.col("n_rows"), F.lit(f" rows; max is {max_rows}")))
     accepted = records.join(too_big.select(file_col), file_col, "left_anti")
     return accepted, too_big
 
@@ -69,19 +69,18 @@ def read_upload(spark, path: str, source_id: int, received_at, max_rows: int | N
     """Upload → normalised events (the ``/ingest/upload`` flow).
 
     A path ending in ``.json`` (one file or a folder of them) must hold a JSON
-    array per file; otherwise the path is one CSV upload (header row).  Each
+    array per file; otherwise it holds CSV uploads, each with its own header.  Each
     record becomes an event: source ``source_id``, type ``file_upload``,
     payload = the record as JSON text, source ip per SRC-8.  Returns
     (events, rejected files with a reason): not an array, unparsable, or
     more than ``max_rows`` records where a bound is given (SRC-9)."""
     from nightjar.functions.scalars import ts_literal
-    from nightjar.sources.files import read_csv_events, read_json_events
+    from nightjar.sources.files import read_csv_files, read_json_events
 
     ts = ts_literal(received_at) if not hasattr(received_at, "_jc") else received_at
     if path.lower().rstrip("/").endswith(".json") or path.lower().rstrip("/").endswith("json"):
         recs = read_json_events(spark, path)
-        raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"),
-                                                                    F.col("value"))
+        raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
         bad = (recs.where("rejected").select("file").distinct().join(raw, "file", "left")
                .select("file", F.when(F.try_parse_json("value").isNotNull(),
                                       F.lit("JSON file must contain an array of records"))
@@ -93,13 +92,12 @@ def read_upload(spark, path: str, source_id: int, received_at, max_rows: int | N
             source_ip_from_json("record").alias("source_ip"), F.lit("file_upload").alias("normalized_type"),
             F.col("record").alias("payload"), "file", "ordinal")
     else:
-        rows = read_csv_events(spark, path)
-        with_file = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ordinal"),
-                                csv_rows_to_json(rows).alias("record"), source_ip_from_columns(rows).alias("source_ip"))
-        accepted, too_big = guard_max_rows(with_file, "file", max_rows)
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+        accepted, too_big = guard_max_rows(read_csv_files(files), "file", max_rows)
         bad = spark.createDataFrame([], "file string, reason string")
         events = accepted.select(
-            F.lit(source_id).cast("long").alias("ingestion_source_id"), ts.alias("received_at"), "source_ip",
-            F.lit("file_upload").alias("normalized_type"), F.col("record").alias("payload"), "file", "ordinal")
+            F.lit(source_id).cast("long").alias("ingestion_source_id"), ts.alias("received_at"),
+            source_ip_from_json("record").alias("source_ip"), F.lit("file_upload").alias("normalized_type"),
+            F.col("record").alias("payload"), "file", "ordinal")
     rejected = bad.unionByName(too_big.select("file", "reason"))
     return events, rejected

@@ -18,6 +18,7 @@ The checkpoint lives under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,9 +120,9 @@ def write_events_batch(events: DataFrame, quarantined: DataFrame, batch_id: int,
 # uploads (SRC-2 / SRC-8 / SRC-9) as a stream
 # --------------------------------------------------------------------------
 def upload_files_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A folder where uploaded ``.json`` files land, one row per file (the
-    whole text), with the file time as receipt time."""
-    reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
+    """A folder where uploaded files land, one row per file (the whole text),
+    with the file time as receipt time."""
+    reader = spark.readStream.format("text").option("wholetext", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(directory).select(
@@ -131,42 +132,56 @@ def upload_files_stream(spark: SparkSession, directory: str, max_files_per_trigg
 
 def ingest_uploads_batch(files: DataFrame, batch_id: int, sources: DataFrame, out_dir: str, source_id: int,
                          max_rows: int | None = None, rules: Sequence[Rule] = DEFAULT_RULES) -> dict[str, int]:
-    """One micro-batch of upload files: each must be a JSON array (else the
-    file is quarantined: "JSON file must contain an array of records" or
-    "Failed to parse JSON file"); where ``max_rows`` is given, a file with more
-    records is quarantined whole, with its text; every record becomes an event (payload = record
-    JSON text, source ip per SRC-8, key = file + position)."""
+    """One micro-batch of upload files.  A ``.json`` file must be a JSON array
+    (else the file is quarantined: "JSON file must contain an array of records"
+    or "Failed to parse JSON file"); any other file is CSV, read by its own
+    header (``sources.files.read_csv_files``).  Where ``max_rows`` is given, a
+    file with more records is quarantined whole, with its text; every record
+    becomes an event (payload = record JSON text, source ip per SRC-8,
+    key = file + position)."""
+    from nightjar.sources.files import read_csv_files
     from nightjar.sources.upload import source_ip_from_json
-    parsed = files.select("file", "value", "received_at",
-                          F.from_json("value", "array<string>").alias("records")).persist()
+    is_json = F.lower("file").endswith(".json")
+    parsed = files.select("file", "value", "received_at", is_json.alias("is_json"),
+                          F.when(is_json, F.from_json("value", "array<string>")).alias("records")).persist()
     try:
-        n = F.size("records")
-        bad = parsed.where(F.col("records").isNull()).select(
+        bad = parsed.where(F.col("is_json") & F.col("records").isNull()).select(
             F.col("value").alias("raw"), "received_at", F.col("file").alias("event_key"),
             F.when(F.try_parse_json("value").isNotNull(), F.lit("JSON file must contain an array of records"))
             .otherwise(F.lit("Failed to parse JSON file")).alias("reason"))
-        ok = parsed.where(F.col("records").isNotNull())
+        arrays = parsed.where(F.col("records").isNotNull()).select(
+            "file", "received_at", F.size("records").alias("n_records"),
+            F.posexplode("records").alias("ordinal", "record"))
+        rows = arrays.unionByName(read_csv_files(parsed.where("not is_json").select("file", "value", "received_at"))
+                                  .select(*arrays.columns))
         if max_rows is not None:
-            too_big = ok.where(n > max_rows).select(
-                F.col("value").alias("raw"), "received_at", F.col("file").alias("event_key"),
-                F.concat(F.lit("File has "), n, F.lit(f" rows; max is {max_rows}")).alias("reason"))
-            bad = bad.unionByName(too_big)
-            ok = ok.where(n <= max_rows)
-        events = ok.select("file", "received_at", F.posexplode("records").alias("pos", "record")).select(
+            n = F.col("n_records")
+            reason = F.concat(F.lit("File contains "), n, F.lit(f" rows; max is {max_rows}"))
+            too_big = (rows.where(n > max_rows).groupBy("file").agg(F.first(reason).alias("reason"))
+                       .join(parsed.select("file", "value", "received_at"), "file"))
+            bad = bad.unionByName(too_big.select(F.col("value").alias("raw"), "received_at",
+                                                 F.col("file").alias("event_key"), "reason"))
+            rows = rows.where(n <= max_rows)
+        events = rows.select(
             F.lit(source_id).cast("long").alias("ingestion_source_id"), "received_at",
             source_ip_from_json("record").alias("source_ip"), F.lit("file_upload").alias("normalized_type"),
-            F.col("record").alias("payload"), F.concat(F.col("file"), F.lit(":"), F.col("pos")).alias("event_key"))
+            F.col("record").alias("payload"), F.concat(F.col("file"), F.lit(":"), F.col("ordinal")).alias("event_key"))
         return write_events_batch(events, bad, batch_id, sources, out_dir, rules)
     finally:
         parsed.unpersist()
 
 
+def _own_checkpoint(spark: SparkSession, kind: str, source_dir: str, out_dir: str) -> str:
+    """A checkpoint folder per stream: two streams of one kind never share one."""
+    return checkpoint_path(spark, f"{kind}-{hashlib.sha256(f'{source_dir}|{out_dir}'.encode()).hexdigest()[:16]}")
+
+
 def ingest_upload_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: DataFrame, source_id: int,
                          checkpoint: str | None = None, available_now: bool = True, max_rows: int | None = None,
                          max_files_per_trigger: int | None = None, rules: Sequence[Rule] = DEFAULT_RULES):
     """ST-1 for uploads: start the stream over the upload folder."""
     files = upload_files_stream(spark, source_dir, max_files_per_trigger)
-    ckpt = checkpoint or checkpoint_path(spark, "upload_stream")
+    ckpt = checkpoint or _own_checkpoint(spark, "upload_stream", source_dir, out_dir)
     writer = (files.writeStream.option("checkpointLocation", ckpt)
               .foreachBatch(lambda df, bid: ingest_uploads_batch(df, bid, sources, out_dir, source_id, max_rows,
                                                                  rules)))
@@ -191,7 +206,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, sources: D
         lines = (lines.withColumn("_evt", F.col("received_at").cast("timestamp"))
                  .withWatermark("_evt", dedupe_watermark)
                  .dropDuplicatesWithinWatermark(list(dedupe_keys)).drop("_evt"))
-    ckpt = checkpoint or checkpoint_path(spark, "ingest_stream")
+    ckpt = checkpoint or _own_checkpoint(spark, "ingest_stream", source_dir, out_dir)
     writer = (lines.writeStream.option("checkpointLocation", ckpt)
               .foreachBatch(lambda df, bid: ingest_batch(df, bid, sources, out_dir, source_id, rules)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -1,12 +1,13 @@
 """SRC-1 CSV records, SRC-2 JSON uploads, SRC-7 JSON logs, SRC-8 source ip, SRC-9 row guard."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from helpers import write_text
 from nightjar.sources.files import read_csv_events, read_json_events, read_json_logs
-from nightjar.sources.upload import guard_max_rows, source_ip_from_json
+from nightjar.sources.upload import guard_max_rows, read_upload, source_ip_from_json
 
 
 def rows(df):
@@ -169,9 +170,85 @@ def test_upload_flow(spark, scratch):
     reasons = {r.file.rsplit("/", 1)[1]: r.reason for r in rej.collect()}
     assert reasons == {"obj.json": "JSON file must contain an array of records",
                        "bad.json": "Failed to parse JSON file",
-                       "big.json": "File has 1001 rows; max is 1000"}
+                       "big.json": "File contains 1001 rows; max is 1000"}
 
 
 def test_csv_lone_quoted_empty_dropped_but_commas_kept(spark, scratch):
     p = write_text(scratch, "h.csv", 'a,b,c\n""\n,,\n"",x,\n')
     assert rows(read_csv_events(spark, p)) == [{"a": "", "b": "", "c": ""}, {"a": "", "b": "x", "c": ""}]
+
+
+def _reference_csv(text):
+    """The reference's grammar, character by character."""
+    rows, row, field, quoted, i = [], [], "", False, 0
+    while i < len(text):
+        c = text[i]
+        if quoted:
+            if c == '"' and text[i + 1:i + 2] == '"':
+                field, i = field + '"', i + 1
+            elif c == '"':
+                quoted = False
+            else:
+                field += c
+        elif c == '"':
+            quoted = True
+        elif c == ",":
+            row.append(field)
+            field = ""
+        elif c in "\r\n":
+            if c == "\r" and text[i + 1:i + 2] == "\n":
+                i += 1
+            rows.append(row + [field])
+            row, field = [], ""
+        else:
+            field += c
+        i += 1
+    if field or row:
+        rows.append(row + [field])
+    if not rows:
+        return []
+    return [{name: (r[i] if i < len(r) else "") for i, name in enumerate(rows[0])}
+            for r in rows[1:] if len(r) > 1 or r[0] != ""]
+
+
+def test_csv_files_by_their_own_header(spark):
+    import json
+    import random
+
+    from nightjar.sources.files import read_csv_files
+    texts = ["ip,user,status\n10.0.0.1,root,failed\n10.0.0.2,admin,success\n", "user,ip\nroot,10.0.0.9\n",
+             'title,note\n"Alert, high priority","contains, a comma"\n', 'title\n"She said ""hello"""\n',
+             "a,b\r\n1,2\r\n3,4\r\n", "a,b,c\n", "", "a,b\n1\n1,2,3\n\n,,\n", 'a,b\n"",\n""\n', "a,a,b\n1,2,3",
+             'a,b\n"x\ny",2\rz,"open to the end\n1,2', 'a\nx"y,z"w\n', "\na,b\n1,2\n", "é,b\n👍,\n"]
+    rnd = random.Random(3)
+    texts += ["h,i\n" + "".join(rnd.choice(['"', ",", "\n", "\r", "a", " "]) for _ in range(rnd.randint(1, 14)))
+              for _ in range(300)]
+    long = "h,i\n" + '"' + "x,\n" * 200_000 + '",1\n' + "y," * 100_000 + "\n"
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, long, None])], "file string, value string")
+    got = {}
+    for r in read_csv_files(df).orderBy("ordinal").collect():
+        got.setdefault(int(r.file), []).append(json.loads(r.record, object_pairs_hook=list))
+    for i, t in enumerate([*texts, long]):
+        want = [list(x.items()) for x in _reference_csv(t)]
+        assert [[tuple(p) for p in x] for x in got.get(i, [])] == want, (t[:80], got.get(i), want)
+    assert len(texts) + 1 not in got
+
+
+def test_csv_folder_with_different_columns(spark, scratch):
+    """Cells are named by their own file's header, not by the first file's."""
+    write_text(scratch, "a.csv", "ip,message\n10.0.0.1,one\n10.0.0.2,two\n")
+    write_text(scratch, "b.csv", "message,severity,source_ip\nthree,high,10.0.0.3\n")
+    events, rejected = read_upload(spark, scratch, 4, "2024-01-01 00:00:00", max_rows=2)
+    got = sorted((r.source_ip, r.payload) for r in events.collect())
+    assert got == [("10.0.0.1", '{"ip":"10.0.0.1","message":"one"}'), ("10.0.0.2", '{"ip":"10.0.0.2","message":"two"}'),
+                   ("10.0.0.3", '{"message":"three","severity":"high","source_ip":"10.0.0.3"}')]
+    assert rejected.count() == 0
+    _, rejected = read_upload(spark, scratch, 4, "2024-01-01 00:00:00", max_rows=1)
+    assert [r.reason for r in rejected.collect()] == ["File contains 2 rows; max is 1"]
+
+
+def test_json_array_over_several_lines(spark, scratch):
+    """A pretty-printed upload is one array, not one line."""
+    write_text(scratch, "p.json", '[\n  {"ip": "10.0.0.1"},\n  {"ip": "10.0.0.2"}\n]\n')
+    events, rejected = read_upload(spark, os.path.join(scratch, "p.json"), 4, "2024-01-01 00:00:00")
+    assert sorted(r.source_ip for r in events.collect()) == ["10.0.0.1", "10.0.0.2"] and rejected.count() == 0

@@ -263,4 +263,63 @@ def test_upload_stream(spark, scratch):
     (a,) = read_ingest_output(spark, out, "alerts").collect()
     assert a.severity == "medium" and a.description.endswith("from 10.0.0.9.")
     reasons = sorted(r.reason for r in read_ingest_output(spark, out, "quarantine").collect())
-    assert reasons == ["File has 1001 rows; max is 1000", "JSON file must contain an array of records"]
+    assert reasons == ["File contains 1001 rows; max is 1000", "JSON file must contain an array of records"]
+
+
+def test_csv_uploads_as_a_stream_equal_the_batch(spark, scratch):
+    """JSON and CSV files of different column orders, as they arrive."""
+    from nightjar.sources.upload import read_upload
+    from nightjar.streaming.ingest import ingest_upload_stream, read_ingest_output
+    src, out = os.path.join(scratch, "up"), os.path.join(scratch, "out")
+    os.makedirs(src)
+    write_text(src, "a.csv", "ip,message\n10.0.0.1,Failed password for root\n10.0.0.2,two\n")
+    write_text(src, "b.CSV", 'message,ip\n"x, y",10.0.0.3\n')
+    write_text(src, "c.json", '[{"ip":"10.0.0.4","message":"json"}]')
+    write_text(src, "d.csv", "only,a,header\n")
+    sources = spark.createDataFrame([(4, "up")], "id long, name string")
+    for more in (None, "e.csv"):
+        if more:
+            write_text(src, more, "src_ip\n10.0.0.5\n")
+        ingest_upload_stream(spark, src, out, sources, 4, checkpoint=os.path.join(scratch, "ck")).awaitTermination(120)
+    got = sorted((r.source_ip, r.payload) for r in read_ingest_output(spark, out, "raw_events").collect())
+    csv = [p for p in ("a.csv", "b.CSV", "d.csv", "e.csv")]
+    want = [r for p in csv for r in read_upload(spark, os.path.join(src, p), 4, "2024-01-01 00:00:00")[0].collect()]
+    assert got == sorted([(r.source_ip, r.payload) for r in want] + [("10.0.0.4", '{"ip":"10.0.0.4","message":"json"}')])
+    assert read_ingest_output(spark, out, "alerts").count() == 1
+
+
+def test_signed_deltas_equal_the_batch(spark, scratch):
+    """Creates, patches and deletes in any order, some twice, over several
+    micro-batches: the deltas' counts are those of the final rows."""
+    import datetime as dt
+    import random
+
+    from nightjar.streaming.live import live_summary, live_trend, signed_deltas, visible_rows
+    schema = "entity string, id string, op string, change_id string, ts timestamp_ntz, severity string, status string"
+    rnd, base, rows = random.Random(2), ts("2024-01-01 00:00:00"), []
+    for n in range(40):
+        entity = "alert" if n % 3 else "incident"
+        at = base + dt.timedelta(hours=7 * n)
+        rows.append((entity, str(n), "create", f"c{n}", at, rnd.choice(["critical", "high"]), "open"))
+        for k in range(rnd.randint(0, 3)):
+            rows.append((entity, str(n), "patch", f"p{n}-{k}", at + dt.timedelta(minutes=rnd.randint(1, 3)),
+                         rnd.choice([None, "low", "medium"]), rnd.choice([None, "resolved", "investigating"])))
+        if rnd.random() < 0.3:
+            rows.append((entity, str(n), "delete", f"d{n}", at + dt.timedelta(days=1), None, None))
+    rows += [("alert", "unknown", "patch", "px", base, "low", "open")] + rnd.sample(rows, 15)
+    rnd.shuffle(rows)
+    src, table = os.path.join(scratch, "log"), os.path.join(scratch, "deltas")
+    os.makedirs(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    for i in range(0, len(rows), 30):
+        spark.createDataFrame(rows[i:i + 30], schema).coalesce(1).write.parquet(os.path.join(src, f"{i:04d}"))
+    q = (signed_deltas(stream).writeStream.outputMode("append").format("parquet").option("path", table)
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    deltas, final = spark.read.parquet(table), visible_rows(spark.createDataFrame(rows, schema))
+    assert deltas.where("delta < 0").count() > 0
+    assert live_summary(deltas).collect() == live_summary(final).collect()
+    assert sorted(live_trend(deltas).collect()) == sorted(live_trend(final).collect())
+    counted = spark.readStream.schema(deltas.schema).parquet(table)
+    _run_memory(live_summary(counted), "live_sum", scratch, "complete")
+    assert spark.sql("SELECT * FROM live_sum").collect() == live_summary(final).collect()
