@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.llm.common import fresh, materialise, table
-from nightjar.llm.lines import remove_boilerplate, site_bound
+from nightjar.llm.lines import remove_boilerplate
 from nightjar.llm.ngram_join import near_duplicates
 from nightjar.llm.packing import pack
 from nightjar.llm.queries import vocabulary_path
@@ -27,9 +27,8 @@ from nightjar.llm.toxicity import add_score, train
 
 #: A document is rejected from this probability on.
 TOXIC = 0.7
-#: A line on so many distinct sites (or half of the sites, if that is less), in
-#: as many documents, is boilerplate ...
-MIN_SITES = 10
+#: A line on so many distinct sites, in so many documents, is boilerplate ...
+MIN_SITES, MIN_DOCS = 5, 10
 #: ... if it is in so many times the documents that chance lets one expect.
 EXCESS = 10
 #: Near duplicates: words of a shingle, similarity num / den.
@@ -69,8 +68,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate across sites."""
-    sites = site_bound(docs, MIN_SITES)
-    return _shorten(docs, lambda d: remove_boilerplate(d, sites, excess=EXCESS, min_docs=MIN_SITES),
+    return _shorten(docs, lambda d: remove_boilerplate(d, MIN_SITES, excess=EXCESS, min_docs=MIN_DOCS),
                     "n_lines", "n_removed")
 
 
