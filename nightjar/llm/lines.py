@@ -12,8 +12,7 @@ threshold; those within the sketch's error of it get an exact distinct count.
 With ``excess``, the verdict does not depend on the size of the corpus: a line
 must also be in ``min_docs`` documents and in ``excess`` times as many as lines
 of its number of words would hold it by chance, were their words drawn one by
-one from the corpus' other words.  ``site_bound`` gives the sites to ask for
-where the table has few.
+one from the corpus' other words.
 
 Cases: null text has no lines; blank lines are never boilerplate; a null site
 counts as a site with the empty name; rows with a null id lose every
@@ -39,6 +38,8 @@ BLANK = " \t\r\x0b\x0c"
 #: What parts the words of a line when chance is reckoned.
 NO_WORD = "[^\\p{L}\\p{M}\\p{N}]+"
 _SEED = 42  # of Spark's xxhash64
+_SALT = "second"
+_SEED2 = xxhash.xxh64_intdigest(_SALT.encode(), seed=_SEED)
 
 
 def _rows(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -48,14 +49,12 @@ def _rows(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
 
 def _lines(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
     rows = _rows(docs, text, *keep)
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")}).drop("line")
+    return rows.withColumns(_hashes(F.col("line"))).drop("line")
 
 
-def site_bound(docs: DataFrame, min_sites: int, site_col: str = "source") -> int:
-    """min_sites, or half of the table's sites if that is less; two at least."""
-    site = F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
-    there = docs.select(site).distinct().limit(2 * min_sites).count()
-    return max(2, min(min_sites, math.ceil(there / 2)))
+def _hashes(line: Column) -> dict[str, Column]:
+    """Two 64-bit hashes of a line that do not depend on each other."""
+    return {"h1": F.xxhash64(line), "h2": F.xxhash64(F.lit(_SALT), line)}
 
 
 def spread(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
@@ -89,13 +88,15 @@ def beyond_chance(docs: DataFrame, text: Column, doc: Column, found: DataFrame,
     word = rows.select(F.explode(cut).alias("word")).select(F.xxhash64("word").alias("word"))
     counts = materialise(word.groupBy("word").agg(F.count("*").alias("c")), "words", narrow=True)
     total, most = counts.agg(F.sum("c"), F.max("c")).first()
-    split = rows.select("doc", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"),
+    split = rows.select("doc", *[h.alias(n) for n, h in _hashes(F.col("line")).items()],
                         F.transform(cut, lambda w: F.xxhash64(w)).alias("words"))
     sizes = materialise(split.groupBy(F.size("words").alias("k")).agg(F.count("*").alias("alike")), "line-sizes",
                         narrow=True)
-    # chance cannot matter beyond so many words, however common they are
-    lines = sizes.agg(F.sum("alike")).first()[0] or 0
-    share = most / total if total else 0.0
+    # chance cannot matter beyond so many words, however common they are: no word
+    # is more of what is left of the corpus without any one line's words
+    lines, own = sizes.agg(F.coalesce(F.sum("alike"), F.lit(0)),
+                           F.coalesce(F.max(F.col("alike") * F.col("k")), F.lit(0))).first()
+    share = (min(1.0, most / (total - own)) if total > own else 1.0) if total else 0.0
     far = (2 ** 31 - 1 if share > 0.999 else
            max(1, math.ceil(math.log(max(1.0, excess * lines / min_docs)) / -math.log(share))) if share else 1)
     held = (split.withColumns({"k": F.size("words"), "words": F.when(F.size("words") <= far, F.col("words"))})
@@ -131,7 +132,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     outs = ["n_lines", "n_removed"]
     docs = docs.drop(*outs)
     names = docs.columns
-    doc, gone = fresh(docs, "_doc", "_gone")
+    doc, doc2, gone = fresh(docs, "_doc", "_doc2", "_gone")
     keyed = docs.withColumn(doc, F.col(id_col).cast("long"))
     lines = _lines(keyed, F.col(text_col), F.col(doc).alias("doc"),
                    F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"))
@@ -140,9 +141,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
         boilerplate = materialise(beyond_chance(keyed, F.col(text_col), F.col(doc), boilerplate, min_docs, excess),
                                   "beyond-chance")
     hits = (lines.join(boilerplate, ["h1", "h2"])
-            .where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_set("h1").alias(gone)))
-    joined = keyed.join(hits.withColumnRenamed("doc", doc + "2"),
-                        F.col(doc).eqNullSafe(F.col(doc + "2")), "left").drop(doc + "2")
+            .where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc")
+            .agg(F.collect_set(F.struct("h1", "h2")).alias(gone)))
+    joined = keyed.join(hits.withColumnRenamed("doc", doc2),
+                        F.col(doc).eqNullSafe(F.col(doc2)), "left").drop(doc2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +153,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
                 rows = [] if text is None else text.split("\n")
                 total.append(len(rows))
                 if drop:
-                    drop = set(drop)
-                    rows = [r for r in rows if not (s := r.strip(BLANK)) or _signed(s) not in drop]
+                    drop = {(d["h1"], d["h2"]) for d in drop}
+                    rows = [r for r in rows if not (s := r.strip(BLANK)) or _both(s) not in drop]
                 lost.append(total[-1] - len(rows))
                 texts.append(None if text is None else "\n".join(rows))
             yield pa.record_batch(
@@ -163,6 +165,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     return joined.mapInArrow(cut, schema)
 
 
-def _signed(line: str) -> int:
-    h = xxhash.xxh64_intdigest(line.encode(), seed=_SEED)
-    return h - (1 << 64) if h >> 63 else h
+def _both(line: str) -> tuple[int, int]:
+    """Spark's two hashes of a line."""
+    data = line.encode()
+    return tuple(h - (1 << 64) if h >> 63 else h
+                 for h in (xxhash.xxh64_intdigest(data, seed=s) for s in (_SEED, _SEED2)))

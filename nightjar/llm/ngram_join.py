@@ -121,10 +121,10 @@ def _fold(maps: list[bytes]) -> np.ndarray:
 
 
 def profile(docs: DataFrame, join: Join) -> DataFrame:
-    """kind 0: (doc, n, d1, d2, bitmap) of a document; kind 1: (d1 = shingle,
+    """kind 0: (doc, th, n, d1, d2, bitmap) of a document, th its text's hash; kind 1: (d1 = shingle,
     n = documents) of a shingle that three documents of a slice have."""
-    types = {"kind": pa.int32(), "doc": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(),
-             "bitmap": pa.binary()}
+    types = {"kind": pa.int32(), "doc": pa.int64(), "th": pa.int64(), "n": pa.int64(), "d1": pa.int64(),
+             "d2": pa.int64(), "bitmap": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,17 +132,17 @@ def profile(docs: DataFrame, join: Join) -> DataFrame:
                 sets = join.sets(part.column("text"))
                 digests = [_digest(s) for s in sets]
                 yield emit({"kind": np.zeros(len(sets), np.int32), "doc": part.column("doc_id"),
-                            "n": [len(s) for s in sets], "d1": [d[0] for d in digests],
+                            "th": part.column("th"), "n": [len(s) for s in sets], "d1": [d[0] for d in digests],
                             "d2": [d[1] for d in digests], "bitmap": [_bitmap(s) for s in sets]}, types)
                 shingle, count = np.unique(np.concatenate(sets), return_counts=True) if sets else ([], [])
                 often = np.flatnonzero(np.asarray(count) >= 3)
                 if len(often):
                     yield emit({"kind": np.ones(len(often), np.int32), "doc": pa.nulls(len(often), pa.int64()),
-                                "n": count[often], "d1": shingle[often].view(np.int64),
+                                "th": pa.nulls(len(often), pa.int64()), "n": count[often], "d1": shingle[often].view(np.int64),
                                 "d2": pa.nulls(len(often), pa.int64()),
                                 "bitmap": pa.nulls(len(often), pa.binary())}, types)
 
-    return docs.mapInArrow(run, "kind int, doc long, n long, d1 long, d2 long, bitmap binary")
+    return docs.mapInArrow(run, "kind int, doc long, th long, n long, d1 long, d2 long, bitmap binary")
 
 
 def prefixes(docs: DataFrame, join: Join, common: np.ndarray) -> DataFrame:
@@ -349,14 +349,21 @@ def _exact_edges(rows: DataFrame, join: Join, keys: list[str]) -> DataFrame:
 def verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
     """(node, root) of the components of true links.
 
-    docs: (doc_id, text); members: (doc_id, d1, root) naming one document of
-    each class of a candidate component."""
+    docs: (doc_id, text, th); members: (member, mth, d1, root) naming one document
+    of each class of a candidate component by its id and its text's hash, so
+    that rows that repeat an id meet no classes but their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"root": pa.int64(), "d1": pa.int64(), "n": pa.int64(), "items": pa.binary()}
+        before = None
         for batch in batches:
-            for part in slices(batch):
+            # rows that repeat an id and its text come one after another: the
+            # first stands for all
+            d1 = batch.column("d1").to_pylist()
+            fresh = [d != (d1[i - 1] if i else before) for i, d in enumerate(d1)]
+            before = d1[-1] if d1 else before
+            for part in slices(batch.filter(pa.array(fresh, pa.bool_()))):
                 sets = join.sets(part.column("text"))
-                # rows that repeat an id: the one whose set is the class's
+                # of different texts with one id and hash: the one whose set is the class's
                 mine = [i for i, (s, d) in enumerate(zip(sets, part.column("d1").to_pylist(), strict=True))
                         if _digest(s)[0] == d]
                 at = pa.array(mine, pa.int64())
@@ -364,8 +371,8 @@ def verified(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
                             "n": [len(sets[i]) for i in mine], "items": [sets[i].tobytes() for i in mine]}, types)
 
     # the members grow with the corpus: never broadcast
-    joined = (docs.join(members.hint("merge"), docs["doc_id"].eqNullSafe(members["member"]))
-              .select("text", "d1", "root"))
+    joined = (docs.join(members.hint("merge"), docs["doc_id"].eqNullSafe(members["member"])
+                        & (docs["th"] == members["mth"])).select("text", "d1", "root"))
     sets = materialise(joined.mapInArrow(run, "root long, d1 long, n long, items binary"), "sets")
     count = materialise(sets.groupBy("root").agg(F.count("*").alias("m"), F.min("d1").alias("pivot")), "set-counts",
                         narrow=True)
@@ -410,14 +417,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     join = Join(words, num, den)
-    docs = id_text(docs, id_col, text_col)
+    docs = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     seen = materialise(profile(docs, join), "profile")
     every = seen.where("kind = 0").select("doc", "n", "d1", "d2")
     common = (seen.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n"))
               .orderBy(F.desc("n"), "d1").limit(COMMON).select("d1"))
     table = np.sort(np.array([r[0] for r in common.collect()], dtype=np.int64).view(np.uint64))
 
-    rows = prefixes(docs, join, table)
+    rows = materialise(prefixes(docs, join, table), "prefixes")
     # shingles of one holder, or of two whose sizes cannot link, lead nowhere
     shared = (rows.groupBy("shingle")
               .agg(F.count("*").alias("holders"), F.min("n").alias("least"), F.max("n").alias("most"))
@@ -427,12 +434,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
         F.max("n").alias("n"), F.max("holders").alias("holders"))
     # one document and bitmap of each class
     classes = (seen.where("kind = 0 and n > 0").groupBy("d1")
-               .agg(F.min_by("bitmap", "doc").alias("b0"), F.min("doc").alias("member"),
-                    F.first("bitmap").alias("b1"))
-               .select("d1", "member", F.coalesce("b0", "b1").alias("bitmap")))
+               .agg(F.min_by("bitmap", "th").alias("bitmap"), F.min(F.struct("doc", "th")).alias("m"))
+               .select("d1", F.col("m.doc").alias("member"), F.col("m.th").alias("mth"), "bitmap"))
     classes = materialise(classes, "classes")
     near = candidates(classes.select("d1", "bitmap"), found, join)
-    members = classes.join(near, classes["d1"] == near["node"]).select("member", "d1", "root")
+    members = classes.join(near, classes["d1"] == near["node"]).select("member", "mth", "d1", "root")
     links = materialise(verified(docs, materialise(members, "members", narrow=True), join), "components", narrow=True)
 
     keyed = (every.join(links, every["d1"] == links["node"], "left")

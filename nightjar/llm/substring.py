@@ -86,10 +86,10 @@ def _ids(batch: pa.RecordBatch, col: str) -> np.ndarray:
     return batch.column(col).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-_INDEX = {"key": pa.int64(), "block": pa.int64(), "doc": pa.int64(), "pos": pa.int32(),
+_INDEX = {"key": pa.int64(), "block": pa.int64(), "doc": pa.int64(), "th": pa.int32(), "pos": pa.int32(),
           "tag": pa.int32(), "settled": pa.bool_(), "many": pa.bool_(), "rdoc": pa.int64(), "rpos": pa.int32(),
           "same": pa.bool_()}
-_REF = {"doc": pa.int64(), "pos": pa.int32(), "tag": pa.int32(), "rdoc": pa.int64(), "rpos": pa.int32(),
+_REF = {"doc": pa.int64(), "th": pa.int32(), "pos": pa.int32(), "tag": pa.int32(), "rdoc": pa.int64(), "rpos": pa.int32(),
         "same": pa.bool_()}
 
 
@@ -99,7 +99,7 @@ def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, pos, tag, rdoc, rpos, same): every anchor that occurs in more than one
+    """(doc, th, pos, tag, rdoc, rpos, same): every anchor that occurs in more than one
     document, with the corpus' first place of its phrase (null where this is
     it) and whether the whole block equals that place's block.  ``tag`` is a
     piece of the block's hash: of several rows with one id, an entry is for
@@ -111,16 +111,17 @@ def references(docs: DataFrame, window: int) -> DataFrame:
             for part in slices(batch):
                 p = Parsed(part.column("text"), window)
                 doc, pos = _ids(part, "doc")[p.doc], p.pos(p.at, p.doc)
+                th = part.column("th").to_numpy(zero_copy_only=False)[p.doc]
                 # an anchor phrase that a document repeats is the parser's own
                 # business; only its first place there is looked up
                 lead, _ = leaders([p.doc, p.key], [pos])
                 own = np.flatnonzero(lead == np.arange(len(lead)))
-                key, block, doc, pos = p.key[own], p.block[own], doc[own], pos[own]
+                key, block, doc, th, pos = p.key[own], p.block[own], doc[own], th[own], pos[own]
                 lead, size = leaders([key], [doc, pos])
                 settled = lead != np.arange(len(lead))
                 rdoc, rpos = doc[lead], pos[lead]
-                yield emit({"key": np.where(settled, _spread(doc, pos), key), "block": block, "doc": doc, "pos": pos,
-                            "tag": block.astype(np.int32), "settled": settled, "many": size > 1,
+                yield emit({"key": np.where(settled, _spread(doc, pos), key), "block": block, "doc": doc, "th": th,
+                            "pos": pos, "tag": block.astype(np.int32), "settled": settled, "many": size > 1,
                             "rdoc": pa.array(rdoc, mask=~settled), "rpos": pa.array(rpos, mask=~settled),
                             "same": settled & (block == block[lead]) & (rdoc < doc)}, _INDEX)
 
@@ -135,21 +136,21 @@ def references(docs: DataFrame, window: int) -> DataFrame:
                 continue
             begun = groups.front is not None
             c, lead, follower, second = groups.feed(
-                {k: open_.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", "doc", "pos", "many")})
+                {k: open_.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", "doc", "th", "pos", "many")})
             # the first of a group is reported with its first follower, or at
             # once where it had followers in its own slice
             first = np.unique(np.r_[lead[second], np.flatnonzero(~follower & c["many"])[int(begun and c["many"][0]):]])
             f = np.flatnonzero(follower)
             at, src = np.r_[first, f], np.r_[first, lead[f]]
             head = np.arange(len(at)) < len(first)
-            yield emit({"doc": c["doc"][at], "pos": c["pos"][at], "tag": c["block"][at].astype(np.int32),
+            yield emit({"doc": c["doc"][at], "th": c["th"][at], "pos": c["pos"][at], "tag": c["block"][at].astype(np.int32),
                         "rdoc": pa.array(c["doc"][src], mask=head), "rpos": pa.array(c["pos"][src], mask=head),
                         "same": ~head & (c["block"][at] == c["block"][src]) & (c["doc"][src] < c["doc"][at])}, _REF)
 
-    rows = docs.mapInArrow(scan, "key long, block long, doc long, pos int, tag int, settled boolean, many boolean, "
+    rows = docs.mapInArrow(scan, "key long, block long, doc long, th int, pos int, tag int, settled boolean, many boolean, "
                                  "rdoc long, rpos int, same boolean")
     return (rows.repartition("key").sortWithinPartitions("key", "doc", "pos")
-            .mapInArrow(settle, "doc long, pos int, tag int, rdoc long, rpos int, same boolean"))
+            .mapInArrow(settle, "doc long, th int, pos int, tag int, rdoc long, rpos int, same boolean"))
 
 
 class Factored(Parsed):
@@ -273,14 +274,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     outs = ["n_words", "n_removed", "factors"]
     docs = docs.drop(*outs)
     names = docs.columns
-    doc, refs_col, later_col = fresh(docs, "_doc", "_refs", "_later")
-    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    plain = keyed.select(F.col(doc).alias("doc"), F.col(text_col).alias("text"))
-    refs = (references(plain, window).groupBy(F.col("doc").alias(doc))
-            .agg(F.collect_list(F.struct("pos", "tag", "rdoc", "rpos", "same")).alias(refs_col)))
-    known = keyed.join(refs, doc, "left")
+    doc, th, refs_col, later_col = fresh(docs, "_doc", "_th", "_refs", "_later")
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), th: F.hash(text_col)})
+    plain = keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), F.col(text_col).alias("text"))
+    # sets: rows that repeat an id and its text bring the same entries
+    refs = (references(plain, window).groupBy(F.col("doc").alias(doc), F.col("th").alias(th))
+            .agg(F.collect_set(F.struct("pos", "tag", "rdoc", "rpos", "same")).alias(refs_col)))
+    known = keyed.join(refs, [doc, th], "left")
 
-    opened = {"key": pa.int64(), "key2": pa.int32(), "doc": pa.int64(), "pos": pa.int32(), "settled": pa.bool_()}
+    opened = {"key": pa.int64(), "key2": pa.int32(), "doc": pa.int64(), "th": pa.int32(), "pos": pa.int32(),
+              "settled": pa.bool_()}
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,31 +291,34 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 ids = _ids(part, doc)
                 f = Factored(part.column(text_col), window, ids, part.column(refs_col))
                 owner, pos = ids[f.open_doc], f.pos(f.open, f.open_doc)
+                own_th = part.column(th).to_numpy(zero_copy_only=False)[f.open_doc]
                 lead, _ = leaders([f.hash, f.hash2], [owner])
                 settled = owner[lead] < owner
                 yield emit({"key": np.where(settled, _spread(owner, pos), f.hash), "key2": f.hash2, "doc": owner,
-                            "pos": pos, "settled": settled}, opened)
+                            "th": own_th, "pos": pos, "settled": settled}, opened)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = GroupStream(["key", "key2"])
-        out = {"doc": pa.int64(), "pos": pa.int32(), "tag": pa.int32()}
+        out = {"doc": pa.int64(), "th": pa.int32(), "pos": pa.int32(), "tag": pa.int32()}
         for batch in batches:
             done = batch.filter(batch.column("settled"))
             if done.num_rows:
-                yield emit({"doc": done.column("doc"), "pos": done.column("pos"), "tag": done.column("key2")}, out)
+                yield emit({"doc": done.column("doc"), "th": done.column("th"), "pos": done.column("pos"),
+                            "tag": done.column("key2")}, out)
             open_ = batch.filter(pa.compute.invert(batch.column("settled")))
             if open_.num_rows:
                 c, lead, follower, _ = groups.feed(
-                    {k: open_.column(k).to_numpy(zero_copy_only=False) for k in ("key", "key2", "doc", "pos")})
+                    {k: open_.column(k).to_numpy(zero_copy_only=False) for k in ("key", "key2", "doc", "th", "pos")})
                 late = np.flatnonzero(follower & (c["doc"][lead] < c["doc"]))
-                yield emit({"doc": c["doc"][late], "pos": c["pos"][late], "tag": c["key2"][late]}, out)
+                yield emit({"doc": c["doc"][late], "th": c["th"][late], "pos": c["pos"][late], "tag": c["key2"][late]}, out)
 
     # all columns go in, so that both passes over ``known`` share one shuffle
-    later = (known.mapInArrow(boundaries, "key long, key2 int, doc long, pos int, settled boolean")
+    later = (known.mapInArrow(boundaries, "key long, key2 int, doc long, th int, pos int, settled boolean")
              .repartition("key").sortWithinPartitions("key", "key2", "doc")
-             .mapInArrow(settle, "doc long, pos int, tag int")
-             .groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("pos", "tag")).alias(later_col)))
-    both = known.join(later, doc, "left")
+             .mapInArrow(settle, "doc long, th int, pos int, tag int")
+             .groupBy(F.col("doc").alias(doc), F.col("th").alias(th))
+             .agg(F.collect_set(F.struct("pos", "tag")).alias(later_col)))
+    both = known.join(later, [doc, th], "left")
 
     factor = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()),
                         ("ref_start", pa.int32())])

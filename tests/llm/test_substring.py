@@ -1,7 +1,9 @@
+import random
 import re
 
 import pytest
 
+from nightjar.llm.first_seen import NULL_ID
 from nightjar.llm.substring import remove_repeats
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -75,3 +77,30 @@ def test_layout_is_kept(make_docs):
     rows = [(1, p), (2, f"head\n{p}\ntail  end")]
     out = {r.doc_id: r.text for r in remove_repeats(make_docs(rows)).collect()}
     assert out == {1: p, 2: "head\ntail  end"}
+
+
+def _third_null_third_one_id(n=3000):
+    """A third of the rows has no id, another third one id; texts repeat."""
+    rnd = random.Random(6)
+    shared = [" ".join(f"p{j}x{k}" for k in range(30)) for j in range(5)]
+    rows = []
+    for i in range(n):
+        own = " ".join(f"q{rnd.randint(0, 10**6)}" for _ in range(12))
+        text = own + " " + rnd.choice(shared) if i % 4 else rnd.choice(shared)
+        rows.append((None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, text))
+    return rows
+
+
+def test_many_rows_without_an_id_or_with_one_id(make_docs):
+    """Equal to brute force, and a row's entries are bounded by its own
+    length however many rows share its id."""
+    from pyspark.sql import functions as F
+
+    from nightjar.llm.substring import references
+    rows = _third_null_third_one_id()
+    docs = make_docs(rows)
+    assert got(remove_repeats(docs, 8, layout=False)) == brute(rows, 8)
+    plain = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("th"), "text")
+    most = (references(plain, 8).groupBy("doc", "th").agg(F.size(F.collect_set(F.struct("pos", "tag", "rdoc", "rpos", "same")))
+            .alias("n")).agg(F.max("n")).first()[0])
+    assert most <= 2 * max(len(t.split()) for _, t in rows)
