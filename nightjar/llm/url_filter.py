@@ -4,9 +4,12 @@ Block and allow rules label the URLs that they fit (the longest wins); trees
 trained on those labels judge the rest.  Features are lexical: lengths, path
 depth, digit ratio, entropy, parameter counts, and suffix statistics, the
 smoothed share of blocked labels per host suffix, host and first path segment
-over all labelled URLs.  Statistics are kept per hash bucket (``BUCKETS`` each),
-which bounds what is sent to the executors whatever the hosts; the trees are
-fitted on at most ``max_train`` labelled URLs, those with the least hash.
+over all labelled URLs.  Statistics are kept per hash bucket (``BUCKETS`` each,
+2 MB a statistic), which bounds what is sent to the executors whatever the
+hosts.  The trees are fitted on at most ``max_train`` distinct labelled URLs,
+those with the least hash, weighted by 1 + ln(rows); what they see of the
+statistics there is out of fold: counted over the URLs of the other ``FOLDS``
+- 1 folds, so that no URL's own label is among its features.
 
 Cases: a null url, or one without "://", has an empty host and path, fits no
 rule and is judged by the trees; without labels of both verdicts the trees
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from nightjar.llm.common import emit
 
-BUCKETS = 1024
+BUCKETS = 1 << 18
+FOLDS = 5
 STATISTICS = ("tld", "suffix", "host", "segment")
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,9 +117,11 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 40, depth: int = 3,
+          rate: float = 0.2, bins: int = 32) -> Trees:
     """Second-order boosting of the logistic loss on quantile histograms."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
     model = Trees(bias=float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return model
@@ -125,7 +131,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: f
     inner = 2 ** depth - 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
-        gradient, hessian = p - y, p * (1 - p)
+        gradient, hessian = weight * (p - y), weight * p * (1 - p)
         feature, bound = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), dtype=np.int64)
         for k in range(inner):
@@ -158,8 +164,7 @@ class UrlModel:
 
     def features(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
         places = _places(hosts, paths)
-        return np.column_stack([lexical(urls, hosts, paths), *(self.rates[k][places[:, k]]
-                                                               for k in range(len(STATISTICS)))])
+        return np.column_stack([lexical(urls, hosts, paths), self.rates[np.arange(len(STATISTICS)), places]])
 
     def block(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
         return self.trees.raw(self.features(urls, hosts, paths)) > 0
@@ -174,34 +179,51 @@ def parsed(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url
     return out.withColumns({"rule": rule, "label": label})
 
 
-def train(urls: DataFrame, max_train: int = 8_000) -> UrlModel:
+def _fold(urls: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(u.encode(), seed=1) % FOLDS for u in urls], dtype=np.int64)
+
+
+def _smoothed(blocked: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    return (blocked + 5 * prior) / (n + 5)
+
+
+def train(urls: DataFrame, max_train: int = 20_000) -> UrlModel:
     """Fit on the labelled rows of (url, host, path, label)."""
+    width = len(STATISTICS) * BUCKETS
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"place": pa.int32(), "n": pa.int64(), "blocked": pa.int64()}
-        n, blocked = (np.zeros(len(STATISTICS) * BUCKETS, dtype=np.int64) for _ in range(2))
+        types = {"fold": pa.int32(), "place": pa.int32(), "n": pa.int64(), "blocked": pa.int64()}
         for batch in batches:
             where = _places(batch.column("host").to_pylist(), batch.column("path").to_pylist())
             where = where + np.arange(len(STATISTICS)) * BUCKETS
             bad = np.array(batch.column("label").to_pylist()) == "block"
-            n += np.bincount(where.ravel(), minlength=len(n))
-            blocked += np.bincount(where[bad].ravel(), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield emit({"place": at.astype(np.int32), "n": n[at], "blocked": blocked[at]}, types)
-
-    labelled = urls.where("label is not null")
-    counted = (labelled.select("host", "path", "label").mapInArrow(tally, "place int, n long, blocked long")
-               .groupBy("place").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect())
-    n, blocked = (np.zeros(len(STATISTICS) * BUCKETS) for _ in range(2))
-    for r in counted:
-        n[r["place"]], blocked[r["place"]] = r["n"], r["blocked"]
-    total = n[:BUCKETS].sum()
-    prior = (blocked[:BUCKETS].sum() + 1) / (total + 2)
-    model = UrlModel(((blocked + 5 * prior) / (n + 5)).reshape(len(STATISTICS), BUCKETS), Trees())
-    rows = (labelled.select("url", "host", "path", "label")
-            .orderBy(F.xxhash64("url"), "url").limit(max_train).collect())
+            where += (_fold(batch.column("url").to_pylist()) * width)[:, None]
+            at, back, n = np.unique(where.ravel(), return_inverse=True, return_counts=True)
+            blocked = np.bincount(back, np.repeat(bad, len(STATISTICS)), len(at)).astype(np.int64)
+            yield emit({"fold": (at // width).astype(np.int32), "place": (at % width).astype(np.int32), "n": n,
+                        "blocked": blocked}, types)
+
+    labelled = urls.where("label is not null").select("url", "host", "path", "label")
+    # at most FOLDS x statistics x BUCKETS rows of four numbers
+    counted = (labelled.mapInArrow(tally, "fold int, place int, n long, blocked long")
+               .groupBy("fold", "place").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).toArrow())
+    fold, place = (counted.column(c).to_numpy().astype(np.int64) for c in ("fold", "place"))
+    n, blocked = (np.zeros((FOLDS, width)) for _ in range(2))
+    n[fold, place], blocked[fold, place] = counted.column("n").to_numpy(), counted.column("blocked").to_numpy()
+    first = slice(0, BUCKETS)  # every labelled row is in one bucket of the first statistic
+    prior = (blocked[:, first].sum() + 1) / (n[:, first].sum() + 2)
+    every_n, every_blocked = n.sum(axis=0), blocked.sum(axis=0)
+    model = UrlModel(_smoothed(every_blocked, every_n, prior).reshape(len(STATISTICS), BUCKETS), Trees())
+    rows = (labelled.groupBy("url", "host", "path", "label").agg(F.count("*").alias("rows"))
+            .orderBy(F.xxhash64("url"), "url", "label").limit(max_train).collect())
     if rows:
-        x = model.features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows])
-        model.trees = boost(x, np.array([float(r["label"] == "block") for r in rows]))
+        texts = [[r[c] for r in rows] for c in ("url", "host", "path")]
+        at = _places(*texts[1:]) + np.arange(len(STATISTICS)) * BUCKETS
+        own = _fold(texts[0])[:, None]
+        outside = _smoothed(every_blocked[at] - blocked[own, at], every_n[at] - n[own, at], prior)
+        model.trees = boost(np.column_stack([lexical(*texts), outside]),
+                            np.array([float(r["label"] == "block") for r in rows]),
+                            1 + np.log([r["rows"] for r in rows]))
     else:
         model.trees.bias = -1.0
     return model

@@ -62,6 +62,33 @@ def test_trees_learn_labels_of_unseen_urls(spark):
     assert len(hidden) > 300 and np.mean([want[r.url] == r.verdict for r in hidden]) > 0.97
 
 
+def test_unseen_hosts_whose_label_is_not_in_the_top_level_domain(spark):
+    """Every host is new and all share a top-level domain: the verdict can
+    come from the words of the URL alone, and a host's own label, which its
+    statistic would give away in training, must not mislead the trees."""
+    rnd, rows = random.Random(5), []
+    for i in range(3000):
+        bad = rnd.random() < 0.5
+        host = "".join(rnd.choice("abcdefghij") for _ in range(9)) + f"{i}.com"
+        path = f"/{rnd.randint(10**6, 10**8)}/x?a=1&b=2&c=3" if bad else f"/{rnd.choice(['about', 'team', 'news'])}/page"
+        rows.append((f"http://{host}{path}", host, path.split("?")[0], "block" if bad else "allow"))
+    df = spark.createDataFrame(rows, "url string, host string, path string, label string")
+    model = train(df.limit(2000))
+    held = rows[2000:]
+    got = model.block(*([r[k] for r in held] for k in range(3)))
+    assert np.mean([g == (r[3] == "block") for g, r in zip(got, held)]) > 0.97
+
+
+def test_copies_of_a_url_are_one_sample(spark):
+    """A URL that holds most rows does not push the others out of the sample."""
+    rows = [("http://a.com/x", "a.com", "/x", "allow")] * 500
+    rows += [(f"http://h{i}.com/9{i}?q=1&r=2", f"h{i}.com", f"/9{i}", "block") for i in range(60)]
+    rows += [(f"http://g{i}.com/word", f"g{i}.com", "/word", "allow") for i in range(60)]
+    model = train(spark.createDataFrame(rows, "url string, host string, path string, label string"), max_train=121)
+    new = [(f"http://n{i}.com/9{i}?q=1&r=2", f"n{i}.com", f"/9{i}") for i in range(20)]
+    assert model.block(*([r[k] for r in new] for k in range(3))).mean() > 0.9
+
+
 def test_boosting_fits_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
