@@ -7,14 +7,17 @@ are written by Spark's text writer with the record separator as line end, so
 a lost task is written again and commits once; archives are gzip files of at
 most ``RECORDS`` records below the shared folder.
 
-*Reading.*  Each archive is one row of Spark's binary file source, and is
-parsed by content length as it is unpacked.
+*Reading.*  Spark's text source unpacks an archive as a stream, cut where the
+separator occurs; the pieces are put together again by content length, as
+payloads may hold separators themselves.  A task holds one record, not an
+archive, so an archive may be of any size.
 
 *Index.*  An archive's captures, sorted by URL key, time and id, are a run.
 Runs are dealt by ranges of that order, so that each task merges the pieces of
 all runs that fall into its range, with a loser tree; ranges follow one
 another, hence the whole is ordered.  A URL with very many captures spreads
-over ranges by time.
+over ranges by time.  A merge holds its range as it came over the network
+(index entries, no payloads) and a batch of each run as rows.
 
 Cases: a null payload is empty; a null url gives a record without a target
 and an empty URL key; control characters in a url are percent-encoded; null
@@ -25,10 +28,12 @@ one payload each is a response; an empty table gives an empty archive.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +42,8 @@ from nightjar.llm.common import emit, materialise, work_folder
 
 #: Records of one archive.
 RECORDS = 2000
+#: Index entries of a run that a merge has as rows, and entries it emits at once.
+MERGE_BATCH = 2048
 END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 20
@@ -90,24 +97,31 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.lower().split('.')))})/{rest}" if host else ""
 
 
-class _Unpacked:
-    """Reads from gzip bytes (one or more members) a stretch at a time."""
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip bytes (one or more members), a stretch at a time."""
+    at, unzip = 0, zlib.decompressobj(31)
+    while at < len(data):
+        part = unzip.decompress(data[at:at + _CHUNK])
+        at += min(_CHUNK, len(data) - at)
+        if unzip.eof:
+            at -= len(unzip.unused_data)
+            unzip = zlib.decompressobj(31)
+        if part:
+            yield part
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.unzip = data, 0, zlib.decompressobj(31)
-        self.buffer, self.offset = b"", 0
+
+class _Stream:
+    """Reads from stretches of bytes by length or up to a mark."""
+
+    def __init__(self, stretches: Iterator[bytes]):
+        self.stretches, self.buffer, self.offset = stretches, b"", 0
 
     def _more(self) -> bool:
-        while self.at < len(self.data):
-            part = self.unzip.decompress(self.data[self.at:self.at + _CHUNK])
-            self.at += min(_CHUNK, len(self.data) - self.at)
-            if self.unzip.eof:
-                self.at -= len(self.unzip.unused_data)
-                self.unzip = zlib.decompressobj(31)
-            if part:
-                self.buffer += part
-                return True
-        return False
+        part = next(self.stretches, None)
+        if part is None:
+            return False
+        self.buffer += part
+        return True
 
     def until(self, mark: bytes) -> bytes | None:
         start = 0
@@ -142,12 +156,14 @@ def _headers(block: bytes) -> dict[str, str]:
 _URN = re.compile(r"<urn:page:(-?\d+)>")
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
+def parse_archive(stretches: Iterator[bytes]) -> Iterator[dict]:
     """Captures of one archive in file order, payload digests recomputed."""
-    source = _Unpacked(data)
+    source = _Stream(stretches)
     while True:
         offset = source.offset
         head = source.until(b"\r\n\r\n")
+        if head == END.encode() and source.until(b"WARC/") is None:
+            return  # the text source may add an empty piece at the end of a file
         if head is None:
             return
         h = _headers(head)
@@ -177,17 +193,26 @@ def _order(c: dict) -> tuple:
     return c["urlkey"], c["captured"], c["page_id"] is not None, c["page_id"] or 0, c["run"], c["offset"]
 
 
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """(path, contents) of the archives that a task reads one after another."""
+    pieces = (row for batch in batches for row in zip(batch.column("path").to_pylist(), batch.column("piece"),
+                                                      strict=True))
+    for path, own in itertools.groupby(pieces, key=lambda row: row[0]):
+        yield path, (piece.as_buffer().to_pybytes() + END.encode() for _, piece in own)
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of every archive, sorted within their archive."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = [c | {"run": name} for c in parse_archive(data.as_py())]
-                rows.sort(key=_order)
-                yield emit({k: [r[k] for r in rows] for k in _INDEX}, _INDEX)
+        for name, stretches in _archives(batches):
+            rows = [c | {"run": name} for c in parse_archive(stretches)]
+            rows.sort(key=_order)
+            yield emit({k: [r[k] for r in rows] for k in _INDEX}, _INDEX)
 
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content"))
-    return files.mapInArrow(run, _SCHEMA)
+    # gzip is not split: a task reads whole files, each from its beginning
+    pieces = (spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+              .select(F.col("_metadata.file_path").alias("path"), F.encode("value", "UTF-8").alias("piece")))
+    return pieces.mapInArrow(run, _SCHEMA)
 
 
 class LoserTree:
@@ -225,6 +250,23 @@ class LoserTree:
             self.winner = w
 
 
+def _run_pieces(rows: pa.Table, size: int | None = None) -> list[Iterator[tuple]]:
+    """One iterator per run of rows sorted by run: each turns a batch of its
+    piece into tuples at a time."""
+    if not len(rows):
+        return []
+    codes = rows.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+    edges = np.r_[0, np.flatnonzero(np.diff(codes)) + 1, len(rows)].tolist()
+
+    def piece(a: int, b: int) -> Iterator[tuple]:
+        for start in range(a, b, size or MERGE_BATCH):
+            part = rows.slice(start, min(size or MERGE_BATCH, b - start))
+            names = [part.column(c).to_pylist() for c in ("urlkey", "captured", "page_id", "run", "offset")]
+            for i, (key, date, page, name, offset) in enumerate(zip(*names, strict=True), start):
+                yield key, date, page is not None, page or 0, name, offset, i
+    return [piece(a, b) for a, b in zip(edges, edges[1:])]
+
+
 def merged(captures: DataFrame) -> DataFrame:
     """The captures in the global order of (URL key, time, id); the result's
     partitions are consecutive ranges, and ``at`` numbers a task's rows."""
@@ -233,15 +275,10 @@ def merged(captures: DataFrame) -> DataFrame:
              .sortWithinPartitions("run", "urlkey", "captured", F.col("page_id").asc_nulls_first(), "offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the pieces of the runs in this range, each in order already
-        pieces: dict[str, list[tuple]] = {}
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema(list(_INDEX.items())))
-        names = [rows.column(c).to_pylist() for c in ("urlkey", "captured", "page_id", "run", "offset")]
-        for i, (key, date, page, name, offset) in enumerate(zip(*names, strict=True)):
-            pieces.setdefault(name, []).append((key, date, page is not None, page or 0, name, offset, i))
-        order = pa.array([c[-1] for c in LoserTree([iter(p) for p in pieces.values()])], type=pa.int64())
-        for batch in rows.take(order).to_batches(max_chunksize=10_000):
-            yield batch
+        rows = pa.Table.from_batches(list(batches), schema=pa.schema(list(_INDEX.items()))).combine_chunks()
+        winners = iter(LoserTree(_run_pieces(rows)))
+        while chosen := list(itertools.islice(winners, MERGE_BATCH)):
+            yield from rows.take(pa.array([c[-1] for c in chosen], type=pa.int64())).to_batches()
 
     return dealt.mapInArrow(run, _SCHEMA)
 

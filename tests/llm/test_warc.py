@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from nightjar.llm.common import work_folder
-from nightjar.llm.warc import LoserTree, capture_index, parse_archive, runs, url_key, write_archives
+import nightjar.llm.warc as W
+from nightjar.llm.warc import LoserTree, capture_index, parse_archive, runs, unpacked, url_key, write_archives
 
 
 def frame(spark, rows):
@@ -56,7 +57,7 @@ def test_archives_are_gzip_and_hold_the_payloads(spark):
     assert len(files) == 1
     data = open(os.path.join(path.removeprefix("file:"), files[0]), "rb").read()
     text = gzip.decompress(data)
-    captures = list(parse_archive(data))
+    captures = list(parse_archive(unpacked(data)))
     assert len(captures) == len(rows)
     for c in captures:
         record = text[c["offset"]:c["offset"] + c["length"]]
@@ -88,3 +89,31 @@ def test_loser_tree():
 def test_url_key():
     assert url_key("http://WWW.Example.com/a?b") == "com,example,www)/a?b"
     assert url_key("") == "" == url_key("none")
+
+
+def test_payloads_full_of_separators_and_small_batches(spark, monkeypatch):
+    """Pieces are cut at separators that belong to payloads; more runs than a
+    merge has rows of, and records larger than any batch."""
+    monkeypatch.setattr(W, "RECORDS", 3)
+    monkeypatch.setattr(W, "MERGE_BATCH", 2)
+    rnd = random.Random(3)
+    parts = ["\r\n", "\r\n\r\n", "\n", "\r", "WARC/1.1\r\n", "x", "é" * 500, ""]
+    rows = [(i, f"http://{'abc'[i % 3]}.com/", "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))))
+            for i in range(80)] + [(200 + i, "http://big/", "\r\n\r\n" * 200_000 + str(i)) for i in range(4)]
+    df = frame(spark, rows).repartition(4)
+    path = work_folder(spark, "warc-small")
+    write_archives(df, path)
+    files = [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".gz")]
+    assert len(files) >= 84 // 3
+    assert got(capture_index(df)) == brute(rows)
+    keys = [(r.urlkey, r.captured, r.page_id) for r in W.merged(runs(spark, path).coalesce(1)).collect()]
+    assert len(keys) == len(rows)
+
+
+def test_merge_holds_one_batch_of_each_run():
+    import pyarrow as pa
+    rows = pa.table({"urlkey": [f"{i % 50:03d}" for i in range(100)], "captured": ["t"] * 100, "page_id": range(100),
+                     "run": ["a"] * 50 + ["b"] * 50, "offset": range(100)})
+    pieces = W._run_pieces(rows, size=7)
+    assert len(pieces) == 2 and [c[-1] for c in LoserTree(pieces)] == [x for i in range(50) for x in (i, i + 50)]
+    assert W._run_pieces(rows.slice(0, 0)) == []
