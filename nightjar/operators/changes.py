@@ -11,6 +11,7 @@ absent = keep, null = clear, value = set.  Folding patches per entity uses
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +37,8 @@ def _as_of(as_of) -> Column:
 
 # Target name of an entity in audit actions and notifications.
 SINGULAR = {"alerts": "alert", "incidents": "incident", "vulnerabilities": "vulnerability", "iocs": "ioc",
-            "assets": "asset", "users": "user", "ingestion_sources": "ingestion_source"}
+            "assets": "asset", "users": "user", "ingestion_sources": "ingestion_source",
+            "threat_actors": "threat_actor", "mitre_techniques": "mitre_technique"}
 
 
 # --------------------------------------------------------------------------
@@ -52,12 +54,20 @@ def reject_existing(incoming: DataFrame, existing: DataFrame, keys: Sequence[str
     """J-9: (new, conflicts).  The first request per key of the batch (by
     ``order_col``, else by a hash of the row) is new unless the key exists
     already; every other row of the batch is a conflict, never an upsert."""
-    order = F.col(order_col) if order_col else F.xxhash64(*[F.col(c) for c in incoming.columns])
-    tagged = incoming.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
-    rows = tagged.join(known, list(keys), "left")
-    new = (F.col("_nth") == 1) & F.col("_known").isNull()
-    return rows.where(new).select(*incoming.columns), rows.where(~new).select(*incoming.columns)
+    # rows that agree in everything are numbered by place, so that one of them is first
+    place = F.struct(*([F.col(order_col)] if order_col else []), F.xxhash64(*[F.col(c) for c in incoming.columns]))
+    tagged = incoming.withColumn("_place", place)
+    # one row per key (combined map-side), so a key with many requests is no task's own
+    first = tagged.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    fresh = (first.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+             .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first"))
+    same = functools.reduce(Column.__and__, [tagged[k].eqNullSafe(fresh[f"_k_{k}"]) for k in keys])
+    joined = tagged.join(fresh, same & (tagged["_place"] == fresh["_first"]), "left")
+    copies = F.row_number().over(Window.partitionBy("_first", *keys).orderBy(F.lit(0)))
+    firsts = joined.where(F.col("_first").isNotNull()).withColumn("_nth", copies)
+    late = joined.where(F.col("_first").isNull())
+    return (firsts.where("_nth = 1").select(*incoming.columns),
+            firsts.where("_nth > 1").select(*incoming.columns).unionByName(late.select(*incoming.columns)))
 
 
 def fit(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -422,12 +432,14 @@ def open_incidents(incidents: DataFrame, alerts: DataFrame, timeline: DataFrame,
     """M-4: each request opens an incident (defaults applied), seeds a
     timeline note "Incident opened" and links its listed alerts (unknown
     alert ids are ignored; an alert listed twice goes to the newest request).
-    ``requests``: request_id, title, severity, status, assigned_to_id,
-    author_id, alert_ids, ts."""
+    ``requests``: request_id, title, [description], severity, status,
+    assigned_to_id, author_id, alert_ids, ts."""
     ts = F.coalesce(F.col("ts"), _as_of(as_of)) if "ts" in requests.columns else _as_of(as_of)
     req = requests.withColumn("_id", stable_id(F.lit("incident"), F.col("request_id"))).withColumn("_ts", ts)
     created = apply_creates(
-        req.select(F.col("_id").alias("id"), "title", "severity",
+        req.select(F.col("_id").alias("id"), "title",
+                   (F.col("description") if "description" in req.columns else F.lit(None).cast("string"))
+                   .alias("description"), "severity",
                    (F.col("status") if "status" in req.columns else F.lit(None).cast("string")).alias("status"),
                    "assigned_to_id", F.col("_ts").alias("created_at"), F.col("_ts").alias("updated_at")),
         "incidents", as_of).withColumn("closed_at", F.lit(None).cast("timestamp_ntz"))
@@ -512,26 +524,48 @@ def deletion_audit(deleted: DataFrame, entity: str, as_of) -> DataFrame:
     return derive_audit(d, entity, "deleted")
 
 
+def delete_entities(tables: Mapping[str, DataFrame], entity: str, deleted: DataFrame) -> dict[str, DataFrame]:
+    """M-8 for any entity: the rows go, and every foreign key that points at
+    them is walked in the catalogue's order (``schemas.FOREIGN_KEYS``): its
+    children go too, with what points at *them*, or lose the reference.
+    ``tables`` holds the tables to change; one that is absent is left alone.
+    Returns the tables that change, new."""
+    out = dict(tables)
+    if entity in out:
+        out[entity] = out[entity].join(deleted.select("id"), "id", "left_anti")
+    touched, queue = {entity}, [(entity, deleted.select("id"))]
+    while queue:
+        parent, gone = queue.pop(0)
+        for child, column, target, action in schemas.FOREIGN_KEYS:
+            if target != parent or child not in out:
+                continue
+            touched.add(child)
+            if action == "set null":
+                out[child] = set_null_on_delete(out[child], column, gone)
+                continue
+            if any(t == child for _, _, t, _ in schemas.FOREIGN_KEYS):
+                queue.append((child, out[child].join(gone.select(F.col("id").alias(column)), column, "left_semi")
+                              .select("id")))
+            out[child] = cascade_delete(out[child], column, gone)
+    return {t: out[t] for t in out if t in touched}
+
+
 def delete_alerts(alerts: DataFrame, mappings: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for alerts: rows removed, their mappings cascade."""
-    return {"alerts": alerts.join(deleted.select("id"), "id", "left_anti"),
-            "alert_mitre_mappings": cascade_delete(mappings, "alert_id", deleted)}
+    return delete_entities({"alerts": alerts, "alert_mitre_mappings": mappings}, "alerts", deleted)
 
 
 def delete_incidents(incidents: DataFrame, alerts: DataFrame, timeline: DataFrame,
                      deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for incidents: timeline cascades, alerts lose the link."""
-    return {"incidents": incidents.join(deleted.select("id"), "id", "left_anti"),
-            "incident_timeline_events": cascade_delete(timeline, "incident_id", deleted),
-            "alerts": set_null_on_delete(alerts, "incident_id", deleted)}
+    return delete_entities({"incidents": incidents, "incident_timeline_events": timeline, "alerts": alerts},
+                           "incidents", deleted)
 
 
 def delete_assets(assets: DataFrame, alerts: DataFrame, vulnerabilities: DataFrame,
                   deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for assets: alerts and vulnerabilities lose the link."""
-    return {"assets": assets.join(deleted.select("id"), "id", "left_anti"),
-            "alerts": set_null_on_delete(alerts, "asset_id", deleted),
-            "vulnerabilities": set_null_on_delete(vulnerabilities, "asset_id", deleted)}
+    return delete_entities({"assets": assets, "alerts": alerts, "vulnerabilities": vulnerabilities}, "assets", deleted)
 
 
 def delete_users(users: DataFrame, alerts: DataFrame, incidents: DataFrame, notifications: DataFrame,
@@ -539,33 +573,28 @@ def delete_users(users: DataFrame, alerts: DataFrame, incidents: DataFrame, noti
                  ) -> dict[str, DataFrame]:
     """M-8 for users: notifications cascade; assignees, audit actors and (when
     given) timeline authors are cleared."""
-    extra = {} if timeline is None else {
-        "incident_timeline_events": set_null_on_delete(timeline, "author_id", deleted)}
-    return extra | {"users": users.join(deleted.select("id"), "id", "left_anti"),
-                    "notifications": cascade_delete(notifications, "user_id", deleted),
-                    "alerts": set_null_on_delete(alerts, "assigned_to_id", deleted),
-                    "incidents": set_null_on_delete(incidents, "assigned_to_id", deleted),
-                    "audit_logs": set_null_on_delete(audit_logs, "actor_id", deleted)}
+    tables = {"users": users, "notifications": notifications, "alerts": alerts, "incidents": incidents,
+              "audit_logs": audit_logs}
+    return delete_entities(tables if timeline is None else tables | {"incident_timeline_events": timeline}, "users",
+                           deleted)
 
 
 def delete_threat_actors(threat_actors: DataFrame, iocs: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for threat actors: indicators lose the actor."""
-    return {"threat_actors": threat_actors.join(deleted.select("id"), "id", "left_anti"),
-            "iocs": set_null_on_delete(iocs, "threat_actor_id", deleted)}
+    return delete_entities({"threat_actors": threat_actors, "iocs": iocs}, "threat_actors", deleted)
 
 
 def delete_techniques(techniques: DataFrame, mappings: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for techniques: alert mappings cascade."""
-    return {"mitre_techniques": techniques.join(deleted.select("id"), "id", "left_anti"),
-            "alert_mitre_mappings": cascade_delete(mappings, "mitre_technique_id", deleted)}
+    return delete_entities({"mitre_techniques": techniques, "alert_mitre_mappings": mappings}, "mitre_techniques",
+                           deleted)
 
 
 def delete_sources(sources: DataFrame, raw_events: DataFrame, alerts: DataFrame,
                    deleted: DataFrame) -> dict[str, DataFrame]:
     """M-8 for ingestion sources: raw events cascade, alerts lose the source."""
-    return {"ingestion_sources": sources.join(deleted.select("id"), "id", "left_anti"),
-            "raw_events": cascade_delete(raw_events, "ingestion_source_id", deleted),
-            "alerts": set_null_on_delete(alerts, "ingestion_source_id", deleted)}
+    return delete_entities({"ingestion_sources": sources, "raw_events": raw_events, "alerts": alerts},
+                           "ingestion_sources", deleted)
 
 
 # --------------------------------------------------------------------------

@@ -198,9 +198,10 @@ def hunt_raw_events(raw_events: DataFrame, ingestion_source_id=None, source_ip:
 
 def audit_view(audit_logs: DataFrame, users: DataFrame) -> DataFrame:
     """P-4 + J-10: actor e-mail or ``system``; target ``type:first 8 chars`` or
-    ``—``; ip or ``—``.  Users are folded to (id, email) before the join."""
+    ``—``; ip or ``—``.  Users are folded to (id, email) before the join, and
+    rows without an actor are dealt over partitions."""
     u = users.select(F.col("id").alias("actor_id"), F.col("email").alias("_email"))
-    j = audit_logs.join(u, "actor_id", "left")
+    j = left_lookup(audit_logs, u, "actor_id")
     return j.select(
         "id", "action",
         F.coalesce("_email", F.lit("system")).alias("actor"),

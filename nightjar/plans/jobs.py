@@ -52,34 +52,58 @@ def analytics_job(spark: SparkSession, warehouse: str, out: str, as_of: dt.datet
 
 
 def incident_changes_job(spark: SparkSession, warehouse: str, changes: DataFrame, batch_id: str) -> dict[str, object]:
-    """Apply one batch of incident patches (M-5).
-
-    The first thing written is the batch's plan: which ``incidents`` version
-    it reads and which one it makes.  A retried batch finds its plan and starts
-    from the same version, so every output is derived from the same input.
-    Timeline, notification, audit and rejected rows go to
-    ``<table>/batch=<batch_id>`` (overwritten by a retry); the new version is
-    committed last, and is not written again once it is there."""
+    """Apply one batch of incident patches (M-5): timeline, notification, audit
+    and rejected rows go to ``<table>/batch=<batch_id>``, and the new version
+    of the incidents is committed last (``snapshots.write_batch``)."""
     from nightjar.operators.changes import patch_incidents
-    from nightjar.sinks.snapshots import read_latest, versions, write_version
+    from nightjar.sinks.snapshots import write_batch
     apply_core_conf(spark)
-    root = warehouse.rstrip("/")
-    table, plan_path = f"{root}/incidents", f"{root}/incident_batches/batch={batch_id}"
-    if versions(spark, f"{root}/incident_batches/batch={batch_id}"):
-        plan = read_latest(spark, plan_path).first()
-    else:
-        used = versions(spark, table, committed_only=False)
-        source = versions(spark, table)[-1]
-        plan = spark.createDataFrame([(source, used[-1] + 1)], "source long, target long")
-        write_version(plan, plan_path, 0)
-        plan = plan.first()
-    current = read_latest(spark, table, plan["source"])
-    out = patch_incidents(current, changes.persist())
-    for name, rows in (("timeline", "incident_timeline_events"), ("notifications", "notifications"),
-                       ("audit", "audit_logs"), ("unknown", "rejected_incident_patches")):
-        if out.get(name) is not None:
-            out[name].write.mode("overwrite").parquet(f"{root}/{rows}/batch={batch_id}")
-    if plan["target"] not in versions(spark, table):
-        write_version(out["snapshot"], table, plan["target"], overwrite=True)
-    changes.unpersist()
-    return {"incidents_version": plan["target"]}
+
+    def change(old):
+        out = patch_incidents(old["incidents"], changes.persist())
+        logs = {"incident_timeline_events": "timeline", "notifications": "notifications", "audit_logs": "audit",
+                "rejected_incident_patches": "unknown"}
+        return {"incidents": out["snapshot"]}, {t: out[k] for t, k in logs.items() if out.get(k) is not None}
+    try:
+        return {"incidents_version": write_batch(spark, warehouse, batch_id, ["incidents"], change)["incidents"]}
+    finally:
+        changes.unpersist()
+
+
+def open_incidents_job(spark: SparkSession, warehouse: str, requests: DataFrame, batch_id: str,
+                       as_of: dt.datetime | str) -> dict[str, int]:
+    """M-4 as one transaction: the new incidents, their seed notes and the
+    linked alerts become visible together; audit rows and feed messages go to
+    ``<log>/batch=<batch_id>``.  Returns the committed versions."""
+    from nightjar.operators.changes import open_incidents
+    from nightjar.sinks.snapshots import write_batch
+    apply_core_conf(spark)
+
+    def change(old):
+        out = open_incidents(old["incidents"], old["alerts"], old["incident_timeline_events"], requests, as_of)
+        return ({"incidents": out["incidents"], "alerts": out["alerts"], "incident_timeline_events": out["timeline"]},
+                {"audit_logs": out["audit"], "feed": out["feed"]})
+    return write_batch(spark, warehouse, batch_id, ["incidents", "alerts", "incident_timeline_events"], change)
+
+
+def delete_job(spark: SparkSession, warehouse: str, entity: str, deleted: DataFrame, batch_id: str,
+               as_of: dt.datetime | str) -> dict[str, int]:
+    """M-8 as one transaction: the rows of ``entity`` with the ids in
+    ``deleted`` go, and every table that refers to them changes with them."""
+    from nightjar import schemas
+    from nightjar.operators.changes import SINGULAR, delete_entities, deletion_audit
+    from nightjar.sinks.snapshots import versions, write_batch
+    apply_core_conf(spark)
+    tables, queue = [entity], [entity]
+    while queue:
+        parent = queue.pop()
+        for child, _, target, action in schemas.FOREIGN_KEYS:
+            if target == parent and child not in tables and versions(spark, f"{warehouse.rstrip('/')}/{child}"):
+                tables.append(child)
+                queue += [child] if action == "cascade" else []
+
+    def change(old):
+        known = deleted.join(old[entity].select("id"), "id", "left_semi")
+        return (delete_entities(old, entity, deleted),
+                {"deletion_audit": deletion_audit(known, SINGULAR[entity], as_of)})
+    return write_batch(spark, warehouse, batch_id, tables, change)

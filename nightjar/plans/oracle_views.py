@@ -177,38 +177,37 @@ SELECT concat(vid, '#0') AS change_id, vid AS entity_id, l_shipdate + INTERVAL 1
 UNION ALL
 SELECT concat(vid, '#1'), vid, l_shipdate + INTERVAL 20 DAY, 'remediated' FROM v
 UNION ALL
-SELECT concat(vid, '#x'), concat(vid, '-x'), l_shipdate + INTERVAL 5 DAY, 'remediated' FROM v WHERE l_partkey % 49 = 0"""),
-    "v": ([], "SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS vid FROM lineitem "
-              "WHERE l_partkey % 7 = 0"),
+SELECT concat(vid, '#x'), concat(vid, '-x'), l_shipdate + INTERVAL 5 DAY, 'remediated' FROM v WHERE l_returnflag = 'A'"""),
+    "v": ([], "SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS vid FROM lineitem"),
     "ioc_incoming": ([], f"""
 SELECT page_id * 10 AS incoming_id, 'domain' AS type, regexp_extract(url, '^https?://([^/]+)', 1) AS value,
-       CAST(NULL AS VARCHAR) AS severity FROM pages WHERE page_id % 3 = 0
+       CAST(NULL AS VARCHAR) AS severity FROM pages
 UNION ALL
-SELECT page_id * 10 + 1, 'url', concat(url, '#v2'), CAST(NULL AS VARCHAR) FROM pages WHERE page_id % 5 = 0
+SELECT page_id * 10 + 1, 'url', concat(url, '#v2'), CAST(NULL AS VARCHAR) FROM pages
 UNION ALL
-SELECT page_id * 10 + 2, 'ip', concat('203.0.113.', page_id % 50), {SEV}[page_id % 5 + 1] FROM pages
-WHERE page_id % 2 = 0"""),
+SELECT page_id * 10 + 2, 'ip', concat('203.0.113.', page_id % 50), {SEV}[page_id % 5 + 1] FROM pages"""),
     "ioc_patches": ([], """
 SELECT page_id AS change_id, concat('url:', url) AS entity_id, TIMESTAMP '2024-02-01 00:00:00' + to_hours(page_id) AS ts,
-       CASE WHEN page_id % 8 = 0 THEN 'critical' END AS severity FROM pages WHERE page_id % 4 = 0"""),
+       CASE WHEN page_id % 8 = 0 THEN 'critical' END AS severity FROM pages"""),
     "mapping_patches": ([], """
 SELECT event_id AS change_id, event_id AS entity_id, ts,
        CASE WHEN event_id % 3 = 0 THEN CAST([] AS VARCHAR[]) WHEN event_id % 3 = 1 THEN ['T1078', 'T1059'] END
            AS mitre_technique_ids
-FROM events WHERE event_id % 13 = 0
+FROM events
 UNION ALL
-SELECT event_id + 1000000000, event_id, ts + INTERVAL 1 HOUR, ['T1566'] FROM events WHERE event_id % 26 = 0"""),
+SELECT event_id + 1000000000, event_id, ts + INTERVAL 1 HOUR, ['T1566'] FROM events WHERE event_type = 'error'"""),
     "incident_requests": ([], f"""
-SELECT event_id AS request_id, concat('Case ', event_id) AS title, {_case('event_type', V.EVENT_SEVERITY, 'info')}
+SELECT event_id AS request_id, concat('Case ', event_id) AS title,
+       CASE WHEN value >= 10 THEN concat('Opened after ', event_type) END AS description, {_case('event_type', V.EVENT_SEVERITY, 'info')}
        AS severity, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS assigned_to_id,
        user_id % (SELECT count(*) FROM supplier) AS author_id, [event_id + 1, event_id + 2, event_id + 98, event_id + 100000000] AS alert_ids, ts
-FROM events WHERE event_id % 97 = 0"""),
+FROM events WHERE event_type = 'error'"""),
     "source_toggles": ([], """
-SELECT event_id AS change_id, CAST((event_id // 1000) % 7 + 1 AS BIGINT) AS entity_id, ts,
-       (event_id // 1000) % 2 = 0 AS is_active FROM events WHERE event_id % 1000 = 0"""),
+SELECT event_id AS change_id, CAST(event_id % 7 + 1 AS BIGINT) AS entity_id, ts,
+       value < 50 AS is_active FROM events WHERE event_type = 'signup'"""),
     "timeline_notes": ([], """
 SELECT event_id AS note_id, (event_id % greatest((SELECT count(*) FROM events) // 45, 1)) * 50 AS incident_id, user_id % (SELECT count(*) FROM supplier) AS author_id,
-       concat('Note ', event_id) AS message, ts FROM events WHERE event_id % 37 = 0"""),
+       concat('Note ', event_id) AS message, ts FROM events WHERE event_type = 'click'"""),
     "alert_creates": ([], f"""
 SELECT event_id AS id,
        CASE WHEN event_id % 90 = 0 THEN '' WHEN event_id % 45 = 0 THEN repeat('x', 201)
@@ -217,7 +216,7 @@ SELECT event_id AS id,
        CASE WHEN event_type = 'view' THEN 'informational' WHEN event_type = 'click' THEN NULL
             ELSE {_case('event_type', V.EVENT_SEVERITY, None)} END AS severity,
        CAST(NULL AS VARCHAR) AS status, CASE WHEN event_id % 2 = 0 THEN ts END AS created_at
-FROM events WHERE event_id % 9 = 0"""),
+FROM events"""),
     "alert_changes": ([], f"""
 SELECT event_id AS change_id, (event_id * 7) % (SELECT count(*) FROM events) AS entity_id, ts,
        CASE WHEN event_id % 3 = 0 THEN concat('Retitled ', event_id) END AS title,
@@ -225,7 +224,7 @@ SELECT event_id AS change_id, (event_id * 7) % (SELECT count(*) FROM events) AS
        CASE WHEN event_id % 2 = 0 THEN {_list(schemas.ALERT_STATUSES)}[(event_id // 2) % 4 + 1] END AS status,
        event_id % 6 = 1 AS assigned_to_set,
        CASE WHEN event_id % 6 = 1 AND event_id % 12 <> 1 THEN user_id % (SELECT count(*) FROM supplier) END AS assigned_to_id
-FROM events WHERE event_id % 5 = 1"""),
+FROM events"""),
     "live_changes": (["alerts", "incidents", "alert_changes", "status_changes"], """
 SELECT 'alert' AS entity, CAST(id AS VARCHAR) AS id, 'create' AS op, concat('create:', id) AS change_id, created_at AS ts,
        severity, status FROM alerts

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightjar import schemas
 from nightjar.operators import changes as ch
 from nightjar.plans.oracle_views import with_views
 from nightjar.plans.registry import AS_OF, AS_OF_SQL, register
@@ -192,24 +197,25 @@ def _opened(d: Domain):
 
 
 @register("m4_created_incidents", with_views(f"""
-SELECT {_sha("'incident'", "CAST(request_id AS VARCHAR)")} AS id, title, severity, coalesce(status, 'open') AS status,
-       assigned_to_id, ts AS created_at, ts AS updated_at, CAST(NULL AS TIMESTAMP) AS closed_at
+SELECT {_sha("'incident'", "CAST(request_id AS VARCHAR)")} AS id, title, description, severity,
+       coalesce(status, 'open') AS status, assigned_to_id, ts AS created_at, ts AS updated_at, CAST(NULL AS TIMESTAMP) AS closed_at
 FROM incident_requests""", ["incident_requests"]))
 def m4(d: Domain):
     return _opened(d)["created"]
 
 
 @register("m4_incident_snapshot", with_views(f"""
-SELECT CAST(id AS VARCHAR) AS id, title, severity, status, assigned_to_id, created_at, updated_at, closed_at
+SELECT CAST(id AS VARCHAR) AS id, title, CAST(NULL AS VARCHAR) AS description, severity, status, assigned_to_id,
+       created_at, updated_at, closed_at
 FROM incidents
 UNION ALL
-SELECT {_sha("'incident'", "CAST(request_id AS VARCHAR)")}, title, severity, coalesce(status, 'open'),
+SELECT {_sha("'incident'", "CAST(request_id AS VARCHAR)")}, title, description, severity, coalesce(status, 'open'),
        assigned_to_id, ts, ts, CAST(NULL AS TIMESTAMP)
 FROM incident_requests""", ["incident_requests", "incidents"]))
 def m4s(d: Domain):
     """M-4: the incident table after the requests: all old rows and the new."""
-    return _opened(d)["incidents"].select("id", "title", "severity", "status", "assigned_to_id", "created_at",
-                                          "updated_at", "closed_at")
+    return _opened(d)["incidents"].select("id", "title", "description", "severity", "status", "assigned_to_id",
+                                          "created_at", "updated_at", "closed_at")
 
 
 @register("m4_seed_notes", with_views(f"""
@@ -233,23 +239,71 @@ def j8(d: Domain):
 
 # -- M-8 ---------------------------------------------------------------------------
 @register("m8_mappings_after_alert_delete", with_views("""
-SELECT * FROM alert_mitre_mappings WHERE alert_id NOT IN (SELECT id FROM alerts WHERE id % 13 = 0)""",
+SELECT * FROM alert_mitre_mappings WHERE alert_id NOT IN (SELECT id FROM alerts WHERE severity = 'info')""",
                                                        ["alert_mitre_mappings", "alerts"]))
 def m8a(d: Domain):
-    gone = d.alerts.where(F.col("id") % 13 == 0).select("id")
+    gone = d.alerts.where("severity = 'info'").select("id")
     return ch.delete_alerts(d.alerts, d.alert_mitre_mappings, gone)["alert_mitre_mappings"]
 
 
 @register("m8_alerts_after_incident_delete", with_views("""
-SELECT id, CASE WHEN incident_id IN (SELECT id FROM incidents WHERE id % 100 = 0) THEN NULL ELSE incident_id END
+SELECT id, CASE WHEN incident_id IN (SELECT id FROM incidents WHERE status = 'closed') THEN NULL ELSE incident_id END
        AS incident_id
 FROM alerts""", ["alerts", "incidents"]))
 def m8b(d: Domain):
-    gone = d.incidents.where(F.col("id") % 100 == 0).select("id")
+    gone = d.incidents.where("status = 'closed'").select("id")
     return ch.delete_incidents(d.incidents, d.alerts, d.incident_timeline_events, gone)["alerts"].select(
         "id", "incident_id")
 
 
+# One deletion per entity, over every table that refers to it: which rows go
+# is told by a column of the entity.
+DELETIONS = {"alerts": "severity = 'info'", "incidents": "status = 'closed'", "assets": "criticality = 'low'",
+             "users": "NOT is_active", "ingestion_sources": "NOT is_active",
+             "mitre_techniques": "tactic = 'Discovery'"}
+# The key of a child's row in the result, per table.
+CHILD_KEY = {"alert_mitre_mappings": "concat(alert_id, ':', mitre_technique_id)"}
+
+
+def _children(entity: str) -> list[tuple[str, str, str]]:
+    return [(child, column, action) for child, column, parent, action in schemas.FOREIGN_KEYS
+            if parent == entity and child != "iocs"]
+
+
+def _deletion_sql(entity: str) -> str:
+    gone = f"(SELECT id FROM {entity} WHERE {DELETIONS[entity]})"
+    parts = [f"SELECT '{entity}' AS child, CAST(id AS VARCHAR) AS id, 'id' AS foreign_key, CAST(NULL AS VARCHAR) AS refers_to "
+             f"FROM {entity} WHERE id NOT IN {gone}"]
+    for child, column, action in _children(entity):
+        key = f"CAST({CHILD_KEY.get(child, 'id')} AS VARCHAR)"
+        parts.append(
+            f"SELECT '{child}', {key}, '{column}', CAST({column} AS VARCHAR) FROM {child} "
+            f"WHERE {column} IS NULL OR {column} NOT IN {gone}" if action == "cascade" else
+            f"SELECT '{child}', {key}, '{column}', CASE WHEN {column} IN {gone} THEN NULL "
+            f"ELSE CAST({column} AS VARCHAR) END FROM {child}")
+    return with_views("\nUNION ALL\n".join(parts), [entity, *dict.fromkeys(c for c, _, _ in _children(entity))])
+
+
+def _deletion(entity: str):
+    def run(d: Domain):
+        names = [entity, *dict.fromkeys(c for c, _, _ in _children(entity))]
+        tables = {n: getattr(d, n) for n in names}
+        out = ch.delete_entities(tables, entity, tables[entity].where(DELETIONS[entity]).select("id"))
+        parts = [out[entity].select(F.lit(entity).alias("child"), F.col("id").cast("string").alias("id"),
+                                    F.lit("id").alias("foreign_key"), F.lit(None).cast("string").alias("refers_to"))]
+        for child, column, _ in _children(entity):
+            parts.append(out[child].select(
+                F.lit(child).alias("child"), F.expr(CHILD_KEY.get(child, "id")).cast("string").alias("id"),
+                F.lit(column).alias("foreign_key"), F.col(column).cast("string").alias("refers_to")))
+        return functools.reduce(DataFrame.unionByName, parts)
+    run.__doc__ = f"M-8 by the foreign-key catalogue: {entity} deleted, with all of its children's tables after it."
+    return run
+
+
+for _entity in DELETIONS:
+    register(f"m8_delete_{_entity}", _deletion_sql(_entity))(_deletion(_entity))
+
+
 # -- M-9 ---------------------------------------------------------------------------
 @register("m9_mark_all_read", with_views(f"""
 SELECT id, CASE WHEN read_at IS NULL THEN {AS_OF_SQL} ELSE read_at END AS read_at
@@ -260,9 +314,9 @@ def m9a(d: Domain):
 
 @register("m9_mark_read", with_views(f"""
 SELECT id, user_id, CASE WHEN user_id = 7 AND read_at IS NULL THEN {AS_OF_SQL} ELSE read_at END AS read_at
-FROM notifications WHERE id % 250 = 7""", ["notifications"]))
+FROM notifications WHERE type = 'incident'""", ["notifications"]))
 def m9b(d: Domain):
-    ids = d.notifications.where(F.col("id") % 250 == 7).select("id")
+    ids = d.notifications.where("type = 'incident'").select("id")
     return (ch.mark_read(d.notifications, 7, ids, AS_OF).join(ids, "id", "left_semi")
             .select("id", "user_id", "read_at"))
 
@@ -353,3 +407,49 @@ SELECT {_sha("'audit'", "'alert'", "CAST(change_id AS VARCHAR)")} AS id, CAST(NU
 FROM ({ALERT_SEQ}) s""", ["alerts", "alert_changes"]))
 def m10a(d: Domain):
     return _alert_patch(d)["audit"]
+
+
+# -- SNK-7: audit rows of a batch, written once whatever the retries ------------------
+@register("snk7_audit_sink", with_views(f"""
+SELECT created_date, count(*) AS n FROM (
+  SELECT CAST(ts AS DATE) AS created_date FROM source_toggles t JOIN ingestion_sources s ON s.id = t.entity_id) a
+GROUP BY created_date""", ["ingestion_sources", "source_toggles"]))
+def snk7(d: Domain):
+    """SNK-7: the toggles' audit rows written twice under one batch id, as a
+    retry does, and read back: every row is there once."""
+    from nightjar.session import checkpoint_path
+    from nightjar.sinks.ingest import audit_sink
+    path = checkpoint_path(d.spark, f"audit-{uuid.uuid4().hex}")
+    rows = ch.toggle_sources(d.ingestion_sources, d.source_toggles)["audit"]
+    for _ in range(2):
+        audit_sink(rows, path, batch_id="b1")
+    return d.spark.read.parquet(path).groupBy("created_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- SRC-4 / SRC-6 -------------------------------------------------------------------
+@register("src4_scan_alerts", with_views("""
+SELECT id, severity, status, created_at FROM alerts""", ["alerts"]))
+def src4(d: Domain):
+    """SRC-4: the alert table written as a version and scanned with its
+    declared columns (ids are text at rest)."""
+    from nightjar.session import checkpoint_path
+    from nightjar.sinks.snapshots import write_version
+    from nightjar.sources.tables import scan
+    root = checkpoint_path(d.spark, f"wh-{uuid.uuid4().hex}")
+    write_version(d.alerts, f"{root}/alerts")
+    return scan(d.spark, f"{root}/alerts", "alerts").select(F.col("id").cast("long").alias("id"), "severity", "status",
+                                                            "created_at")
+
+
+@register("src6_sources_by_type", with_views("""
+SELECT id, name, type FROM ingestion_sources
+UNION ALL
+SELECT min(event_id), arg_min(concat('source of ', event_type), event_id), concat('feed_', event_type) FROM events
+GROUP BY event_type""", ["ingestion_sources"]))
+def src6(d: Domain):
+    """SRC-6: every event asks for a source of its type; one per type is made."""
+    from nightjar.sources.tables import ensure_sources
+    e = d.table("events")
+    wanted = e.select(F.col("event_id").alias("id"), F.concat(F.lit("source of "), "event_type").alias("name"),
+                      F.concat(F.lit("feed_"), "event_type").alias("type"))
+    return ensure_sources(d.ingestion_sources.select("id", "name", "type"), wanted)

@@ -182,3 +182,37 @@ SELECT severity, count(*) AS n FROM alerts WHERE status IN ('open', 'acknowledge
                                                   ["alerts"]))
 def f5(d: Domain):
     return ls.unresolved_alerts(d.alerts).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- F-7 / SO-7 / SC-16 ----------------------------------------------------------------
+@register("f7_techniques_by_tactic", with_views("""
+SELECT t.id, t.name, t.tactic, count(m.alert_id) AS alerts
+FROM mitre_techniques t JOIN alert_mitre_mappings m ON m.mitre_technique_id = t.id
+WHERE t.tactic = 'Execution' GROUP BY t.id, t.name, t.tactic""", ["mitre_techniques", "alert_mitre_mappings"]))
+def f7(d: Domain):
+    """F-7: the techniques of one tactic, with the alerts mapped to them."""
+    from nightjar.operators.analytics import techniques_by_tactic
+    t = techniques_by_tactic(d.mitre_techniques, "Execution")
+    n = d.alert_mitre_mappings.groupBy(F.col("mitre_technique_id").alias("id")).agg(F.count("alert_id").alias("alerts"))
+    return n.join(F.broadcast(t), "id").select("id", "name", "tactic", "alerts")
+
+
+@register("so7_total_order", with_views(f"""
+SELECT id, severity, row_number() OVER (ORDER BY {SEV_RANK} ASC NULLS LAST, id) AS place
+FROM alerts ORDER BY place LIMIT 200""", ["alerts"]))
+def so7(d: Domain):
+    """SO-7: the first 200 alerts of the total order by severity rank, with
+    their places, so that the order itself is compared."""
+    from pyspark.sql import Window
+    first = ls.ordered(d.alerts, "severity", "asc").limit(200).select("id", "severity")
+    place = F.row_number().over(Window.orderBy(*ls.sort_key("severity", False), F.col("id")))
+    return first.withColumn("place", place.cast("long"))
+
+
+@register("sc16_json_fields", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent
+FROM events""")
+def sc16(d: Domain):
+    from nightjar.functions.scalars import json_field, variant_field
+    return d.table("events").select("event_id", variant_field("props", "$.k", "bigint").alias("k"),
+                                    json_field("props", "$.absent").alias("absent"))

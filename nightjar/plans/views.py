@@ -395,16 +395,16 @@ class Domain:
     # -- change batches (inputs of the M-* operators) -------------------------
     @functools.cached_property
     def vuln_changes(self) -> DataFrame:
-        """Two status patches per selected lineitem (the second always
+        """Two status patches per lineitem (the second always
         ``remediated``) plus patches for ids that do not exist."""
-        li = self.table("lineitem").where(F.col("l_partkey") % 7 == 0)
+        li = self.table("lineitem")
         vid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         first = _pick(["remediated", "accepted_risk", "open"], F.col("l_suppkey") % 3)
         a = li.select(F.concat(vid, F.lit("#0")).alias("change_id"), vid.alias("entity_id"),
                       _ts_plus("DAY", "10", "l_shipdate").alias("ts"), first.alias("status"))
         b = li.select(F.concat(vid, F.lit("#1")).alias("change_id"), vid.alias("entity_id"),
                       _ts_plus("DAY", "20", "l_shipdate").alias("ts"), F.lit("remediated").alias("status"))
-        c = li.where(F.col("l_partkey") % 49 == 0).select(
+        c = li.where("l_returnflag = 'A'").select(
             F.concat(vid, F.lit("#x")).alias("change_id"), F.concat(vid, F.lit("-x")).alias("entity_id"),
             _ts_plus("DAY", "5", "l_shipdate").alias("ts"), F.lit("remediated").alias("status"))
         return a.unionByName(b).unionByName(c)
@@ -413,13 +413,13 @@ class Domain:
     def ioc_incoming(self) -> DataFrame:
         p = self.table("pages").select("page_id", "url")
         host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-        known = p.where(F.col("page_id") % 3 == 0).select(
+        known = p.select(
             (F.col("page_id") * 10).alias("incoming_id"), F.lit("domain").alias("type"), host.alias("value"),
             F.lit(None).cast("string").alias("severity"))
-        fresh = p.where(F.col("page_id") % 5 == 0).select(
+        fresh = p.select(
             (F.col("page_id") * 10 + 1).alias("incoming_id"), F.lit("url").alias("type"),
             F.concat(F.col("url"), F.lit("#v2")).alias("value"), F.lit(None).cast("string").alias("severity"))
-        ips = p.where(F.col("page_id") % 2 == 0).select(
+        ips = p.select(
             (F.col("page_id") * 10 + 2).alias("incoming_id"), F.lit("ip").alias("type"),
             F.concat(F.lit("203.0.113."), F.col("page_id") % 50).alias("value"),
             _pick(schemas.SEVERITIES, F.col("page_id") % 5).alias("severity"))
@@ -427,29 +427,30 @@ class Domain:
 
     @functools.cached_property
     def ioc_patches(self) -> DataFrame:
-        p = self.table("pages").where(F.col("page_id") % 4 == 0)
+        p = self.table("pages")
         return p.select(F.col("page_id").alias("change_id"), F.concat(F.lit("url:"), F.col("url")).alias("entity_id"),
                         _ts_plus("HOUR", "page_id", "TIMESTAMP_NTZ'2024-02-01 00:00:00'").alias("ts"),
                         F.when(F.col("page_id") % 8 == 0, F.lit("critical")).alias("severity"))
 
     @functools.cached_property
     def mapping_patches(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 13 == 0)
+        e = self.table("events")
         eid = F.col("event_id")
         ids = (F.when(eid % 3 == 0, F.array().cast("array<string>"))
                .when(eid % 3 == 1, F.array(F.lit("T1078"), F.lit("T1059"))))
         a = e.select(eid.alias("change_id"), eid.alias("entity_id"), "ts", ids.alias("mitre_technique_ids"))
-        b = e.where(eid % 26 == 0).select((eid + 1000000000).alias("change_id"), eid.alias("entity_id"),
+        b = e.where("event_type = 'error'").select((eid + 1000000000).alias("change_id"), eid.alias("entity_id"),
                                           _ts_plus("HOUR", "1", "ts").alias("ts"),
                                           F.array(F.lit("T1566")).alias("mitre_technique_ids"))
         return a.unionByName(b)
 
     @functools.cached_property
     def incident_requests(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 97 == 0)
+        e = self.table("events").where("event_type = 'error'")
         eid = F.col("event_id")
         return e.select(
             eid.alias("request_id"), F.concat(F.lit("Case "), eid).alias("title"),
+            F.when(F.col("value") >= 10, F.concat(F.lit("Opened after "), F.col("event_type"))).alias("description"),
             map_values("event_type", EVENT_SEVERITY, "info").alias("severity"),
             F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("assigned_to_id"),
             (F.col("user_id") % self.n_users).alias("author_id"),
@@ -457,14 +458,14 @@ class Domain:
 
     @functools.cached_property
     def source_toggles(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 1000 == 0)
+        e = self.table("events").where("event_type = 'signup'")
         return e.select(F.col("event_id").alias("change_id"),
-                        (F.expr("(event_id div 1000) % 7") + 1).cast("long").alias("entity_id"), "ts",
-                        (F.expr("(event_id div 1000) % 2") == 0).alias("is_active"))
+                        (F.col("event_id") % 7 + 1).cast("long").alias("entity_id"), "ts",
+                        (F.col("value") < 50).alias("is_active"))
 
     @functools.cached_property
     def timeline_notes(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 37 == 0)
+        e = self.table("events").where("event_type = 'click'")
         return e.select(F.col("event_id").alias("note_id"), ((F.col("event_id") % F.greatest(F.floor(self.n_events / 45), F.lit(1))) * 50)
                         .alias("incident_id"),
                         (F.col("user_id") % self.n_users).alias("author_id"),
@@ -472,7 +473,7 @@ class Domain:
 
     @functools.cached_property
     def alert_creates(self) -> DataFrame:
-        e = self.table("events").where(F.col("event_id") % 9 == 0)
+        e = self.table("events")
         eid = F.col("event_id")
         title = (F.when(eid % 90 == 0, F.lit("")).when(eid % 45 == 0, F.repeat(F.lit("x"), 201))
                  .otherwise(F.concat(F.lit("Manual alert "), eid)))
@@ -485,10 +486,10 @@ class Domain:
 
     @functools.cached_property
     def alert_changes(self) -> DataFrame:
-        """Alert patches: every 5th event patches alert ``event_id·7`` modulo the
+        """Alert patches: every event patches alert ``event_id·7`` modulo the
         number of alerts with some of title / severity / status /
         assignee; an assignee patch clears the field one time in two."""
-        e = self.table("events").where(F.col("event_id") % 5 == 1)
+        e = self.table("events")
         eid = F.col("event_id")
         a_set = eid % 6 == 1
         return e.select(

@@ -25,7 +25,8 @@ def raw_event_ids(events: DataFrame, key_col: str | None = None) -> Column:
     if key_col:
         return stable_id(F.lit("raw"), F.col("ingestion_source_id"), F.col(key_col))
     same = ["ingestion_source_id", "payload", "received_at"]
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    rest = [F.col(c) for c in events.columns if c not in same]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(*(rest or [F.lit(0)])))
     return stable_id(F.lit("raw"), *[F.col(c) for c in same], F.when(nth > 1, nth.cast("string")).otherwise(F.lit("")))
 
 
@@ -83,8 +84,15 @@ def process_ingestion(events: DataFrame, sources: DataFrame, rules: Sequence[Rul
     }
 
 
-def audit_sink(audit_rows: DataFrame, path: str) -> None:
-    """SNK-7: append-only audit log partitioned by day (never updated)."""
+def audit_sink(audit_rows: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """SNK-7: append-only audit log partitioned by day (never updated).
+
+    With ``batch_id`` the rows go to that batch's own folder, which a retried
+    job writes again instead of appending twice; ``sources.tables.scan`` and
+    a plain read of ``path`` see the rows of all batches."""
     rows = audit_rows if "created_date" in audit_rows.columns else audit_rows.withColumn(
         "created_date", F.to_date("created_at"))
-    rows.write.mode("append").partitionBy("created_date").parquet(path)
+    if batch_id is None:
+        rows.write.mode("append").partitionBy("created_date").parquet(path)
+    else:
+        rows.write.mode("overwrite").partitionBy("created_date").parquet(f"{path.rstrip('/')}/batch={batch_id}")

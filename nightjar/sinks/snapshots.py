@@ -5,12 +5,17 @@ written to a fresh ``v=<n>`` folder; Spark's commit writes ``_SUCCESS`` last,
 so readers take the newest version that has the marker.  A job that dies
 mid-write leaves an unmarked folder that nobody reads, and a retried job
 writes the next version — no in-place overwrite, no partial table.
-Plain Parquet gives no multi-table atomicity; tables written by one change
-batch share the version number so readers can pin a consistent set.
+
+Tables that one batch changes become visible together (``write_batch``): their
+new versions are written first, and one commit record, written last, names
+them all.  Once a warehouse has commit records, ``committed_version`` goes by
+them alone, so a version without a record is never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,3 +64,85 @@ def read_latest(spark: SparkSession, table_path: str, version: int | None = None
     if v not in vs:
         raise FileNotFoundError(f"version {v} of {table_path} is not committed")
     return spark.read.parquet(f"{table_path.rstrip('/')}/v={v}")
+
+
+COMMITS = "_commits"
+
+
+def commits(spark: SparkSession, root: str) -> dict[str, dict[str, tuple[int, int]]]:
+    """batch -> table -> (source version, target version) of every committed batch."""
+    fs, path = _fs(spark, f"{root.rstrip('/')}/{COMMITS}")
+    out: dict[str, dict[str, tuple[int, int]]] = {}
+    if not fs.exists(path):
+        return out
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        folder = f"{root.rstrip('/')}/{COMMITS}/{name}"
+        if name.startswith("batch=") and versions(spark, folder):
+            rows = read_latest(spark, folder).collect()  # one row per table
+            out[name.removeprefix("batch=")] = {r["table"]: (r["source"], r["target"]) for r in rows}
+    return out
+
+
+def committed_version(spark: SparkSession, root: str, table: str) -> int | None:
+    """The version of a table that readers see: the newest one that a commit
+    record names, else (a table that no batch has changed) the newest written
+    before; None if there is none."""
+    named = [t[table][1] for t in commits(spark, root).values() if table in t]
+    if named:
+        return max(named)
+    planned = {r["target"] for plan in _plans(spark, root) for r in plan if r["table"] == table}
+    free = [v for v in versions(spark, f"{root.rstrip('/')}/{table}") if v not in planned]
+    return free[-1] if free else None
+
+
+def read_committed(spark: SparkSession, root: str, table: str) -> DataFrame:
+    v = committed_version(spark, root, table)
+    if v is None:
+        raise FileNotFoundError(f"no committed version of {table} under {root}")
+    return read_latest(spark, f"{root.rstrip('/')}/{table}", v)
+
+
+def _plans(spark: SparkSession, root: str) -> list[list]:
+    fs, path = _fs(spark, f"{root.rstrip('/')}/_plans")
+    if not fs.exists(path):
+        return []
+    folders = [f"{root.rstrip('/')}/_plans/{st.getPath().getName()}" for st in fs.listStatus(path)]
+    return [read_latest(spark, f).collect() for f in folders if versions(spark, f)]
+
+
+def write_batch(spark: SparkSession, root: str, batch_id: str, tables: Sequence[str],
+                change: Callable[[dict[str, DataFrame]], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
+                ) -> dict[str, int]:
+    """Apply one batch to several tables, visible all at once or not at all.
+
+    First the batch's plan is written: the version of each table that it reads
+    and the one that it makes.  ``change`` gets those tables and returns (new
+    tables, rows to add per log table); the rows go to
+    ``<log>/batch=<batch_id>``, the tables to their planned versions, both
+    overwritten by a retry; the commit record is written last.  A retry reads
+    the same versions, a batch that is committed changes nothing.  One batch
+    at a time changes a warehouse."""
+    root = root.rstrip("/")
+    done = commits(spark, root).get(batch_id)
+    if done is not None:
+        return {t: target for t, (_, target) in done.items()}
+    plan_path = f"{root}/_plans/batch={batch_id}"
+    if not versions(spark, plan_path):
+        rows = []
+        for t in tables:
+            used = versions(spark, f"{root}/{t}", committed_only=False)
+            rows.append((t, committed_version(spark, root, t), (used[-1] + 1) if used else 0))
+        write_version(spark.createDataFrame(rows, "`table` string, source long, target long"), plan_path, 0,
+                      overwrite=True)
+    plan = {r["table"]: (r["source"], r["target"]) for r in read_latest(spark, plan_path).collect()}
+    old = {t: read_latest(spark, f"{root}/{t}", source) for t, (source, _) in plan.items() if source is not None}
+    new, logs = change(old)
+    for name, rows in logs.items():
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+    for t, df in new.items():
+        write_version(df, f"{root}/{t}", plan[t][1], overwrite=True)
+    record = [(t, *plan[t]) for t in new]
+    write_version(spark.createDataFrame(record, "`table` string, source long, target long"),
+                  f"{root}/{COMMITS}/batch={batch_id}", 0, overwrite=True)
+    return {t: plan[t][1] for t in new}

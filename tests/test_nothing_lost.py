@@ -212,3 +212,140 @@ def test_labels_and_first_per_key(spark):
     df = spark.createDataFrame([("false_positive", 2), ("false_positive", 1), ("x", 3)], "k string, n int")
     assert {r[0] for r in df.select(humanize("k")).collect()} == {"false positive", "x"}
     assert sorted((r.k, r.n) for r in ch.dedupe(df, ["k"], "n").collect()) == [("false_positive", 1), ("x", 3)]
+
+
+def _warehouse(spark, wh):
+    rows = {
+        "incidents": mk(spark, "incidents", [dict(id="1", title="t", severity="low", status="open", created_at=AS_OF,
+                                                  updated_at=AS_OF)]),
+        "alerts": mk(spark, "alerts", [dict(id=str(i), title="a", severity="low", status="open", created_at=AS_OF,
+                                            updated_at=AS_OF, incident_id="1" if i < 2 else None) for i in range(4)]),
+        "incident_timeline_events": mk(spark, "incident_timeline_events", [
+            dict(id="n", incident_id="1", event_type="note", message="m", created_at=AS_OF)])}
+    for t, df in rows.items():
+        write_version(df, f"{wh}/{t}")
+    return list(rows)
+
+
+def _seen(spark, wh, tables):
+    from nightjar.sinks.snapshots import read_committed
+    return {t: sorted(map(str, read_committed(spark, wh, t).collect())) for t in tables}
+
+
+def _killed_at_every_write(spark, scratch, monkeypatch, job, kind):
+    """Run the job dying at its first, second ... write until it gets through:
+    readers see the old tables until the commit, and then all new ones."""
+    import nightjar.sinks.snapshots as snapshots
+    real = snapshots.write_version
+    whole = f"{scratch}/{kind}-whole"
+    tables = _warehouse(spark, whole)
+    job(whole)
+    want = _seen(spark, whole, tables)
+    broken = f"{scratch}/{kind}-broken"
+    _warehouse(spark, broken)
+    old = _seen(spark, broken, tables)
+    for k in range(1, 9):
+        count = {"n": 0}
+
+        def dies(df, path, *a, k=k, count=count, **kw):
+            count["n"] += 1
+            if count["n"] == k:
+                df.write.mode("overwrite").parquet(f"{path}/v=half")  # what a lost driver leaves
+                raise OSError("lost")
+            return real(df, path, *a, **kw)
+        monkeypatch.setattr(snapshots, "write_version", dies)
+        try:
+            first = job(broken)
+            break
+        except OSError:
+            assert _seen(spark, broken, tables) == old, k
+    monkeypatch.setattr(snapshots, "write_version", real)
+    assert k > 3 and _seen(spark, broken, tables) == want != old
+    assert job(broken) == first and _seen(spark, broken, tables) == want
+    return whole, broken
+
+
+def test_opening_incidents_is_one_transaction(spark, scratch, monkeypatch):
+    from nightjar.plans.jobs import open_incidents_job
+    req = spark.createDataFrame(
+        [("r1", "Case", "what happened", "high", None, None, "7", ["2", "3", "404"], ts("2024-05-02 00:00:00"))],
+        "request_id string, title string, description string, severity string, status string, assigned_to_id string, "
+        "author_id string, alert_ids array<string>, ts timestamp_ntz")
+    whole, broken = _killed_at_every_write(
+        spark, scratch, monkeypatch, lambda wh: open_incidents_job(spark, wh, req, "b", AS_OF), "open")
+    for wh in (whole, broken):
+        new = {r.id: r for r in scan(spark, f"{wh}/incidents", "incidents").collect() if r.title == "Case"}
+        (ident, row), = new.items()
+        assert (row.description, row.status, row.severity) == ("what happened", "open", "high")
+        linked = {r.id for r in scan(spark, f"{wh}/alerts", "alerts").where(F.col("incident_id") == ident).collect()}
+        assert linked == {"2", "3"}
+        assert spark.read.parquet(f"{wh}/audit_logs/batch=b").count() == 1
+
+
+def test_deleting_incidents_is_one_transaction(spark, scratch, monkeypatch):
+    from nightjar.plans.jobs import delete_job
+    gone = spark.createDataFrame([("1",), ("404",)], "id string")
+    whole, broken = _killed_at_every_write(
+        spark, scratch, monkeypatch, lambda wh: delete_job(spark, wh, "incidents", gone, "d", AS_OF), "delete")
+    for wh in (whole, broken):
+        assert scan(spark, f"{wh}/incidents", "incidents").count() == 0
+        assert scan(spark, f"{wh}/incident_timeline_events", "incident_timeline_events").count() == 0
+        assert scan(spark, f"{wh}/alerts", "alerts").where("incident_id is not null").count() == 0
+        assert [r.target_id for r in spark.read.parquet(f"{wh}/deletion_audit/batch=d").collect()] == ["1"]
+
+
+def test_batches_follow_each_other(spark, scratch):
+    """A batch reads what the one before committed, whichever job made it."""
+    from nightjar.plans.jobs import delete_job, open_incidents_job
+    wh = f"{scratch}/wh"
+    _warehouse(spark, wh)
+    p = spark.createDataFrame([(1, "1", ts("2024-05-02 00:00:00"), "resolved")],
+                              "change_id long, entity_id string, ts timestamp_ntz, status string")
+    assert incident_changes_job(spark, wh, p, "p1") == {"incidents_version": 1}
+    req = spark.createDataFrame([("r", "Case", "low", None, "7", ["2"], ts("2024-05-02 00:00:00"))],
+                                "request_id string, title string, severity string, assigned_to_id string, "
+                                "author_id string, alert_ids array<string>, ts timestamp_ntz")
+    open_incidents_job(spark, wh, req, "o1", AS_OF)
+    out = {r.title: r.status for r in scan(spark, f"{wh}/incidents", "incidents").collect()}
+    assert out == {"t": "resolved", "Case": "open"}
+    delete_job(spark, wh, "incidents", spark.createDataFrame([("1",)], "id string"), "x1", AS_OF)
+    assert [r.title for r in scan(spark, f"{wh}/incidents", "incidents").collect()] == ["Case"]
+
+
+def test_audit_sink_of_a_retried_batch(spark, scratch):
+    from nightjar.sinks.ingest import audit_sink
+    rows = mk(spark, "audit_logs", [dict(id=str(i), action="a", created_at=AS_OF) for i in range(3)])
+    for batch in ("b1", "b1", "b2"):
+        audit_sink(rows, f"{scratch}/audit", batch)
+    assert spark.read.parquet(f"{scratch}/audit").groupBy("id").count().where("count != 2").count() == 0
+
+
+def test_deletion_walks_the_catalogue(spark):
+    """A deleted parent's children go with what refers to them."""
+    from nightjar import schemas
+    monkey = [*schemas.FOREIGN_KEYS, ("grand", "event_id", "raw_events", "cascade"), ("loose", "g_id", "grand", "set null")]
+    t = {"ingestion_sources": spark.createDataFrame([(1,), (2,)], "id long"),
+         "raw_events": spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, ingestion_source_id long"),
+         "grand": spark.createDataFrame([(100, 10), (101, 11)], "id long, event_id long"),
+         "loose": spark.createDataFrame([(7, 100), (8, 101), (9, None)], "id long, g_id long"),
+         "users": spark.createDataFrame([(1,)], "id long")}
+    before = schemas.FOREIGN_KEYS
+    schemas.FOREIGN_KEYS = monkey
+    try:
+        out = ch.delete_entities(t, "ingestion_sources", spark.createDataFrame([(1,)], "id long"))
+    finally:
+        schemas.FOREIGN_KEYS = before
+    assert set(out) == {"ingestion_sources", "raw_events", "grand", "loose"}
+    assert sorted(r.id for r in out["raw_events"].collect()) == [11, 12]
+    assert [r.id for r in out["grand"].collect()] == [101]
+    assert sorted((r.id, r.g_id) for r in out["loose"].collect()) == [(7, None), (8, 101), (9, None)]
+
+
+def test_conflicts_of_one_hot_key(spark):
+    """The first request of a key is new, all others conflict, copies too."""
+    incoming = spark.createDataFrame([(i, "ip", "same") for i in range(50)] + [(0, "ip", "same"), (60, "ip", None),
+                                     (61, "url", "known"), (62, "url", "new")], "incoming_id long, type string, value string")
+    existing = spark.createDataFrame([("url", "known")], "type string, value string")
+    new, conflicts = ch.reject_existing(incoming, existing, ["type", "value"], "incoming_id")
+    assert sorted(r.incoming_id for r in new.collect()) == [0, 60, 62]
+    assert sorted(r.incoming_id for r in conflicts.collect()) == sorted([*range(50), 61])
