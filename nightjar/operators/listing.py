@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightjar import schemas
 from nightjar.functions.scalars import check_range, enum_rank, id_prefix, ts_literal
@@ -102,7 +103,10 @@ def ordered(df: DataFrame, sort_by: str = "created_at", order: str = "desc", id_
 
 def page(df: DataFrame, page_no: int = 1, page_size: int = 25, sort_by: str = "created_at", order: str = "desc",
          entity: str | None = None, max_page_size: int = schemas.MAX_PAGE_SIZE) -> DataFrame:
-    """SO-1: ``ORDER BY`` one whitelisted column, skip (page−1)·size, take size."""
+    """SO-1: ``ORDER BY`` one whitelisted column, skip (page−1)·size, take size.
+
+    Up to ``MAX_OFFSET`` rows are skipped by sorting them; a deeper page starts
+    at the row before it, which ``row_at`` finds from counts per range."""
     check_range("page", page_no, 1, 10**9)
     check_range("page_size", page_size, 1, max_page_size)
     if entity is not None and sort_by not in schemas.SORTABLE.get(entity, [sort_by]):
@@ -110,10 +114,79 @@ def page(df: DataFrame, page_no: int = 1, page_size: int = 25, sort_by: str = "c
     out = ordered(df, sort_by, order)
     skip = (page_no - 1) * page_size
     if skip > MAX_OFFSET:
-        raise ValueError(f"page starts after row {MAX_OFFSET}: use keyset_page, which does not read the rows skipped")
+        before = row_at(df, skip - 1, sort_by, order)
+        return out.limit(0) if before is None else keyset_page(df, page_size, sort_by, tuple(before), order=order)
     return (out.offset(skip) if skip else out).limit(page_size)
 
 
+#: Ranges that one pass of ``row_at`` counts, and rows that it sorts at last.
+RANGES, SORTED_ROWS = 1024, 100_000
+
+
+def _places(c: Column, kind: T.DataType, chunk: int) -> Column:
+    """A column as a number in the same order; text by seven bytes at a time."""
+    if isinstance(kind, T.StringType):
+        piece = F.hex(F.substring(c.cast("binary"), 7 * chunk + 1, 7))
+        return F.conv(F.rpad(piece, 14, "0"), 16, 10).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    return c.cast("long" if isinstance(kind, (T.IntegralType, T.BooleanType)) else "double")
+
+
+def row_at(df: DataFrame, rank: int, sort_by: str = "created_at", order: str = "desc", id_col: str = "id"):
+    """(sort key, id) of the row at a 0-based rank of ``ordered``, or None.
+
+    Each pass counts the rows per range of the sort key (one partial
+    aggregation; at most ``RANGES`` counts reach the driver) and goes on inside
+    the range that holds the rank, down to the id where the keys are equal,
+    until few enough rows are left to sort.  Rows before the page are counted,
+    never sorted or moved."""
+    ranked = sort_by in ENUM_SORT_DOMAINS
+    key = enum_rank(sort_by, ENUM_SORT_DOMAINS[sort_by]) if ranked else F.col(sort_by)
+    desc = order == "desc"
+    levels = [(key, T.IntegerType() if ranked else df.schema[sort_by].dataType, desc),
+              (F.col(id_col), df.schema[id_col].dataType, False)]
+    part = df
+    for column, kind, down in levels:
+        present = part.where(column.isNotNull()).count()
+        missing = part.where(column.isNull()).count()
+        nulls_first = down
+        if rank >= present + missing:
+            return None
+        in_nulls = rank < missing if nulls_first else rank >= present
+        rank -= missing if nulls_first and not in_nulls else present if in_nulls and not nulls_first else 0
+        part = part.where(column.isNull() if in_nulls else column.isNotNull())
+        left, chunk = (missing if in_nulls else present), 0
+        while not in_nulls and left > SORTED_ROWS:
+            place = _places(column, kind, chunk)
+            low, high = part.agg(F.min(place), F.max(place)).first()
+            if low == high:
+                longest = part.agg(F.max(F.octet_length(column))).first()[0] if isinstance(kind, T.StringType) else 0
+                chunk += 1
+                if 7 * chunk >= longest:
+                    break  # all equal: the next level decides
+                continue
+            width = (high - low) / RANGES if isinstance(low, float) else -(-(high - low + 1) // RANGES)
+            at = F.least(F.floor((place - F.lit(low)) / F.lit(width)), F.lit(RANGES - 1)).cast("int")
+            if not isinstance(low, float):
+                at = F.expr("int(0)") + ((place - F.lit(low)) / F.lit(width)).cast("long").cast("int")
+            counts = sorted(((r[0], r[1]) for r in part.groupBy(at.alias("at")).count().collect()), reverse=down)
+            for bucket, n in counts:
+                if rank < n:
+                    break
+                rank -= n
+            part, shrunk = part.where(at == bucket), n < left
+            left = n
+            if not shrunk and isinstance(low, float):
+                break  # doubles too close to be told apart by width
+        if left <= SORTED_ROWS:
+            break
+    row = ordered(part, sort_by, order, id_col).select(sort_by, id_col).offset(rank).limit(1).collect()
+    return row[0] if row else None
+
+
 def keyset_page(df: DataFrame, page_size: int, sort_by: str = "created_at", after: tuple | None = None,
                 id_col: str = "id", order: str = "desc", entity: str | None = None) -> DataFrame:
     """SO-1, deep pages: the rows after the ``(key, id)`` of the last row seen,

@@ -8,7 +8,7 @@ read as the reference's: ISO timestamps with ms and ``Z``, arrays joined with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,8 @@ from nightjar.functions.scalars import iso_utc
 EXPORT_ENTITIES = ("alerts", "incidents", "vulnerabilities", "assets")
 
 
-def export_rows(df: DataFrame, order_col: str = "created_at", join_arrays: bool = True) -> DataFrame:
-    """Rows as exported: newest first (id breaks ties), timestamps as ISO
-    text, arrays joined with ``,`` for CSV (JS ``String(array)``)."""
+def _cells(df: DataFrame, join_arrays: bool = True) -> list[Column]:
+    """The columns as exported."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -28,6 +27,21 @@ def export_rows(df: DataFrame, order_col: str = "created_at", join_arrays: bool
         elif join_arrays and isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         cols.append(c.alias(f.name))
+    return cols
+
+
+def _csv_line(cells: list[Column]) -> Column:
+    def cell(c: Column) -> Column:
+        s = F.coalesce(c.cast("string"), F.lit(""))
+        needs = s.rlike('[",\n]')
+        return F.when(needs, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
+    return F.concat_ws(",", *[cell(c) for c in cells])
+
+
+def export_rows(df: DataFrame, order_col: str = "created_at", join_arrays: bool = True) -> DataFrame:
+    """Rows as exported: newest first (id breaks ties), timestamps as ISO
+    text, arrays joined with ``,`` for CSV (JS ``String(array)``)."""
+    cols = _cells(df, join_arrays)
     order = [F.desc(order_col)] if order_col in df.columns else []
     if "id" in df.columns:
         order.append(F.asc("id"))
@@ -50,6 +64,22 @@ def export_csv(df: DataFrame, path: str, order_col: str = "created_at") -> None:
      .csv(path))
 
 
+def export_csv_lines(df: DataFrame, path: str, order_col: str = "created_at") -> None:
+    """SNK-1 as one file in parts: the header is the first line of the first
+    part only, and the parts, one after another, are the rows in export order.
+    The write replaces what an earlier attempt left."""
+    names = df.columns
+    keys = [F.col(f"`{order_col}`").desc()] if order_col in names else []
+    keys += [F.asc("id")] if "id" in names else []
+    # the order is that of the values, the line that of their text
+    lines = df.select(F.lit(1).alias("_part"), *[F.col(f"`{c}`") for c in names], _csv_line(_cells(df)).alias("_line"))
+    header = df.sparkSession.range(1).select(
+        F.lit(0).alias("_part"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields],
+        _csv_line([F.lit(c) for c in names]).alias("_line"))
+    (header.union(lines).orderBy("_part", *keys).select(F.col("_line").alias("value"))
+     .write.mode("overwrite").text(path))
+
+
 def export_json(df: DataFrame, path: str, order_col: str = "created_at") -> None:
     """SNK-2: the same rows as JSON objects, nulls kept, arrays as arrays.  The alerts export
     carries no technique ids (drop them before calling)."""
@@ -59,11 +89,7 @@ def export_json(df: DataFrame, path: str, order_col: str = "created_at") -> None
 def csv_text(df: DataFrame) -> DataFrame:
     """One CSV line per row, as text (SC-13), for checks and small previews;
     quoting rule identical to ``export_csv``."""
-    def cell(c):
-        s = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-        needs = s.rlike('[",\n]')
-        return F.when(needs, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
-    return df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("line"))
+    return df.select(_csv_line([F.col(f"`{c}`") for c in df.columns]).alias("line"))
 
 
 def export_report(tables: dict[str, DataFrame], entity: str, fmt: str, path: str) -> None:

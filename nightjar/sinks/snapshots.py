@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -146,3 +147,38 @@ def write_batch(spark: SparkSession, root: str, batch_id: str, tables: Sequence[
     write_version(spark.createDataFrame(record, "`table` string, source long, target long"),
                   f"{root}/{COMMITS}/batch={batch_id}", 0, overwrite=True)
     return {t: plan[t][1] for t in new}
+
+
+# --------------------------------------------------------------------------
+# M-2 on large tables: copy-on-write by id bucket
+# --------------------------------------------------------------------------
+def _bucket(id_col: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, id_col: str = "id", buckets: int = 256) -> None:
+    """Write a table in folders ``bucket=<n>`` by a hash of its id."""
+    (df.withColumn("bucket", _bucket(id_col, buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def rewrite_buckets(spark: SparkSession, path: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame],
+                    id_col: str = "id", buckets: int = 256) -> list[int]:
+    """Apply ``change`` to the buckets that hold the ``ids`` (a column of the
+    same name) and write those alone (dynamic partition overwrite): a batch of
+    few entities reads and rewrites few folders, whatever the table's size.
+    ``change`` gets the touched buckets' rows and returns their new rows, with
+    the same columns.  Returns the touched buckets (at most ``buckets``).
+
+    Each folder is replaced by Spark's commit at the end of the job; a retried
+    batch must be one that gives the same rows again, as folded patches do."""
+    touched = sorted(r[0] for r in ids.select(_bucket(id_col, buckets).alias("b")).distinct().collect()
+                     if r[0] is not None)
+    if not touched:
+        return touched
+    table = spark.read.parquet(path)
+    new = change(table.where(F.col("bucket").isin(touched)).drop("bucket"))
+    (new.select(*[c for c in table.columns if c != "bucket"], _bucket(id_col, buckets).alias("bucket"))
+     .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    return touched
