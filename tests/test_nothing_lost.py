@@ -415,3 +415,28 @@ def test_csv_lines_are_one_file_in_order(spark, scratch):
     assert lines[0] == "id,title,created_at" and len(lines) == 61
     assert [x.split(",")[0] for x in lines[1:]] == [r["id"] for r in want]
     assert 'i005,"say ""x"", y",2024-01-06T00:00:00.000Z' in lines
+
+
+def test_hunting_opens_only_days_that_may_match(spark, scratch):
+    """Same rows as the scan; days without the text's trigrams are not read; a
+    day that the side table does not know is."""
+    path, side = f"{scratch}/raw", f"{scratch}/trigrams"
+    rows = [dict(id=f"{d}-{i}", received_at=ts(f"2024-01-{d:02d} 0{i}:00:00"), payload="p",
+                 source_ip=None if i == 4 else f"10.{d}.{i}.7") for d in range(1, 13) for i in range(6)]
+    events = mk(spark, "raw_events", rows).withColumn("received_date", F.to_date("received_at"))
+    events.where("received_date < '2024-01-12'").write.partitionBy("received_date").parquet(path)
+    li.day_trigrams(spark.read.parquet(path)).write.parquet(side)
+    events.where("received_date = '2024-01-12'").write.mode("append").partitionBy("received_date").parquet(path)
+    landed, trigrams = spark.read.parquet(path), spark.read.parquet(side)
+    for text in ("10.7.", ".7", "9.3.7", "nothing", "10.12.1", "0.1"):
+        got = li.hunt_landed(landed, trigrams, text)
+        want = li.hunt_raw_events(landed, source_ip=text)
+        assert got["total"].first() == want["total"].first(), text
+        assert [r.id for r in got["items"].collect()] == [r.id for r in want["items"].collect()], text
+    days = li.matching_days(trigrams, "10.7.")
+    assert [str(d) for d in days] == ["2024-01-07"] and li.matching_days(trigrams, ".7") is None
+    items = li.hunt_landed(landed, trigrams, "10.7.")["items"]
+    items.collect()
+    scan_line = next(x for x in items._jdf.queryExecution().executedPlan().toString().splitlines()
+                     if "PartitionFilters" in x)
+    assert "received_date" in scan_line.split("PartitionFilters")[1].split("PushedFilters")[0]
