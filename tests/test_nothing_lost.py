@@ -94,8 +94,7 @@ def test_keyset_walks_the_whole_order(spark, order, sort_by):
             break
         after = (rows[-1][sort_by], rows[-1].id)
     assert got == want
-    with pytest.raises(ValueError, match="keyset"):
-        li.page(df, 10**6, 100)
+    assert li.page(df, 10**6, 25, sort_by, order).collect() == []  # far beyond the last row
 
 
 def test_syslog_line_with_control_character(spark):
