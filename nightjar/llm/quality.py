@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,25 +122,23 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     classes apart."""
     rules = len(RULES)
     prior, accuracy = PRIOR, [(ON_GOOD, ON_BAD)] * rules
-    total = sum(n for _, n in patterns)
+    n = np.array([count for _, count in patterns], dtype=float)
+    vote = np.array([pattern for pattern, _ in patterns], dtype=np.int8).reshape(len(patterns), rules)
+    up, down = (vote > 0).astype(float), (vote < 0).astype(float)
+    total = n.sum()
     for _ in range(rounds if total else 0):
-        good = PSEUDO * PRIOR
+        base, each = weights(prior, accuracy)
+        for_good, for_bad = np.array(each).T
+        p = 1 / (1 + np.exp(-(base + up @ for_good + down @ for_bad)))
+        good, bad = n * p, n * (1 - p)
         # votes weighted by class: right and all on good, right and all on bad
-        hits = [[PSEUDO * ON_GOOD, PSEUDO, PSEUDO * ON_BAD, PSEUDO] for _ in range(rules)]
-        for pattern, n in patterns:
-            p = posterior(pattern, prior, accuracy)
-            good += n * p
-            for h, v in zip(hits, pattern, strict=True):
-                if v:
-                    h[0] += n * p * (v > 0)
-                    h[1] += n * p
-                    h[2] += n * (1 - p) * (v < 0)
-                    h[3] += n * (1 - p)
-        prior = min(0.95, max(0.05, good / (total + PSEUDO)))
-        accuracy = []
-        for right, every, caught, bad in hits:
-            g = min(0.999, max(0.6, right / every))
-            accuracy.append((g, min(0.999, max(0.02, 1 - g + 0.01, caught / bad))))
+        right, every = good @ up, good @ (up + down)
+        caught, accusable = bad @ down, bad @ (up + down)
+        prior = float(np.clip((PSEUDO * PRIOR + good.sum()) / (total + PSEUDO), 0.05, 0.95))
+        on_good = np.clip((PSEUDO * ON_GOOD + right) / (PSEUDO + every), 0.6, 0.999)
+        on_bad = np.minimum(0.999, np.maximum(np.maximum(0.02, 1 - on_good + 0.01),
+                                              (PSEUDO * ON_BAD + caught) / (PSEUDO + accusable)))
+        accuracy = list(zip(on_good.tolist(), on_bad.tolist(), strict=True))
     return prior, accuracy
 
 
