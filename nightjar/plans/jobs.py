@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nightjar.operators import analytics as an
 from nightjar.session import apply_core_conf
@@ -70,6 +71,31 @@ def incident_changes_job(spark: SparkSession, warehouse: str, changes: DataFrame
         changes.unpersist()
 
 
+def patch_job(spark: SparkSession, warehouse: str, entity: str, changes: DataFrame, batch_id: str,
+              buckets: int = 256, files: int = 1) -> list[int]:
+    """One batch of field patches (M-2, M-5..M-7, M-10, M-11) on a table in id
+    buckets (``snapshots.write_bucketed``): only the buckets of the patched
+    ids are read and rewritten.  Audit, notification, timeline and rejected
+    rows go to ``<log>/batch=<batch_id>``.  Returns the touched buckets."""
+    from nightjar.operators import changes as ch
+    from nightjar.sinks.snapshots import rewrite_batch
+    apply_core_conf(spark)
+    patch = {"incidents": ch.patch_incidents, "alerts": ch.patch_alerts, "assets": ch.patch_assets,
+             "vulnerabilities": ch.patch_vulnerabilities, "iocs": ch.patch_iocs}[entity]
+    logs = {"incident_timeline_events": "timeline", "notifications": "notifications", "audit_logs": "audit",
+            f"rejected_{ch.SINGULAR[entity]}_patches": "unknown"}
+
+    def change(old):
+        out = patch(old, changes)
+        return out["snapshot"], {t: out[k] for t, k in logs.items() if out.get(k) is not None}
+    changes.persist()
+    try:
+        return rewrite_batch(spark, warehouse, entity, batch_id, changes.select(F.col("entity_id").alias("id")), change,
+                             buckets=buckets, files=files)
+    finally:
+        changes.unpersist()
+
+
 def open_incidents_job(spark: SparkSession, warehouse: str, requests: DataFrame, batch_id: str,
                        as_of: dt.datetime | str) -> dict[str, int]:
     """M-4 as one transaction: the new incidents, their seed notes and the

@@ -352,7 +352,7 @@ def m13(d: Domain):
 
 
 # -- M-2 / M-11 / M-10 for alerts ---------------------------------------------------
-@register("m2_alert_snapshot", with_views("""
+ALERT_SNAPSHOT = """
 SELECT a.id, CASE WHEN f.t_t THEN f.t_new ELSE a.title END AS title,
        CASE WHEN f.s_t THEN f.s_new ELSE a.severity END AS severity,
        CASE WHEN f.st_t THEN f.st_new ELSE a.status END AS status,
@@ -367,13 +367,30 @@ FROM alerts a LEFT JOIN (
          arg_max(status, (ts, change_id)) FILTER (WHERE status IS NOT NULL) AS st_new,
          bool_or(assigned_to_set) AS a_t,
          arg_max_null(assigned_to_id, (ts, change_id)) FILTER (WHERE assigned_to_set) AS a_new
-  FROM alert_changes GROUP BY entity_id) f ON f.entity_id = a.id""", ["alerts", "alert_changes"]))
+  FROM alert_changes GROUP BY entity_id) f ON f.entity_id = a.id"""
+
+
+@register("m2_alert_snapshot", with_views(ALERT_SNAPSHOT, ["alerts", "alert_changes"]))
 def m2a(d: Domain):
     """M-2 for alerts: tri-state field patches folded per alert."""
     return _alert_patch(d)["snapshot"].select(
         "id", "title", "severity", "status", "assigned_to_id", "updated_at")
 
 
+@register("m2_alert_buckets", with_views(ALERT_SNAPSHOT, ["alerts", "alert_changes"]))
+def m2_buckets(d: Domain):
+    """M-2 by the job on the alerts in id buckets, with a retry; read back."""
+    from nightjar.plans.jobs import patch_job
+    from nightjar.session import checkpoint_path
+    from nightjar.sinks.snapshots import write_bucketed
+    root = checkpoint_path(d.spark, f"wh-{uuid.uuid4().hex}")
+    write_bucketed(d.alerts, f"{root}/alerts", buckets=16)
+    for _ in range(2):
+        patch_job(d.spark, root, "alerts", d.alert_changes, "b1", buckets=16)
+    return d.spark.read.parquet(f"{root}/alerts").select(
+        "id", "title", "severity", "status", "assigned_to_id", "updated_at")
+
+
 ALERT_SEQ = f"""
 SELECT *,
   coalesce(last_value(CASE WHEN title IS NOT NULL THEN {{'v': title}} END IGNORE NULLS) OVER w_upto,

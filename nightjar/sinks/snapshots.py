@@ -14,6 +14,7 @@ them alone, so a version without a record is never read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,33 +153,102 @@ def write_batch(spark: SparkSession, root: str, batch_id: str, tables: Sequence[
 # --------------------------------------------------------------------------
 # M-2 on large tables: copy-on-write by id bucket
 # --------------------------------------------------------------------------
+STAGED, COLUMNS = "_staged", "_columns"
+
+
 def _bucket(id_col: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(df: DataFrame, path: str, id_col: str = "id", buckets: int = 256) -> None:
-    """Write a table in folders ``bucket=<n>`` by a hash of its id."""
-    (df.withColumn("bucket", _bucket(id_col, buckets)).repartition("bucket")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+def _write_buckets(rows: DataFrame, path: str, id_col: str, files: int, dynamic: bool = False) -> None:
+    """Rows with a ``bucket`` column, in folders; a bucket is dealt to
+    ``files`` tasks, so it may be larger than a task should write."""
+    share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("file")), F.lit(files))
+    (rows.repartition("bucket", share).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy("bucket").parquet(path))
+
+
+def write_bucketed(df: DataFrame, path: str, id_col: str = "id", buckets: int = 256, files: int = 1) -> None:
+    """Write a table in folders ``bucket=<n>`` by a hash of its id.  The count
+    is for good: choose it so that a bucket is what a small batch may rewrite.
+    The columns are kept beside the folders, as an empty table has none."""
+    rows = df.withColumn("bucket", _bucket(id_col, buckets))
+    _write_buckets(rows, path, id_col, files)
+    rows.where("false").write.parquet(f"{path}/{COLUMNS}")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table in id buckets, with its ``bucket`` column; None if it is none."""
+    fs, folder = _fs(spark, f"{path.rstrip('/')}/{COLUMNS}")
+    if not fs.exists(folder):
+        return None
+    return spark.read.schema(spark.read.parquet(f"{path.rstrip('/')}/{COLUMNS}").schema).parquet(path)
+
+
+def rewrite_batch(spark: SparkSession, root: str, table: str, batch_id: str, ids: DataFrame,
+                  change: Callable[[DataFrame], tuple[DataFrame, dict[str, DataFrame]]],
+                  id_col: str = "id", buckets: int = 256, files: int = 1) -> list[int]:
+    """Apply one batch to the buckets of ``<root>/<table>`` that hold the
+    ``ids`` (a column of the same name): a batch of few entities reads and
+    rewrites few folders, whatever the table's size.  ``change`` gets the
+    touched buckets' rows and returns (their new rows, with the same columns;
+    rows to add per log table).  Returns the touched buckets (at most
+    ``buckets`` numbers).
+
+    All that the batch makes is derived from the table as it was and written
+    first: the rows of the logs to ``<log>/batch=<batch_id>``, those of the
+    buckets to a staging folder, then the list of touched buckets.  Only then
+    the staged rows replace the buckets, and a record says so.  A retry that
+    finds the list puts the same staged rows in place again; a batch with a
+    record changes nothing; a batch that was left between the two is finished
+    before the next one starts.  One batch at a time changes a table."""
+    root = root.rstrip("/")
+    staged = f"{root}/{STAGED}/{table}"
+    fs, folder = _fs(spark, staged)
+    if fs.exists(folder):
+        for st in fs.listStatus(folder):
+            _publish(spark, f"{root}/{table}", f"{staged}/{st.getPath().getName()}", id_col, files)
+    own = f"{staged}/batch={batch_id}"
+    if not versions(spark, f"{own}/touched"):
+        touched = sorted(r[0] for r in ids.select(_bucket(id_col, buckets).alias("b")).distinct().collect())
+        if touched:
+            old = read_bucketed(spark, f"{root}/{table}")
+            if old is None:
+                raise FileNotFoundError(f"{table} under {root} is not in buckets (write_bucketed)")
+            new, logs = change(old.where(F.col("bucket").isin(touched)).drop("bucket"))
+            for name, rows in logs.items():
+                rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+            _write_buckets(new.select(*[c for c in old.columns if c != "bucket"],
+                                      _bucket(id_col, buckets).alias("bucket")), f"{own}/rows", id_col, files)
+        write_version(spark.createDataFrame([(b,) for b in touched], "bucket int"), f"{own}/touched", 0,
+                      overwrite=True)
+        _publish(spark, f"{root}/{table}", own, id_col, files)
+    return sorted(r[0] for r in read_latest(spark, f"{own}/touched").collect())
+
+
+def _publish(spark: SparkSession, path: str, staged: str, id_col: str, files: int) -> None:
+    """Put a staged batch in place, unless that is done or it is not whole.
+    Buckets that it leaves without rows go."""
+    if not versions(spark, f"{staged}/touched") or versions(spark, f"{staged}/done"):
+        return
+    touched = read_latest(spark, f"{staged}/touched")
+    numbers = [r[0] for r in touched.collect()]
+    if numbers:
+        fs, rows = _fs(spark, f"{staged}/rows")
+        names = {st.getPath().getName() for st in fs.listStatus(rows)}
+        if any(n.startswith("bucket=") for n in names):
+            _write_buckets(spark.read.parquet(f"{staged}/rows"), path, id_col, files, dynamic=True)
+        for n in numbers:
+            if f"bucket={n}" not in names:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={n}"), True)
+    write_version(touched, f"{staged}/done", 0, overwrite=True)
 
 
 def rewrite_buckets(spark: SparkSession, path: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame],
-                    id_col: str = "id", buckets: int = 256) -> list[int]:
-    """Apply ``change`` to the buckets that hold the ``ids`` (a column of the
-    same name) and write those alone (dynamic partition overwrite): a batch of
-    few entities reads and rewrites few folders, whatever the table's size.
-    ``change`` gets the touched buckets' rows and returns their new rows, with
-    the same columns.  Returns the touched buckets (at most ``buckets``).
-
-    Each folder is replaced by Spark's commit at the end of the job; a retried
-    batch must be one that gives the same rows again, as folded patches do."""
-    touched = sorted(r[0] for r in ids.select(_bucket(id_col, buckets).alias("b")).distinct().collect()
-                     if r[0] is not None)
-    if not touched:
-        return touched
-    table = spark.read.parquet(path)
-    new = change(table.where(F.col("bucket").isin(touched)).drop("bucket"))
-    (new.select(*[c for c in table.columns if c != "bucket"], _bucket(id_col, buckets).alias("bucket"))
-     .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
-    return touched
+                    id_col: str = "id", buckets: int = 256, files: int = 1) -> list[int]:
+    """``rewrite_batch`` for a change without logs or a batch id of its own:
+    a retry is a new batch, so it must be one that gives the same rows again,
+    as folded patches do."""
+    root, _, table = path.rstrip("/").rpartition("/")
+    return rewrite_batch(spark, root, table, uuid.uuid4().hex, ids, lambda old: (change(old), {}), id_col, buckets,
+                         files)

@@ -20,11 +20,15 @@ def conform(df: DataFrame, entity: str) -> DataFrame:
 def scan(spark: SparkSession, path: str, entity: str, order_by: list[str] | None = None) -> DataFrame:
     """SRC-4: read an entity table with its declared columns.  The table is a
     plain Parquet folder, one with ``batch=`` folders (all of them are read),
-    or one with ``v=`` versions (the committed one is, by the warehouse's
-    commit records where it has any)."""
-    from nightjar.sinks.snapshots import read_committed, versions
+    one in id buckets, or one with ``v=`` versions (the committed one is, by
+    the warehouse's commit records where it has any)."""
+    from nightjar.sinks.snapshots import read_bucketed, read_committed, versions
     root, _, name = path.rstrip("/").rpartition("/")
-    df = read_committed(spark, root, name) if versions(spark, path) else spark.read.parquet(path)
+    if versions(spark, path):
+        df = read_committed(spark, root, name)
+    else:
+        df = read_bucketed(spark, path)
+        df = spark.read.parquet(path) if df is None else df
     out = conform(df, entity)
     return out.orderBy(*order_by) if order_by else out
 

@@ -378,6 +378,67 @@ def test_a_patch_rewrites_its_bucket_alone(spark, scratch):
     assert rewrite_buckets(spark, path, patch.where("false").select(F.col("entity_id").alias("id")), change) == []
 
 
+def test_bucket_batches_survive_a_kill(spark, scratch, monkeypatch):
+    """Killed before the staged rows are in place: a retry, or the next batch,
+    puts them there; logs and rows are those of an undisturbed run."""
+    from nightjar.plans.jobs import patch_job
+    from nightjar.sinks import snapshots
+    rows = mk(spark, "incidents", [dict(id=f"i{n}", title="t", severity="low", status="open", created_at=AS_OF,
+                                        updated_at=AS_OF) for n in range(40)])
+
+    def patch(n, ident, status, when):
+        return spark.createDataFrame([(n, ident, ts(when), status), (n + 50, "nobody", ts(when), status)],
+                                     "change_id long, entity_id string, ts timestamp_ntz, status string")
+    first = patch(1, "i3", "resolved", "2024-05-02 00:00:00")
+    second = patch(2, "i3", "open", "2024-05-03 00:00:00")
+
+    def state(wh):
+        logs = {t: sorted((r.batch, r.change_id) for r in spark.read.parquet(f"{wh}/{t}").collect())
+                for t in ("incident_timeline_events", "rejected_incident_patches")}
+        return sorted(map(str, scan(spark, f"{wh}/incidents", "incidents").collect())), logs
+
+    def killed(*_):
+        raise RuntimeError("killed")
+    for how in ("plain", "retry", "next"):
+        wh = f"{scratch}/{how}"
+        snapshots.write_bucketed(rows, f"{wh}/incidents", buckets=8, files=2)
+        if how != "plain":
+            with monkeypatch.context() as m:
+                m.setattr(snapshots, "_publish", killed)
+                with pytest.raises(RuntimeError):
+                    patch_job(spark, wh, "incidents", first, "b1", buckets=8)
+            assert scan(spark, f"{wh}/incidents", "incidents").where("status = 'resolved'").count() == 0
+        if how != "next":
+            touched = patch_job(spark, wh, "incidents", first, "b1", buckets=8)
+            assert scan(spark, f"{wh}/incidents", "incidents").where("status = 'resolved'").count() == 1
+            assert 1 <= len(touched) <= 2
+        patch_job(spark, wh, "incidents", second, "b2", buckets=8)
+        after = state(wh)
+        assert patch_job(spark, wh, "incidents", first, "b1", buckets=8) and state(wh) == after
+        if how == "plain":
+            want = after
+            assert [c for _, c in want[1]["incident_timeline_events"]] == [1, 2]
+            assert sorted(c for _, c in want[1]["rejected_incident_patches"]) == [51, 52]
+        assert after == want, how
+
+
+def test_a_bucket_without_rows_goes(spark, scratch):
+    from nightjar.sinks.snapshots import read_bucketed, rewrite_buckets, write_bucketed
+    rows = spark.createDataFrame([(f"x{n}", n) for n in range(30)], "id string, n int")
+    path = f"{scratch}/t"
+    write_bucketed(rows, path, buckets=4)
+    gone = spark.read.parquet(path).where("bucket = 2").select("id")
+    ids = [r.id for r in gone.collect()]
+    assert ids and rewrite_buckets(spark, path, gone, lambda old: old.where("false"), buckets=4) == [2]
+    left = [r.id for r in spark.read.parquet(path).collect()]
+    assert sorted(left + ids) == sorted(f"x{n}" for n in range(30)) and not set(left) & set(ids)
+    assert rewrite_buckets(spark, path, rows.select("id"), lambda old: old.where("false"), buckets=4) == [0, 1, 2, 3]
+    assert read_bucketed(spark, path).columns == ["id", "n", "bucket"] and read_bucketed(spark, path).count() == 0
+    assert rewrite_buckets(spark, path, rows.select("id"), lambda old: rows, buckets=4) == [0, 1, 2, 3]
+    assert read_bucketed(spark, path).count() == 30
+    assert read_bucketed(spark, scratch) is None
+
+
 def test_pages_at_any_depth_equal_the_keyset_walk(spark, monkeypatch):
     """Ties, nulls and enum order; text ids and number ids; beyond the rows
     that a page may sort."""
